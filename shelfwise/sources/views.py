@@ -35,7 +35,8 @@ VIEW_SQL: dict[str, str] = {
  l_linestatus = 'O' AS is_active,
  CASE WHEN l_returnflag = 'R' THEN 'exclude' ELSE 'include' END AS include_exclude,
  CAST(l_shipdate AS DATE) AS scraped_date,
- lpad(CAST(year(l_shipdate) * 100 + month(l_shipdate) AS STRING), 10, '0') AS scraper_id
+ lpad(CAST(year(l_shipdate) * 100 + month(l_shipdate) AS STRING), 10, '0') AS scraper_id,
+ concat('https://www.example.com/', CASE CAST(l_suppkey % 8 AS INT) WHEN 0 THEN 'amazon' WHEN 1 THEN 'flipkart' WHEN 2 THEN 'vijaysales' WHEN 3 THEN 'reliancedigital' WHEN 4 THEN 'croma' WHEN 5 THEN 'blinkit' WHEN 6 THEN 'bigbasket' ELSE 'meesho' END, '/p/', CAST(l_partkey AS STRING)) AS product_url
 FROM lineitem JOIN part ON l_partkey = p_partkey""",
     # scraping_logs: one ingest session per order
     "scraping_logs": f"""SELECT o_orderkey AS id, {_PLATFORM_OF.format(k='o_custkey')} AS platform,
@@ -78,13 +79,20 @@ FROM pages""",
     # rankings: organic cards numbered across pages of a keyword (sponsored cards removed)
     "rankings": """SELECT item_id AS id, keyword_id, platform, sku, page,
  CAST(row_number() OVER (PARTITION BY keyword_id ORDER BY page, created_at, item_id) AS INT) AS position,
- lpad(CAST(year(created_at) * 100 + month(created_at) AS STRING), 10, '0') AS scraper_id, created_at
+ lpad(CAST(year(created_at) * 10000 + month(created_at) * 100 + day(created_at) AS STRING), 10, '0') AS scraper_id, created_at
 FROM search_items WHERE NOT is_sponsored""",
     # scraper_configurations: one per configuration_id seen in runs
     "scraper_configurations": """SELECT configuration_id AS id, min(platform) AS platform, min(category) AS category, min(tag) AS tag,
  CASE WHEN configuration_id % 5 = 0 THEN 'paused' WHEN configuration_id % 7 = 0 THEN 'inactive' ELSE 'active' END AS status,
  CAST(count(*) AS INT) AS total_runs, max(created_at) AS last_run_at, max(scraper_id) AS last_scraper_id
 FROM scraper_runs GROUP BY configuration_id""",
+    # search_pages: one row per (keyword, results page) with its organic card count
+    "search_pages": """SELECT keyword_id, page, count(*) FILTER (WHERE NOT is_sponsored) AS organic_items
+FROM search_items GROUP BY keyword_id, page""",
+    # page_attempts: fetch attempts of a page; an error event returned no rows
+    "page_attempts": """SELECT user_id AS page_key, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS attempt,
+ CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS rows_found, ts AS attempted_at
+FROM events""",
     # platforms: the fixed platform dimension (8 rows)
     "platforms": "SELECT * FROM (VALUES " + ", ".join(
         f"('{p}', '{n}')" for p, n in schemas.PLATFORMS) + ") AS t(platform, name)",
@@ -95,10 +103,12 @@ VIEW_DEPS = {
     "scraper_runs": ["orders", "customer"], "reviews": ["documents", "labels"],
     "keywords": ["events"], "search_items": ["events"], "scraping_urls": ["pages"],
     "rankings": ["search_items"], "scraper_configurations": ["scraper_runs"], "platforms": [],
+    "search_pages": ["search_items"], "page_attempts": ["events"],
 }
 # CTE order: parents before children
 VIEW_ORDER = ["products", "scraping_logs", "scraper_runs", "reviews", "keywords", "search_items",
-              "scraping_urls", "rankings", "scraper_configurations", "platforms"]
+              "scraping_urls", "rankings", "scraper_configurations", "platforms", "search_pages",
+              "page_attempts"]
 
 
 class Tables:
@@ -150,6 +160,8 @@ def oracle(body: str) -> str:
         return body
     ctes = ",\n".join(f"{v} AS (\n{VIEW_SQL[v]}\n)" for v in views)
     stripped = body.lstrip()
+    if stripped[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{stripped[15:]}"
     if stripped[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{stripped[5:]}"
     return f"WITH {ctes}\n{body}"
