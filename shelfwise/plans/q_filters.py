@@ -19,9 +19,9 @@ def fil01(t):
 
 @query("fil02_search", """
 SELECT product_id, platform, sku, title, brand FROM products
-WHERE title ILIKE '%green%' OR brand ILIKE '%green%'""")
+WHERE title ILIKE '%red%' OR brand ILIKE '%red%'""")
 def fil02(t):
-    return fl.search(t.products, ["title", "brand"], "green").select("product_id", "platform", "sku", "title", "brand")
+    return fl.search(t.products, ["title", "brand"], "red").select("product_id", "platform", "sku", "title", "brand")
 
 
 @query("fil03_contains", """
