@@ -1 +1,201 @@
-"""Catalogue entries (filled in as operators land)."""
+"""Catalogue entries for §2.10 page jobs, run over the driver's whole ``pages`` table.
+
+The driver pages carry titles, nav links, ad blocks and articles but no prices,
+JSON-LD, cards or reviews; the extractors that need those are exercised on
+hand-written per-platform HTML in ``tests/test_pages.py`` and run here over the
+real pages (mostly finding nothing, which is the right answer for them).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shelfwise.operators import pages as pg
+from shelfwise.plans.catalog import query
+from shelfwise.sources.views import _PLATFORM_OF
+
+_PLAT = _PLATFORM_OF.format(k="page_id")
+
+
+def _pages(t):
+    return t.pages.select("page_id", "url", "html", F.expr(_PLAT).alias("platform"))
+
+
+@query("pag01_product_links", """
+WITH l AS (SELECT page_id, list_transform(regexp_extract_all(html, 'href="([^"]+)"', 1),
+   lambda h: CASE WHEN starts_with(h, 'http') THEN h ELSE regexp_extract(url, '^(https?://[^/?#]+)', 1) || h END) AS a FROM pages),
+d AS (SELECT page_id, list_slice(list_filter(a, lambda x, i: list_position(a, x) = i), 1, 50) AS links FROM l)
+SELECT page_id, CAST(generate_subscripts(links, 1) AS INT) AS ordinal, unnest(links) AS link FROM d""")
+def pag01(t):
+    return pg.product_links(t.pages, path_pattern=None, limit=50)
+
+
+@query("pag02_card_links")
+def pag02(t):
+    return pg.card_links(t.pages)
+
+
+def _txt(x: str) -> str:
+    inner = f"trim(regexp_replace(regexp_replace(CASE WHEN {x} IN ('', '0') THEN NULL ELSE {x} END, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g'))"
+    for ent, ch in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " ")):
+        inner = f"replace({inner}, '{ent}', '{ch}')"
+    return f"nullif(trim({inner}), '')"
+
+
+_TITLE_RX = ["(?is)<h1\\b[^>]*>(.*?)</", "(?is)<title\\b[^>]*>(.*?)</",
+             '(?is)<meta\\b[^>]*\\b(?:name|property)="og:title"[^>]*\\bcontent="([^"]*)"',
+             '(?is)<meta\\b[^>]*\\b(?:name|property)="title"[^>]*\\bcontent="([^"]*)"']
+
+
+@query("pag03_title_cascade", "SELECT page_id, coalesce(" + ", ".join(
+    f"CASE WHEN length({_txt(f'regexp_extract(html, {chr(39)}{r}{chr(39)}, 1)')}) > 3 "
+    f"THEN {_txt(f'regexp_extract(html, {chr(39)}{r}{chr(39)}, 1)')} END" for r in _TITLE_RX) + ") AS title FROM pages")
+def pag03(t):
+    return t.pages.select("page_id", pg.cascade("html", pg.RULES["generic"]["title"], 3).alias("title"))
+
+
+@query("pag04_jsonld_product")
+def pag04(t):
+    return pg.jsonld_product(t.pages)
+
+
+@query("pag05_page_products")
+def pag05(t):
+    return pg.page_products(_pages(t))
+
+
+@query("pag06_price_pair")
+def pag06(t):
+    return pg.with_price_pair(_pages(t)).select("page_id", "list_price", "sale_price")
+
+
+@query("pag07_star_histogram")
+def pag07(t):
+    return t.pages.select("page_id", pg.star_histogram("html").alias("star_percents"))
+
+
+@query("pag08_spec_map")
+def pag08(t):
+    return t.pages.select("page_id", pg.spec_map("html").alias("specs"))
+
+
+@query("pag09_named_attr")
+def pag09(t):
+    s = pg.spec_map("html")
+    return t.pages.select("page_id", pg.named_attr(s, "^brand").alias("brand"),
+                          pg.named_attr(s, "^model").alias("model_name"), pg.named_attr(s, "^colou?r").alias("color"))
+
+
+@query("pag10_dimensions")
+def pag10(t):
+    p = _pages(t)
+    return p.select("page_id", pg.dimensions(pg.spec_map("html"), F.col("platform")).alias("dimensions"))
+
+
+@query("pag11_breadcrumb")
+def pag11(t):
+    p = _pages(t)
+    return p.select("page_id", pg.breadcrumb("html", F.col("platform")).alias("category"))
+
+
+@query("pag12_image_urls")
+def pag12(t):
+    return t.pages.select("page_id", pg.image_urls("html").alias("image_urls"))
+
+
+@query("pag13_video_urls")
+def pag13(t):
+    return t.pages.select("page_id", pg.video_urls("html").alias("video_urls"))
+
+
+@query("pag14_variants")
+def pag14(t):
+    return t.pages.select("page_id", pg.variants("html").alias("variants"))
+
+
+@query("pag15_availability")
+def pag15(t):
+    p = _pages(t)
+    return p.select("page_id", "platform", pg.availability("html", F.col("platform")).alias("inventory_status"))
+
+
+@query("pag16_offers")
+def pag16(t):
+    return t.pages.select("page_id", pg.offers("html").alias("offers"))
+
+
+@query("pag17_delivery")
+def pag17(t):
+    price, date = pg.delivery("html")
+    return t.pages.select("page_id", price.alias("delivery_price"), date.alias("delivery_date"))
+
+
+@query("pag18_badges_and_rank")
+def pag18(t):
+    f = pg.badges_and_rank("html")
+    return t.pages.select("page_id", *[v.alias(k) for k, v in f.items()])
+
+
+@query("pag19_search_items")
+def pag19(t):
+    return pg.search_items(_pages(t))
+
+
+@query("pag20_is_sponsored", """
+WITH b AS (SELECT page_id, string_split_regex(html, '<div\\b') AS parts FROM pages),
+x AS (SELECT page_id, list_slice(parts, 2, len(parts)) AS blocks FROM b)
+SELECT page_id, CAST(len(blocks) AS INT) AS blocks, CAST(len(list_filter(blocks, lambda c:
+  (regexp_matches(c, '(?i)[?&]fm=') AND NOT regexp_matches(c, '(?i)[?&]fm=organic'))
+  OR regexp_matches(c, '(?i)\\bSponsored\\b') OR regexp_matches(c, '(?i)data-component-type="sp-sponsored-result"')
+  OR regexp_matches(c, '(?i)\\bis-ad="true"') OR regexp_matches(c, '(?i)class="[^"]*\\bad\\b[^"]*"')
+  OR regexp_matches(c, '(?i)\\bAd\\b</'))) AS INT) AS sponsored_blocks FROM x""")
+def pag20(t):
+    blocks = pg._blocks(F.col("html"), r"<div\b")
+    return t.pages.select("page_id", F.size(blocks).cast("int").alias("blocks"),
+                          F.size(F.filter(blocks, lambda c: pg.is_sponsored(c))).cast("int").alias("sponsored_blocks"))
+
+
+@query("pag21_page_reviews")
+def pag21(t):
+    from shelfwise.operators.common import latest
+    return pg.page_reviews(_pages(t), asof=latest(t.events, "ts"))
+
+
+@query("pag22_review_id")
+def pag22(t):
+    p = _pages(t)
+    return p.select("page_id", pg.review_id("html", F.col("platform")).alias("review_id"))
+
+
+@query("pag23_star_rating")
+def pag23(t):
+    return t.pages.select("page_id", pg.star_rating("html").alias("rating"))
+
+
+@query("pag24_verified")
+def pag24(t):
+    return t.pages.select("page_id", pg.verified("html").alias("verified_purchase"))
+
+
+@query("pag25_helpful_count")
+def pag25(t):
+    return t.pages.select("page_id", pg.helpful_count("html").alias("helpful_count"))
+
+
+@query("pag26_variant_info")
+def pag26(t):
+    return t.pages.select("page_id", pg.variant_info("html").alias("variant_info"))
+
+
+@query("pag27_sentiment_label", """
+SELECT id, CASE WHEN rating IS NULL THEN NULL WHEN rating >= 4 THEN 'positive' WHEN rating >= 3 THEN 'neutral'
+ ELSE 'negative' END AS sentiment FROM reviews""")
+def pag27(t):
+    return t.reviews.select("id", pg.sentiment_label("rating").alias("sentiment"))
+
+
+@query("pag28_seller_and_badge")
+def pag28(t):
+    p = _pages(t)
+    f = pg.seller_and_badge("html", F.col("platform"))
+    return p.select("page_id", *[v.alias(k) for k, v in f.items()])
