@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfwise import schemas
-from shelfwise.operators.common import col
+from shelfwise.operators.common import bind, col
 
 # fixed values: currency symbol -> ISO code
 CURRENCY_MAP = {"₹": "INR", "$": "USD", "£": "GBP", "€": "EUR", "¥": "JPY", "₩": "KRW"}
@@ -21,16 +21,16 @@ def _php_float(s: Column) -> Column:
 def extract_price(c) -> Column:
     """NUM2: keep digits, '.' and ','; drop commas; the number, or null."""
     s = F.replace(F.regexp_replace(col(c).cast("string"), r"[^0-9.,]", ""), F.lit(","), F.lit(""))
-    return F.when(s.rlike(r"^[0-9]*\.?[0-9]+$|^[0-9]+\.$"), s.try_cast("double"))
+    return bind(s, lambda x: F.when(x.rlike(r"^[0-9]*\.?[0-9]+$|^[0-9]+\.$"), x.try_cast("double")))
 
 
 def sanitize_price(c, lo=schemas.PRICE_MIN, hi=schemas.PRICE_MAX) -> Column:
     """NUM1: as NUM2 with PHP float semantics; null outside [lo, hi] (or on blank input)."""
-    raw = col(c).cast("string")
-    s = F.replace(F.regexp_replace(raw, r"[^0-9.,]", ""), F.lit(","), F.lit(""))
-    v = _php_float(s)
-    return F.when(raw.isNull() | (raw == ""), F.lit(None).cast("double")) \
-        .when(v.between(lo, hi), v)
+    def go(raw):
+        s = F.replace(F.regexp_replace(raw, r"[^0-9.,]", ""), F.lit(","), F.lit(""))
+        return bind(_php_float(s), lambda v: F.when(raw == "", F.lit(None).cast("double"))
+                    .when(v.between(lo, hi), v))
+    return bind(col(c).cast("string"), go)
 
 
 def numeric_price(c) -> Column:
@@ -42,7 +42,7 @@ def numeric_price(c) -> Column:
 def rating(c) -> Column:
     """NUM4: first decimal number in the text; null outside 0–5."""
     v = F.nullif(F.regexp_extract(col(c).cast("string"), r"([0-9]+\.?[0-9]*)", 1), F.lit("")).try_cast("double")
-    return F.when(v.between(0, 5), v)
+    return bind(v, lambda x: F.when(x.between(0, 5), x))
 
 
 def review_count(c) -> Column:
@@ -98,3 +98,23 @@ def currency_code(c) -> Column:
     t = F.trim(col(c))
     mapping = F.create_map(*[F.lit(x) for kv in CURRENCY_MAP.items() for x in kv])
     return F.coalesce(F.element_at(mapping, t), t)
+
+
+# ---- SQL-text forms used by the bulk cleaning projection ----
+def sanitize_price_sql(x: str, lo=schemas.PRICE_MIN, hi=schemas.PRICE_MAX) -> str:
+    """SQL of NUM1."""
+    num = (r"coalesce(try_cast(nullif(regexp_extract(replace(regexp_replace(pr, r'[^0-9.,]', ''), ',', ''), "
+           r"r'^\s*([0-9]*\.?[0-9]+|[0-9]+\.?)', 1), '') AS DOUBLE), 0.0D)")
+    inner = f"element_at(transform(array({num}), pv -> CASE WHEN pv BETWEEN {lo} AND {hi} THEN pv END), 1)"
+    return f"element_at(transform(array(CAST({x} AS STRING)), pr -> CASE WHEN pr = '' THEN NULL ELSE {inner} END), 1)"
+
+
+def rating_sql(x: str) -> str:
+    """SQL of NUM4."""
+    v = f"try_cast(nullif(regexp_extract(CAST({x} AS STRING), r'([0-9]+\\.?[0-9]*)', 1), '') AS DOUBLE)"
+    return f"element_at(transform(array({v}), rv -> CASE WHEN rv BETWEEN 0 AND 5 THEN rv END), 1)"
+
+
+def digits_sql(x: str) -> str:
+    """SQL of NUM5 (sanitizeInteger)."""
+    return f"coalesce(try_cast(nullif(regexp_replace(CAST({x} AS STRING), r'[^0-9]', ''), '') AS BIGINT), 0)"

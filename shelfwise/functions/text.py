@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfwise.operators.common import col
+from shelfwise.operators.common import bind, col
 
 # fixed values: tag and whitespace patterns, allowed characters of sanitize_string
 TAG = r"<[^>]*>"
@@ -22,15 +22,17 @@ BRAND_MAP = {
 
 def falsy_to_null(c: Column) -> Column:
     """PHP truthiness on strings: '' and '0' are false → null."""
-    return F.when(c.isNull() | (c == "") | (c == "0"), F.lit(None).cast("string")).otherwise(c)
+    return bind(c, lambda x: F.when(x.isin("", "0"), F.lit(None).cast("string")).otherwise(x))
 
 
 def byte_cut(c: Column, max_bytes: int | None) -> Column:
     """Cut to at most ``max_bytes`` UTF-8 bytes (a split character is dropped)."""
     if not max_bytes:
         return c
-    cut = F.decode(F.substring(F.encode(c, "UTF-8"), 1, max_bytes), "UTF-8")
-    return F.when(F.octet_length(c) > max_bytes, F.regexp_replace(cut, "�$", "")).otherwise(c)
+    def go(x):
+        cut = F.decode(F.substring(F.encode(x, "UTF-8"), 1, max_bytes), "UTF-8")
+        return F.when(F.octet_length(x) > max_bytes, F.regexp_replace(cut, "�$", "")).otherwise(x)
+    return bind(c, go)
 
 
 def strip_tags(c) -> Column:
@@ -66,9 +68,8 @@ def ucfirst(c: Column) -> Column:
 def normalize_brand(c) -> Column:
     """STR4: sanitize, then canonical spelling for known brands, else upper-case
     the first letter (not ``initcap``: the rest is kept as is)."""
-    s = sanitize_string(c)
     mapping = F.create_map(*[F.lit(x) for kv in BRAND_MAP.items() for x in kv])
-    return F.coalesce(F.element_at(mapping, F.lower(s)), ucfirst(s))
+    return bind(sanitize_string(c), lambda s: F.coalesce(F.element_at(mapping, F.lower(s)), ucfirst(s)))
 
 
 def slug(c) -> Column:
@@ -106,3 +107,27 @@ def brand_from_title(c) -> Column:
     """STR10: brand guess — drop trailing whitespace and anything from the first
     number of the tail on."""
     return F.regexp_replace(col(c), r"\s+(?:\d+.*)?$", "")
+
+
+# ---- SQL-text forms (one parse on the JVM instead of many Python→JVM calls) ----
+def bind_sql(value: str, var: str, body: str) -> str:
+    """SQL of :func:`shelfwise.operators.common.bind`."""
+    return f"element_at(transform(array({value}), {var} -> {body}), 1)"
+
+
+def falsy_sql(x: str) -> str:
+    return bind_sql(x, "fv", "CASE WHEN fv IN ('', '0') THEN NULL ELSE fv END")
+
+
+def _collapse_sql(x: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({x}, r'{TAG}', ''), r'{SPACES}', ' '))"
+
+
+def sanitize_string_sql(x: str) -> str:
+    """SQL of STR1 over column / expression ``x``."""
+    return falsy_sql(f"regexp_replace({_collapse_sql(x)}, r'{NOT_ALLOWED}', '')")
+
+
+def sanitize_text_sql(x: str) -> str:
+    """SQL of STR2 over column / expression ``x``."""
+    return falsy_sql(_collapse_sql(x))

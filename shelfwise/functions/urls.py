@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfwise.operators.common import col
+from shelfwise.operators.common import bind, col
 
 # fixed value: accepted absolute URL shape (scheme, host, optional port, rest without spaces)
 VALID_URL = r"^https?://[A-Za-z0-9]([A-Za-z0-9.-]*[A-Za-z0-9])?(:[0-9]+)?([/?#][^\s]*)?$"
@@ -20,10 +20,10 @@ SKU_PATTERNS = {
 
 def sanitize_url(c) -> Column:
     """URL1: trim; add ``https://`` when no http(s) scheme; null unless a valid URL."""
-    t = F.trim(col(c))
-    full = F.when(t.rlike("^https?://"), t).otherwise(F.concat(F.lit("https://"), t))
-    return F.when(t.isNull() | (t == ""), F.lit(None).cast("string")) \
-        .when(full.rlike(VALID_URL), full)
+    def go(t):
+        full = F.when(t.rlike("^https?://"), t).otherwise(F.concat(F.lit("https://"), t))
+        return bind(full, lambda u: F.when(t == "", F.lit(None).cast("string")).when(u.rlike(VALID_URL), u))
+    return bind(F.trim(col(c)), go)
 
 
 def absolutize(c, host: str | Column) -> Column:
@@ -68,3 +68,10 @@ def sku_from_url(c, platform) -> Column:
     out = F.when(plat == "amazon", _first_match(text, SKU_PATTERNS["amazon"]))
     out = out.when(plat == "flipkart", _first_match(text, SKU_PATTERNS["flipkart"]))
     return out.otherwise(_first_match(text, SKU_PATTERNS["default"]))
+
+
+def sanitize_url_sql(x: str) -> str:
+    """SQL of URL1."""
+    full = "CASE WHEN ut RLIKE r'^https?://' THEN ut ELSE concat('https://', ut) END"
+    inner = f"element_at(transform(array({full}), uf -> CASE WHEN uf RLIKE r'{VALID_URL}' THEN uf END), 1)"
+    return f"element_at(transform(array(trim({x})), ut -> CASE WHEN ut = '' THEN NULL ELSE {inner} END), 1)"

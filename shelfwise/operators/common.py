@@ -51,3 +51,14 @@ def as_literal(v):
     if isinstance(v, (datetime, date)):
         return F.lit(v)
     return v
+
+
+def bind(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and give it to ``fn``, which may use it many times.
+
+    Column expressions are trees: using a sub-expression twice (in a CASE
+    condition and its result, say) evaluates it twice, and Spark does not
+    de-duplicate inside conditional branches.  Routing the value through a
+    one-element array lambda computes it exactly once per row.
+    """
+    return F.element_at(F.transform(F.array(value), fn), 1)

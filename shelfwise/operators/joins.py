@@ -15,29 +15,33 @@ from pyspark.sql import functions as F
 from shelfwise.operators.ranking import current_snapshot, latest_per_key
 
 
-def product_dim(products: DataFrame) -> DataFrame:
-    """One row per (platform, sku): the latest snapshot (ties: highest product_id)."""
-    return latest_per_key(products, ["platform", "sku"], ["scraped_date", "product_id"])
+def product_dim(products: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """One row per (platform, sku): the latest snapshot (ties: highest product_id).
+
+    ``cols`` limits the carried columns (product_id is always kept).
+    """
+    keep = None if cols is None else ["product_id"] + [c for c in cols if c != "product_id"]
+    return latest_per_key(products, ["platform", "sku"], ["scraped_date", "product_id"], keep)
 
 
 def with_product(reviews: DataFrame, products: DataFrame,
                  cols=("product_id", "title", "brand", "price")) -> DataFrame:
     """JOI1: review ⟕ product on (platform, sku); product columns null when unknown."""
-    dim = product_dim(products).select("platform", "sku", *[F.col(c).alias(f"product_{c}") if c != "product_id"
-                                                           else F.col(c) for c in cols])
+    dim = product_dim(products, list(cols)).select(
+        "platform", "sku", *[F.col(c).alias(f"product_{c}") if c != "product_id" else F.col(c) for c in cols])
     return reviews.drop(*[c for c in ("product_id",) if c in reviews.columns]).join(dim, ["platform", "sku"], "left")
 
 
 def resolve_product(rankings: DataFrame, products: DataFrame) -> DataFrame:
     """JOI11: attach product_id by (platform, sku); null when the product is unknown."""
-    dim = product_dim(products).select("platform", "sku", "product_id")
+    dim = product_dim(products, ["product_id"]).select("platform", "sku", "product_id")
     base = rankings.drop("product_id") if "product_id" in rankings.columns else rankings
     return base.join(dim, ["platform", "sku"], "left")
 
 
 def rankings_with_product(rankings: DataFrame, products: DataFrame) -> DataFrame:
     """JOI2: ranking ⟕ product on product_id (nullable) for title / brand / price."""
-    dim = product_dim(products).select("product_id", F.col("title").alias("product_title"),
+    dim = product_dim(products, ["title", "brand", "price"]).select("product_id", F.col("title").alias("product_title"),
                                        F.col("brand").alias("product_brand"),
                                        F.col("price").alias("product_price"))
     return rankings.join(dim, "product_id", "left")

@@ -153,16 +153,49 @@ def _text(c: Column) -> Column:
     return F.nullif(F.trim(t), F.lit(""))
 
 
+_ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "))
+
+
+def _sql_lit(pattern: str) -> str:
+    """A Spark SQL raw string literal for a regular expression."""
+    if "'" not in pattern:
+        return f"r'{pattern}'"
+    if '"' not in pattern:
+        return f'r"{pattern}"'
+    raise ValueError(f"pattern needs one quote style: {pattern}")
+
+
+def _text_sql(x: str) -> str:
+    """SQL of ``_text``: falsy → null, strip tags, collapse spaces, trim, entities."""
+    t = (f"trim(regexp_replace(regexp_replace(CASE WHEN {x} IN ('', '0') THEN NULL ELSE {x} END, "
+         f"r'<[^>]*>', ''), r'\\s+', ' '))")
+    for ent, ch in _ENTITIES:
+        t = f"replace({t}, '{ent}', {_sql_lit(ch) if ch != chr(39) else chr(34) + ch + chr(34)})"
+    return f"nullif(trim({t}), '')"
+
+
+def cascade_sql(source: str, patterns: list[str], min_len: int = 0, group: int = 1) -> str:
+    """SQL of the first-match cascade over column ``source``."""
+    if not patterns:
+        return "CAST(NULL AS STRING)"
+    raws = ", ".join(f"regexp_extract({source}, {_sql_lit(p)}, {group})" for p in patterns)
+    return (f"try_element_at(filter(transform(array({raws}), x -> {_text_sql('x')}), "
+            f"y -> length(y) > {int(min_len)}), 1)")
+
+
 def cascade(html, patterns: list[str], min_len: int = 0, group: int = 1) -> Column:
     """PAG3: first pattern whose cleaned match is longer than ``min_len`` wins.
 
     Written as ``filter(transform(array(raw matches), clean), long enough)[1]``
-    so the cleaning expression appears once however many rules there are.
+    so the cleaning expression appears once however many rules there are.  With
+    a column *name* the whole cascade is one SQL expression (one call to build,
+    however many rules).
     """
+    if isinstance(html, str):
+        return F.expr(cascade_sql(html, patterns, min_len, group))
     if not patterns:
         return F.lit(None).cast("string")
-    h = col(html)
-    raws = F.array(*[F.regexp_extract(h, p, group) for p in patterns])
+    raws = F.array(*[F.regexp_extract(html, p, group) for p in patterns])
     kept = F.filter(F.transform(raws, lambda x: _text(x)), lambda y: F.length(y) > min_len)
     return F.try_element_at(kept, F.lit(1))
 
@@ -173,18 +206,19 @@ def rules_for(platform: str, field: str) -> list[str]:
 
 def field(html, platform, name: str, min_len: int = 0) -> Column:
     """A field by platform: the platform's own cascade (``CASE platform``), then
-    the generic cascade shared by all platforms (evaluated once)."""
-    p = col(platform)
-    specific = None
-    for code, rules in RULES.items():
-        if code == "generic" or not rules.get(name):
-            continue
-        e = cascade(html, rules[name], min_len)
-        specific = F.when(p == code, e) if specific is None else specific.when(p == code, e)
-    generic = cascade(html, RULES["generic"].get(name, []), min_len)
-    if specific is None:
-        return generic
-    return F.coalesce(specific, generic) if RULES["generic"].get(name) else specific
+    the generic cascade shared by all platforms (evaluated once).  Built as one
+    SQL expression over the ``html`` / ``platform`` column names."""
+    h = html if isinstance(html, str) else "html"
+    p = platform if isinstance(platform, str) else "platform"
+    branches = [f"WHEN {p} = '{code}' THEN {cascade_sql(h, rules[name], min_len)}"
+                for code, rules in RULES.items() if code != "generic" and rules.get(name)]
+    generic = RULES["generic"].get(name, [])
+    specific = f"CASE {' '.join(branches)} END" if branches else None
+    if specific and generic:
+        return F.expr(f"coalesce({specific}, {cascade_sql(h, generic, min_len)})")
+    if specific:
+        return F.expr(specific)
+    return F.expr(cascade_sql(h, generic, min_len))
 
 
 # ---------------------------------------------------------------- links (PAG1–2)
@@ -396,14 +430,14 @@ def badges_and_rank(html) -> dict[str, Column]:
     bullets = F.regexp_extract_all(h, F.lit(r'(?is)<div\b[^>]*id="feature-bullets".*?</div>'), 0)
     lis = F.transform(F.regexp_extract_all(F.array_join(bullets, " "), F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), 1),
                       lambda x: _text(x))
-    say = cascade(h, [sel('[data-hook="cr-insights-widget-summary"]'), sel("#product-summary")], 20)
+    say = cascade("html", [sel('[data-hook="cr-insights-widget-summary"]'), sel("#product-summary")], 20)
     return {
         "best_seller_rank": F.nullif(F.replace(rank, F.lit(","), F.lit("")), F.lit("")).try_cast("int"),
         "amazon_choice": h.rlike(r"(?i)mvt-ac-badge|Amazon's\s+Choice"),
         "bestseller": h.rlike(r"(?i)mvt-best-seller-badge|#1 Best Seller"),
         "highlights": F.nullif(F.array_join(F.filter(lis, lambda x: F.length(x) > 10), ". "), F.lit("")),
         "customers_say": say,
-        "countdown": cascade(h, [r'(?is)<span\b[^>]*>([^<]*(?:Deal|ends in)[^<]*)</span>'], 0),
+        "countdown": cascade("html", [r'(?is)<span\b[^>]*>([^<]*(?:Deal|ends in)[^<]*)</span>'], 0),
     }
 
 
@@ -440,11 +474,11 @@ def page_products(pages: DataFrame, platform: str | Column = "platform") -> Data
     seller = seller_and_badge(h, "platform")
     s2 = s1.select(
         "page_id", "platform", "url", "__ld", "__specs", "list_price", "sale_price",
-        field(h, "platform", "title", 3).alias("__title"),
-        field(h, "platform", "description").alias("__description"),
-        field(h, "platform", "brand").alias("__brand"),
-        nm.rating(field(h, "platform", "rating")).alias("__rating"),
-        F.nullif(F.regexp_extract(F.replace(field(h, "platform", "review_count"), F.lit(","), F.lit("")),
+        field("html", "platform", "title", 3).alias("__title"),
+        field("html", "platform", "description").alias("__description"),
+        field("html", "platform", "brand").alias("__brand"),
+        nm.rating(field("html", "platform", "rating")).alias("__rating"),
+        F.nullif(F.regexp_extract(F.replace(field("html", "platform", "review_count"), F.lit(","), F.lit("")),
                                   r"(\d+)", 1), F.lit("")).try_cast("bigint").alias("__reviews"),
         star_histogram(h).alias("__hist"), image_urls(h).alias("__images"), video_urls(h).alias("video_urls"),
         breadcrumb(h, "platform").alias("category"), availability(h, "platform").alias("inventory_status"),
@@ -522,7 +556,7 @@ def search_items(pages: DataFrame, platform: str | Column = "platform") -> DataF
     sku = F.coalesce(F.nullif(F.regexp_extract(c, r'data-asin="([A-Z0-9]{10})"', 1), F.lit("")),
                      F.nullif(F.regexp_extract(c, r'data-id="([A-Za-z0-9]+)"', 1), F.lit("")),
                      F.nullif(F.regexp_extract(c, r'data-(?:sku|product-id)="([A-Za-z0-9_\-]+)"', 1), F.lit("")))
-    title = cascade(c, [sel("h2"), sel(".product-title"), sel("a", "title")], 0)
+    title = cascade("card", [sel("h2"), sel(".product-title"), sel("a", "title")], 0)
     return cards.select("page_id", "platform", (F.col("ordinal") + 1).cast("int").alias("ordinal"),
                         sku.alias("sku"), title.alias("title"), is_sponsored(c).alias("is_sponsored"))
 
@@ -588,10 +622,10 @@ def page_reviews(pages: DataFrame, platform: str | Column = "platform", asof=Non
     blocks = blocks.otherwise(_blocks(h, REVIEW_START["default"]))
     rv = pages.select("page_id", p.alias("platform"), F.posexplode(blocks).alias("ordinal", "block"))
     b = F.col("block")
-    name = cascade(b, [sel(".a-profile-name"), sel(".reviewer-name"), sel(".review-author")], 0)
-    title = cascade(b, [sel('[data-hook="review-title"]'), sel(".review-title")], 0)
-    body = cascade(b, [sel('[data-hook="review-body"]'), sel(".review-text"), sel(".review-body")], 0)
-    date_text = cascade(b, [sel('[data-hook="review-date"]'), sel(".review-date")], 0)
+    name = cascade("block", [sel(".a-profile-name"), sel(".reviewer-name"), sel(".review-author")], 0)
+    title = cascade("block", [sel('[data-hook="review-title"]'), sel(".review-title")], 0)
+    body = cascade("block", [sel('[data-hook="review-body"]'), sel(".review-text"), sel(".review-body")], 0)
+    date_text = cascade("block", [sel('[data-hook="review-date"]'), sel(".review-date")], 0)
     rating = star_rating(b)
     out = rv.select(
         "page_id", "platform", (F.col("ordinal") + 1).cast("int").alias("ordinal"),

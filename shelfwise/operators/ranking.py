@@ -17,17 +17,23 @@ from pyspark.sql.window import Window
 from shelfwise.operators.common import since
 
 
-def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Row with the greatest ``order`` tuple per key (nulls lose)."""
-    other = [c for c in df.columns if c not in keys]
+def latest_per_key(df: DataFrame, keys: list[str], order: list[str], cols: list[str] | None = None) -> DataFrame:
+    """Row with the greatest ``order`` tuple per key (nulls lose).
+
+    ``max_by`` is a partial aggregate, so a key with millions of rows is cut to
+    one row per map task before the shuffle.  Pass ``cols`` to carry only the
+    columns the caller needs through the aggregate (Catalyst does not prune
+    fields inside the aggregated struct).
+    """
+    other = [c for c in (cols or df.columns) if c not in keys]
     agg = df.groupBy(*keys).agg(F.max_by(F.struct(*other), F.struct(*order)).alias("__r"))
     return agg.select(*keys, *[F.col(f"__r.{c}").alias(c) for c in other])
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: str | list[str]) -> DataFrame:
-    """Row with the smallest ``order`` per key."""
+def first_per_key(df: DataFrame, keys: list[str], order: str | list[str], cols: list[str] | None = None) -> DataFrame:
+    """Row with the smallest ``order`` per key (``cols``: columns to keep)."""
     order = [order] if isinstance(order, str) else order
-    other = [c for c in df.columns if c not in keys]
+    other = [c for c in (cols or df.columns) if c not in keys]
     agg = df.groupBy(*keys).agg(F.min_by(F.struct(*other), F.struct(*order)).alias("__r"))
     return agg.select(*keys, *[F.col(f"__r.{c}").alias(c) for c in other])
 

@@ -52,41 +52,43 @@ def clean_products(raw: DataFrame) -> DataFrame:
     def c(name):
         return F.col(name) if name in have else F.lit(None).cast("string")
 
+    def q(name):
+        return f"`{name}`" if name in have else "CAST(NULL AS STRING)"
+
+    def s_str(name, n=None):
+        return F.expr(tx.sanitize_string_sql(f"left({q(name)}, {n})" if n else q(name)))
+
+    def s_txt(name, n=None):
+        return F.expr(tx.sanitize_text_sql(f"left({q(name)}, {n})" if n else q(name)))
+
     pct = lambda n: F.round(c(n).cast("string").try_cast("double"), 2).cast(schemas.PERCENT)
     url_list = lambda n: (ar.sanitize_urls(c(n)) if name_is_array(raw, n)
                           else ar.sanitize_urls(ar.parse_json_list(c(n))))
     cols = {
-        "platform": tx.sanitize_string(c("platform")),
-        "sku": tx.sanitize_string(c("sku")),
-        "title": tx.sanitize_string(tx.truncate(c("title"), schemas.MAX_TITLE)),
-        "description": tx.sanitize_text(tx.truncate(c("description"), schemas.MAX_DESCRIPTION)),
-        "offers": tx.sanitize_text(c("offers")),
-        "inventory_status": tx.sanitize_string(c("inventory_status")),
-        "brand": tx.sanitize_string(tx.truncate(c("brand"), schemas.MAX_BRAND)),
-        "manufacturer": tx.sanitize_string(c("manufacturer")),
-        "model_name": tx.sanitize_string(c("model_name")),
-        "color": tx.sanitize_string(c("color")),
-        "variants": tx.sanitize_string(c("variants")),
-        "weight": tx.sanitize_string(c("weight")),
-        "dimensions": tx.sanitize_string(c("dimensions")),
-        "product_url": ul.sanitize_url(c("product_url")),
-        "category": tx.sanitize_string(tx.truncate(c("category"), schemas.MAX_CATEGORY)),
-        "currency_code": tx.sanitize_string(c("currency_code")),
-        "seller_name": tx.sanitize_text(c("seller_name")),
-        "highlights": tx.sanitize_text(c("highlights")),
-        "customers_say": tx.sanitize_text(c("customers_say")),
-        "delivery_price": tx.sanitize_text(c("delivery_price")),
-        "delivery_date": tx.sanitize_text(c("delivery_date")),
-        "price": nm.sanitize_price(c("price")).cast(schemas.PRICE),
-        "sale_price": nm.sanitize_price(c("sale_price")).cast(schemas.PRICE),
-        "rating": nm.rating(c("rating")).cast(schemas.RATING),
+        "platform": s_str("platform"), "sku": s_str("sku"),
+        "title": s_str("title", schemas.MAX_TITLE),
+        "description": s_txt("description", schemas.MAX_DESCRIPTION),
+        "offers": s_txt("offers"), "inventory_status": s_str("inventory_status"),
+        "brand": s_str("brand", schemas.MAX_BRAND), "manufacturer": s_str("manufacturer"),
+        "model_name": s_str("model_name"), "color": s_str("color"), "variants": s_str("variants"),
+        "weight": s_str("weight"), "dimensions": s_str("dimensions"),
+        "product_url": F.expr(ul.sanitize_url_sql(q("product_url"))),
+        "category": s_str("category", schemas.MAX_CATEGORY), "currency_code": s_str("currency_code"),
+        "seller_name": s_txt("seller_name"), "highlights": s_txt("highlights"),
+        "customers_say": s_txt("customers_say"), "delivery_price": s_txt("delivery_price"),
+        "delivery_date": s_txt("delivery_date"),
+        "price": F.expr(nm.sanitize_price_sql(q("price"))).cast(schemas.PRICE),
+        "sale_price": F.expr(nm.sanitize_price_sql(q("sale_price"))).cast(schemas.PRICE),
+        "rating": F.expr(nm.rating_sql(q("rating"))).cast(schemas.RATING),
         **{f"rating_{i}_star_percent": F.coalesce(pct(f"rating_{i}_star_percent"), F.lit(0).cast(schemas.PERCENT))
            for i in range(1, 6)},
-        "review_count": nm.digits(c("review_count")).cast("int"),
-        "image_urls": url_list("image_urls"),
-        "video_urls": url_list("video_urls"),
-        "technical_details": ar.sanitize_array(c("technical_details").cast("string")),
-        "additional_information": ar.sanitize_array(c("additional_information").cast("string")),
+        "review_count": F.expr(nm.digits_sql(q("review_count"))).cast("int"),
+        "image_urls": url_list("image_urls") if "image_urls" in have else F.lit(None).cast("array<string>"),
+        "video_urls": url_list("video_urls") if "video_urls" in have else F.lit(None).cast("array<string>"),
+        "technical_details": (ar.sanitize_array(c("technical_details").cast("string"))
+                              if "technical_details" in have else F.lit(None).cast("map<string,string>")),
+        "additional_information": (ar.sanitize_array(c("additional_information").cast("string"))
+                                   if "additional_information" in have else F.lit(None).cast("map<string,string>")),
         "is_active": F.coalesce(c("is_active").cast("string").try_cast("boolean"), F.lit(True))
         if "is_active" in have else F.lit(True),
         "bestseller": _truthy(c("bestseller")),
@@ -214,7 +216,7 @@ def upsert_rankings(rankings: DataFrame, products: DataFrame, incoming: DataFram
     """UPS5: update-or-create rankings on (keyword, product, platform); the
     product id comes from the catalogue, or from a stub for unknown products."""
     from shelfwise.operators.joins import product_dim
-    dim = product_dim(products).select("platform", "sku", "product_id") \
+    dim = product_dim(products, []).select("platform", "sku", "product_id") \
         .unionByName(stub_products(products, incoming).select("platform", "sku", "product_id"))
     inc = incoming.join(dim, ["platform", "sku"], "left")
     cur = rankings.join(dim, ["platform", "sku"], "left") if "product_id" not in rankings.columns else rankings

@@ -52,7 +52,7 @@ def export_reviews(reviews: DataFrame, products: DataFrame, platform=None, brand
     r = apply_filters(reviews, {"platform": platform, "rating": rating})
     if brand or sku:
         r = reviews_of(r, products, brand=brand, sku=sku)
-    dim = product_dim(products).select("platform", "sku", F.col("sku").alias("__p_sku"),
+    dim = product_dim(products, ["brand", "title"]).select("platform", "sku", F.col("sku").alias("__p_sku"),
                                        F.col("brand").alias("__p_brand"), F.col("title").alias("__p_title"))
     j = r.join(dim, ["platform", "sku"], "left")
     na = lambda c: F.coalesce(F.col(c), F.lit("N/A"))
@@ -86,7 +86,7 @@ def export_run(run_id: str, kind: str, products: DataFrame | None = None, review
     if kind == "reviews":
         from shelfwise.operators.joins import product_dim
         r = reviews.where(F.col("scraper_id") == run_id)
-        dim = product_dim(products).select("platform", "sku", F.col("sku").alias("__p_sku"))
+        dim = product_dim(products, []).select("platform", "sku", F.col("sku").alias("__p_sku"))
         j = r.join(dim, ["platform", "sku"], "left")
         vals = [F.coalesce("__p_sku", F.lit("N/A")), F.col("reviewer_name"), F.col("rating"), F.col("review_title"),
                 F.col("review_text"), _c(j, "review_date", "date"), _yes_no(F.coalesce("verified_purchase", F.lit(False)))]

@@ -111,6 +111,27 @@ VIEW_ORDER = ["products", "scraping_logs", "scraper_runs", "reviews", "keywords"
               "page_attempts"]
 
 
+def widen(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer splits than the cluster has cores.
+
+    A parquet file with one row group is read by one task however large it is,
+    and every per-row expression above the scan (hashes, regexes) would then
+    run on one core.  Such scans get a round-robin repartition to the default
+    parallelism.  Big inputs (many files / row groups) already have more splits
+    than cores and are left alone, so no extra shuffle happens at scale.
+    Filters and column pruning still reach the scan below the repartition.
+
+    The split hashes the leading numeric (key) columns: deterministic under
+    task retries without the local sort a round-robin split needs.
+    """
+    target = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    numeric = [f.name for f in df.schema.fields
+               if f.dataType.typeName() in ("long", "integer", "short", "double", "float")][:2]
+    return df.repartition(target, *(numeric or df.columns[:1]))
+
+
 class Tables:
     """Resolves raw driver tables and logical views for one data folder."""
 
@@ -120,7 +141,7 @@ class Tables:
 
     def raw(self, name: str) -> DataFrame:
         if name not in self._cache:
-            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            df = widen(self.spark, self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
             df.createOrReplaceTempView(name)
             self._cache[name] = df
         return self._cache[name]
