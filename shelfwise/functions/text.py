@@ -26,12 +26,20 @@ def falsy_to_null(c: Column) -> Column:
 
 
 def byte_cut(c: Column, max_bytes: int | None) -> Column:
-    """Cut to at most ``max_bytes`` UTF-8 bytes (a split character is dropped)."""
+    """Cut to at most ``max_bytes`` UTF-8 bytes without splitting a character:
+    count how many whole characters of the first ``max_bytes`` fit, keep those."""
     if not max_bytes:
         return c
+
     def go(x):
-        cut = F.decode(F.substring(F.encode(x, "UTF-8"), 1, max_bytes), "UTF-8")
-        return F.when(F.octet_length(x) > max_bytes, F.regexp_replace(cut, "�$", "")).otherwise(x)
+        chars = F.regexp_extract_all(F.left(x, F.lit(max_bytes)), F.lit("(?s)."), 0)
+        fit = F.aggregate(
+            F.transform(chars, lambda ch: F.octet_length(ch)),
+            F.struct(F.lit(0).alias("b"), F.lit(0).alias("k")),
+            lambda a, n: F.when(a["b"] + n <= max_bytes,
+                                F.struct((a["b"] + n).alias("b"), (a["k"] + 1).alias("k")))
+            .otherwise(F.struct(F.lit(max_bytes + 1).alias("b"), a["k"].alias("k"))))
+        return F.when(F.octet_length(x) > max_bytes, F.left(x, fit["k"])).otherwise(x)
     return bind(c, go)
 
 
