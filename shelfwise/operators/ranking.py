@@ -90,8 +90,8 @@ def organic_position(items: DataFrame) -> DataFrame:
 
 
 def _ordinal(items: DataFrame, name: str = "ordinal") -> DataFrame:
-    w = Window.partitionBy("keyword_id", "page").orderBy("created_at", "item_id")
-    return items.withColumn(name, F.row_number().over(w))
+    """Card ordinal within its (keyword, page), numbered in day splits."""
+    return number_rows(items, ["keyword_id", "page"], [F.to_date("created_at")], ["created_at", "item_id"], name)
 
 
 def slot_position(items: DataFrame, per_page: int = 24) -> DataFrame:
@@ -199,15 +199,30 @@ def cooldown(attempts: DataFrame, ts: str = "created_at", key: str = "platform",
     ``hours`` after the previously *accepted* one.
 
     Exact and bounded: an attempt that comes >= ``hours`` after the previous
-    attempt is always accepted, which cuts the timeline into independent bursts;
-    the greedy fold (``aggregate`` over the sorted burst) runs per burst only.
+    attempt is always accepted, which cuts the timeline into independent
+    bursts; the greedy fold (``aggregate`` over the sorted burst) runs per
+    burst only.  Nothing is sorted per platform: the previous attempt is found
+    inside (platform, day) splits, the last attempt of the previous non-empty
+    day comes from a small per-day table, and bursts are numbered with the same
+    two-level running count as :func:`number_rows`.
     """
-    w = Window.partitionBy(key).orderBy(ts)
-    gap = F.col(ts) - F.lag(ts).over(w)
+    day = F.to_date(F.col(ts)).alias("__day")
+    df = attempts.select(F.col(key), F.col(ts), day)
+    per_day = df.groupBy(key, "__day").agg(F.max(ts).alias("__day_last"))
+    wd = Window.partitionBy(key).orderBy("__day")
+    per_day = per_day.withColumn("__prev_day_last", F.lag("__day_last").over(wd))
+    w_in = Window.partitionBy(key, "__day").orderBy(ts)
+    df = df.join(per_day.select(key, "__day", "__prev_day_last"), [key, "__day"])
+    prev = F.coalesce(F.lag(ts).over(w_in), F.col("__prev_day_last"))
     limit = F.expr(f"INTERVAL {int(hours)} HOURS")
-    starts = attempts.withColumn("__new", F.when(gap.isNull() | (gap >= limit), 1).otherwise(0))
-    bursts = starts.withColumn("__burst", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    per = bursts.groupBy(key, "__burst").agg(F.sort_array(F.collect_list(F.col(ts))).alias("__ts"))
+    df = df.withColumn("__new", F.when(prev.isNull() | ((F.col(ts) - prev) >= limit), 1).otherwise(0))
+    # burst number = running count of burst starts: per-day totals, then a running sum inside the day
+    starts = df.groupBy(key, "__day").agg(F.sum("__new").alias("__n"))
+    offs = starts.select(key, "__day", F.coalesce(F.sum("__n").over(
+        wd.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
+    df = df.join(offs, [key, "__day"]).withColumn(
+        "__burst", F.col("__off") + F.sum("__new").over(w_in.rowsBetween(Window.unboundedPreceding, 0)))
+    per = df.groupBy(key, "__burst").agg(F.sort_array(F.collect_list(F.col(ts))).alias("__ts"))
     secs = int(hours) * 3600
     accepted = F.aggregate(
         "__ts", F.array().cast(f"array<{dict(attempts.dtypes)[ts]}>"),

@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise import schemas
 
+# tables that grow with the data (the rest are small dimensions, broadcast or joined as they are)
+FACT_TABLES = {"lineitem", "orders", "events", "documents", "pages", "conversations", "embeddings"}
+
 RAW_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
               "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -141,7 +144,9 @@ class Tables:
 
     def raw(self, name: str) -> DataFrame:
         if name not in self._cache:
-            df = widen(self.spark, self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            if name in FACT_TABLES:
+                df = widen(self.spark, df)
             df.createOrReplaceTempView(name)
             self._cache[name] = df
         return self._cache[name]
