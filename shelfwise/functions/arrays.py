@@ -24,19 +24,24 @@ def sanitize_array(c) -> Column:
 
     A JSON object is parsed as such; other text is split on , ; or | into
     items, each kept under its position.  Keys and values go through
-    sanitize_string; empty entries are dropped; null when nothing is left.
+    sanitize_string (a key that cleans to nothing keeps its raw text); entries
+    whose value cleans to nothing are dropped; when two keys clean to the same
+    text the later entry wins; null when nothing is left.
     """
     t = col(c)
     as_map = F.from_json(t, "map<string,string>")
-    parts = F.filter(F.transform(F.split(t, r"[,;|]"), lambda x: sanitize_string(x)), lambda x: x.isNotNull())
+    parts = F.split(t, r"[,;|]")
     split_map = F.map_from_arrays(
-        F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i.cast("string")), parts)
-    chosen = F.when(F.trim(t).startswith("{") & as_map.isNotNull(), as_map) \
-        .when(F.size(parts) > 0, split_map)
-    clean = F.transform_values(F.transform_keys(chosen, lambda k, v: F.coalesce(sanitize_string(k), k)),
-                               lambda k, v: sanitize_string(v))
-    kept = F.map_filter(clean, lambda k, v: v.isNotNull())
-    return F.when(F.size(kept) > 0, kept)
+        F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0))), lambda i: i.cast("string")),
+        F.slice(F.concat(parts, F.array(F.lit(None).cast("string"))), 1, F.greatest(F.size(parts), F.lit(1))))
+    chosen = F.when(F.trim(t).startswith("{") & as_map.isNotNull(), as_map).when(t.isNotNull(), split_map)
+    cleaned = F.transform(F.map_entries(chosen), lambda e: F.struct(
+        F.coalesce(sanitize_string(e["key"]), e["key"]).alias("k"), sanitize_string(e["value"]).alias("v")))
+    kept = F.filter(cleaned, lambda e: e["v"].isNotNull())
+    idx = F.transform(kept, lambda e, i: F.struct(e["k"].alias("k"), e["v"].alias("v"), i.alias("i")))
+    last = F.filter(idx, lambda p: ~F.exists(idx, lambda q: (q["k"] == p["k"]) & (q["i"] > p["i"])))
+    out = F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"].alias("key"), p["v"].alias("value"))))
+    return F.when(F.size(last) > 0, out)
 
 
 def first_distinct(c, k: int) -> Column:

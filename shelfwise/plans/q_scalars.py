@@ -297,7 +297,22 @@ def arr01(t):
     return t.reviews.select("id", F.array_join(ar.sanitize_urls(arr), ",").alias("image_urls"))
 
 
-@query("arr02_sanitize_array")
+def _arr02_sql() -> str:
+    san_k = SAN_STR.format(x="e.key")
+    san_v = SAN_STR.format(x="e.value")
+    split = ("map_from_entries(list_transform(string_split_regex(props, '[,;|]'), "
+             "lambda x, i: {'key': CAST(i - 1 AS VARCHAR), 'value': x}))")
+    return f"""
+WITH m AS (SELECT event_id, CASE WHEN starts_with(trim(props), '{{') AND TRY_CAST(json(props) AS MAP(VARCHAR, VARCHAR)) IS NOT NULL
+   THEN TRY_CAST(json(props) AS MAP(VARCHAR, VARCHAR)) WHEN props IS NOT NULL THEN {split} END AS mp FROM events),
+c AS (SELECT event_id, list_filter(list_transform(map_entries(mp), lambda e: {{'k': coalesce({san_k}, e.key), 'v': {san_v}}}),
+   lambda e: e.v IS NOT NULL) AS kept FROM m),
+l AS (SELECT event_id, list_filter(kept, lambda p, i: NOT list_bool_or(list_transform(kept, lambda q, j: q.k = p.k AND j > i))) AS last FROM c)
+SELECT event_id, CASE WHEN len(last) > 0 THEN array_to_string(list_sort(list_transform(last, lambda p: p.k || '=' || p.v)), ';') END AS props_clean
+FROM l"""
+
+
+@query("arr02_sanitize_array", _arr02_sql())
 def arr02(t):
     m = ar.sanitize_array(F.col("props"))
     return t.events.select("event_id", F.array_join(F.sort_array(F.transform(

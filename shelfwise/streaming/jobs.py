@@ -126,27 +126,42 @@ def stream_cooldown(spark: SparkSession, source: str, schema, hours: int = 12, t
     return res.select(F.col("platform"), F.timestamp_micros("ts_us").cast("timestamp_ntz").alias(ts))
 
 
-def stream_upsert(spark: SparkSession, source: str, schema, target: str, asof_col: str = "scraped_date") -> str:
+def _current_version(spark: SparkSession, target: str) -> str | None:
+    """The version folder named by the one-row pointer table, if any."""
+    try:
+        row = spark.read.parquet(f"{target.rstrip('/')}/_current").first()
+    except Exception:  # noqa: BLE001 - no pointer yet
+        return None
+    return row[0] if row else None
+
+
+def stream_upsert(spark: SparkSession, source: str, schema, target: str, asof_col: str = "scraped_date",
+                  checkpoint: str | None = None) -> str:
     """STM1: product snapshots arrive as files and are upserted batch by batch.
 
     Each micro-batch is de-duplicated per (platform, sku) (WIN1) and merged
     into the current table version with UPS1; the merged result is written as
-    the next version folder.  Returns the folder of the last version.
+    the next version folder ``v=<batch id>`` and only then does the one-row
+    pointer table ``_current`` move to it.  A batch replayed after a failure
+    rewrites the same folder, and a restarted query (same ``checkpoint``)
+    continues from the version the pointer names.  Returns the last version.
     """
     from shelfwise.operators.upsert import upsert_products
-    state = {"version": None}
+    base = target.rstrip("/")
 
     def merge(batch: DataFrame, batch_id: int):
         if batch.isEmpty():
             return
-        current = (spark.read.parquet(state["version"]) if state["version"]
-                   else spark.createDataFrame([], batch.schema))
+        path = f"{base}/v={batch_id:08d}"
+        cur_path = _current_version(spark, base)
+        if cur_path == path:       # this batch was committed before a restart
+            return
+        current = spark.read.parquet(cur_path) if cur_path else spark.createDataFrame([], batch.schema)
         asof = batch.select(F.max(asof_col)).first()[0]
-        merged = upsert_products(current, batch, asof).drop("action")
-        path = f"{target.rstrip('/')}/v={batch_id:08d}"
-        merged.write.mode("overwrite").parquet(path)
-        state["version"] = path
+        upsert_products(current, batch, asof).drop("action").write.mode("overwrite").parquet(path)
+        spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").parquet(f"{base}/_current")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    _run(stream.writeStream.option("checkpointLocation", scratch(spark, "stm1-ckpt")).foreachBatch(merge))
-    return state["version"]
+    _run(stream.writeStream.option("checkpointLocation", checkpoint or scratch(spark, "stm1-ckpt"))
+         .foreachBatch(merge))
+    return _current_version(spark, base)

@@ -155,3 +155,8 @@ def test_arrays(spark):
     assert got[0] == {"Colour": "Black"}
     assert got[1] == {"0": "a", "1": "b", "2": "c"}
     assert got[2] is None
+
+
+def test_sanitize_array_later_duplicate_key_wins(spark):
+    df = spark.createDataFrame([('{"a!": "1", "a": "2", "b": "<i>x</i>"}',)], "t string")
+    assert df.select(ar.sanitize_array("t")).first()[0] == {"a": "2", "b": "x"}
