@@ -194,18 +194,21 @@ def validate_products(df: DataFrame, lo=schemas.PRICE_MIN, hi=schemas.PRICE_MAX)
 
 
 def accept_reviews(df: DataFrame) -> DataFrame:
-    """FIL15: platform-dependent review acceptance.
+    """FIL15: platform-dependent review acceptance (PHP truthiness: '' and '0'
+    are false, a rating of 0 is false).
 
-    amazon needs a review id; flipkart needs text; vijaysales and
-    reliancedigital need text or rating; croma needs text; meesho needs
-    name, rating and text; others need text.
+    amazon needs a review id; flipkart an id or text; vijaysales text;
+    croma, reliancedigital and bigbasket text or a rating; meesho name, rating
+    and text; any other platform text.
     """
     def has(c):
-        return F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != "")
-    rule = (F.when(F.col("platform") == "amazon", has("review_id"))
-            .when(F.col("platform") == "meesho", has("reviewer_name") & F.col("rating").isNotNull() & has("review_text"))
-            .when(F.col("platform").isin("vijaysales", "reliancedigital"),
-                  has("review_text") | F.col("rating").isNotNull())
+        return F.col(c).isNotNull() & ~F.col(c).cast("string").isin("", "0")
+    rated = F.col("rating").isNotNull() & (F.col("rating") != 0)
+    p = F.col("platform")
+    rule = (F.when(p == "amazon", has("review_id"))
+            .when(p == "flipkart", has("review_id") | has("review_text"))
+            .when(p == "meesho", has("reviewer_name") & rated & has("review_text"))
+            .when(p.isin("croma", "reliancedigital", "bigbasket"), has("review_text") | rated)
             .otherwise(has("review_text")))
     return df.where(F.coalesce(rule, F.lit(False)))
 

@@ -120,7 +120,8 @@ RULES: dict[str, dict[str, list[str]]] = {
 AVAILABILITY_DEFAULT = {"amazon": "Unknown", "flipkart": "In Stock", "vijaysales": "In Stock",
                         "blinkit": "In Stock", "default": "Unknown"}
 # markers of a sponsored search card (matched case-insensitively)
-SPONSORED_MARKERS = [r"\bSponsored\b", r'data-component-type="sp-sponsored-result"', r'\bis-ad="true"',
+# markers of a sponsored search card (regular expressions, matched case-insensitively)
+SPONSORED_MARKERS = ["sponsored", "AdHolder", 'data-is-sponsored="true"', "IxWX8O", r'\bis-ad="true"',
                      r'class="[^"]*\bad\b[^"]*"', r"\bAd\b</"]
 # a url flag fm=<value> marks an ad unless the value is organic
 AD_URL_FLAG, ORGANIC_URL_FLAG = r"[?&]fm=", r"[?&]fm=organic"

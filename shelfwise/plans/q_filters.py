@@ -124,12 +124,20 @@ def fil14b(t):
     return bad.select("product_id")
 
 
-@query("fil15_accept_reviews", """
+def _has(c: str) -> str:
+    return f"({c} IS NOT NULL AND CAST({c} AS VARCHAR) NOT IN ('', '0'))"
+
+
+_RATED = "(rating IS NOT NULL AND rating <> 0)"
+
+
+@query("fil15_accept_reviews", f"""
 SELECT id, platform FROM reviews WHERE coalesce(CASE
- WHEN platform = 'amazon' THEN review_id IS NOT NULL AND trim(review_id) <> ''
- WHEN platform = 'meesho' THEN reviewer_name IS NOT NULL AND trim(reviewer_name) <> '' AND rating IS NOT NULL AND review_text IS NOT NULL AND trim(review_text) <> ''
- WHEN platform IN ('vijaysales', 'reliancedigital') THEN (review_text IS NOT NULL AND trim(review_text) <> '') OR rating IS NOT NULL
- ELSE review_text IS NOT NULL AND trim(review_text) <> '' END, false)""")
+ WHEN platform = 'amazon' THEN {_has('review_id')}
+ WHEN platform = 'flipkart' THEN {_has('review_id')} OR {_has('review_text')}
+ WHEN platform = 'meesho' THEN {_has('reviewer_name')} AND {_RATED} AND {_has('review_text')}
+ WHEN platform IN ('croma', 'reliancedigital', 'bigbasket') THEN {_has('review_text')} OR {_RATED}
+ ELSE {_has('review_text')} END, false)""")
 def fil15(t):
     return fl.accept_reviews(t.reviews).select("id", "platform")
 

@@ -141,14 +141,17 @@ def pag19(t):
     return pg.search_items(_pages(t))
 
 
-@query("pag20_is_sponsored", """
+def _pag20_sql() -> str:
+    markers = " OR ".join(f"regexp_matches(c, '(?i){m}')" for m in pg.SPONSORED_MARKERS)
+    return f"""
 WITH b AS (SELECT page_id, string_split_regex(html, '<div\\b') AS parts FROM pages),
 x AS (SELECT page_id, list_slice(parts, 2, len(parts)) AS blocks FROM b)
 SELECT page_id, CAST(len(blocks) AS INT) AS blocks, CAST(len(list_filter(blocks, lambda c:
-  (regexp_matches(c, '(?i)[?&]fm=') AND NOT regexp_matches(c, '(?i)[?&]fm=organic'))
-  OR regexp_matches(c, '(?i)\\bSponsored\\b') OR regexp_matches(c, '(?i)data-component-type="sp-sponsored-result"')
-  OR regexp_matches(c, '(?i)\\bis-ad="true"') OR regexp_matches(c, '(?i)class="[^"]*\\bad\\b[^"]*"')
-  OR regexp_matches(c, '(?i)\\bAd\\b</'))) AS INT) AS sponsored_blocks FROM x""")
+  (regexp_matches(c, '(?i){pg.AD_URL_FLAG}') AND NOT regexp_matches(c, '(?i){pg.ORGANIC_URL_FLAG}'))
+  OR {markers})) AS INT) AS sponsored_blocks FROM x"""
+
+
+@query("pag20_is_sponsored", _pag20_sql())
 def pag20(t):
     blocks = pg._blocks(F.col("html"), r"<div\b")
     return t.pages.select("page_id", F.size(blocks).cast("int").alias("blocks"),
