@@ -9,8 +9,17 @@ from pyspark.sql import functions as F
 
 
 def lit(v) -> Column:
-    """A Column for ``v`` (a Column passes through)."""
-    return v if isinstance(v, Column) else F.lit(v)
+    """A Column for ``v`` (a Column passes through).
+
+    A naive ``datetime`` is a wall-clock value and becomes a timestamp_ntz
+    literal, so comparisons with the (zone-less) data do not depend on the
+    session time zone.
+    """
+    if isinstance(v, Column):
+        return v
+    if isinstance(v, datetime) and v.tzinfo is None:
+        return F.lit(v.isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.lit(v)
 
 
 def col(c) -> Column:
@@ -62,3 +71,22 @@ def bind(value: Column, fn) -> Column:
     one-element array lambda computes it exactly once per row.
     """
     return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def ntz_micros(c) -> Column:
+    """Microseconds since the epoch of a wall-clock (timestamp_ntz) value — no time zone involved."""
+    return F.timestamp_diff("MICROSECOND", F.expr(EPOCH_NTZ), col(c))
+
+
+def ntz_to_instant(c) -> Column:
+    """timestamp_ntz → timestamp, reading the wall clock as UTC whatever the session zone
+    (event-time windows and watermarks need TIMESTAMP)."""
+    return F.timestamp_micros(ntz_micros(c))
+
+
+def instant_to_ntz(c) -> Column:
+    """Inverse of :func:`ntz_to_instant`."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(col(c)), F.expr(EPOCH_NTZ))

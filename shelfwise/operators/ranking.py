@@ -223,11 +223,8 @@ def cooldown(attempts: DataFrame, ts: str = "created_at", key: str = "platform",
     df = df.join(offs, [key, "__day"]).withColumn(
         "__burst", F.col("__off") + F.sum("__new").over(w_in.rowsBetween(Window.unboundedPreceding, 0)))
     per = df.groupBy(key, "__burst").agg(F.sort_array(F.collect_list(F.col(ts))).alias("__ts"))
-    secs = int(hours) * 3600
     accepted = F.aggregate(
         "__ts", F.array().cast(f"array<{dict(attempts.dtypes)[ts]}>"),
-        lambda acc, x: F.when((F.size(acc) == 0)
-                              | (F.unix_micros(x.cast("timestamp")) - F.unix_micros(F.element_at(acc, -1).cast("timestamp"))
-                                 >= F.lit(secs * 1_000_000)),
+        lambda acc, x: F.when((F.size(acc) == 0) | ((x - F.element_at(acc, -1)) >= limit),
                               F.concat(acc, F.array(x))).otherwise(acc))
     return per.select(key, F.explode(accepted).alias(ts))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions import hashing as hs
 from shelfwise.operators import filters as fl
 from shelfwise.operators import upsert as up
-from shelfwise.operators.common import ago, latest
+from shelfwise.operators.common import ago, latest, lit
 from shelfwise.plans.catalog import query
 from shelfwise.plans.q_scalars import SAN_STR
 
@@ -156,7 +156,7 @@ u AS (SELECT r.id, r.keyword_id, r.platform, r.sku, r.page, r.created_at, d.prod
 SELECT * EXCLUDE (rn, load) FROM (SELECT *, row_number() OVER (PARTITION BY keyword_id, product_id, platform
   ORDER BY load DESC, created_at DESC, id DESC) AS rn FROM u) x WHERE rn = 1""")
 def ups05(t):
-    cut = F.lit(_dt.datetime.fromisoformat(_RK_CUT)).cast("timestamp_ntz")
+    cut = lit(_dt.datetime.fromisoformat(_RK_CUT))
     cur = t.rankings.where(F.col("created_at") < cut).select("id", "keyword_id", "platform", "sku", "page", "created_at")
     inc = (t.search_items.where(~F.col("is_sponsored") & (F.col("created_at") >= cut))
            .select(F.col("item_id").alias("id"), "keyword_id", "platform", "sku", "page", "created_at"))
@@ -215,7 +215,7 @@ def _outcomes(t):
             .select(F.col("page_id").alias("id"),
                     F.when(F.col("ok"), "completed").otherwise("failed").alias("outcome"),
                     F.when(F.col("ok"), F.lit(None)).otherwise(F.lit("unusable page")).cast("string").alias("message"),
-                    F.lit(_dt.datetime.fromisoformat(_AT)).cast("timestamp_ntz").alias("at")))
+                    lit(_dt.datetime.fromisoformat(_AT)).alias("at")))
 
 
 @query("ups11_apply_url_outcomes", f"""

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 S, L, I, B = T.StringType(), T.LongType(), T.IntegerType(), T.BooleanType()
-D, TS = T.DateType(), T.TimestampType()
+# timestamps are wall-clock values (the driver data carries no zone): timestamp_ntz
+D, TS = T.DateType(), T.TimestampNTZType()
 PRICE = T.DecimalType(10, 2)
 RATING = T.DecimalType(3, 2)
 PERCENT = T.DecimalType(5, 2)

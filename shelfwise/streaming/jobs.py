@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from shelfwise.operators.common import instant_to_ntz, ntz_micros, ntz_to_instant
 from shelfwise.session import checkpoint_dir
 
 
@@ -68,9 +69,9 @@ def stream_daily_activity(spark: SparkSession, source: str, schema, watermark: s
     """
     out = scratch(spark, "stm2-out")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    agg = (stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+    agg = (stream.withColumn(ts, ntz_to_instant(ts)).withWatermark(ts, watermark)
            .groupBy(F.window(ts, "1 day").alias("w"), "status").agg(F.count(F.lit(1)).alias("sessions"))
-           .select(F.to_date(F.col("w.start")).alias("activity_date"), "status", "sessions"))
+           .select(F.to_date(instant_to_ntz("w.start")).alias("activity_date"), "status", "sessions"))
     _run(agg.writeStream.outputMode("update").option("checkpointLocation", scratch(spark, "stm2-ckpt"))
          .foreachBatch(_upsert_sink(out, ["activity_date", "status"])))
     return latest_rows(spark, out, ["activity_date", "status"], ["activity_date", "status", "sessions"])
@@ -81,9 +82,9 @@ def stream_activity_48h(spark: SparkSession, source: str, schema, watermark: str
     """STM4: sessions in each trailing 48-hour window, sliding by one hour."""
     out = scratch(spark, "stm4-out")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    agg = (stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+    agg = (stream.withColumn(ts, ntz_to_instant(ts)).withWatermark(ts, watermark)
            .groupBy(F.window(ts, "48 hours", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("sessions"))
-           .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "sessions"))
+           .select(instant_to_ntz("w.start").alias("window_start"), "sessions"))
     _run(agg.writeStream.outputMode("update").option("checkpointLocation", scratch(spark, "stm4-ckpt"))
          .foreachBatch(_upsert_sink(out, ["window_start"])))
     return latest_rows(spark, out, ["window_start"], ["window_start", "sessions"])
@@ -116,14 +117,14 @@ def stream_cooldown(spark: SparkSession, source: str, schema, hours: int = 12, t
     """
     out = scratch(spark, "stm3-out")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    micros = stream.select(F.col(key).alias("platform"), F.unix_micros(F.col(ts).cast("timestamp")).alias("ts_us"))
+    micros = stream.select(F.col(key).alias("platform"), ntz_micros(ts).alias("ts_us"))
     acc = micros.groupBy("platform").applyInPandasWithState(
         _cooldown_state(hours), outputStructType="platform string, ts_us long",
         stateStructType="last_us long", outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
     _run(acc.writeStream.outputMode("append").option("checkpointLocation", scratch(spark, "stm3-ckpt"))
          .foreachBatch(lambda b, i: b.write.mode("append").parquet(out)))
     res = spark.read.parquet(out)
-    return res.select(F.col("platform"), F.timestamp_micros("ts_us").cast("timestamp_ntz").alias(ts))
+    return res.select(F.col("platform"), F.timestamp_add("MICROSECOND", F.col("ts_us"), F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")).alias(ts))
 
 
 def _current_version(spark: SparkSession, target: str) -> str | None:
