@@ -128,3 +128,11 @@ def test_validate_products_reasons(spark):
     assert [(r.sku, r.warning) for r in good.collect()] == [("S1", None)]
     reasons = {r.sku: r.reject_reasons for r in bad.collect()}
     assert reasons == {"0": ["missing sku"], "S3": ["missing title", "missing platform"]}
+
+
+def test_cooldown_with_tied_timestamps(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("amazon", t0 + dt.timedelta(days=d)) for d in range(30) for _ in range(7)]
+    df = spark.createDataFrame(rows, "platform string, created_at timestamp_ntz").repartition(5)
+    got = sorted(r.created_at for r in rk.cooldown(df).collect())
+    assert got == [t0 + dt.timedelta(days=d) for d in range(30)]
