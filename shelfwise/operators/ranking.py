@@ -89,7 +89,7 @@ def organic_position(items: DataFrame) -> DataFrame:
                        ["created_at", "item_id"], "position")
 
 
-def _ordinal(items: DataFrame, name: str = "ordinal") -> DataFrame:
+def _ordinal(items: DataFrame, name: str = "__ordinal") -> DataFrame:
     """Card ordinal within its (keyword, page), numbered in day splits."""
     return number_rows(items, ["keyword_id", "page"], [F.to_date("created_at")], ["created_at", "item_id"], name)
 
@@ -98,16 +98,16 @@ def slot_position(items: DataFrame, per_page: int = 24) -> DataFrame:
     """WIN5: fixed page slots — (page-1)*per_page + ordinal, sponsored cards
     consume a slot; they are dropped after numbering (Reliance Digital, BigBasket)."""
     n = _ordinal(items)
-    return (n.withColumn("position", ((F.col("page") - 1) * per_page + F.col("ordinal")).cast("int"))
-            .where(~F.col("is_sponsored")).drop("ordinal"))
+    return (n.withColumn("position", ((F.col("page") - 1) * per_page + F.col("__ordinal")).cast("int"))
+            .where(~F.col("is_sponsored")).drop("__ordinal"))
 
 
 def organic_slot_position(items: DataFrame, per_page: int = 24) -> DataFrame:
     """WIN6: fixed page slots counting organic cards only; cards without a sku
     still consume a slot and are dropped afterwards (Croma)."""
     n = _ordinal(items.where(~F.col("is_sponsored")))
-    return (n.withColumn("position", ((F.col("page") - 1) * per_page + F.col("ordinal")).cast("int"))
-            .where(F.col("sku").isNotNull()).drop("ordinal"))
+    return (n.withColumn("position", ((F.col("page") - 1) * per_page + F.col("__ordinal")).cast("int"))
+            .where(F.col("sku").isNotNull()).drop("__ordinal"))
 
 
 def kept_base_position(items: DataFrame) -> DataFrame:
@@ -118,8 +118,8 @@ def kept_base_position(items: DataFrame) -> DataFrame:
     w = Window.partitionBy("keyword_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
     base = kept.select("keyword_id", "page", F.coalesce(F.sum("__kept").over(w), F.lit(0)).alias("__base"))
     n = _ordinal(items).join(base, ["keyword_id", "page"])
-    return (n.withColumn("position", (F.col("__base") + F.col("ordinal")).cast("int"))
-            .where(~F.col("is_sponsored")).drop("__base", "ordinal"))
+    return (n.withColumn("position", (F.col("__base") + F.col("__ordinal")).cast("int"))
+            .where(~F.col("is_sponsored")).drop("__base", "__ordinal"))
 
 
 def last_runs(runs: DataFrame, k: int = 10, per_config: bool = True) -> DataFrame:

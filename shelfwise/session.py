@@ -38,6 +38,30 @@ def get_spark(app: str = "shelfwise", cpus: int | str | None = None,
     return spark
 
 
+# settings for a large cluster (the sizes assume executors of ~8 cores / 32 GB)
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.shuffle.partitions": "8000",          # upper bound; AQE coalesces to ~256 MB partitions
+    "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.ui.enabled": "false",
+}
+
+
+def get_cluster_spark(app: str = "shelfwise") -> SparkSession:
+    """Session for a cluster run: master, executors and ``spark.checkpoint.dir``
+    (shared storage) come from spark-submit; only SQL settings are set here."""
+    builder = SparkSession.builder.appName(app)
+    for k, v in CLUSTER_CONF.items():
+        builder = builder.config(k, v)
+    return builder.getOrCreate()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
