@@ -17,7 +17,7 @@ TRIM = "' ' || chr(9) || chr(13) || chr(10)"
 
 
 @query("src01_read_table", """
-SELECT page_id, url, strlen(html) AS html_bytes FROM pages""")
+SELECT page_id, url, CAST(strlen(html) AS INTEGER) AS html_bytes FROM pages""")
 def src01(t):
     df = tb.read_table(t.spark, t.sf_dir, "pages")
     return df.select("page_id", "url", F.octet_length("html").alias("html_bytes"))

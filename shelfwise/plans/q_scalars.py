@@ -341,7 +341,7 @@ def arr05(t):
 
 
 @query("jsn01_parse_json", """
-SELECT id, CASE WHEN review_images IS NULL OR review_images = 'null' THEN NULL ELSE json_array_length(review_images) END AS image_count
+SELECT id, CASE WHEN review_images IS NULL OR review_images = 'null' THEN NULL ELSE CAST(json_array_length(review_images) AS INTEGER) END AS image_count
 FROM reviews""")
 def jsn01(t):
     return t.reviews.select("id", F.size(ar.parse_json_list("review_images")).alias("image_count"))

@@ -72,7 +72,7 @@ def win07(t):
 
 
 @query("win08_last_runs", """
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY configuration_id ORDER BY created_at DESC, scraper_id DESC) AS run_rank
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY configuration_id ORDER BY created_at DESC, scraper_id DESC) AS INTEGER) AS run_rank
   FROM scraper_runs) x WHERE run_rank <= 10""")
 def win08(t):
     return rk.last_runs(t.scraper_runs, 10)
@@ -103,7 +103,7 @@ def win10(t):
 
 
 @query("win11_pending_queue", """
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY priority DESC, id) AS queue_rank
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY platform ORDER BY priority DESC, id) AS INTEGER) AS queue_rank
   FROM scraping_urls WHERE status = 'pending') x WHERE queue_rank <= 10""")
 def win11(t):
     return rk.pending_queue(t.scraping_urls, 10)
