@@ -56,11 +56,6 @@ def round_avg(c, digits: int = 2) -> Column:
     return F.round(F.avg(c), digits).cast("double")
 
 
-def as_literal(v):
-    if isinstance(v, (datetime, date)):
-        return F.lit(v)
-    return v
-
 
 def bind(value: Column, fn) -> Column:
     """Evaluate ``value`` once and give it to ``fn``, which may use it many times.

@@ -524,10 +524,6 @@ def _blocks(html: Column, start_pattern: str) -> Column:
     return F.slice(parts, 2, 1 << 20)
 
 
-def _by_platform(p: Column, table: dict[str, str]) -> list[tuple[str | None, str]]:
-    return [(k, v) for k, v in table.items()]
-
-
 def is_sponsored(block, platform=None) -> Column:
     """PAG20: a card is sponsored when it carries any ad marker (badge text,
     sponsored attribute, ad class, ``fm=`` flag other than organic)."""
