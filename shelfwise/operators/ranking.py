@@ -207,8 +207,9 @@ def cooldown(attempts: DataFrame, ts: str = "created_at", key: str = "platform",
     two-level running count as :func:`number_rows`.
     """
     # an attempt at the same instant as an accepted one is always refused, so the
-    # distinct instants decide the result — and the numbering below has no ties
-    day = F.to_date(F.col(ts)).alias("__day")
+    # distinct instants decide the result — and the numbering below has no ties;
+    # the splits are hours (column name kept short: __day)
+    day = F.date_trunc("hour", F.col(ts)).alias("__day")
     df = attempts.select(F.col(key), F.col(ts)).distinct().select(F.col(key), F.col(ts), day)
     per_day = df.groupBy(key, "__day").agg(F.max(ts).alias("__day_last"))
     wd = Window.partitionBy(key).orderBy("__day")

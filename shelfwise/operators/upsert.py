@@ -329,31 +329,32 @@ def close_runs(configs: DataFrame, runs: DataFrame, outcomes: DataFrame) -> tupl
     return runs_out, cfg
 
 
-def append_errors(logs: DataFrame, errors: DataFrame, with_details: bool = True) -> DataFrame:
+def append_errors(logs: DataFrame, errors: DataFrame) -> DataFrame:
     """UPS13: fold error events into their sessions.
 
     ``errors``: (session_id, message, details, timestamp).  Each session gains
-    the number of its errors and keeps the latest message; with ``with_details``
-    the ordered list of {message, details, timestamp} is attached as well (the
-    list grows with a session's error count — turn it off for huge sessions;
-    the counters are partial aggregates either way).
+    the number of its errors, keeps the latest message and the time of its
+    first and last error — all partial aggregates, so a session with millions
+    of errors costs one row per map task.  The ordered detail list of the
+    reference is kept as rows by :func:`error_details` instead of one growing
+    array per session.
     """
-    aggs = [F.count(F.lit(1)).alias("__n"),
-            F.max_by("message", F.struct("timestamp", "message")).alias("__last")]
-    if with_details:
-        aggs.append(F.sort_array(F.collect_list(F.struct("timestamp", "message", "details"))).alias("__list"))
-    per = errors.groupBy(F.col("session_id").alias("id")).agg(*aggs)
+    per = errors.groupBy(F.col("session_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.max_by("message", F.struct("timestamp", "message")).alias("__last"),
+        F.min("timestamp").alias("first_error_at"), F.max("timestamp").alias("last_error_at"))
     j = logs.join(per, "id", "left")
-    out = j.withColumn("errors_count", (F.col("errors_count") + F.coalesce(F.col("__n"), F.lit(0))).cast("int")) \
-        .withColumn("error_message", F.coalesce(F.col("__last"),
-                                                F.col("error_message") if "error_message" in logs.columns
-                                                else F.lit(None).cast("string")))
-    if with_details:
-        out = out.withColumn("error_details", F.transform(
-            F.coalesce(F.col("__list"), F.array().cast("array<struct<timestamp:timestamp_ntz,message:string,details:string>>")),
-            lambda e: F.struct(e["message"].alias("message"), e["details"].alias("details"),
-                               e["timestamp"].alias("timestamp"))))
-    return out.drop("__n", "__last", "__list")
+    prev_msg = F.col("error_message") if "error_message" in logs.columns else F.lit(None).cast("string")
+    return (j.withColumn("errors_count", (F.col("errors_count") + F.coalesce(F.col("__n"), F.lit(0))).cast("int"))
+            .withColumn("error_message", F.coalesce(F.col("__last"), prev_msg))
+            .drop("__n", "__last"))
+
+
+def error_details(errors: DataFrame) -> DataFrame:
+    """UPS13 detail rows {session, message, details, timestamp} in session and time
+    order (a range-partitioned sort, never gathered per session)."""
+    return errors.select(F.col("session_id").alias("id"), "message", "details", "timestamp") \
+        .orderBy("id", "timestamp", "message")
 
 
 def write_version(df: DataFrame, base: str, version: str, partition_by: list[str] | None = None) -> str:

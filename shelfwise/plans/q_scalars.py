@@ -27,9 +27,9 @@ SAN_TXT = _falsy(_strip("{x}"))
 
 
 @query("str01_sanitize_string", f"""
-SELECT id, {SAN_STR.format(x='review_title')} AS title_clean FROM reviews""")
+SELECT id, {SAN_STR.format(x='review_text')} AS text_clean FROM reviews""")
 def str01(t):
-    return t.reviews.select("id", tx.sanitize_string("review_title").alias("title_clean"))
+    return t.reviews.select("id", tx.sanitize_string("review_text").alias("text_clean"))
 
 
 @query("str02_sanitize_text", f"""
@@ -87,9 +87,9 @@ def str09(t):
 
 
 @query("str10_brand_from_title", """
-SELECT id, regexp_replace(review_title, '\\s+(?:\\d+.*)?$', '') AS brand_guess FROM reviews""")
+SELECT product_id, regexp_replace(title, '\\s+(?:\\d+.*)?$', '') AS brand_guess FROM products""")
 def str10(t):
-    return t.reviews.select("id", tx.brand_from_title("review_title").alias("brand_guess"))
+    return t.products.select("product_id", tx.brand_from_title("title").alias("brand_guess"))
 
 
 _VALID = ul.VALID_URL.replace("\\", "\\\\") if False else ul.VALID_URL
@@ -217,14 +217,16 @@ def num09(t):
     return t.products.select("product_id", p.alias("price_fixed"), s.alias("sale_fixed"))
 
 
-_CUR = "CASE trim(substr(review_title, 1, 1)) " + " ".join(
-    f"WHEN '{k}' THEN '{v}'" for k, v in nm.CURRENCY_MAP.items()) + " ELSE trim(substr(review_title, 1, 1)) END"
+_SYM = "nullif(regexp_extract(review_text, '([₹$£€¥₩])', 1), '')"
+_CUR = f"CASE trim({_SYM}) " + " ".join(
+    f"WHEN '{k}' THEN '{v}'" for k, v in nm.CURRENCY_MAP.items()) + f" ELSE trim({_SYM}) END"
 
 
 @query("num10_currency_code", f"""
 SELECT id, {_CUR} AS currency FROM reviews""")
 def num10(t):
-    return t.reviews.select("id", nm.currency_code(F.substring("review_title", 1, 1)).alias("currency"))
+    sym = F.nullif(F.regexp_extract("review_text", "([₹$£€¥₩])", 1), F.lit(""))
+    return t.reviews.select("id", nm.currency_code(sym).alias("currency"))
 
 
 _SESS = "SELECT keyword_id, min(created_at) AS started_at, max(created_at) AS completed_at FROM search_items GROUP BY keyword_id"

@@ -250,18 +250,17 @@ def ups12(t):
 
 @query("ups13_append_errors", """
 WITH e AS (SELECT user_id AS session_id, 'error ' || CAST(event_id AS VARCHAR) AS message, ts FROM events WHERE event_type = 'error'),
-per AS (SELECT session_id, count(*) AS n, (array_agg(message ORDER BY ts DESC, message DESC))[1] AS last_msg,
-  array_to_string(array_agg(message ORDER BY ts, message), ';') AS trail FROM e GROUP BY session_id)
+per AS (SELECT session_id, count(*) AS n, arg_max(message, (ts, message)) AS last_msg,
+  min(ts) AS first_error_at, max(ts) AS last_error_at FROM e GROUP BY session_id)
 SELECT l.id, CAST(l.errors_count + coalesce(per.n, 0) AS INT) AS errors_count, per.last_msg AS error_message,
- coalesce(per.trail, '') AS error_trail
+ per.first_error_at, per.last_error_at
 FROM scraping_logs l LEFT JOIN per ON l.id = per.session_id""")
 def ups13(t):
     errors = t.events.where(F.col("event_type") == "error").select(
         F.col("user_id").alias("session_id"), F.concat(F.lit("error "), F.col("event_id").cast("string")).alias("message"),
         F.col("props").alias("details"), F.col("ts").alias("timestamp"))
     out = up.append_errors(t.scraping_logs, errors)
-    return out.select("id", "errors_count", "error_message",
-                      F.array_join(F.transform("error_details", lambda e: e["message"]), ";").alias("error_trail"))
+    return out.select("id", "errors_count", "error_message", "first_error_at", "last_error_at")
 
 
 @query("cln01_clean_products", f"""
