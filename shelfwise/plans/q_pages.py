@@ -119,7 +119,13 @@ def pag15(t):
     return p.select("page_id", "platform", pg.availability("html", F.col("platform")).alias("inventory_status"))
 
 
-@query("pag16_offers")
+_OFFER_RX = '(?is)class="[^"]*\\b(?:savingsPercentage|offer[^"]*)\\b[^"]*"[^>]*>(.*?)</'
+
+
+@query("pag16_offers", f"""
+WITH b AS (SELECT page_id, flatten(list_transform(regexp_extract_all(html, '{_OFFER_RX}', 1),
+   lambda x: regexp_extract_all(x, '(\\d+\\s?%)', 1))) AS p FROM pages)
+SELECT page_id, nullif(array_to_string(list_filter(p, lambda x, i: list_position(p, x) = i), '; '), '') AS offers FROM b""")
 def pag16(t):
     return t.pages.select("page_id", pg.offers("html").alias("offers"))
 
@@ -170,17 +176,29 @@ def pag22(t):
     return p.select("page_id", pg.review_id("html", F.col("platform")).alias("review_id"))
 
 
-@query("pag23_star_rating")
+@query("pag23_star_rating", """
+WITH r AS (SELECT page_id, TRY_CAST(nullif(regexp_extract(html, '(?i)(\\d(?:\\.\\d)?)\\s*(?:out of 5|stars?|★)', 1), '') AS DOUBLE) AS num,
+  len(regexp_extract_all(html, '(?i)class="[^"]*\\bstar(?:-filled|--filled| filled)\\b')) AS filled FROM pages)
+SELECT page_id, coalesce(CASE WHEN num BETWEEN 0 AND 5 THEN num END, CASE WHEN filled > 0 THEN CAST(filled AS DOUBLE) END) AS rating
+FROM r""")
 def pag23(t):
     return t.pages.select("page_id", pg.star_rating("html").alias("rating"))
 
 
-@query("pag24_verified")
+@query("pag24_verified", """
+SELECT page_id, contains(lower(html), 'verified purchase') OR contains(lower(html), 'certified buyer') AS verified_purchase FROM pages""")
 def pag24(t):
     return t.pages.select("page_id", pg.verified("html").alias("verified_purchase"))
 
 
-@query("pag25_helpful_count")
+def _pag25_sql() -> str:
+    t = _txt("regexp_extract(html, '(?is)class=\"[^\"]*\\b(?:helpful[^\"]*|cr-vote-text)\\b[^\"]*\"[^>]*>(.*?)</', 1)")
+    n = f"TRY_CAST(nullif(regexp_extract(replace({t}, ',', ''), '(\\d+)', 1), '') AS INTEGER)"
+    return (f"SELECT page_id, coalesce({n}, CASE WHEN starts_with(lower({t}), 'one') THEN 1 END, 0) AS helpful_count "
+            "FROM pages")
+
+
+@query("pag25_helpful_count", _pag25_sql())
 def pag25(t):
     return t.pages.select("page_id", pg.helpful_count("html").alias("helpful_count"))
 
