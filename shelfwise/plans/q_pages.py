@@ -130,7 +130,17 @@ def pag16(t):
     return t.pages.select("page_id", pg.offers("html").alias("offers"))
 
 
-@query("pag17_delivery")
+def _pag17_sql() -> str:
+    blk = _txt("regexp_extract(html, '(?is)class=\"[^\"]*\\bdelivery[^\"]*\"[^>]*>(.*?)</div>', 1)")
+    price = (f"CASE WHEN contains(lower({blk}), 'free') THEN 'Free' "
+             f"ELSE nullif(regexp_extract({blk}, '(₹\\s?[\\d,]+(?:\\.\\d+)?)', 1), '') END")
+    by = ("'(?i)\\bby\\s+([A-Za-z]{3,9},?\\s+[A-Za-z]{3,9}\\s+\\d{1,2}|[A-Za-z]{3,9}\\s+\\d{1,2})'")
+    date = (f"coalesce(nullif(regexp_extract({blk}, {by}, 1), ''), "
+            f"nullif(regexp_extract({blk}, '(?i)\\b(in\\s+\\d+\\s+days?)', 1), ''))")
+    return f"SELECT page_id, {price} AS delivery_price, {date} AS delivery_date FROM pages"
+
+
+@query("pag17_delivery", _pag17_sql())
 def pag17(t):
     price, date = pg.delivery("html")
     return t.pages.select("page_id", price.alias("delivery_price"), date.alias("delivery_date"))
@@ -170,7 +180,18 @@ def pag21(t):
     return pg.page_reviews(_pages(t), asof=latest(t.events, "ts"))
 
 
-@query("pag22_review_id")
+def _pag22_sql() -> str:
+    from shelfwise.functions.hashing import CONTENT_ID
+    t = _txt("html")
+    hashed = "CASE platform " + " ".join(f"WHEN '{k}' THEN '{p}' || left(md5({t}), {n})"
+                                         for k, (p, n) in CONTENT_ID.items()) + " END"
+    return f"""
+SELECT page_id, coalesce(nullif(regexp_extract(html, '^\\S*<div\\b[^>]*\\bid="([A-Za-z0-9_\\-]+)"', 1), ''),
+ nullif(regexp_extract(html, '/(?:gp/customer-reviews|reviews?)/([A-Za-z0-9]{{8,}})', 1), ''), {hashed}) AS review_id
+FROM (SELECT page_id, html, {_PLAT} AS platform FROM pages) x"""
+
+
+@query("pag22_review_id", _pag22_sql())
 def pag22(t):
     p = _pages(t)
     return p.select("page_id", pg.review_id("html", F.col("platform")).alias("review_id"))
@@ -203,7 +224,15 @@ def pag25(t):
     return t.pages.select("page_id", pg.helpful_count("html").alias("helpful_count"))
 
 
-@query("pag26_variant_info")
+def _pag26_sql() -> str:
+    a = _txt("regexp_extract(html, '(?is)<[a-z]+\\b[^>]*data-hook=\"format-strip\"[^>]*>(.*?)</a>', 1)")
+    b = _txt("regexp_extract(html, '(?is)>((?:Colou?r|Size|Style)\\s*(?:Name)?\\s*:[^<]*)<', 1)")
+    v = f"trim(regexp_replace(coalesce({a}, {b}), '(?i)Verified Purchase', '', 'g'))"
+    return (f"SELECT page_id, CASE WHEN regexp_matches({v}, '(?i)(colou?r|size|style)') AND length({v}) > 3 "
+            f"AND length({v}) < 255 THEN {v} END AS variant_info FROM pages")
+
+
+@query("pag26_variant_info", _pag26_sql())
 def pag26(t):
     return t.pages.select("page_id", pg.variant_info("html").alias("variant_info"))
 
