@@ -92,20 +92,51 @@ def pag10(t):
     return p.select("page_id", pg.dimensions(pg.spec_map("html"), F.col("platform")).alias("dimensions"))
 
 
-@query("pag11_breadcrumb")
+def _pag11_sql() -> str:
+    items = ("list_filter(list_transform(regexp_extract_all(html, '(?is)<(?:li|a)\\b[^>]*class=\"[^\"]*\\bbreadcrumb[^\"]*\"[^>]*>(.*?)</', 1), "
+             f"lambda x: {_txt('x')}), lambda y: y IS NOT NULL)")
+    return f"""
+WITH b AS (SELECT page_id, platform, {items} AS it FROM (SELECT page_id, html, {_PLAT} AS platform FROM pages) p),
+c AS (SELECT page_id, CASE WHEN platform = 'amazon' THEN list_filter(it, lambda x, i: list_position(it, x) = i)
+   WHEN platform = 'flipkart' AND lower(it[1]) = 'home' THEN list_slice(it, 2, len(it)) ELSE it END AS it FROM b)
+SELECT page_id, nullif(array_to_string(it, ' > '), '') AS category FROM c"""
+
+
+@query("pag11_breadcrumb", _pag11_sql())
 def pag11(t):
     p = _pages(t)
     return p.select("page_id", pg.breadcrumb("html", F.col("platform")).alias("category"))
 
 
-@query("pag12_image_urls")
+def _pag12_sql() -> str:
+    def attr(n):
+        return f"nullif(regexp_extract(g, '(?is)\\b{n}=\"([^\"]*)\"', 1), '')"
+    first = (f"coalesce({attr('data-old-hires')}, {attr('data-a-hires')}, {attr('data-src')}, "
+             f"nullif(trim(split_part(coalesce({attr('srcset')}, ''), ' ', 1)), ''), {attr('src')})")
+    return f"""
+WITH u AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<img\\b[^>]*>', 0), lambda g: {first}),
+   lambda x: regexp_matches(x, '^https?://')) AS l FROM pages)
+SELECT page_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS image_urls FROM u"""
+
+
+@query("pag12_image_urls", _pag12_sql())
 def pag12(t):
-    return t.pages.select("page_id", pg.image_urls("html").alias("image_urls"))
+    return t.pages.select("page_id", F.array_join(pg.image_urls("html"), " ").alias("image_urls"))
+
+
+def _pag13_sql() -> str:
+    return """
+WITH v AS (SELECT page_id, regexp_extract_all(html, '(?i)(https?://[^"\\s]+\\.(?:mp4|m3u8|webm))', 1) AS direct,
+  regexp_extract_all(html, '(?i)(?:i\\.ytimg\\.com/vi/|youtube\\.com/embed/)([A-Za-z0-9_\\-]{11})', 1) AS ids FROM pages),
+d AS (SELECT page_id, direct, list_filter(ids, lambda x, i: list_position(ids, x) = i) AS ids FROM v),
+m AS (SELECT page_id, list_concat(direct, flatten(list_transform(ids, lambda i: ['https://www.youtube.com/watch?v=' || i,
+  'https://www.youtube.com/embed/' || i]))) AS l FROM d)
+SELECT page_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS video_urls FROM m"""
 
 
-@query("pag13_video_urls")
+@query("pag13_video_urls", _pag13_sql())
 def pag13(t):
-    return t.pages.select("page_id", pg.video_urls("html").alias("video_urls"))
+    return t.pages.select("page_id", F.array_join(pg.video_urls("html"), " ").alias("video_urls"))
 
 
 @query("pag14_variants")
