@@ -54,9 +54,32 @@ def pag03(t):
     return t.pages.select("page_id", pg.cascade("html", pg.RULES["generic"]["title"], 3).alias("title"))
 
 
-@query("pag04_jsonld_product")
+def _price_sql(x: str) -> str:
+    c = f"replace(regexp_replace({x}, '[^0-9.,]', '', 'g'), ',', '')"
+    return f"CASE WHEN regexp_matches({c}, '^[0-9]*\\.?[0-9]+$|^[0-9]+\\.$') THEN TRY_CAST({c} AS DOUBLE) END"
+
+
+def _pag04_sql() -> str:
+    j = "json_extract_string(ld, '{}')"
+    rating_raw = f"TRY_CAST(nullif(regexp_extract({j.format('$.aggregateRating.ratingValue')}, '([0-9]+\\.?[0-9]*)', 1), '') AS DOUBLE)"
+    count_raw = (f"coalesce({j.format('$.aggregateRating.reviewCount')}, {j.format('$.aggregateRating.ratingCount')})")
+    img = j.format("$.image")
+    return f"""
+WITH b AS (SELECT page_id, list_filter(regexp_extract_all(html, '(?is)<script\\b[^>]*type="application/ld\\+json"[^>]*>(.*?)</script>', 1),
+   lambda x: regexp_matches(x, '"@type"\\s*:\\s*"Product"'))[1] AS ld FROM pages)
+SELECT page_id, {j.format('$.name')} AS title, {j.format('$.description')} AS description,
+ coalesce({j.format('$.brand.name')}, CASE WHEN NOT starts_with(coalesce({j.format('$.brand')}, ''), '{{') THEN {j.format('$.brand')} END) AS brand,
+ CASE WHEN starts_with({img}, '[') THEN array_to_string(CAST(json({img}) AS VARCHAR[]), ' ') ELSE {img} END AS image_urls,
+ {_price_sql("coalesce(" + j.format('$.offers.price') + ", " + j.format('$.offers[0].price') + ", " + j.format('$.offers.lowPrice') + ")")} AS sale_price,
+ {_price_sql(j.format('$.offers.highPrice'))} AS list_price,
+ CASE WHEN {rating_raw} BETWEEN 0 AND 5 THEN {rating_raw} END AS rating,
+ coalesce(TRY_CAST(nullif(regexp_extract(replace({count_raw}, ',', ''), '([0-9]+)', 1), '') AS BIGINT), 0) AS review_count
+FROM b WHERE ld IS NOT NULL"""
+
+
+@query("pag04_jsonld_product", _pag04_sql())
 def pag04(t):
-    return pg.jsonld_product(t.pages)
+    return pg.jsonld_product(t.pages).withColumn("image_urls", F.array_join("image_urls", " "))
 
 
 @query("pag05_page_products")
