@@ -30,7 +30,18 @@ def pag01(t):
     return pg.product_links(t.pages, path_pattern=None, limit=50)
 
 
-@query("pag02_card_links")
+def _pag02_sql() -> str:
+    card = '(?is)data-product-id="(\\d+)"[^>]*>.*?class="[^"]*\\bproduct-title\\b[^"]*"[^>]*>([^<]*)<'
+    name = "regexp_extract(m, '(?is)>([^<>]*)<$', 1)"
+    slug = f"regexp_replace(regexp_replace(lower({name}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+    link = f"'https://blinkit.com/prn/' || {slug} || '/prid/' || regexp_extract(m, 'data-product-id=\"(\\d+)\"', 1)"
+    return f"""
+WITH l AS (SELECT page_id, list_transform(regexp_extract_all(html, '{card}', 0), lambda m: {link}) AS a FROM pages),
+d AS (SELECT page_id, list_slice(list_filter(a, lambda x, i: list_position(a, x) = i), 1, 50) AS links FROM l)
+SELECT page_id, CAST(generate_subscripts(links, 1) AS INT) AS ordinal, unnest(links) AS link FROM d"""
+
+
+@query("pag02_card_links", _pag02_sql())
 def pag02(t):
     return pg.card_links(t.pages)
 
@@ -92,24 +103,54 @@ def pag06(t):
     return pg.with_price_pair(_pages(t)).select("page_id", "list_price", "sale_price")
 
 
+
+
+
+def _spec_entries_sql() -> str:
+    """DuckDB twin of ``spec_map``'s entry list (cleaned, blanks dropped, later duplicate wins)."""
+    k = _txt(f"regexp_extract(r, '{pg.SPEC_ROW}', 1)")
+    v = _txt(f"regexp_extract(r, '{pg.SPEC_ROW}', 2)")
+    return f"""
+s0 AS (SELECT page_id, html, {_PLAT} AS platform, list_filter(list_transform(regexp_extract_all(html, '{pg.SPEC_ROW}', 0),
+   lambda r: {{'k': {k}, 'v': {v}}}), lambda e: e.k IS NOT NULL AND e.v IS NOT NULL) AS kept FROM pages),
+s1 AS (SELECT page_id, html, platform, list_filter(kept, lambda p, i: NOT list_bool_or(list_transform(kept,
+   lambda q, j: q.k = p.k AND j > i))) AS specs FROM s0)"""
+
+
+def _named_sql(label: str) -> str:
+    return f"list_filter(specs, lambda e: regexp_matches(e.k, '(?i){label}'))[1].v"
+
+
 @query("pag07_star_histogram")
 def pag07(t):
     return t.pages.select("page_id", pg.star_histogram("html").alias("star_percents"))
 
 
-@query("pag08_spec_map")
+@query("pag08_spec_map", f"""
+WITH {_spec_entries_sql()}
+SELECT page_id, array_to_string(list_sort(list_transform(specs, lambda e: e.k || '=' || e.v)), ';') AS specs FROM s1""")
 def pag08(t):
-    return t.pages.select("page_id", pg.spec_map("html").alias("specs"))
+    m = pg.spec_map("html")
+    return t.pages.select("page_id", F.array_join(F.sort_array(F.transform(
+        F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";").alias("specs"))
 
 
-@query("pag09_named_attr")
+@query("pag09_named_attr", f"""
+WITH {_spec_entries_sql()}
+SELECT page_id, {_named_sql('^brand')} AS brand, {_named_sql('^model')} AS model_name, {_named_sql('^colou?r')} AS color
+FROM s1""")
 def pag09(t):
     s = pg.spec_map("html")
     return t.pages.select("page_id", pg.named_attr(s, "^brand").alias("brand"),
                           pg.named_attr(s, "^model").alias("model_name"), pg.named_attr(s, "^colou?r").alias("color"))
 
 
-@query("pag10_dimensions")
+@query("pag10_dimensions", f"""
+WITH {_spec_entries_sql()}
+SELECT page_id, nullif(CASE WHEN platform = 'flipkart'
+ THEN concat_ws(' x ', {_named_sql('^width')}, {_named_sql('^depth')}, {_named_sql('^height')})
+ ELSE concat_ws(' x ', {_named_sql('^length')}, {_named_sql('^width')}, {_named_sql('^height')}) END, '') AS dimensions
+FROM s1""")
 def pag10(t):
     p = _pages(t)
     return p.select("page_id", pg.dimensions(pg.spec_map("html"), F.col("platform")).alias("dimensions"))
