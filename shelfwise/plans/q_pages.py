@@ -121,9 +121,26 @@ def _named_sql(label: str) -> str:
     return f"list_filter(specs, lambda e: regexp_matches(e.k, '(?i){label}'))[1].v"
 
 
-@query("pag07_star_histogram")
+def _pag07_sql() -> str:
+    return """
+WITH x AS (SELECT page_id,
+  regexp_extract_all(regexp_extract(html, '(?is)<table\\b[^>]*id="histogramTable".*?</table>', 0), '(\\d+(?:\\.\\d+)?)\\s*%', 1) AS texts,
+  regexp_extract_all(html, '(?i)width:\\s*(\\d+(?:\\.\\d+)?)%', 1) AS widths,
+  list_transform(regexp_extract_all(html, '(?is)class="[^"]*\\bstar-count\\b[^"]*"[^>]*>\\s*([\\d,]+)\\s*<', 1),
+    lambda c: CAST(replace(c, ',', '') AS DOUBLE)) AS nums FROM pages),
+y AS (SELECT *, list_sum(nums) AS total FROM x),
+z AS (SELECT page_id, CASE WHEN len(texts) >= 5 THEN list_slice(texts, len(texts) - 4, len(texts))
+  WHEN len(widths) >= 5 THEN list_slice(widths, 1, 5)
+  WHEN len(nums) >= 5 AND total > 0 THEN list_slice(list_transform(nums, lambda n: CAST(round(n * 100.0 / total, 2) AS VARCHAR)), 1, 5)
+  END AS pick FROM y)
+SELECT page_id, array_to_string(list_transform(pick, lambda v: CAST(CAST(CAST(v AS DOUBLE) AS DECIMAL(5,2)) AS VARCHAR)), ',') AS star_percents
+FROM z"""
+
+
+@query("pag07_star_histogram", _pag07_sql())
 def pag07(t):
-    return t.pages.select("page_id", pg.star_histogram("html").alias("star_percents"))
+    h = pg.star_histogram("html")
+    return t.pages.select("page_id", F.array_join(F.transform(h, lambda x: x.cast("string")), ",").alias("star_percents"))
 
 
 @query("pag08_spec_map", f"""
@@ -203,9 +220,20 @@ def pag13(t):
     return t.pages.select("page_id", F.array_join(pg.video_urls("html"), " ").alias("video_urls"))
 
 
-@query("pag14_variants")
+def _pag14_sql() -> str:
+    li = '(?is)<li\\b[^>]*data-(?:defaultasin|asin)="[A-Z0-9]+"[^>]*>.*?</li>'
+    name = "coalesce(nullif(regexp_extract(v, '(?is)\\btitle=\"([^\"]*)\"', 1), ''), '')"
+    img = "coalesce(nullif(regexp_extract(v, '(?is)<img\\b[^>]*\\bsrc=\"([^\"]*)\"', 1), ''), '')"
+    asin = "regexp_extract(v, 'data-(?:defaultasin|asin)=\"([A-Z0-9]+)\"', 1)"
+    return (f"SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '{li}', 0), "
+            f"lambda v: {name} || '|' || {img} || '|' || {asin}), ';') AS variants FROM pages")
+
+
+@query("pag14_variants", _pag14_sql())
 def pag14(t):
-    return t.pages.select("page_id", pg.variants("html").alias("variants"))
+    v = pg.variants("html")
+    return t.pages.select("page_id", F.array_join(F.transform(v, lambda e: F.concat_ws(
+        "|", F.coalesce(e["name"], F.lit("")), F.coalesce(e["image"], F.lit("")), e["asin"])), ";").alias("variants"))
 
 
 @query("pag15_availability")

@@ -31,6 +31,8 @@ AMAZON_PRODUCT = """<html><head><title>Amazon.in: Dell Inspiron</title>
 <div class="a-breadcrumb"><ul><li class="breadcrumb-item"><a>Computers</a></li><li class="breadcrumb-item"><a>Laptops</a></li>
 <li class="breadcrumb-item"><a>Laptops</a></li></ul></div>
 <a id="sellerProfileTriggerId">Fulfilled by Cocoblu Retail</a>
+<ul id="variation_color_name"><li data-defaultasin="B0VARBLACK" title="Black">Black</li>
+<li data-defaultasin="B0VARSILVR" title="Silver">Silver</li></ul>
 <div class="delivery-block">FREE delivery by Friday, 12 January</div>
 </div></body></html>"""
 
@@ -105,6 +107,8 @@ def test_amazon_product_record(spark):
     assert r.seller_name == "Cocoblu Retail" and r.currency_code == "INR"
     assert r.delivery_price == "Free"
     assert r.technical_details["Brand"] == "Dell" and "Blank" not in r.technical_details
+    v = df.select(pg.variants("html")).first()[0]
+    assert [(x.name, x.asin) for x in v] == [("Black", "B0VARBLACK"), ("Silver", "B0VARSILVR")]
 
 
 def test_jsonld_object_brand_and_list_images(spark):
