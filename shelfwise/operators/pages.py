@@ -39,7 +39,14 @@ def sel(selector: str, attr: str | None = None) -> str:
             conds.append(rf'(?=[^>]*\bclass="(?:[^"]*\s)?{re.escape(name)}(?:\s[^"]*)?")')
     for name, value in re.findall(r'\[([A-Za-z0-9_\-:]+)="([^"]*)"\]', selector):
         conds.append(rf'(?=[^>]*\b{re.escape(name)}="{re.escape(value)}")')
-    opening = rf"<{tag}\b{''.join(conds)}[^>]*"
+    if len(conds) == 1 and not attr:
+        # for inner text one condition needs no lookahead: the same matches, and a
+        # plain regular expression that RE2 engines accept too (an attribute read
+        # keeps the lookahead so the two attributes may come in either order)
+        inner = conds[0][len("(?="):-1]
+        opening = rf"<{tag}\b{inner}[^>]*"
+    else:
+        opening = rf"<{tag}\b{''.join(conds)}[^>]*"
     if attr:
         return rf'(?is){opening}\b{re.escape(attr)}="([^"]*)"'
     return rf"(?is){opening}>(.*?)</"
