@@ -275,7 +275,29 @@ def pag18(t):
     return t.pages.select("page_id", *[v.alias(k) for k, v in f.items()])
 
 
-@query("pag19_search_items")
+def _pag19_sql() -> str:
+    def mark(pat):
+        return f"regexp_replace(html, '({pat})', chr(1) || '\\1', 'g')"
+    starts = {k: v for k, v in pg.CARD_START.items() if k != "default"}
+    marked = ("CASE " + " ".join(f"WHEN platform = '{k}' THEN {mark(v)}" for k, v in starts.items())
+              + f" ELSE {mark(pg.CARD_START['default'])} END")
+    sku = ("coalesce(nullif(regexp_extract(card, 'data-asin=\"([A-Z0-9]{10})\"', 1), ''), "
+           "nullif(regexp_extract(card, 'data-id=\"([A-Za-z0-9]+)\"', 1), ''), "
+           "nullif(regexp_extract(card, 'data-(?:sku|product-id)=\"([A-Za-z0-9_\\-]+)\"', 1), ''))")
+    raws = ", ".join(f"regexp_extract(card, '{p}', 1)" for p in (pg.sel("h2"), pg.sel(".product-title"), pg.sel("a", "title")))
+    title = f"list_filter(list_transform([{raws}], lambda x: {_txt('x')}), lambda y: length(y) > 0)[1]"
+    markers = " OR ".join(f"regexp_matches(card, '(?i){m}')" for m in pg.SPONSORED_MARKERS)
+    sponsored = (f"((regexp_matches(card, '(?i){pg.AD_URL_FLAG}') AND NOT regexp_matches(card, '(?i){pg.ORGANIC_URL_FLAG}'))"
+                 f" OR {markers})")
+    return f"""
+WITH p AS (SELECT page_id, html, {_PLAT} AS platform FROM pages),
+b AS (SELECT page_id, platform, string_split({marked}, chr(1)) AS parts FROM p),
+c AS (SELECT page_id, platform, list_slice(parts, 2, len(parts)) AS cards FROM b),
+u AS (SELECT page_id, platform, CAST(generate_subscripts(cards, 1) AS INT) AS ordinal, unnest(cards) AS card FROM c)
+SELECT page_id, platform, ordinal, {sku} AS sku, {title} AS title, {sponsored} AS is_sponsored FROM u"""
+
+
+@query("pag19_search_items", _pag19_sql())
 def pag19(t):
     return pg.search_items(_pages(t))
 

@@ -22,7 +22,7 @@ PAGES = [
     (16, "https://www.amazon.in/s?k=laptop", SEARCH_PAGE),
     (24, "https://www.amazon.in/product-reviews/B0TEST", REVIEWS_PAGE),
 ]
-PAGE_ONLY = ["pag01", "pag02", "pag03", "pag04", "pag07", "pag14", "pag08", "pag09", "pag10", "pag11", "pag12", "pag13", "pag16", "pag17", "pag20", "pag22", "pag23", "pag24",
+PAGE_ONLY = ["pag01", "pag02", "pag03", "pag04", "pag07", "pag14", "pag08", "pag09", "pag10", "pag11", "pag12", "pag13", "pag16", "pag17", "pag19", "pag20", "pag22", "pag23", "pag24",
              "pag25", "pag26"]
 ORACLE = E.oracle_sql()
 QUERIES = E.queries()
