@@ -134,18 +134,19 @@ def splitter(pattern: str):
 
 
 def pack(codes: np.ndarray) -> bytes:
-    """Indexes as byte planes (low bytes first), compressed."""
+    """Indexes as byte planes (low bytes first), compressed; a text without words is the byte 0."""
     planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    used = 4 - next((k for k in range(4) if planes[3 - k].any()), 4)
+    used = max(1, 4 - next((k for k in range(4) if planes[3 - k].any()), 4))
     return bytes([used]) + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes[:used]).tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
     used = data[0]
+    if not used:
+        return np.zeros(0, "<u4")
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8)
-    out = np.zeros((len(raw) // used if used else 0, 4), np.uint8)
-    if used:
-        out[:, :used] = raw.reshape(used, -1).T
+    out = np.zeros((len(raw) // used, 4), np.uint8)
+    out[:, :used] = raw.reshape(used, -1).T
     return out.view("<u4").ravel()
 
 
