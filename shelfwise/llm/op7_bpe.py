@@ -3,7 +3,10 @@
 1. Texts are cut into pre-tokens.  Each task keeps its texts in blocks: a block's distinct
    pre-tokens are rows (block, index, word), and a text is the sequence of its words'
    indexes, in position order, packed into bytes.  So the explode carries each word once
-   per block and a position costs one to three bytes instead of a row.
+   per block and a position costs one to three bytes instead of a row.  Words and packed
+   texts are two passes over the documents, so neither is written besides its shuffle;
+   a block is named by a digest of its texts, and one whose words are missing (an input
+   that does not repeat itself) fails instead of giving wrong ids.
 2. The word rows are shuffled by word.  All copies of a word meet in one task, which
    encodes it once and answers every (block, index) that asked.
 3. Ids and packed texts are shuffled by block and reassembled by position.
@@ -27,13 +30,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import stored
-
 BLOCK_SYMBOLS = 6_000_000
 MAX_VOCABULARY = 1_000_000
 
@@ -150,40 +151,36 @@ def unpack(data: bytes) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
-def _blocks(pattern: str):
-    """Tasks' texts -> rows of block texts (n, row, codes) and block words (index, word)."""
-    schema = "block string, row string, n long, codes binary, idx int, word string"
+def _blocks(pattern: str, want_words: bool):
+    """Tasks' texts -> rows of the blocks' words (block, idx, word) or of their texts (block, row, codes)."""
+    schema = "block long, idx int, word string" if want_words else "block long, row string, codes binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         split = splitter(pattern)
-        part = TaskContext.get().partitionId()
-        made = 0
         index: dict[str, int] = {}
         texts: list[tuple[str, np.ndarray]] = []
-        held = 0
+        held, digest = 0, xxhash.xxh64()
 
         def flush():
-            nonlocal made, held
-            block = f"{part}-{made}"
-            made += 1
+            nonlocal held, digest
+            block = np.uint64(digest.intdigest()).astype(np.int64)
             words = list(index)
-            count = np.zeros(len(words), np.int64)
-            if words:
-                count = np.bincount(np.concatenate([c for _, c in texts]), minlength=len(words))
             # frequent words get small indexes, which pack into fewer bytes
-            place = np.empty(len(words), np.int64)
-            place[np.argsort(-count, kind="stable")] = np.arange(len(words))
-            step = 2000
-            for at in range(0, len(texts), step):
-                some = texts[at:at + step]
-                yield pd.DataFrame({"block": block, "row": [k for k, _ in some], "n": [len(c) for _, c in some],
-                                    "codes": [pack(place[c]) if len(c) else b"\0" for _, c in some], "idx": None, "word": None})
-            for at in range(0, len(words), 50_000):
-                yield pd.DataFrame({"block": block, "row": None, "n": None, "codes": None,
-                                    "idx": place[at:at + 50_000], "word": words[at:at + 50_000]})
+            count = np.bincount(np.concatenate([c for _, c in texts]), minlength=len(words))
+            order = np.argsort(-count, kind="stable")
+            place = np.empty(len(words), np.int32)
+            place[order] = np.arange(len(words), dtype=np.int32)
+            if want_words:
+                for at in range(0, len(words), 50_000):
+                    yield pd.DataFrame({"block": block, "idx": place[at:at + 50_000], "word": words[at:at + 50_000]})
+            else:
+                for at in range(0, len(texts), 2000):
+                    some = texts[at:at + 2000]
+                    yield pd.DataFrame({"block": block, "row": [k for k, _ in some],
+                                        "codes": [pack(place[c]) if len(c) else b"\0" for _, c in some]})
             index.clear()
             texts.clear()
-            held = 0
+            held, digest = 0, xxhash.xxh64()
 
         for pdf in batches:
             for key, x in zip(pdf["row"], pdf["t"]):
@@ -192,6 +189,7 @@ def _blocks(pattern: str):
                 if None in known:
                     known = [index.setdefault(w, len(index)) if i is None else i for w, i in zip(words, known)]
                 texts.append((key, np.array(known, np.uint32)))
+                digest.update((x if isinstance(x, str) else "").encode("utf-8", "replace") + b"\xff")
                 held += len(words) + 20
                 if held > BLOCK_SYMBOLS:
                     yield from flush()
@@ -219,18 +217,20 @@ def _encode_words(path: str):
 
 def _reassemble(key, words: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
     """One block: ids of its words, concatenated in the order of each text."""
-    order = np.argsort(words["idx"].to_numpy()) if len(words) else np.array([], int)
-    ids = [words["ids"].iat[i] for i in order] if len(words) < 1000 else words["ids"].to_numpy()[order].tolist()
+    idx, first = np.unique(words["idx"].to_numpy(np.int64), return_index=True)  # equal blocks bring equal words twice
+    ids = words["ids"].to_numpy()[first].tolist()
     size = np.array([len(b) // 4 for b in ids], np.int64)
     flat = np.frombuffer(b"".join(ids), "<u4")
     start = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
     out = []
     for data in texts["codes"]:
         codes = unpack(data).astype(np.int64)
+        if len(codes) and (codes.max() >= len(ids) or idx[-1] + 1 != len(ids)):
+            raise RuntimeError("the words of a block are missing: the input changed between two passes")
         n = size[codes]
         total = int(n.sum())
-        first = np.repeat(start[codes] - (np.cumsum(n) - n), n)
-        out.append(flat[first + np.arange(total)].tobytes())
+        at = np.repeat(start[codes] - (np.cumsum(n) - n), n)
+        out.append(flat[at + np.arange(total)].tobytes())
     return pd.DataFrame({"row": texts["row"], "ids": out})
 
 
@@ -240,13 +240,12 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     The result has columns row (the key as string, null for a null key) and ids; rows with
     equal keys stay separate rows.
     """
-    cut, schema = _blocks(pattern)
-    made = stored(docs.select(F.col(key).cast("string").alias("row"), F.col(text).alias("t")).mapInPandas(cut, schema), "bpe-blocks")
-    words = made.where("idx IS NOT NULL").select("block", "idx", "word")
+    base = docs.select(F.col(key).cast("string").alias("row"), F.col(text).alias("t"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = base.mapInPandas(*_blocks(pattern, True))
     coded = (words.repartition(parts, "word").sortWithinPartitions("word")
-             .mapInPandas(_encode_words(path), "block string, idx int, ids binary"))
-    texts = made.where("idx IS NULL").select("block", "row", "codes")
+             .mapInPandas(_encode_words(path), "block long, idx int, ids binary"))
+    texts = base.mapInPandas(*_blocks(pattern, False))
     return coded.groupBy("block").cogroup(texts.groupBy("block")).applyInPandas(_reassemble, "row string, ids binary")
 
 
