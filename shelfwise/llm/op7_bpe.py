@@ -7,8 +7,9 @@
    texts are two passes over the documents, so neither is written besides its shuffle;
    a block is named by a digest of its texts, and one whose words are missing (an input
    that does not repeat itself) fails instead of giving wrong ids.
-2. The word rows are shuffled by word.  All copies of a word meet in one task, which
-   encodes it once and answers every (block, index) that asked.
+2. The words are shuffled by a hash of the word: one row per block and hash bucket, the
+   words packed.  All copies of a word meet in one bucket, which encodes it once and
+   answers every (block, index) that asked.  There are as many buckets as shuffle partitions.
 3. Ids and packed texts are shuffled by block and reassembled by position.
 
 A word occurs at most once in a block, so the most frequent word has as many rows as
@@ -35,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_SYMBOLS = 6_000_000
+BLOCK_SYMBOLS = 4_000_000
 MAX_VOCABULARY = 1_000_000
 
 
@@ -151,9 +152,23 @@ def unpack(data: bytes) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
-def _blocks(pattern: str, want_words: bool):
-    """Tasks' texts -> rows of the blocks' words (block, idx, word) or of their texts (block, row, codes)."""
-    schema = "block long, idx int, word string" if want_words else "block long, row string, codes binary"
+def pack_words(words: list[str]) -> bytes:
+    """Lengths and letters of some words, compressed."""
+    data = [w.encode("utf-8", "replace") for w in words]
+    size = np.array([len(d) for d in data], "<u4").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(len(data).to_bytes(4, "little") + size + b"".join(data))
+
+
+def unpack_words(packed: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    n = int.from_bytes(raw[:4], "little")
+    ends = (np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64) + 4 + 4 * n).tolist()
+    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends)]
+
+
+def _blocks(pattern: str, buckets: int, want_words: bool):
+    """Tasks' texts -> rows of the blocks' words (block, bucket, idx, words) or of their texts (block, row, codes)."""
+    schema = "block long, bucket int, idx binary, words binary" if want_words else "block long, row string, codes binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         split = splitter(pattern)
@@ -171,8 +186,14 @@ def _blocks(pattern: str, want_words: bool):
             place = np.empty(len(words), np.int32)
             place[order] = np.arange(len(words), dtype=np.int32)
             if want_words:
-                for at in range(0, len(words), 50_000):
-                    yield pd.DataFrame({"block": block, "idx": place[at:at + 50_000], "word": words[at:at + 50_000]})
+                words.sort()  # neighbours alike compress better
+                bucket = np.array([xxhash.xxh32_intdigest(w) % buckets for w in words], np.int32)
+                place = place[[index[w] for w in words]]
+                rows = []
+                for k in np.unique(bucket).tolist():
+                    at = np.flatnonzero(bucket == k)
+                    rows.append((block, k, pack(place[at]), pack_words([words[i] for i in at.tolist()])))
+                yield pd.DataFrame(rows, columns=["block", "bucket", "idx", "words"])
             else:
                 for at in range(0, len(texts), 2000):
                     some = texts[at:at + 2000]
@@ -200,32 +221,40 @@ def _blocks(pattern: str, want_words: bool):
 
 
 def _encode_words(path: str):
-    """Rows of one shuffle partition, sorted by word: each distinct word is encoded once."""
+    """Rows of one shuffle partition, sorted by bucket: each distinct word of a bucket is encoded once."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rank = ranks(path)
-        last, ids = None, b""
+        last, known = None, {}
         for pdf in batches:
             out = []
-            for w in pdf["word"]:
-                if w != last:
-                    last, ids = w, np.array(bpe(w.encode("utf-8", "replace"), rank), "<u4").tobytes()
-                out.append(ids)
-            yield pd.DataFrame({"block": pdf["block"], "idx": pdf["idx"], "ids": out})
+            for bucket, packed in zip(pdf["bucket"], pdf["words"]):
+                if bucket != last:
+                    last, known = bucket, {}
+                ids, size = [], []
+                for w in unpack_words(packed):
+                    got = known.get(w)
+                    if got is None:
+                        got = known[w] = bpe(w, rank)
+                    ids += got
+                    size.append(len(got))
+                out.append((pack(np.array(size)), pack(np.array(ids))))
+            yield pd.DataFrame({"block": pdf["block"], "idx": pdf["idx"], "size": [a for a, _ in out], "ids": [b for _, b in out]})
 
     return run
 
 
 def _reassemble(key, words: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
     """One block: ids of its words, concatenated in the order of each text."""
-    idx, first = np.unique(words["idx"].to_numpy(np.int64), return_index=True)  # equal blocks bring equal words twice
-    ids = words["ids"].to_numpy()[first].tolist()
-    size = np.array([len(b) // 4 for b in ids], np.int64)
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    start = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    idx = np.concatenate([unpack(d) for d in words["idx"]] or [np.zeros(0, "<u4")])
+    size = np.concatenate([unpack(d) for d in words["size"]] or [np.zeros(0, "<u4")]).astype(np.int64)
+    flat = np.concatenate([unpack(d) for d in words["ids"]] or [np.zeros(0, "<u4")])
+    start = np.cumsum(size) - size
+    idx, first = np.unique(idx, return_index=True)  # equal blocks bring equal words twice
+    size, start = size[first], start[first]
     out = []
     for data in texts["codes"]:
         codes = unpack(data).astype(np.int64)
-        if len(codes) and (codes.max() >= len(ids) or idx[-1] + 1 != len(ids)):
+        if len(codes) and (codes.max() >= len(idx) or idx[-1] + 1 != len(idx)):
             raise RuntimeError("the words of a block are missing: the input changed between two passes")
         n = size[codes]
         total = int(n.sum())
@@ -242,10 +271,10 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     """
     base = docs.select(F.col(key).cast("string").alias("row"), F.col(text).alias("t"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = base.mapInPandas(*_blocks(pattern, True))
-    coded = (words.repartition(parts, "word").sortWithinPartitions("word")
-             .mapInPandas(_encode_words(path), "block long, idx int, ids binary"))
-    texts = base.mapInPandas(*_blocks(pattern, False))
+    words = base.mapInPandas(*_blocks(pattern, parts, True))
+    coded = (words.repartition(parts, "bucket").sortWithinPartitions("bucket")
+             .mapInPandas(_encode_words(path), "block long, idx binary, size binary, ids binary"))
+    texts = base.mapInPandas(*_blocks(pattern, parts, False))
     return coded.groupBy("block").cogroup(texts.groupBy("block")).applyInPandas(_reassemble, "row string, ids binary")
 
 
