@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_SYMBOLS = 4_000_000
+BLOCK_SYMBOLS = 1_500_000
 MAX_VOCABULARY = 1_000_000
 
 
