@@ -42,7 +42,8 @@ def _truthy(c: Column) -> Column:
 def clean_products(raw: DataFrame) -> DataFrame:
     """CLN1: one projection turning raw parsed strings into the typed product row.
 
-    Columns missing from ``raw`` are treated as null.  Defaults: is_active true,
+    Texts are cleaned whole; shortening for display is STR6's.  Columns missing
+    from ``raw`` are treated as null.  Defaults: is_active true,
     review_count 0, flags false unless non-empty.  Star percents keep 0 as 0.
     Keys outside the product schema are dropped; manufacturer is kept (the
     reference drops it by omission).
@@ -55,25 +56,25 @@ def clean_products(raw: DataFrame) -> DataFrame:
     def q(name):
         return f"`{name}`" if name in have else "CAST(NULL AS STRING)"
 
-    def s_str(name, n=None):
-        return F.expr(tx.sanitize_string_sql(f"left({q(name)}, {n})" if n else q(name)))
+    def s_str(name):
+        return F.expr(tx.sanitize_string_sql(q(name)))
 
-    def s_txt(name, n=None):
-        return F.expr(tx.sanitize_text_sql(f"left({q(name)}, {n})" if n else q(name)))
+    def s_txt(name):
+        return F.expr(tx.sanitize_text_sql(q(name)))
 
     pct = lambda n: F.round(c(n).cast("string").try_cast("double"), 2).cast(schemas.PERCENT)
     url_list = lambda n: (ar.sanitize_urls(c(n)) if name_is_array(raw, n)
                           else ar.sanitize_urls(ar.parse_json_list(c(n))))
     cols = {
         "platform": s_str("platform"), "sku": s_str("sku"),
-        "title": s_str("title", schemas.MAX_TITLE),
-        "description": s_txt("description", schemas.MAX_DESCRIPTION),
+        "title": s_str("title"),
+        "description": s_txt("description"),
         "offers": s_txt("offers"), "inventory_status": s_str("inventory_status"),
-        "brand": s_str("brand", schemas.MAX_BRAND), "manufacturer": s_str("manufacturer"),
+        "brand": s_str("brand"), "manufacturer": s_str("manufacturer"),
         "model_name": s_str("model_name"), "color": s_str("color"), "variants": s_str("variants"),
         "weight": s_str("weight"), "dimensions": s_str("dimensions"),
         "product_url": F.expr(ul.sanitize_url_sql(q("product_url"))),
-        "category": s_str("category", schemas.MAX_CATEGORY), "currency_code": s_str("currency_code"),
+        "category": s_str("category"), "currency_code": s_str("currency_code"),
         "seller_name": s_txt("seller_name"), "highlights": s_txt("highlights"),
         "customers_say": s_txt("customers_say"), "delivery_price": s_txt("delivery_price"),
         "delivery_date": s_txt("delivery_date"),

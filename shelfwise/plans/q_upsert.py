@@ -13,7 +13,7 @@ from shelfwise.operators.common import ago, latest, lit
 from shelfwise.plans.catalog import query
 from shelfwise.plans.q_scalars import SAN_STR
 
-CUT, END = "1998-06-01", "1998-07-01"
+CUT = "1998-06-01"
 P_COLS = ["product_id", "title", "brand", "price", "sale_price", "rating", "review_count", "is_active",
           "include_exclude", "scraped_date", "scraper_id", "product_url"]
 P_CHANGE = [f for f in up.PRODUCT_CHANGE_FIELDS if f in P_COLS]
@@ -52,7 +52,7 @@ def _ups1_sql() -> str:
     base = f"(SELECT platform, sku, {', '.join(P_COLS)} FROM products)"
     body = _merge_sql(["platform", "sku"], P_COLS, P_CHANGE, {"scraped_date": "(SELECT max(scraped_date) FROM inc)"})
     return f"""WITH cur AS ({_dedup(f"{base} b WHERE scraped_date < DATE '{CUT}'", 'platform, sku', order)}),
-inc AS ({_dedup(f"{base} b WHERE scraped_date >= DATE '{CUT}' AND scraped_date < DATE '{END}'", 'platform, sku', order)})
+inc AS ({_dedup(f"{base} b WHERE scraped_date >= DATE '{CUT}'", 'platform, sku', order)})
 {body}"""
 
 
@@ -62,8 +62,7 @@ UPS1_SQL = _ups1_sql()
 def _ups1(t):
     p = t.products.select("platform", "sku", *P_COLS)
     cur = p.where(F.col("scraped_date") < F.lit(_dt.date.fromisoformat(CUT)))
-    inc = p.where((F.col("scraped_date") >= F.lit(_dt.date.fromisoformat(CUT)))
-                  & (F.col("scraped_date") < F.lit(_dt.date.fromisoformat(END))))
+    inc = p.where(F.col("scraped_date") >= F.lit(_dt.date.fromisoformat(CUT)))
     return up.upsert_products(cur, inc, latest(inc, "scraped_date"))
 
 
@@ -265,7 +264,7 @@ def ups13(t):
 
 @query("cln01_clean_products", f"""
 SELECT product_id, {SAN_STR.format(x='platform')} AS platform, {SAN_STR.format(x='sku')} AS sku,
- {SAN_STR.format(x='left(title, 500)')} AS title, {SAN_STR.format(x='left(brand, 100)')} AS brand,
+ {SAN_STR.format(x='title')} AS title, {SAN_STR.format(x='brand')} AS brand,
  CAST(CASE WHEN price IS NULL THEN NULL WHEN p BETWEEN 2000 AND 1600000 THEN p END AS DECIMAL(10,2)) AS price,
  CAST(CASE WHEN v BETWEEN 0 AND 5 THEN v END AS DECIMAL(3,2)) AS rating,
  CAST(coalesce(TRY_CAST(nullif(regexp_replace(CAST(review_count AS VARCHAR), '[^0-9]', '', 'g'), '') AS BIGINT), 0) AS INT) AS review_count,

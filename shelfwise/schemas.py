@@ -43,7 +43,7 @@ URL_STATUSES = ["pending", "processing", "completed", "failed"]
 # price validity window used by the sanitizer (rupees)
 PRICE_MIN, PRICE_MAX = 2000, 1600000
 # field maxima for truncation: title, description, brand, model / category
-MAX_TITLE, MAX_DESCRIPTION, MAX_BRAND, MAX_CATEGORY = 500, 5000, 100, 200
+MAX_TITLE, MAX_DESCRIPTION, MAX_BRAND, MAX_CATEGORY = 500, 5000, 100, 200  # display limits (STR6)
 # CLI storage estimate: bytes per product row and per log row
 BYTES_PER_PRODUCT, BYTES_PER_LOG = 2048, 1024
 # ---- end of fixed values ----------------------------------------------------
