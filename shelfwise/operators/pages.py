@@ -23,10 +23,29 @@ from shelfwise.functions.dates import review_date
 from shelfwise.operators.common import col
 
 TAG = "[a-zA-Z][a-zA-Z0-9]*"
+NESTING = 12
+
+
+def _inner(depth: int) -> str:
+    """Regex for the inner HTML (group 2) of an element whose tag is group 1, up to its own closing tag.
+
+    Same-name elements inside are skipped as balanced pairs down to ``depth``;
+    past that, and in markup that never closes them, the text ends at the first
+    closing tag of that name.  Every repetition is possessive, so long elements
+    need neither backtracking nor stack.
+    """
+    other = r"[^<]++|<(?!/?\1\b)"
+    body = rf"(?:{other})*+"
+    for _ in range(depth):
+        body = rf"(?:{other}|<\1\b[^>]*+>{body}</\1\s*+>)*+"
+    return rf"({body}(?=</\1\b)|.*?(?=</\1\b))"
+
+
+INNER = _inner(NESTING)
 
 
 def sel(selector: str, attr: str | None = None) -> str:
-    """Regex for the inner HTML (or ``attr`` value) of the element matched by a
+    """Regex for the whole inner HTML (or ``attr`` value), as group 2, of the element matched by a
     simple selector: ``tag``, ``#id``, ``.class``, ``tag#id``, ``tag.class``,
     ``[name="value"]`` (combinations of one tag, one id, classes, attributes)."""
     m_tag = re.match(r"^([a-zA-Z][a-zA-Z0-9]*)", selector)
@@ -40,21 +59,28 @@ def sel(selector: str, attr: str | None = None) -> str:
     for name, value in re.findall(r'\[([A-Za-z0-9_\-:]+)="([^"]*)"\]', selector):
         conds.append(rf'(?=[^>]*\b{re.escape(name)}="{re.escape(value)}")')
     if len(conds) == 1 and not attr:
-        # for inner text one condition needs no lookahead: the same matches, and a
-        # plain regular expression that RE2 engines accept too (an attribute read
-        # keeps the lookahead so the two attributes may come in either order)
-        inner = conds[0][len("(?="):-1]
-        opening = rf"<{tag}\b{inner}[^>]*"
-    else:
-        opening = rf"<{tag}\b{''.join(conds)}[^>]*"
+        # for inner text one condition needs no lookahead (an attribute read keeps
+        # it so the two attributes may come in either order)
+        conds = [conds[0][len("(?="):-1]]
+    opening = rf"<({tag})\b{''.join(conds)}[^>]*"
     if attr:
         return rf'(?is){opening}\b{re.escape(attr)}="([^"]*)"'
-    return rf"(?is){opening}>(.*?)</"
+    return rf"(?is){opening}>{INNER}"
+
+
+def element(condition: str, tag: str = TAG) -> str:
+    """Regex for the whole inner HTML (group 2) of an element whose opening tag holds ``condition``."""
+    return rf"(?is)<({tag})\b[^>]*{condition}[^>]*>{INNER}"
 
 
 def meta(name: str) -> str:
     """Regex for ``<meta name|property="name" content="...">``."""
-    return rf'(?is)<meta\b(?=[^>]*\b(?:name|property)="{re.escape(name)}")[^>]*\bcontent="([^"]*)"'
+    return rf'(?is)<(meta)\b(?=[^>]*\b(?:name|property)="{re.escape(name)}")[^>]*\bcontent="([^"]*)"'
+
+
+# the screen-reader copy inside a struck price (the element shows the amount twice)
+_OFFSCREEN_LIST = (rf'(?is)<({TAG})\b[^>]*\bclass="(?:[^"]*\s)?a-text-price(?:\s[^"]*)?"[^>]*>\s*'
+                   r'<span\b[^>]*\ba-offscreen\b[^>]*>([^<]*)<')
 
 
 # ---- fixed values: rule table (patterns are tried in order, first non-empty wins) ----
@@ -79,7 +105,7 @@ RULES: dict[str, dict[str, list[str]]] = {
         "description": [sel("#productDescription")],
         "sale_price": [sel(".a-price-whole"), sel("#priceblock_dealprice"), sel("#priceblock_ourprice"),
                        sel(".a-offscreen")],
-        "list_price": [sel(".a-text-price"), sel("#priceblock_listprice"), sel(".a-text-strike")],
+        "list_price": [_OFFSCREEN_LIST, sel(".a-text-price"), sel("#priceblock_listprice"), sel(".a-text-strike")],
         "rating": [sel("#acrPopover", "title"), sel(".a-icon-alt")],
         "review_count": [sel("#acrCustomerReviewText")],
         "brand": [sel("#bylineInfo")],
@@ -144,6 +170,11 @@ REVIEW_START = {
     "flipkart": r'<div\b[^>]*class="[^"]*\bcol EPCmJX\b',
     "default": r'<div\b[^>]*class="[^"]*\breview(?:-item|-card)?\b[^"]*"',
 }
+# a product card that is a button, and the node of its name
+CARD_BUTTON = r'<div\b(?=[^>]*\btabindex="0")(?=[^>]*\brole="button")'
+CARD_NAME = sel("div.tw-text-300.tw-font-semibold.tw-line-clamp-2")
+# platforms whose pages are read from JSON-LD first, markup second
+JSONLD_FIRST = ["croma", "reliancedigital", "bigbasket", "blinkit"]
 VERIFIED_PHRASES = ["Verified Purchase", "Certified Buyer"]
 # ---- end of fixed values ----
 
@@ -182,7 +213,7 @@ def _text_sql(x: str) -> str:
     return f"nullif(trim({t}), '')"
 
 
-def cascade_sql(source: str, patterns: list[str], min_len: int = 0, group: int = 1) -> str:
+def cascade_sql(source: str, patterns: list[str], min_len: int = 0, group: int = 2) -> str:
     """SQL of the first-match cascade over column ``source``."""
     if not patterns:
         return "CAST(NULL AS STRING)"
@@ -191,7 +222,7 @@ def cascade_sql(source: str, patterns: list[str], min_len: int = 0, group: int =
             f"y -> length(y) > {int(min_len)}), 1)")
 
 
-def cascade(html, patterns: list[str], min_len: int = 0, group: int = 1) -> Column:
+def cascade(html, patterns: list[str], min_len: int = 0, group: int = 2) -> Column:
     """PAG3: first pattern whose cleaned match is longer than ``min_len`` wins.
 
     Written as ``filter(transform(array(raw matches), clean), long enough)[1]``
@@ -230,41 +261,66 @@ def field(html, platform, name: str, min_len: int = 0) -> Column:
 
 
 # ---------------------------------------------------------------- links (PAG1–2)
-def product_links(pages: DataFrame, path_pattern: str | None = r"/dp/|/p/|\.html", limit: int = 50) -> DataFrame:
+def _links(pages: DataFrame, links: Column, limit: int | None) -> DataFrame:
+    """Distinct links in page order as (page_id, ordinal, link), all of them unless ``limit`` is given."""
+    out = F.array_distinct(links)
+    out = F.slice(out, 1, limit) if limit is not None else out
+    return pages.select("page_id", F.posexplode(out).alias("ordinal", "link")) \
+        .withColumn("ordinal", (F.col("ordinal") + 1).cast("int"))
+
+
+def product_links(pages: DataFrame, path_pattern: str | None = r"/dp/|/p/|\.html", limit: int | None = None) -> DataFrame:
     """PAG1: product links of listing pages — every href, made absolute with the
     page host, kept when its path passes ``path_pattern``, de-duplicated in page
-    order, first ``limit``.  One row per (page, link) with its ordinal."""
+    order, the first ``limit`` if one is given.  One row per (page, link) with its ordinal."""
     hrefs = F.regexp_extract_all("html", F.lit(r'href="([^"]+)"'), 1)
     absolute = F.transform(hrefs, lambda h: F.when(h.startswith("http"), h).otherwise(F.concat(host("url"), h)))
     if path_pattern:
         absolute = F.filter(absolute, lambda h: h.rlike(path_pattern))
-    links = F.slice(F.array_distinct(absolute), 1, limit)
-    return pages.select("page_id", F.posexplode(links).alias("ordinal", "link")) \
-        .withColumn("ordinal", (F.col("ordinal") + 1).cast("int"))
+    return _links(pages, absolute, limit)
 
 
-def card_links(pages: DataFrame, base: str = "https://blinkit.com", limit: int = 50) -> DataFrame:
+def card_links(pages: DataFrame, base: str = "https://blinkit.com", limit: int | None = None) -> DataFrame:
     """PAG2: links built from a card's product id and title slug
-    (``base/prn/<slug>/prid/<id>``), distinct, first ``limit``."""
-    pairs = F.regexp_extract_all("html", F.lit(
-        r'(?is)data-product-id="(\d+)"[^>]*>.*?class="[^"]*\bproduct-title\b[^"]*"[^>]*>([^<]*)<'), 0)
-    links = F.transform(pairs, lambda s: F.concat(
-        F.lit(base + "/prn/"), tx.slug(F.regexp_extract(s, r'(?is)>([^<>]*)<$', 1)), F.lit("/prid/"),
-        F.regexp_extract(s, r'data-product-id="(\d+)"', 1)))
-    out = F.slice(F.array_distinct(links), 1, limit)
-    return pages.select("page_id", F.posexplode(out).alias("ordinal", "link")) \
-        .withColumn("ordinal", (F.col("ordinal") + 1).cast("int"))
+    (``base/prn/<slug>/prid/<id>``), distinct, the first ``limit`` if one is given.
+
+    A card is a ``role="button"`` element with ``tabindex="0"``; its ``id`` is the
+    product id and its name node the title.  Cards without either are skipped.
+    """
+    cards = _blocks(F.col("html"), CARD_BUTTON)
+    links = F.transform(cards, lambda c: F.concat(
+        F.lit(base + "/prn/"), tx.slug(_text(F.regexp_extract(c, CARD_NAME, 2))), F.lit("/prid/"),
+        F.nullif(F.regexp_extract(c, r'(?is)^<div\b[^>]*\bid="([^"]+)"', 1), F.lit(""))))
+    return _links(pages, F.filter(links, lambda x: x.isNotNull()), limit)
 
 
 # ---------------------------------------------------------------- JSON-LD (PAG4)
 JSONLD = r'(?is)<script\b[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'
 
 
+def _ld_nodes(block: Column) -> Column:
+    """Top-level nodes of a JSON-LD block: those of ``@graph``, of a list, or the object itself."""
+    graph = F.get_json_object(block, "$.@graph")
+    listed = F.when(graph.isNotNull(), graph).when(F.ltrim(block).startswith("["), block) \
+        .otherwise(F.concat(F.lit("["), block, F.lit("]")))
+    return F.coalesce(F.from_json(listed, "array<string>"), F.array().cast("array<string>"))
+
+
+def _is_product(node: Column) -> Column:
+    kind = F.get_json_object(node, "$.@type")
+    return F.coalesce((kind == "Product") | kind.rlike(r'^\[.*"Product"'), F.lit(False))
+
+
 def jsonld_product_block(html) -> Column:
-    """The first JSON-LD block whose @type is Product (object or in @graph)."""
+    """The first JSON-LD node whose own @type is Product (an object, a list entry or one of @graph)."""
     blocks = F.regexp_extract_all(col(html), F.lit(JSONLD), 1)
-    prods = F.filter(blocks, lambda b: b.rlike(r'"@type"\s*:\s*"Product"'))
-    return F.try_element_at(prods, F.lit(1))
+    nodes = F.flatten(F.transform(blocks, _ld_nodes))
+    return F.try_element_at(F.filter(nodes, _is_product), F.lit(1))
+
+
+def by_platform(platform, ld: Column, markup: Column) -> Column:
+    """JSON-LD before markup on ``JSONLD_FIRST`` platforms, after it on the others."""
+    return F.when(col(platform).isin(*JSONLD_FIRST), F.coalesce(ld, markup)).otherwise(F.coalesce(markup, ld))
 
 
 def jsonld_fields(html=None, block=None) -> dict[str, Column]:
@@ -296,13 +352,20 @@ def jsonld_product(pages: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- product parts
-def with_price_pair(df: DataFrame, html: str = "html", platform: str = "platform") -> DataFrame:
-    """PAG6: list and sale price from the cascades (extracted once), then the
-    NUM9 repair on the extracted columns."""
-    raw = df.select("*", nm.extract_price(field(html, platform, "sale_price")).alias("__sale"),
-                    nm.extract_price(field(html, platform, "list_price")).alias("__list"))
+def with_price_pair(df: DataFrame, html: str = "html", platform: str = "platform", ld: str | None = None) -> DataFrame:
+    """PAG6: list and sale price from JSON-LD and the cascades, in the platform's
+    order (each extracted once), then the NUM9 repair on the extracted columns.
+    ``ld``: a column that holds the JSON-LD product node already."""
+    base = df if ld else df.withColumn("__ld", jsonld_product_block(html))
+    j = jsonld_fields(block=ld or "__ld")
+    raw = base.select(
+        *df.columns, j["sale_price"].alias("__ld_sale"), j["list_price"].alias("__ld_list"),
+        nm.extract_price(field(html, platform, "sale_price")).alias("__markup_sale"),
+        nm.extract_price(field(html, platform, "list_price")).alias("__markup_list"))
+    both = raw.select(*df.columns, by_platform(platform, F.col("__ld_sale"), F.col("__markup_sale")).alias("__sale"),
+                      by_platform(platform, F.col("__ld_list"), F.col("__markup_list")).alias("__list"))
     lst, sale = nm.repair_prices("__list", "__sale", platform)
-    return raw.select(*df.columns, lst.alias("list_price"), sale.alias("sale_price"))
+    return both.select(*df.columns, lst.alias("list_price"), sale.alias("sale_price"))
 
 
 def star_histogram(html) -> Column:
@@ -360,10 +423,10 @@ def dimensions(specs, platform) -> Column:
 def breadcrumb(html, platform, sep: str | None = None) -> Column:
     """PAG11: breadcrumb texts in order, joined (amazon distinct; flipkart drops a leading Home)."""
     h, p = col(html), col(platform)
-    items = F.regexp_extract_all(h, F.lit(r'(?is)<(?:li|a)\b[^>]*class="[^"]*\bbreadcrumb[^"]*"[^>]*>(.*?)</'), 1)
+    items = F.regexp_extract_all(h, F.lit(element(r'class="[^"]*\bbreadcrumb[^"]*"', "li|a")), 2)
     items = F.filter(F.transform(items, lambda x: _text(x)), lambda x: x.isNotNull())
     items = F.when(p == "amazon", F.array_distinct(items)) \
-        .when((p == "flipkart") & (F.lower(F.try_element_at(items, F.lit(1))) == "home"), F.slice(items, 2, 1 << 20)) \
+        .when((p == "flipkart") & (F.lower(F.try_element_at(items, F.lit(1))) == "home"), F.slice(items, F.lit(2), F.size(items))) \
         .otherwise(items)
     out = F.array_join(items, sep) if sep else F.when(p == "bigbasket", F.array_join(items, " > ")) \
         .otherwise(F.array_join(items, " > "))
@@ -413,7 +476,7 @@ def availability(html, platform) -> Column:
 
 def offers(html) -> Column:
     """PAG16: discount / offer percents found in offer blocks, joined by '; '."""
-    blocks = F.regexp_extract_all(col(html), F.lit(r'(?is)class="[^"]*\b(?:savingsPercentage|offer[^"]*)\b[^"]*"[^>]*>(.*?)</'), 1)
+    blocks = F.regexp_extract_all(col(html), F.lit(element(r'class="[^"]*\b(?:savingsPercentage|offer[^"]*)\b[^"]*"')), 2)
     pcts = F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(r"(\d+\s?%)"), 1)))
     return F.nullif(F.array_join(F.array_distinct(pcts), "; "), F.lit(""))
 
@@ -421,7 +484,7 @@ def offers(html) -> Column:
 def delivery(html) -> tuple[Column, Column]:
     """PAG17: (price, date) — 'Free' or the first ₹ amount; the date after 'by'
     or 'in N days'."""
-    block = _text(F.regexp_extract(col(html), r'(?is)class="[^"]*\bdelivery[^"]*"[^>]*>(.*?)</div>', 1))
+    block = _text(F.regexp_extract(col(html), element(r'class="[^"]*\bdelivery[^"]*"'), 2))
     price = F.when(F.lower(block).contains("free"), F.lit("Free")) \
         .otherwise(F.nullif(F.regexp_extract(block, r"(₹\s?[\d,]+(?:\.\d+)?)", 1), F.lit("")))
     date = F.coalesce(F.nullif(F.regexp_extract(block, r"(?i)\bby\s+([A-Za-z]{3,9},?\s+[A-Za-z]{3,9}\s+\d{1,2}|[A-Za-z]{3,9}\s+\d{1,2})", 1), F.lit("")),
@@ -435,7 +498,7 @@ def badges_and_rank(html) -> dict[str, Column]:
     each go to their own column."""
     h = col(html)
     rank = F.regexp_extract(h, r"#\s?([\d,]+)\s+in\b", 1)
-    bullets = F.regexp_extract_all(h, F.lit(r'(?is)<div\b[^>]*id="feature-bullets".*?</div>'), 0)
+    bullets = F.regexp_extract_all(h, F.lit(element(r'id="feature-bullets"', "div")), 2)
     lis = F.transform(F.regexp_extract_all(F.array_join(bullets, " "), F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), 1),
                       lambda x: _text(x))
     say = cascade("html", [sel('[data-hook="cr-insights-widget-summary"]'), sel("#product-summary")], 20)
@@ -445,7 +508,7 @@ def badges_and_rank(html) -> dict[str, Column]:
         "bestseller": h.rlike(r"(?i)mvt-best-seller-badge|#1 Best Seller"),
         "highlights": F.nullif(F.array_join(F.filter(lis, lambda x: F.length(x) > 10), ". "), F.lit("")),
         "customers_say": say,
-        "countdown": cascade("html", [r'(?is)<span\b[^>]*>([^<]*(?:Deal|ends in)[^<]*)</span>'], 0),
+        "countdown": cascade("html", [r'(?is)<(span)\b[^>]*>([^<]*(?:Deal|ends in)[^<]*)</span>'], 0),
     }
 
 
@@ -457,14 +520,14 @@ def seller_and_badge(html, platform) -> dict[str, Column]:
     srating = F.regexp_extract(h, r'(?is)class="[^"]*\bseller-rating\b[^"]*"[^>]*>\s*([\d.]+)', 1).try_cast("double")
     badge_tag = F.regexp_extract(h, r'(?is)<[a-z]+\b[^>]*class="[^"]*\bproduct-badge\b[^"]*"[^>]*>', 0)
     badge = F.when((badge_tag != "") & ~badge_tag.rlike(r"(?i)display:\s*none"),
-                   _text(F.regexp_extract(h, r'(?is)class="[^"]*\bproduct-badge\b[^"]*"[^>]*>(.*?)</', 1)))
+                   _text(F.regexp_extract(h, element(r'class="[^"]*\bproduct-badge\b[^"]*"'), 2)))
     return {"seller_name": F.nullif(seller, F.lit("")), "seller_rating": F.when(srating <= 5, srating),
             "product_badge": badge}
 
 
 def page_products(pages: DataFrame, platform: str | Column = "platform") -> DataFrame:
-    """PAG5: a full product record per product page — cascades, JSON-LD
-    fallback per field, price pair, histogram, specs — then cleaned (CLN1).
+    """PAG5: a full product record per product page — cascades and JSON-LD per
+    field in the platform's order, price pair, histogram, specs — then cleaned (CLN1).
 
     Staged projections: every regular expression runs once per page (stage 1
     and 2 extract, stage 3 combines extracted columns, stage 4 cleans), which
@@ -476,7 +539,7 @@ def page_products(pages: DataFrame, platform: str | Column = "platform") -> Data
     h = F.col("html")
     s1 = pages.select("page_id", p.alias("platform"), "url", "html",
                       jsonld_product_block(h).alias("__ld"), spec_map(h).alias("__specs"))
-    s1 = with_price_pair(s1)
+    s1 = with_price_pair(s1, ld="__ld")
     dprice, ddate = delivery(h)
     extra = badges_and_rank(h)
     seller = seller_and_badge(h, "platform")
@@ -499,22 +562,24 @@ def page_products(pages: DataFrame, platform: str | Column = "platform") -> Data
     )
     jl = jsonld_fields(block="__ld")
     specs = F.col("__specs")
+
+    def first(name, markup):
+        return by_platform("platform", jl[name], markup).alias(name)
     raw = s2.select(
         F.col("page_id").alias("product_id"), "platform", F.col("url").alias("product_url"),
-        F.coalesce(F.col("__title"), jl["title"]).alias("title"),
-        F.coalesce(F.col("__description"), jl["description"]).alias("description"),
-        F.coalesce(F.col("__brand"), named_attr(specs, "^brand"), jl["brand"]).alias("brand"),
+        first("title", F.col("__title")), first("description", F.col("__description")),
+        first("brand", F.coalesce(F.col("__brand"), named_attr(specs, "^brand"))),
         named_attr(specs, "^manufacturer").alias("manufacturer"),
         named_attr(specs, "^model").alias("model_name"),
         named_attr(specs, "^colou?r").alias("color"),
         named_attr(specs, "weight").alias("weight"),
         dimensions(specs, "platform").alias("dimensions"),
-        F.coalesce("list_price", jl["list_price"], jl["sale_price"]).cast("string").alias("price"),
-        F.coalesce("sale_price", jl["sale_price"]).cast("string").alias("sale_price"),
-        F.coalesce("__rating", jl["rating"]).cast("string").alias("rating"),
-        F.coalesce("__reviews", jl["review_count"]).cast("string").alias("review_count"),
+        F.coalesce("list_price", jl["sale_price"]).cast("string").alias("price"),
+        F.col("sale_price").cast("string").alias("sale_price"),
+        first("rating", F.col("__rating")).cast("string").alias("rating"),
+        first("review_count", F.col("__reviews")).cast("string").alias("review_count"),
         *[F.col("__hist")[5 - i].cast("string").alias(f"rating_{i}_star_percent") for i in range(1, 6)],
-        F.coalesce(F.when(F.size("__images") > 0, F.col("__images")), jl["image_urls"]).alias("image_urls"),
+        first("image_urls", F.when(F.size("__images") > 0, F.col("__images"))),
         "video_urls", F.to_json(specs).alias("technical_details"),
         "category", "inventory_status", "offers", "delivery_price", "delivery_date", "highlights",
         "customers_say", "amazon_choice", "bestseller", "seller_name", "product_badge", "currency_code",
@@ -528,7 +593,7 @@ def _blocks(html: Column, start_pattern: str) -> Column:
     """Blocks of a page: the text from each block start to the next one."""
     marked = F.regexp_replace(html, f"({start_pattern})", "\u0001$1")
     parts = F.split(marked, "\u0001")
-    return F.slice(parts, 2, 1 << 20)
+    return F.slice(parts, F.lit(2), F.size(parts))
 
 
 def is_sponsored(block, platform=None) -> Column:
@@ -593,7 +658,7 @@ def verified(block) -> Column:
 
 def helpful_count(block) -> Column:
     """PAG25: first integer of the 'n people found this helpful' text ('One' = 1)."""
-    t = _text(F.regexp_extract(col(block), r'(?is)class="[^"]*\b(?:helpful[^"]*|cr-vote-text)\b[^"]*"[^>]*>(.*?)</', 1))
+    t = _text(F.regexp_extract(col(block), element(r'class="[^"]*\b(?:helpful[^"]*|cr-vote-text)\b[^"]*"'), 2))
     n = F.nullif(F.regexp_extract(F.replace(t, F.lit(","), F.lit("")), r"(\d+)", 1), F.lit("")).try_cast("int")
     return F.coalesce(n, F.when(F.lower(t).startswith("one"), F.lit(1)), F.lit(0))
 

@@ -1,9 +1,9 @@
-"""Catalogue entries for §2.10 page jobs, run over the driver's whole ``pages`` table.
+"""Catalogue entries for §2.10 page jobs, run over every page of the driver's ``pages`` table.
 
-The driver pages carry titles, nav links, ad blocks and articles but no prices,
-JSON-LD, cards or reviews; the extractors that need those are exercised on
-hand-written per-platform HTML in ``tests/test_pages.py`` and run here over the
-real pages (mostly finding nothing, which is the right answer for them).
+The driver pages carry titles, nav links, ad blocks and articles; the view
+``shop_pages`` appends prices, JSON-LD, cards and reviews whose values follow from
+the page's key.  PAG6, 15, 18, 21 and 28 are compared with those values themselves;
+the other twins read the markup with expressions of their own engine.
 """
 
 from __future__ import annotations
@@ -12,38 +12,39 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators import pages as pg
 from shelfwise.plans.catalog import query
-from shelfwise.sources.views import _PLATFORM_OF
+from shelfwise.sources.views import LIST, SALE, _PLATFORM_OF
 
 _PLAT = _PLATFORM_OF.format(k="page_id")
 
 
 def _pages(t):
-    return t.pages.select("page_id", "url", "html", F.expr(_PLAT).alias("platform"))
+    return t.shop_pages.select("page_id", "url", "html", F.expr(_PLAT).alias("platform"))
 
 
 @query("pag01_product_links", """
 WITH l AS (SELECT page_id, list_transform(regexp_extract_all(html, 'href="([^"]+)"', 1),
-   lambda h: CASE WHEN starts_with(h, 'http') THEN h ELSE regexp_extract(url, '^(https?://[^/?#]+)', 1) || h END) AS a FROM pages),
-d AS (SELECT page_id, list_slice(list_filter(a, lambda x, i: list_position(a, x) = i), 1, 50) AS links FROM l)
+   lambda h: CASE WHEN starts_with(h, 'http') THEN h ELSE regexp_extract(url, '^(https?://[^/?#]+)', 1) || h END) AS a FROM shop_pages),
+d AS (SELECT page_id, list_filter(a, lambda x, i: list_position(a, x) = i) AS links FROM l)
 SELECT page_id, CAST(generate_subscripts(links, 1) AS INT) AS ordinal, unnest(links) AS link FROM d""")
 def pag01(t):
-    return pg.product_links(t.pages, path_pattern=None, limit=50)
+    return pg.product_links(t.shop_pages, path_pattern=None)
 
 
 def _pag02_sql() -> str:
-    card = '(?is)data-product-id="(\\d+)"[^>]*>.*?class="[^"]*\\bproduct-title\\b[^"]*"[^>]*>([^<]*)<'
-    name = "regexp_extract(m, '(?is)>([^<>]*)<$', 1)"
-    slug = f"regexp_replace(regexp_replace(lower({name}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
-    link = f"'https://blinkit.com/prn/' || {slug} || '/prid/' || regexp_extract(m, 'data-product-id=\"(\\d+)\"', 1)"
+    slug = "regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
     return f"""
-WITH l AS (SELECT page_id, list_transform(regexp_extract_all(html, '{card}', 0), lambda m: {link}) AS a FROM pages),
-d AS (SELECT page_id, list_slice(list_filter(a, lambda x, i: list_position(a, x) = i), 1, 50) AS links FROM l)
-SELECT page_id, CAST(generate_subscripts(links, 1) AS INT) AS ordinal, unnest(links) AS link FROM d"""
+WITH m AS (SELECT page_id, string_split(regexp_replace(html, '(<div tabindex="0" role="button")', chr(1) || '\\1', 'g'), chr(1)) AS parts FROM shop_pages),
+c AS (SELECT page_id, unnest(list_slice(parts, 2, len(parts))) AS card, generate_subscripts(list_slice(parts, 2, len(parts)), 1) AS i FROM m),
+v AS (SELECT page_id, i, regexp_extract(card, '^<div[^>]*id="([^"]+)"', 1) AS id,
+  replace(regexp_extract(card, 'tw-line-clamp-2">([^<]*)<', 1), '&amp;', '&') AS name FROM c),
+l AS (SELECT page_id, min(i) AS i, 'https://blinkit.com/prn/' || {slug} || '/prid/' || id AS link FROM v
+  WHERE id <> '' AND name <> '' GROUP BY ALL)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) AS INT) AS ordinal, link FROM l"""
 
 
 @query("pag02_card_links", _pag02_sql())
 def pag02(t):
-    return pg.card_links(t.pages)
+    return pg.card_links(t.shop_pages)
 
 
 def _txt(x: str) -> str:
@@ -53,16 +54,16 @@ def _txt(x: str) -> str:
     return f"nullif(trim({inner}), '')"
 
 
-_TITLE_RX = ["(?is)<h1\\b[^>]*>(.*?)</", "(?is)<title\\b[^>]*>(.*?)</",
+_TITLE_RX = ["(?is)<h1\\b[^>]*>(.*?)</h1", "(?is)<title\\b[^>]*>(.*?)</title",
              '(?is)<meta\\b[^>]*\\b(?:name|property)="og:title"[^>]*\\bcontent="([^"]*)"',
              '(?is)<meta\\b[^>]*\\b(?:name|property)="title"[^>]*\\bcontent="([^"]*)"']
 
 
 @query("pag03_title_cascade", "SELECT page_id, coalesce(" + ", ".join(
     f"CASE WHEN length({_txt(f'regexp_extract(html, {chr(39)}{r}{chr(39)}, 1)')}) > 3 "
-    f"THEN {_txt(f'regexp_extract(html, {chr(39)}{r}{chr(39)}, 1)')} END" for r in _TITLE_RX) + ") AS title FROM pages")
+    f"THEN {_txt(f'regexp_extract(html, {chr(39)}{r}{chr(39)}, 1)')} END" for r in _TITLE_RX) + ") AS title FROM shop_pages")
 def pag03(t):
-    return t.pages.select("page_id", pg.cascade("html", pg.RULES["generic"]["title"], 3).alias("title"))
+    return t.shop_pages.select("page_id", pg.cascade("html", pg.RULES["generic"]["title"], 3).alias("title"))
 
 
 def _price_sql(x: str) -> str:
@@ -77,7 +78,11 @@ def _pag04_sql() -> str:
     img = j.format("$.image")
     return f"""
 WITH b AS (SELECT page_id, list_filter(regexp_extract_all(html, '(?is)<script\\b[^>]*type="application/ld\\+json"[^>]*>(.*?)</script>', 1),
-   lambda x: regexp_matches(x, '"@type"\\s*:\\s*"Product"'))[1] AS ld FROM pages)
+   lambda x: json_valid(x)) AS bs FROM shop_pages),
+n AS (SELECT page_id, flatten(list_transform(bs, lambda x: CASE WHEN json_extract(x, '$."@graph"') IS NOT NULL
+   THEN CAST(json_extract(x, '$."@graph"') AS JSON[]) WHEN json_type(x) = 'ARRAY' THEN CAST(CAST(x AS JSON) AS JSON[])
+   ELSE [CAST(x AS JSON)] END)) AS nodes FROM b),
+p AS (SELECT page_id, list_filter(nodes, lambda x: json_extract_string(x, '$."@type"') = 'Product')[1] AS ld FROM n)
 SELECT page_id, {j.format('$.name')} AS title, {j.format('$.description')} AS description,
  coalesce({j.format('$.brand.name')}, CASE WHEN NOT starts_with(coalesce({j.format('$.brand')}, ''), '{{') THEN {j.format('$.brand')} END) AS brand,
  CASE WHEN starts_with({img}, '[') THEN array_to_string(CAST(json({img}) AS VARCHAR[]), ' ') ELSE {img} END AS image_urls,
@@ -85,12 +90,12 @@ SELECT page_id, {j.format('$.name')} AS title, {j.format('$.description')} AS de
  {_price_sql(j.format('$.offers.highPrice'))} AS list_price,
  CASE WHEN {rating_raw} BETWEEN 0 AND 5 THEN {rating_raw} END AS rating,
  coalesce(TRY_CAST(nullif(regexp_extract(replace({count_raw}, ',', ''), '([0-9]+)', 1), '') AS BIGINT), 0) AS review_count
-FROM b WHERE ld IS NOT NULL"""
+FROM p WHERE ld IS NOT NULL"""
 
 
 @query("pag04_jsonld_product", _pag04_sql())
 def pag04(t):
-    return pg.jsonld_product(t.pages).withColumn("image_urls", F.array_join("image_urls", " "))
+    return pg.jsonld_product(t.shop_pages).withColumn("image_urls", F.array_join("image_urls", " "))
 
 
 @query("pag05_page_products")
@@ -98,7 +103,18 @@ def pag05(t):
     return pg.page_products(_pages(t))
 
 
-@query("pag06_price_pair")
+_LD_FIRST = "platform IN ('croma', 'reliancedigital', 'bigbasket', 'blinkit')"
+
+
+@query("pag06_price_pair", f"""
+WITH v AS (SELECT page_id, {_PLAT} AS platform, {SALE} AS sale, CASE WHEN page_id % 3 < 2 THEN {SALE} + 1 END AS ld_sale,
+  CASE WHEN page_id % 5 <> 0 AND page_id % 8 <> 5 THEN {LIST} END AS list, CASE WHEN page_id % 3 = 1 THEN {LIST} + 1 END AS ld_list FROM pages),
+w AS (SELECT page_id, platform, CASE WHEN {_LD_FIRST} THEN coalesce(ld_sale, sale) ELSE sale END AS s,
+  CASE WHEN {_LD_FIRST} THEN coalesce(ld_list, list) ELSE coalesce(list, ld_list) END AS l FROM v),
+f AS (SELECT page_id, platform, CASE WHEN l IS NULL AND platform IN ('amazon', 'reliancedigital', 'bigbasket', 'meesho') THEN s ELSE l END AS l,
+  CASE WHEN l IS NULL AND platform = 'meesho' THEN NULL ELSE s END AS s FROM w)
+SELECT page_id, CAST(CASE WHEN platform = 'reliancedigital' AND s > l THEN s ELSE l END AS DOUBLE) AS list_price,
+ CAST(CASE WHEN platform = 'reliancedigital' AND s > l THEN l ELSE s END AS DOUBLE) AS sale_price FROM f""")
 def pag06(t):
     return pg.with_price_pair(_pages(t)).select("page_id", "list_price", "sale_price")
 
@@ -112,7 +128,7 @@ def _spec_entries_sql() -> str:
     v = _txt(f"regexp_extract(r, '{pg.SPEC_ROW}', 2)")
     return f"""
 s0 AS (SELECT page_id, html, {_PLAT} AS platform, list_filter(list_transform(regexp_extract_all(html, '{pg.SPEC_ROW}', 0),
-   lambda r: {{'k': {k}, 'v': {v}}}), lambda e: e.k IS NOT NULL AND e.v IS NOT NULL) AS kept FROM pages),
+   lambda r: {{'k': {k}, 'v': {v}}}), lambda e: e.k IS NOT NULL AND e.v IS NOT NULL) AS kept FROM shop_pages),
 s1 AS (SELECT page_id, html, platform, list_filter(kept, lambda p, i: NOT list_bool_or(list_transform(kept,
    lambda q, j: q.k = p.k AND j > i))) AS specs FROM s0)"""
 
@@ -127,7 +143,7 @@ WITH x AS (SELECT page_id,
   regexp_extract_all(regexp_extract(html, '(?is)<table\\b[^>]*id="histogramTable".*?</table>', 0), '(\\d+(?:\\.\\d+)?)\\s*%', 1) AS texts,
   regexp_extract_all(html, '(?i)width:\\s*(\\d+(?:\\.\\d+)?)%', 1) AS widths,
   list_transform(regexp_extract_all(html, '(?is)class="[^"]*\\bstar-count\\b[^"]*"[^>]*>\\s*([\\d,]+)\\s*<', 1),
-    lambda c: CAST(replace(c, ',', '') AS DOUBLE)) AS nums FROM pages),
+    lambda c: CAST(replace(c, ',', '') AS DOUBLE)) AS nums FROM shop_pages),
 y AS (SELECT *, list_sum(nums) AS total FROM x),
 z AS (SELECT page_id, CASE WHEN len(texts) >= 5 THEN list_slice(texts, len(texts) - 4, len(texts))
   WHEN len(widths) >= 5 THEN list_slice(widths, 1, 5)
@@ -140,7 +156,7 @@ FROM z"""
 @query("pag07_star_histogram", _pag07_sql())
 def pag07(t):
     h = pg.star_histogram("html")
-    return t.pages.select("page_id", F.array_join(F.transform(h, lambda x: x.cast("string")), ",").alias("star_percents"))
+    return t.shop_pages.select("page_id", F.array_join(F.transform(h, lambda x: x.cast("string")), ",").alias("star_percents"))
 
 
 @query("pag08_spec_map", f"""
@@ -148,7 +164,7 @@ WITH {_spec_entries_sql()}
 SELECT page_id, array_to_string(list_sort(list_transform(specs, lambda e: e.k || '=' || e.v)), ';') AS specs FROM s1""")
 def pag08(t):
     m = pg.spec_map("html")
-    return t.pages.select("page_id", F.array_join(F.sort_array(F.transform(
+    return t.shop_pages.select("page_id", F.array_join(F.sort_array(F.transform(
         F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";").alias("specs"))
 
 
@@ -158,7 +174,7 @@ SELECT page_id, {_named_sql('^brand')} AS brand, {_named_sql('^model')} AS model
 FROM s1""")
 def pag09(t):
     s = pg.spec_map("html")
-    return t.pages.select("page_id", pg.named_attr(s, "^brand").alias("brand"),
+    return t.shop_pages.select("page_id", pg.named_attr(s, "^brand").alias("brand"),
                           pg.named_attr(s, "^model").alias("model_name"), pg.named_attr(s, "^colou?r").alias("color"))
 
 
@@ -177,7 +193,7 @@ def _pag11_sql() -> str:
     items = ("list_filter(list_transform(regexp_extract_all(html, '(?is)<(?:li|a)\\b[^>]*class=\"[^\"]*\\bbreadcrumb[^\"]*\"[^>]*>(.*?)</', 1), "
              f"lambda x: {_txt('x')}), lambda y: y IS NOT NULL)")
     return f"""
-WITH b AS (SELECT page_id, platform, {items} AS it FROM (SELECT page_id, html, {_PLAT} AS platform FROM pages) p),
+WITH b AS (SELECT page_id, platform, {items} AS it FROM (SELECT page_id, html, {_PLAT} AS platform FROM shop_pages) p),
 c AS (SELECT page_id, CASE WHEN platform = 'amazon' THEN list_filter(it, lambda x, i: list_position(it, x) = i)
    WHEN platform = 'flipkart' AND lower(it[1]) = 'home' THEN list_slice(it, 2, len(it)) ELSE it END AS it FROM b)
 SELECT page_id, nullif(array_to_string(it, ' > '), '') AS category FROM c"""
@@ -196,19 +212,19 @@ def _pag12_sql() -> str:
              f"nullif(trim(split_part(coalesce({attr('srcset')}, ''), ' ', 1)), ''), {attr('src')})")
     return f"""
 WITH u AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<img\\b[^>]*>', 0), lambda g: {first}),
-   lambda x: regexp_matches(x, '^https?://')) AS l FROM pages)
+   lambda x: regexp_matches(x, '^https?://')) AS l FROM shop_pages)
 SELECT page_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS image_urls FROM u"""
 
 
 @query("pag12_image_urls", _pag12_sql())
 def pag12(t):
-    return t.pages.select("page_id", F.array_join(pg.image_urls("html"), " ").alias("image_urls"))
+    return t.shop_pages.select("page_id", F.array_join(pg.image_urls("html"), " ").alias("image_urls"))
 
 
 def _pag13_sql() -> str:
     return """
 WITH v AS (SELECT page_id, regexp_extract_all(html, '(?i)(https?://[^"\\s]+\\.(?:mp4|m3u8|webm))', 1) AS direct,
-  regexp_extract_all(html, '(?i)(?:i\\.ytimg\\.com/vi/|youtube\\.com/embed/)([A-Za-z0-9_\\-]{11})', 1) AS ids FROM pages),
+  regexp_extract_all(html, '(?i)(?:i\\.ytimg\\.com/vi/|youtube\\.com/embed/)([A-Za-z0-9_\\-]{11})', 1) AS ids FROM shop_pages),
 d AS (SELECT page_id, direct, list_filter(ids, lambda x, i: list_position(ids, x) = i) AS ids FROM v),
 m AS (SELECT page_id, list_concat(direct, flatten(list_transform(ids, lambda i: ['https://www.youtube.com/watch?v=' || i,
   'https://www.youtube.com/embed/' || i]))) AS l FROM d)
@@ -217,7 +233,7 @@ SELECT page_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x)
 
 @query("pag13_video_urls", _pag13_sql())
 def pag13(t):
-    return t.pages.select("page_id", F.array_join(pg.video_urls("html"), " ").alias("video_urls"))
+    return t.shop_pages.select("page_id", F.array_join(pg.video_urls("html"), " ").alias("video_urls"))
 
 
 def _pag14_sql() -> str:
@@ -226,17 +242,21 @@ def _pag14_sql() -> str:
     img = "coalesce(nullif(regexp_extract(v, '(?is)<img\\b[^>]*\\bsrc=\"([^\"]*)\"', 1), ''), '')"
     asin = "regexp_extract(v, 'data-(?:defaultasin|asin)=\"([A-Z0-9]+)\"', 1)"
     return (f"SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '{li}', 0), "
-            f"lambda v: {name} || '|' || {img} || '|' || {asin}), ';') AS variants FROM pages")
+            f"lambda v: {name} || '|' || {img} || '|' || {asin}), ';') AS variants FROM shop_pages")
 
 
 @query("pag14_variants", _pag14_sql())
 def pag14(t):
     v = pg.variants("html")
-    return t.pages.select("page_id", F.array_join(F.transform(v, lambda e: F.concat_ws(
+    return t.shop_pages.select("page_id", F.array_join(F.transform(v, lambda e: F.concat_ws(
         "|", F.coalesce(e["name"], F.lit("")), F.coalesce(e["image"], F.lit("")), e["asin"])), ";").alias("variants"))
 
 
-@query("pag15_availability")
+@query("pag15_availability", f"""
+SELECT page_id, platform, CASE WHEN page_id % 6 <> 0 AND platform IN ('amazon', 'flipkart', 'vijaysales')
+  THEN 'Only ' || CAST(page_id % 9 + 1 AS VARCHAR) || ' left in stock'
+ WHEN platform IN ('flipkart', 'vijaysales', 'blinkit') THEN 'In Stock' ELSE 'Unknown' END AS inventory_status
+FROM (SELECT page_id, {_PLAT} AS platform FROM pages) x""")
 def pag15(t):
     p = _pages(t)
     return p.select("page_id", "platform", pg.availability("html", F.col("platform")).alias("inventory_status"))
@@ -247,10 +267,10 @@ _OFFER_RX = '(?is)class="[^"]*\\b(?:savingsPercentage|offer[^"]*)\\b[^"]*"[^>]*>
 
 @query("pag16_offers", f"""
 WITH b AS (SELECT page_id, flatten(list_transform(regexp_extract_all(html, '{_OFFER_RX}', 1),
-   lambda x: regexp_extract_all(x, '(\\d+\\s?%)', 1))) AS p FROM pages)
+   lambda x: regexp_extract_all(x, '(\\d+\\s?%)', 1))) AS p FROM shop_pages)
 SELECT page_id, nullif(array_to_string(list_filter(p, lambda x, i: list_position(p, x) = i), '; '), '') AS offers FROM b""")
 def pag16(t):
-    return t.pages.select("page_id", pg.offers("html").alias("offers"))
+    return t.shop_pages.select("page_id", pg.offers("html").alias("offers"))
 
 
 def _pag17_sql() -> str:
@@ -260,19 +280,23 @@ def _pag17_sql() -> str:
     by = ("'(?i)\\bby\\s+([A-Za-z]{3,9},?\\s+[A-Za-z]{3,9}\\s+\\d{1,2}|[A-Za-z]{3,9}\\s+\\d{1,2})'")
     date = (f"coalesce(nullif(regexp_extract({blk}, {by}, 1), ''), "
             f"nullif(regexp_extract({blk}, '(?i)\\b(in\\s+\\d+\\s+days?)', 1), ''))")
-    return f"SELECT page_id, {price} AS delivery_price, {date} AS delivery_date FROM pages"
+    return f"SELECT page_id, {price} AS delivery_price, {date} AS delivery_date FROM shop_pages"
 
 
 @query("pag17_delivery", _pag17_sql())
 def pag17(t):
     price, date = pg.delivery("html")
-    return t.pages.select("page_id", price.alias("delivery_price"), date.alias("delivery_date"))
+    return t.shop_pages.select("page_id", price.alias("delivery_price"), date.alias("delivery_date"))
 
 
-@query("pag18_badges_and_rank")
+@query("pag18_badges_and_rank", """
+SELECT page_id, CAST(page_id % 900 + 1 AS INT) AS best_seller_rank, page_id % 2 = 0 AS amazon_choice, page_id % 3 = 0 AS bestseller,
+ 'Sixteen GB of memory, lot ' || (page_id % 31) || '. A second list of points' AS highlights,
+ 'Buyers like the screen of lot ' || (page_id % 31) || '.' AS customers_say,
+ 'Deal ends in ' || (page_id % 48) || ' hours' AS countdown FROM pages""")
 def pag18(t):
     f = pg.badges_and_rank("html")
-    return t.pages.select("page_id", *[v.alias(k) for k, v in f.items()])
+    return t.shop_pages.select("page_id", *[v.alias(k) for k, v in f.items()])
 
 
 def _pag19_sql() -> str:
@@ -284,13 +308,16 @@ def _pag19_sql() -> str:
     sku = ("coalesce(nullif(regexp_extract(card, 'data-asin=\"([A-Z0-9]{10})\"', 1), ''), "
            "nullif(regexp_extract(card, 'data-id=\"([A-Za-z0-9]+)\"', 1), ''), "
            "nullif(regexp_extract(card, 'data-(?:sku|product-id)=\"([A-Za-z0-9_\\-]+)\"', 1), ''))")
-    raws = ", ".join(f"regexp_extract(card, '{p}', 1)" for p in (pg.sel("h2"), pg.sel(".product-title"), pg.sel("a", "title")))
+    # RE2 has no back-references: the twin names the tags that the pages use
+    rules = ['(?is)<h2\\b[^>]*>(.*?)</h2', '(?is)<div\\b[^>]*\\bclass="(?:[^"]*\\s)?product-title(?:\\s[^"]*)?"[^>]*>(.*?)</div',
+             '(?is)<a\\b[^>]*\\btitle="([^"]*)"']
+    raws = ", ".join(f"regexp_extract(card, '{p}', 1)" for p in rules)
     title = f"list_filter(list_transform([{raws}], lambda x: {_txt('x')}), lambda y: length(y) > 0)[1]"
     markers = " OR ".join(f"regexp_matches(card, '(?i){m}')" for m in pg.SPONSORED_MARKERS)
     sponsored = (f"((regexp_matches(card, '(?i){pg.AD_URL_FLAG}') AND NOT regexp_matches(card, '(?i){pg.ORGANIC_URL_FLAG}'))"
                  f" OR {markers})")
     return f"""
-WITH p AS (SELECT page_id, html, {_PLAT} AS platform FROM pages),
+WITH p AS (SELECT page_id, html, {_PLAT} AS platform FROM shop_pages),
 b AS (SELECT page_id, platform, string_split({marked}, chr(1)) AS parts FROM p),
 c AS (SELECT page_id, platform, list_slice(parts, 2, len(parts)) AS cards FROM b),
 u AS (SELECT page_id, platform, CAST(generate_subscripts(cards, 1) AS INT) AS ordinal, unnest(cards) AS card FROM c)
@@ -305,7 +332,7 @@ def pag19(t):
 def _pag20_sql() -> str:
     markers = " OR ".join(f"regexp_matches(c, '(?i){m}')" for m in pg.SPONSORED_MARKERS)
     return f"""
-WITH b AS (SELECT page_id, string_split_regex(html, '<div\\b') AS parts FROM pages),
+WITH b AS (SELECT page_id, string_split_regex(html, '<div\\b') AS parts FROM shop_pages),
 x AS (SELECT page_id, list_slice(parts, 2, len(parts)) AS blocks FROM b)
 SELECT page_id, CAST(len(blocks) AS INT) AS blocks, CAST(len(list_filter(blocks, lambda c:
   (regexp_matches(c, '(?i){pg.AD_URL_FLAG}') AND NOT regexp_matches(c, '(?i){pg.ORGANIC_URL_FLAG}'))
@@ -315,11 +342,20 @@ SELECT page_id, CAST(len(blocks) AS INT) AS blocks, CAST(len(list_filter(blocks,
 @query("pag20_is_sponsored", _pag20_sql())
 def pag20(t):
     blocks = pg._blocks(F.col("html"), r"<div\b")
-    return t.pages.select("page_id", F.size(blocks).cast("int").alias("blocks"),
+    return t.shop_pages.select("page_id", F.size(blocks).cast("int").alias("blocks"),
                           F.size(F.filter(blocks, lambda c: pg.is_sponsored(c))).cast("int").alias("sponsored_blocks"))
 
 
-@query("pag21_page_reviews")
+@query("pag21_page_reviews", f"""
+WITH p AS (SELECT page_id, {_PLAT} AS platform, CAST(page_id % 5 + 1 AS INT) AS r FROM pages)
+SELECT page_id, platform, 1 AS ordinal, 'RV' || page_id || 'A' AS review_id, 'User ' || (page_id % 19) AS reviewer_name,
+ CAST(r AS DECIMAL(3,2)) AS rating, 'Title ' || (page_id % 23) AS review_title,
+ 'Good screen and keys of lot ' || (page_id % 31) || '.' AS review_text, make_date(2024, 1, page_id % 28 + 1) AS review_date,
+ page_id % 2 = 0 AS verified_purchase, CAST(page_id % 40 + 2 AS INT) AS helpful_count, 'Colour: Shade ' || (page_id % 9) AS variant_info,
+ CASE WHEN r >= 4 THEN 'positive' WHEN r >= 3 THEN 'neutral' ELSE 'negative' END AS sentiment FROM p
+UNION ALL
+SELECT page_id, platform, 2, 'RV' || page_id || 'B', 'Silent', NULL, NULL, NULL, NULL, false, 0, NULL, NULL
+FROM p WHERE page_id % 2 = 1 AND platform IN ('amazon', 'flipkart')""")
 def pag21(t):
     from shelfwise.operators.common import latest
     return pg.page_reviews(_pages(t), asof=latest(t.events, "ts"))
@@ -333,7 +369,7 @@ def _pag22_sql() -> str:
     return f"""
 SELECT page_id, coalesce(nullif(regexp_extract(html, '^\\S*<div\\b[^>]*\\bid="([A-Za-z0-9_\\-]+)"', 1), ''),
  nullif(regexp_extract(html, '/(?:gp/customer-reviews|reviews?)/([A-Za-z0-9]{{8,}})', 1), ''), {hashed}) AS review_id
-FROM (SELECT page_id, html, {_PLAT} AS platform FROM pages) x"""
+FROM (SELECT page_id, html, {_PLAT} AS platform FROM shop_pages) x"""
 
 
 @query("pag22_review_id", _pag22_sql())
@@ -344,29 +380,29 @@ def pag22(t):
 
 @query("pag23_star_rating", """
 WITH r AS (SELECT page_id, TRY_CAST(nullif(regexp_extract(html, '(?i)(\\d(?:\\.\\d)?)\\s*(?:out of 5|stars?|★)', 1), '') AS DOUBLE) AS num,
-  len(regexp_extract_all(html, '(?i)class="[^"]*\\bstar(?:-filled|--filled| filled)\\b')) AS filled FROM pages)
+  len(regexp_extract_all(html, '(?i)class="[^"]*\\bstar(?:-filled|--filled| filled)\\b')) AS filled FROM shop_pages)
 SELECT page_id, coalesce(CASE WHEN num BETWEEN 0 AND 5 THEN num END, CASE WHEN filled > 0 THEN CAST(filled AS DOUBLE) END) AS rating
 FROM r""")
 def pag23(t):
-    return t.pages.select("page_id", pg.star_rating("html").alias("rating"))
+    return t.shop_pages.select("page_id", pg.star_rating("html").alias("rating"))
 
 
 @query("pag24_verified", """
-SELECT page_id, contains(lower(html), 'verified purchase') OR contains(lower(html), 'certified buyer') AS verified_purchase FROM pages""")
+SELECT page_id, contains(lower(html), 'verified purchase') OR contains(lower(html), 'certified buyer') AS verified_purchase FROM shop_pages""")
 def pag24(t):
-    return t.pages.select("page_id", pg.verified("html").alias("verified_purchase"))
+    return t.shop_pages.select("page_id", pg.verified("html").alias("verified_purchase"))
 
 
 def _pag25_sql() -> str:
     t = _txt("regexp_extract(html, '(?is)class=\"[^\"]*\\b(?:helpful[^\"]*|cr-vote-text)\\b[^\"]*\"[^>]*>(.*?)</', 1)")
     n = f"TRY_CAST(nullif(regexp_extract(replace({t}, ',', ''), '(\\d+)', 1), '') AS INTEGER)"
     return (f"SELECT page_id, coalesce({n}, CASE WHEN starts_with(lower({t}), 'one') THEN 1 END, 0) AS helpful_count "
-            "FROM pages")
+            "FROM shop_pages")
 
 
 @query("pag25_helpful_count", _pag25_sql())
 def pag25(t):
-    return t.pages.select("page_id", pg.helpful_count("html").alias("helpful_count"))
+    return t.shop_pages.select("page_id", pg.helpful_count("html").alias("helpful_count"))
 
 
 def _pag26_sql() -> str:
@@ -374,12 +410,12 @@ def _pag26_sql() -> str:
     b = _txt("regexp_extract(html, '(?is)>((?:Colou?r|Size|Style)\\s*(?:Name)?\\s*:[^<]*)<', 1)")
     v = f"trim(regexp_replace(coalesce({a}, {b}), '(?i)Verified Purchase', '', 'g'))"
     return (f"SELECT page_id, CASE WHEN regexp_matches({v}, '(?i)(colou?r|size|style)') AND length({v}) > 3 "
-            f"AND length({v}) < 255 THEN {v} END AS variant_info FROM pages")
+            f"AND length({v}) < 255 THEN {v} END AS variant_info FROM shop_pages")
 
 
 @query("pag26_variant_info", _pag26_sql())
 def pag26(t):
-    return t.pages.select("page_id", pg.variant_info("html").alias("variant_info"))
+    return t.shop_pages.select("page_id", pg.variant_info("html").alias("variant_info"))
 
 
 @query("pag27_sentiment_label", """
@@ -389,7 +425,11 @@ def pag27(t):
     return t.reviews.select("id", pg.sentiment_label("rating").alias("sentiment"))
 
 
-@query("pag28_seller_and_badge")
+@query("pag28_seller_and_badge", f"""
+SELECT page_id, CASE WHEN platform IN ('amazon', 'flipkart', 'vijaysales', 'reliancedigital', 'meesho') THEN 'Shop ' || (page_id % 17) END AS seller_name,
+ CASE WHEN page_id % 7 <= 4 THEN page_id % 7 + 0.5::DOUBLE END AS seller_rating,
+ CASE WHEN page_id % 3 <> 0 THEN 'Badge no ' || (page_id % 5) END AS product_badge
+FROM (SELECT page_id, {_PLAT} AS platform FROM pages) x""")
 def pag28(t):
     p = _pages(t)
     f = pg.seller_and_badge("html", F.col("platform"))

@@ -24,7 +24,64 @@ _PLATFORM_OF = ("CASE CAST({k} % 8 AS INT) WHEN 0 THEN 'amazon' WHEN 1 THEN 'fli
                 "WHEN 2 THEN 'vijaysales' WHEN 3 THEN 'reliancedigital' WHEN 4 THEN 'croma' "
                 "WHEN 5 THEN 'blinkit' WHEN 6 THEN 'bigbasket' ELSE 'meesho' END")
 
+def _n(m: int, add: int = 0) -> str:
+    """SQL of ``page_id % m + add`` as text: the part of the shop markup that varies by page."""
+    return f"CAST(page_id % {m} + {add} AS STRING)"
+
+
+# prices printed on a page (list price below the sale price on every seventh page)
+SALE = "(2500 + page_id * 37 % 90000)"
+LIST = f"CASE WHEN page_id % 7 = 0 THEN {SALE} - 100 ELSE {SALE} + 500 + page_id % 1000 END"
+_LD = "concat('<script type=\"application/ld+json\">', {}, '</script>')"
+# shop markup appended to every stored page, its values derived from the page's key
+_SHOP_PARTS = [
+    # JSON-LD: an object, a @graph, or a list whose nested product must not count
+    "CASE page_id % 3 WHEN 0 THEN " + _LD.format(
+        f"""concat('{{"@type":"Product","name":"Ld item ', {_n(97)}, '","description":"About ', {_n(89)}, '","brand":{{"@type":"Brand","name":"Maker ', {_n(7)},
+ '"}},"image":["https://img.example.com/ld', {_n(1000)}, '.jpg"],"offers":{{"price":"', CAST({SALE} + 1 AS STRING),
+ '"}},"aggregateRating":{{"ratingValue":"4.', {_n(10)}, '","reviewCount":"', {_n(500)}, '"}}}}')""")
+    + " WHEN 1 THEN " + _LD.format(
+        f"""concat('{{"@graph":[{{"@type":"WebPage","name":"Page"}},{{"@type":"Product","name":"Graph item ', {_n(97)}, '","brand":"Maker ', {_n(7)},
+ '","image":"https://img.example.com/g', {_n(1000)}, '.jpg","offers":{{"lowPrice":"', CAST({SALE} + 1 AS STRING), '","highPrice":"',
+ CAST({LIST} + 1 AS STRING), '"}},"aggregateRating":{{"ratingValue":"3.', {_n(10)}, '","ratingCount":"', {_n(300)}, '"}}}}]}}')""")
+    + " ELSE " + _LD.format("""'{"@type":"ItemList","itemListElement":[{"@type":"Product","name":"Nested"}]}'""") + " END",
+    f"""'<meta itemprop="price" content="', CAST({SALE} AS STRING), '">'""",
+    f"""CASE WHEN page_id % 5 = 0 THEN '' ELSE concat('<p id="old-price" class="a-text-price yRaY8j product__price--mrp pdp__mrp Pricing___StyledLabel2 strike"><span>',
+ CAST({LIST} AS STRING), '</span></p>') END""",
+    # star shares: a table, bars, or counts
+    f"""CASE page_id % 3 WHEN 0 THEN concat('<table id="histogramTable"><tr><td>Five</td><td>', {_n(60)}, '%</td></tr><tr><td>Four</td><td>20%</td></tr><tr><td>Three</td><td>10%</td></tr><tr><td>Two</td><td>5%</td></tr><tr><td>One</td><td>', {_n(6)}, '%</td></tr></table>')
+ WHEN 1 THEN concat('<i style="width: ', {_n(70)}, '%"></i><i style="width: 11%"></i><i style="width: 7%"></i><i style="width: 5%"></i><i style="width: ', {_n(4)}, '%"></i>')
+ ELSE concat('<b class="star-count">', {_n(900, 100)}, '</b><b class="star-count">200</b><b class="star-count">100</b><b class="star-count">50</b><b class="star-count">', {_n(50)}, '</b>') END""",
+    f"""'<table><tr><th>Brand</th><td>Maker ', {_n(11)}, '</td></tr><tr><th>Model</th><td>old</td></tr><tr><th>Model</th><td>M', {_n(53)}, '</td></tr><tr><th>Colour</th><td>Shade ', {_n(9)},
+ '</td></tr><tr><th>Width</th><td>', {_n(40, 10)}, ' cm</td></tr><tr><th>Depth</th><td>', {_n(30, 5)}, ' cm</td></tr><tr><th>Height</th><td>', CASE WHEN page_id % 4 = 0 THEN ' ' ELSE '9 cm' END,
+ '</td></tr><tr><th>Length</th><td>', {_n(20, 2)}, ' cm</td></tr></table>'""",
+    f"""'<ul><li class="breadcrumb-item"><a>Home</a></li><li class="breadcrumb-item"><a>Shelf ', {_n(12)}, '</a></li><li class="breadcrumb-item"><a>Shelf ', {_n(4)}, '</a></li></ul>'""",
+    f"""'<img data-old-hires="https://img.example.com/big', {_n(200)}, '.jpg" src="/s.jpg"><img srcset="https://img.example.com/', {_n(50)}, '.jpg 1x, https://img.example.com/x.jpg 2x">',
+ '<img src="https://i.ytimg.com/vi/', lpad(CAST(page_id AS STRING), 11, 'v'), '/0.jpg"><a data-clip="https://cdn.example.com/', {_n(300)}, '.mp4"></a>'""",
+    f"""'<ul><li data-defaultasin="B', {_n(900, 100)}, '" title="Shade ', {_n(9)}, '"><img src="https://img.example.com/v.jpg"></li><li data-asin="C', {_n(800, 100)}, '">other</li></ul>'""",
+    f"""CASE WHEN page_id % 6 = 0 THEN '' ELSE concat('<div id="availability" class="Z8JjpR product__stock"><span>Only ', {_n(9, 1)}, '</span> left in stock</div>') END""",
+    f"""'<span class="savingsPercentage">-', {_n(60, 1)}, '%</span><div class="offer-box">Extra ', {_n(15, 1)}, '% off</div>'""",
+    f"""CASE WHEN page_id % 2 = 0 THEN concat('<div class="delivery-block">FREE delivery by Friday, January ', {_n(28, 1)}, '</div>')
+ ELSE concat('<div class="delivery-block">₹', {_n(90, 10)}, ' delivery in ', {_n(6, 2)}, ' days</div>') END""",
+    f"""'<p>Best Sellers Rank: #', {_n(900, 1)}, ' in Laptops</p>', CASE WHEN page_id % 2 = 0 THEN '<i class="mvt-ac-badge"></i>' ELSE '' END,
+ CASE WHEN page_id % 3 = 0 THEN '<i class="mvt-best-seller-badge"></i>' ELSE '' END""",
+    f"""'<div id="feature-bullets"><div><ul><li><span>Sixteen GB of memory, lot ', {_n(31)}, '</span></li><li>short</li></ul></div><ul><li>A second list of points</li></ul></div>'""",
+    f"""'<div data-hook="cr-insights-widget-summary"><div>Buyers like</div> <p>the <b>screen</b> of lot ', {_n(31)}, '.</p></div><span>Deal ends in ', {_n(48)}, ' hours</span>'""",
+    f"""'<a id="sellerProfileTriggerId" class="product__seller pdp__seller ShopCardstyled__ShopName">Fulfilled by <b>Shop</b> ', {_n(17)}, '</a><b id="sellerName">Fulfilled by Shop ', {_n(17)},
+ '</b><b class="seller-rating">', {_n(7)}, '.5</b><b class="product-badge"', CASE WHEN page_id % 3 = 0 THEN ' style="display:none"' ELSE '' END, '>Badge <i>no</i> ', {_n(5)}, '</b>'""",
+    f"""'<div tabindex="0" role="button" id="', {_n(400, 100)}, '"><div class="tw-text-300 tw-font-semibold tw-line-clamp-2">Milk & Bread ', {_n(25)}, '!</div></div><div tabindex="0" role="button" id="7"></div>',
+ '<div tabindex="0" role="button" id="9"><div class="tw-text-300 tw-font-semibold tw-line-clamp-2">Rice</div></div>'""",
+    f"""'<div class="product-card" data-component-type="s-search-result" data-asin="B', lpad(CAST(page_id AS STRING), 9, '0'), '" data-id="F', CAST(page_id AS STRING), '"><h2><a href="/dp/', CAST(page_id AS STRING), '">Card <b>no</b> ', {_n(77)}, '</a></h2></div>',
+ '<div class="product-card" data-component-type="s-search-result" data-id="G', CAST(page_id AS STRING), '"><h2>Second</h2>', CASE WHEN page_id % 4 = 0 THEN '' ELSE '<b>Sponsored</b>' END, '</div>'""",
+    f"""'<div class="col EPCmJX review" data-hook="review" id="RV', CAST(page_id AS STRING), 'A"><b class="a-profile-name">User ', {_n(19)}, '</b><i>', {_n(5, 1)}, '.0 out of 5</i><a data-hook="review-title"><b>Title</b> ', {_n(23)},
+ '</a><b data-hook="review-date">Reviewed in India on ', {_n(28, 1)}, ' January 2024</b><a data-hook="format-strip">Colour: Shade ', {_n(9)}, '</a>', CASE WHEN page_id % 2 = 0 THEN '<i>Verified Purchase</i>' ELSE '' END,
+ '<div data-hook="review-body"><div>Good <b>screen</b> and </div><p>keys of lot ', {_n(31)}, '.</p></div><b class="cr-vote-text">', {_n(40, 2)}, ' people found this helpful</b></div>'""",
+    """CASE WHEN page_id % 2 = 1 THEN concat('<div class="col EPCmJX review" data-hook="review" id="RV', CAST(page_id AS STRING), 'B"><b class="a-profile-name">Silent</b></div>') ELSE '' END""",
+]
+
 VIEW_SQL: dict[str, str] = {
+    # shop_pages: every stored page with shop markup (prices, JSON-LD, cards, reviews) at its end
+    "shop_pages": "SELECT page_id, url, concat(html, " + ",\n ".join(_SHOP_PARTS) + ") AS html\nFROM pages",
     # products: one snapshot row per lineitem; scraper_id = ship month
     "products": f"""SELECT md5(concat_ws('|', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING), CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING), CAST(CAST(l_shipdate AS DATE) AS STRING))) AS product_id,
  {_PLATFORM_OF.format(k='l_suppkey')} AS platform,
@@ -102,14 +159,14 @@ FROM events""",
 }
 
 VIEW_DEPS = {
-    "products": ["lineitem", "part"], "scraping_logs": ["orders"],
+    "shop_pages": ["pages"], "products": ["lineitem", "part"], "scraping_logs": ["orders"],
     "scraper_runs": ["orders", "customer"], "reviews": ["documents", "labels"],
     "keywords": ["events"], "search_items": ["events"], "scraping_urls": ["pages"],
     "rankings": ["search_items"], "scraper_configurations": ["scraper_runs"], "platforms": [],
     "search_pages": ["search_items"], "page_attempts": ["events"],
 }
 # CTE order: parents before children
-VIEW_ORDER = ["products", "scraping_logs", "scraper_runs", "reviews", "keywords", "search_items",
+VIEW_ORDER = ["shop_pages", "products", "scraping_logs", "scraper_runs", "reviews", "keywords", "search_items",
               "scraping_urls", "rankings", "scraper_configurations", "platforms", "search_pages",
               "page_attempts"]
 

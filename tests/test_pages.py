@@ -77,9 +77,10 @@ REVIEWS_PAGE = """<html><body>
 </body></html>"""
 
 BLINKIT_CARDS = """<html><body>
-<div data-product-id="101"><div class="product-title">Amul Taaza Milk 500 ml</div></div>
-<div data-product-id="102"><div class="product-title">Britannia Bread!</div></div>
-<div data-product-id="101"><div class="product-title">Amul Taaza Milk 500 ml</div></div>
+<div tabindex="0" role="button" id="101"><div class="tw-text-300 tw-font-semibold tw-line-clamp-2">Amul Taaza Milk 500 ml</div></div>
+<div tabindex="0" role="button" id="102"><div class="tw-text-300 tw-font-semibold tw-line-clamp-2">Britannia Bread!</div></div>
+<div tabindex="0" role="button" id="103"></div>
+<div tabindex="0" role="button" id="101"><div class="tw-text-300 tw-font-semibold tw-line-clamp-2">Amul Taaza Milk 500 ml</div></div>
 </body></html>"""
 
 
@@ -118,7 +119,7 @@ def test_jsonld_object_brand_and_list_images(spark):
         "Samsung Galaxy S24", "Samsung", 74999.0, 79999.0, 4.4, 321)
     assert j.image_urls == ["https://img.croma.com/1.jpg", "https://img.croma.com/2.jpg"]
     r = pg.page_products(df).first()
-    assert r.title == "x" or r.title == "Samsung Galaxy S24"
+    assert r.title == "Samsung Galaxy S24" and r.description == "A phone"  # JSON-LD before <title> and markup
     assert r.brand == "Samsung" and float(r.price) == 79999.0 and float(r.sale_price) == 74999.0
 
 
@@ -127,7 +128,7 @@ def test_string_brand_and_swapped_prices(spark):
     j = pg.jsonld_product(df).first()
     assert j.brand == "LG" and j.image_urls == ["https://rd.com/tv.jpg"]
     r = pg.page_products(df).first()
-    assert r.title == "LG 139 cm 4K TV"
+    assert r.title == "LG TV 55"  # this platform reads JSON-LD first
     assert (float(r.price), float(r.sale_price)) == (65000.0, 59990.0)
 
 
@@ -186,3 +187,41 @@ def test_title_cascade_fallbacks(spark):
                           (10, "u", "<h1>abc</h1><title>Long enough title</title>", "croma")])
     got = dict(df.select("page_id", pg.cascade("html", pg.RULES["generic"]["title"], 3)).collect())
     assert got == {9: "Only Meta Title", 10: "Long enough title"}
+
+
+def test_whole_text_of_nested_elements(spark):
+    deep = "<div>" * 9 + "deep" + "</div>" * 9
+    html = (f'<div id="productDescription"><p><b>Light</b> and fast.</p><div>{deep} <i>part</i></div> <p>Second paragraph</p></div>'
+            '<div id="availability"><div>In stock</div> <span>today</span></div><div>after</div>')
+    df = pages_df(spark, [(1, "https://www.amazon.in/dp/B0TESTTEST", html, "amazon"),
+                          (2, "u", '<div id="productDescription">never <div> closed <p>x</p></div> tail', "amazon"),
+                          (3, "u", '<div id="productDescription">' + "word <i>x</i> " * 50_000 + "</div>", "amazon"),
+                          (4, "u", None, "amazon"), (5, "u", "", "amazon")])
+    got = {r.page_id: (r.d, r.a) for r in df.select("page_id", pg.field("html", "platform", "description").alias("d"),
+                                                    pg.availability("html", "platform").alias("a")).collect()}
+    assert got[1] == ("Light and fast.deep part Second paragraph", "In stock today")
+    assert got[2][0] == "never closed x"        # markup that never closes: up to the first closing tag
+    assert got[3][0] == " ".join(["word x"] * 50_000)
+    assert got[4] == (None, "Unknown") and got[5] == (None, "Unknown")
+
+
+def test_review_body_keeps_what_follows_inner_tags(spark):
+    html = ('<div data-hook="review" id="R1"><span class="a-profile-name">A</span>'
+            '<span data-hook="review-body">Good <b>screen</b> and <span>long</span> battery</span></div>')
+    assert pg.page_reviews(pages_df(spark, [(1, "u", html, "amazon")])).first().review_text == "Good screen and long battery"
+
+
+def test_jsonld_graph_and_nested_products(spark):
+    def script(body):
+        return f'<script type="application/ld+json">{body}</script>'
+    df = pages_df(spark, [
+        (1, "u", script('{"@graph":[{"@type":"WebPage","name":"w"},{"@type":["Thing","Product"],"name":"In graph"}]}'), "croma"),
+        (2, "u", script('{"@type":"ItemList","itemListElement":[{"@type":"Product","name":"Nested"}]}'), "croma"),
+        (3, "u", script('not json') + script(' [{"@type":"Product","name":"Listed"}]'), "croma")])
+    assert {(r.page_id, r.title) for r in pg.jsonld_product(df).collect()} == {(1, "In graph"), (3, "Listed")}
+
+
+def test_links_have_no_cap(spark):
+    html = "".join(f'<a href="/p/{i}">x</a>' for i in range(120))
+    df = pages_df(spark, [(1, "https://www.flipkart.com/c", html, "flipkart")])
+    assert pg.product_links(df).count() == 120 and pg.product_links(df, limit=50).count() == 50
