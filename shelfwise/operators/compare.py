@@ -18,32 +18,36 @@ def _run(df: DataFrame, run_id: str) -> DataFrame:
 
 
 def compare_skus(products: DataFrame, run1: str, run2: str) -> DataFrame:
-    """SET1: totals, common (left duplicates kept), only in 1, only in 2 — one row."""
-    a, b = _run(products, run1).select("sku"), _run(products, run2).select("sku")
-    b_keys, a_keys = b.distinct(), a.distinct()
-    cnt = lambda df: df.select(F.count(F.lit(1))).scalar()
-    return a.agg(F.count(F.lit(1)).alias("total_run1")).select(
-        "total_run1",
-        cnt(b).alias("total_run2"),
-        cnt(a.join(b_keys, "sku", "left_semi")).alias("common"),
-        cnt(a.join(b_keys, "sku", "left_anti")).alias("only_in_run1"),
-        cnt(b.join(a_keys, "sku", "left_anti")).alias("only_in_run2"),
-    )
+    """SET1: totals, common (left duplicates kept), only in 1, only in 2 — one row.
+
+    One pass: rows per sku and run are counted (partial aggregates), then summed.
+    Rows without a sku count in the totals and are in no other run.
+    """
+    s = F.col("scraper_id")
+    per = products.where(s.isin(run1, run2)).groupBy("sku").agg(
+        F.count_if(s == run1).alias("a"), F.count_if(s == run2).alias("b"))
+    both = F.col("sku").isNotNull() & (F.col("a") > 0) & (F.col("b") > 0)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return per.agg(total(F.col("a")).alias("total_run1"), total(F.col("b")).alias("total_run2"),
+                   total(F.when(both, F.col("a"))).alias("common"),
+                   total(F.when(~both, F.col("a"))).alias("only_in_run1"),
+                   total(F.when(~both, F.col("b"))).alias("only_in_run2"))
 
 
-def price_changes(products: DataFrame, run1: str, run2: str, limit: int = 50) -> DataFrame:
-    """SET2: price movement for the first ``limit`` common SKU rows of run 1.
+def price_changes(products: DataFrame, run1: str, run2: str, limit: int | None = None) -> DataFrame:
+    """SET2: price movement for the common SKU rows of run 1, all of them unless a
+    ``limit`` is given.
 
-    As in the reference, the cut to ``limit`` applies to run-1 rows (ordered by
-    product_id, duplicates kept) whose sku is in run 2, *before* keeping the
-    rows whose price changed.  Each side's price is its first row per sku.  A
+    A limit cuts the run-1 rows (ordered by product_id, duplicates kept) whose sku
+    is in run 2 *before* keeping the rows whose price changed.  Each side's price is its first row per sku.  A
     missing price counts as 0 in the difference; percent is 0 when the old
     price is not positive.
     """
     a = _run(products, run1)
     b = _run(products, run2)
-    head = (a.select("product_id", "sku").join(b.select("sku").distinct(), "sku", "left_semi")
-            .orderBy("product_id").limit(limit))
+    head = a.select("product_id", "sku").join(b.select("sku").distinct(), "sku", "left_semi")
+    if limit is not None:
+        head = head.orderBy("product_id").limit(limit)
     first_a = first_per_key(a.select("sku", "product_id", "title", "price"), ["sku"], "product_id")
     first_b = first_per_key(b.select("sku", "product_id", "price"), ["sku"], "product_id")
     j = (head.select(F.col("product_id").alias("row_id"), "sku")

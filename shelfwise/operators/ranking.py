@@ -185,13 +185,15 @@ def page_cutoff(pages: DataFrame, key: str, max_bad: int = 3, good: Column | str
 
 
 def retry_outcome(attempts: DataFrame, key: str = "page_key", max_retries: int = 3) -> DataFrame:
-    """WIN13: per failed page, the first attempt (within ``max_retries``) that
-    returned rows; ``recovered`` false when none did."""
+    """WIN13: per page, the first attempt (within ``max_retries``) that returned
+    rows; ``recovered`` false when none did.  Trying stops at that attempt, so later
+    ones are not counted in ``attempts_used``."""
     ok = (F.col("rows_found") > 0) & (F.col("attempt") <= max_retries)
     return attempts.groupBy(key).agg(
-        F.count_if(F.col("attempt") <= max_retries).alias("attempts_used"),
+        F.count_if(F.col("attempt") <= max_retries).alias("__tried"),
         F.min(F.when(ok, F.col("attempt"))).alias("recovered_at"),
-    ).withColumn("recovered", F.col("recovered_at").isNotNull())
+    ).select(key, F.least(F.col("__tried"), F.col("recovered_at")).cast("long").alias("attempts_used"),
+             "recovered_at", F.col("recovered_at").isNotNull().alias("recovered"))
 
 
 def cooldown(attempts: DataFrame, ts: str = "created_at", key: str = "platform", hours: int = 12) -> DataFrame:

@@ -183,7 +183,7 @@ def daily_changes(logs: DataFrame, asof, days: int = 30, platform: str | None =
 
 
 def duplicate_skus(products: DataFrame) -> DataFrame:
-    """AGG11: SKUs on more than one row, with the (non-distinct) platform list.
+    """AGG11: SKUs on more than one row, with the rows per platform (``platform:n``).
 
     Rows are first counted per (sku, platform) — map-side combined, at most one
     row per platform per SKU — so the list is built from <= 8 small rows per SKU
@@ -195,8 +195,7 @@ def duplicate_skus(products: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("platform", "n"))).alias("parts"))
     return (agg.where(F.col("product_count") > 1)
             .select("sku", "product_count",
-                    F.array_join(F.flatten(F.transform(
-                        "parts", lambda x: F.array_repeat(x["platform"], x["n"].cast("int")))), ",")
+                    F.array_join(F.transform("parts", lambda x: F.concat_ws(":", x["platform"], x["n"])), ",")
                     .alias("platforms")))
 
 

@@ -146,27 +146,58 @@ def _merge(current: DataFrame, incoming: DataFrame, keys: list[str], fields: lis
 def upsert_products(current: DataFrame, incoming: DataFrame, asof, lookback_days: int | None = None) -> DataFrame:
     """UPS1: merge a batch of cleaned product rows into the current products.
 
-    Key (platform, sku) on the current snapshot (WIN1, with an optional
-    lookback).  Absent → created; any of the 22 change fields differs (a null
-    new value never counts nor overwrites) → updated with every non-null new
-    value; otherwise touched (only scraped_date moves to ``asof``).
+    Key (platform, sku) on the current snapshot (WIN1).  Absent → created; any of
+    the 22 change fields differs (a null new value never counts nor overwrites) →
+    updated with every non-null new value; otherwise touched (only scraped_date
+    moves to ``asof``).
+
+    With ``lookback_days`` a stored row only matches when its scraped_date is null
+    or within that many days of ``asof``; a product last seen earlier gets a new
+    row.  Every stored row that is not the matched one is kept as it is (action
+    unchanged), so rows out = rows in + rows created.
     """
-    from shelfwise.operators.ranking import current_snapshot
-    cur = current_snapshot(current, asof, lookback_days).withColumn("__o_seen", F.lit(True))
+    from shelfwise.operators.common import since
     inc = latest_per_key(incoming, ["platform", "sku"], ["scraped_date", "product_id"]) \
         .withColumn("__n_seen", F.lit(True))
-    return _merge(cur, inc, ["platform", "sku"], PRODUCT_CHANGE_FIELDS,
-                  touch={"scraped_date": F.to_date(lit(asof))})
-
-
-def ingest_counters(upserted: DataFrame) -> DataFrame:
-    """AGG31: found / added / updated / touched per platform from the action column."""
+    touch = {"scraped_date": F.to_date(lit(asof))}
+    if lookback_days is None:
+        cur = latest_per_key(current, ["platform", "sku"], ["scraped_date", "product_id"]) \
+            .withColumn("__o_seen", F.lit(True))
+        return _merge(cur, inc, ["platform", "sku"], PRODUCT_CHANGE_FIELDS, touch=touch)
+    recent = F.col("scraped_date").isNull() | since("scraped_date", asof, lookback_days)
+    heads = (current.where(recent).groupBy("platform", "sku")
+             .agg(F.max(F.struct("scraped_date", "product_id")).alias("__h"))
+             .select("platform", "sku", F.col("__h.scraped_date").alias("__d"), F.col("__h.product_id").alias("__p")))
+    marked = (current.join(heads, ["platform", "sku"], "left")
+              .withColumn("__head", F.coalesce(F.col("product_id").eqNullSafe(F.col("__p"))
+                                               & F.col("scraped_date").eqNullSafe(F.col("__d")) & recent, F.lit(False))))
+    cur = marked.where("__head").drop("__head", "__d", "__p").withColumn("__o_seen", F.lit(True))
+    out = _merge(cur, inc, ["platform", "sku"], PRODUCT_CHANGE_FIELDS, touch=touch)
+    history = marked.where(~F.col("__head")).select(
+        *[F.lit("unchanged").alias("action") if c == "action" else F.col(c) for c in out.columns])
+    return out.unionByName(history)
+
+
+def ingest_counters(upserted: DataFrame, deactivated: DataFrame | None = None,
+                    errors: DataFrame | None = None) -> DataFrame:
+    """AGG31: found / added / updated / touched per platform from the action column.
+
+    ``deactivated`` (rows of :func:`deactivate`) and ``errors`` (one row per failure,
+    with a platform) add their counters; a platform known to one side only counts 0
+    elsewhere.
+    """
     a = F.col("action")
-    return upserted.groupBy("platform").agg(
+    out = upserted.groupBy("platform").agg(
         F.count_if(a != "unchanged").alias("products_found"),
         F.count_if(a == "created").alias("products_added"),
         F.count_if(a == "updated").alias("products_updated"),
         F.count_if(a == "touched").alias("products_touched"))
+    if deactivated is not None:
+        out = out.join(deactivated.groupBy("platform").agg(
+            F.count_if("deactivated").alias("products_deactivated")), "platform", "full")
+    if errors is not None:
+        out = out.join(errors.groupBy("platform").agg(F.count(F.lit(1)).alias("errors_count")), "platform", "full")
+    return out.select("platform", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in out.columns if c != "platform"])
 
 
 def upsert_reviews(current: DataFrame, incoming: DataFrame, keys=("platform", "sku", "review_id")) -> DataFrame:

@@ -20,7 +20,7 @@ def set01(t):
 
 @query("set02_price_changes", f"""
 WITH a AS (SELECT * FROM products WHERE scraper_id = '{R1}'), b AS (SELECT * FROM products WHERE scraper_id = '{R2}'),
-head AS (SELECT product_id, sku FROM a WHERE sku IN (SELECT sku FROM b) ORDER BY product_id LIMIT 50),
+head AS (SELECT product_id, sku FROM a WHERE sku IN (SELECT sku FROM b)),
 fa AS (SELECT sku, title, price FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY product_id) AS rn FROM a) x WHERE rn = 1),
 fb AS (SELECT sku, price FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY product_id) AS rn FROM b) x WHERE rn = 1)
 SELECT h.product_id AS row_id, h.sku, fa.title, fa.price AS price_run1, fb.price AS price_run2,
@@ -28,7 +28,7 @@ SELECT h.product_id AS row_id, h.sku, fa.title, fa.price AS price_run1, fb.price
  CASE WHEN fa.price > 0 THEN round(100.0 * (coalesce(fb.price, 0) - coalesce(fa.price, 0)) / fa.price, 2) ELSE 0.0 END AS percentage
 FROM head h JOIN fa ON h.sku = fa.sku JOIN fb ON h.sku = fb.sku WHERE fa.price IS DISTINCT FROM fb.price""")
 def set02(t):
-    return cp.price_changes(t.products, R1, R2, 50)
+    return cp.price_changes(t.products, R1, R2)
 
 
 @query("set03_count_deltas", """

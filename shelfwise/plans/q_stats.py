@@ -124,8 +124,8 @@ def agg10(t):
 
 
 @query("agg11_duplicate_skus", """
-SELECT sku, count(*) AS product_count, string_agg(platform, ',' ORDER BY platform) AS platforms
-FROM products GROUP BY sku HAVING count(*) > 1""")
+SELECT sku, CAST(sum(n) AS BIGINT) AS product_count, string_agg(platform || ':' || n, ',' ORDER BY platform) AS platforms
+FROM (SELECT sku, platform, count(*) AS n FROM products GROUP BY sku, platform) x GROUP BY sku HAVING sum(n) > 1""")
 def agg11(t):
     return stats.duplicate_skus(t.products)
 

@@ -14,6 +14,8 @@ from shelfwise.plans.catalog import query
 from shelfwise.plans.q_scalars import SAN_STR
 
 CUT = "1998-06-01"
+# days a stored row counts as current in ups01b: rows before CUT lie on both sides of it
+LOOKBACK = 365
 P_COLS = ["product_id", "title", "brand", "price", "sale_price", "rating", "review_count", "is_active",
           "include_exclude", "scraped_date", "scraper_id", "product_url"]
 P_CHANGE = [f for f in up.PRODUCT_CHANGE_FIELDS if f in P_COLS]
@@ -71,13 +73,42 @@ def ups01(t):
     return _ups1(t)
 
 
+def _ups1_lookback_sql() -> str:
+    order = "scraped_date DESC NULLS LAST, product_id DESC"
+    cols = f"platform, sku, {', '.join(P_COLS)}"
+    base = f"(SELECT {cols} FROM products)"
+    body = _merge_sql(["platform", "sku"], P_COLS, P_CHANGE, {"scraped_date": "(SELECT max(scraped_date) FROM inc)"})
+    return f"""WITH inc AS ({_dedup(f"{base} b WHERE scraped_date >= DATE '{CUT}'", 'platform, sku', order)}),
+old AS (SELECT *, scraped_date IS NULL OR scraped_date >= (SELECT max(scraped_date) FROM inc) - INTERVAL {LOOKBACK} DAY AS recent
+  FROM {base} b WHERE scraped_date < DATE '{CUT}'),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY platform, sku, recent ORDER BY {order}) AS rn FROM old),
+cur AS (SELECT {cols} FROM ranked WHERE recent AND rn = 1)
+{body} UNION ALL SELECT {cols}, 'unchanged' AS action FROM ranked WHERE NOT (recent AND rn = 1)"""
+
+
+@query("ups01b_upsert_products_lookback", _ups1_lookback_sql())
+def ups01b(t):
+    p = t.products.select("platform", "sku", *P_COLS)
+    cur = p.where(F.col("scraped_date") < F.lit(_dt.date.fromisoformat(CUT)))
+    inc = p.where(F.col("scraped_date") >= F.lit(_dt.date.fromisoformat(CUT)))
+    return up.upsert_products(cur, inc, latest(inc, "scraped_date"), LOOKBACK)
+
+
 @query("agg31_ingest_counters", f"""
-WITH u AS ({UPS1_SQL})
-SELECT platform, count(*) FILTER (WHERE action <> 'unchanged') AS products_found,
+WITH u AS ({UPS1_SQL}),
+d AS (SELECT platform, count(*) FILTER (WHERE platform = 'amazon' AND is_active
+   AND scraped_date < (SELECT max(scraped_date) FROM products) - INTERVAL 365 DAY) AS n FROM products GROUP BY platform),
+e AS (SELECT platform, count(*) AS n FROM scraping_logs WHERE status = 'failed' GROUP BY platform),
+c AS (SELECT platform, count(*) FILTER (WHERE action <> 'unchanged') AS products_found,
  count(*) FILTER (WHERE action = 'created') AS products_added, count(*) FILTER (WHERE action = 'updated') AS products_updated,
- count(*) FILTER (WHERE action = 'touched') AS products_touched FROM u GROUP BY platform""")
+ count(*) FILTER (WHERE action = 'touched') AS products_touched FROM u GROUP BY platform)
+SELECT platform, coalesce(products_found, 0) AS products_found, coalesce(products_added, 0) AS products_added,
+ coalesce(products_updated, 0) AS products_updated, coalesce(products_touched, 0) AS products_touched,
+ coalesce(d.n, 0) AS products_deactivated, coalesce(e.n, 0) AS errors_count
+FROM c FULL JOIN d USING (platform) FULL JOIN e USING (platform)""")
 def agg31(t):
-    return up.ingest_counters(_ups1(t))
+    gone = up.deactivate(t.products, "amazon", ago(latest(t.products, "scraped_date"), 365))
+    return up.ingest_counters(_ups1(t), gone, t.scraping_logs.where(F.col("status") == "failed"))
 
 
 R_COLS = ["id", "reviewer_name", "rating", "review_title", "review_text", "verified_purchase", "helpful_count",

@@ -120,10 +120,11 @@ def win12(t):
 
 
 @query("win13_retry_outcome", """
-SELECT page_key, count(*) FILTER (WHERE attempt <= 3) AS attempts_used,
+SELECT page_key, count(*) FILTER (WHERE attempt <= 3 AND attempt <= coalesce(first_ok, attempt)) AS attempts_used,
  min(CASE WHEN rows_found > 0 AND attempt <= 3 THEN attempt END) AS recovered_at,
  min(CASE WHEN rows_found > 0 AND attempt <= 3 THEN attempt END) IS NOT NULL AS recovered
-FROM page_attempts GROUP BY page_key""")
+FROM (SELECT *, min(CASE WHEN rows_found > 0 AND attempt <= 3 THEN attempt END) OVER (PARTITION BY page_key) AS first_ok
+  FROM page_attempts) a GROUP BY page_key""")
 def win13(t):
     return rk.retry_outcome(t.page_attempts, "page_key", 3)
 

@@ -1,8 +1,8 @@
 """Structured Streaming twins of the incremental computations (§2.11).
 
 Inputs arrive as parquet files in a folder (file source); results go to parquet
-tables through ``foreachBatch``, so every micro-batch commit is idempotent per
-batch id and a restarted query resumes from its checkpoint.  All folders live
+tables through ``foreachBatch``, one folder per batch id that a replay overwrites,
+so a restarted query resumes from its checkpoint without repeated rows.  All folders live
 under the session's ``spark.checkpoint.dir`` (shared storage on a cluster).
 """
 
@@ -26,7 +26,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def land_files(df: DataFrame, path: str, order_col: str, pieces_expr) -> list[str]:
     """Write ``df`` as a sequence of file drops (one folder per piece, oldest
-    first), the way an upstream writer would deliver them."""
+    first), the way an upstream writer would deliver them.
+
+    A feeder for the registry's entries and tests: the pieces must be few (years),
+    as they are written one after the other so that the file source reads them in
+    time order.
+    """
     keys = [r[0] for r in df.select(pieces_expr.alias("k")).distinct().orderBy("k").collect()]
     out = []
     for k in keys:
@@ -43,10 +48,10 @@ def _run(query_builder, trigger_once: bool = True):
     return q
 
 
-def _upsert_sink(target: str, keys: list[str]):
-    """foreachBatch sink appending each batch's changed rows with its batch id."""
+def _batch_sink(target: str):
+    """foreachBatch sink: one folder per batch id, overwritten when the batch is replayed."""
     def write(batch: DataFrame, batch_id: int):
-        batch.withColumn("__batch", F.lit(batch_id)).write.mode("append").parquet(target)
+        batch.write.mode("overwrite").parquet(f"{target}/__batch={batch_id}")
     return write
 
 
@@ -73,7 +78,7 @@ def stream_daily_activity(spark: SparkSession, source: str, schema, watermark: s
            .groupBy(F.window(ts, "1 day").alias("w"), "status").agg(F.count(F.lit(1)).alias("sessions"))
            .select(F.to_date(instant_to_ntz("w.start")).alias("activity_date"), "status", "sessions"))
     _run(agg.writeStream.outputMode("update").option("checkpointLocation", scratch(spark, "stm2-ckpt"))
-         .foreachBatch(_upsert_sink(out, ["activity_date", "status"])))
+         .foreachBatch(_batch_sink(out)))
     return latest_rows(spark, out, ["activity_date", "status"], ["activity_date", "status", "sessions"])
 
 
@@ -86,7 +91,7 @@ def stream_activity_48h(spark: SparkSession, source: str, schema, watermark: str
            .groupBy(F.window(ts, "48 hours", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("sessions"))
            .select(instant_to_ntz("w.start").alias("window_start"), "sessions"))
     _run(agg.writeStream.outputMode("update").option("checkpointLocation", scratch(spark, "stm4-ckpt"))
-         .foreachBatch(_upsert_sink(out, ["window_start"])))
+         .foreachBatch(_batch_sink(out)))
     return latest_rows(spark, out, ["window_start"], ["window_start", "sessions"])
 
 
@@ -122,18 +127,43 @@ def stream_cooldown(spark: SparkSession, source: str, schema, hours: int = 12, t
         _cooldown_state(hours), outputStructType="platform string, ts_us long",
         stateStructType="last_us long", outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
     _run(acc.writeStream.outputMode("append").option("checkpointLocation", scratch(spark, "stm3-ckpt"))
-         .foreachBatch(lambda b, i: b.write.mode("append").parquet(out)))
+         .foreachBatch(_batch_sink(out)))
     res = spark.read.parquet(out)
     return res.select(F.col("platform"), F.timestamp_add("MICROSECOND", F.col("ts_us"), F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")).alias(ts))
 
 
-def _current_version(spark: SparkSession, target: str) -> str | None:
-    """The version folder named by the one-row pointer table, if any."""
-    try:
-        row = spark.read.parquet(f"{target.rstrip('/')}/_current").first()
-    except Exception:  # noqa: BLE001 - no pointer yet
-        return None
-    return row[0] if row else None
+def _folders(spark: SparkSession, base: str, prefix: str) -> list[str]:
+    """Names of the subfolders of ``base`` that start with ``prefix``, ascending; none if ``base`` does not exist.
+
+    Any other failure of the file system is raised.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    return sorted(n for n in (f.getPath().getName() for f in fs.listStatus(path)) if n.startswith(prefix))
+
+
+def _committed(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def _current_version(spark: SparkSession, target: str, before: str | None = None) -> str | None:
+    """The newest version folder (older than ``before``) whose write was committed.
+
+    Versions are never changed once committed and nothing points at them, so there
+    is no pointer that a crash could lose.  Folders without a commit mark are
+    unfinished writes and are skipped; if there are only such folders beside a
+    finished batch, that is an error, never an empty table.
+    """
+    names = [n for n in _folders(spark, target, "v=") if before is None or n < before]
+    for name in reversed(names):
+        if _committed(spark, f"{target}/{name}"):
+            return f"{target}/{name}"
+    if len(names) > 1:
+        raise RuntimeError(f"{target} holds versions but none is committed: {names}")
+    return None
 
 
 def stream_upsert(spark: SparkSession, source: str, schema, target: str, asof_col: str = "scraped_date",
@@ -141,11 +171,11 @@ def stream_upsert(spark: SparkSession, source: str, schema, target: str, asof_co
     """STM1: product snapshots arrive as files and are upserted batch by batch.
 
     Each micro-batch is de-duplicated per (platform, sku) (WIN1) and merged
-    into the current table version with UPS1; the merged result is written as
-    the next version folder ``v=<batch id>`` and only then does the one-row
-    pointer table ``_current`` move to it.  A batch replayed after a failure
-    rewrites the same folder, and a restarted query (same ``checkpoint``)
-    continues from the version the pointer names.  Returns the last version.
+    into the newest committed version with UPS1; the result is the next version
+    folder ``v=<batch id>``, which counts only once its commit mark is there.  A
+    batch replayed after a failure starts from the version before its own, so it
+    rewrites the same rows, and a restarted query (same ``checkpoint``)
+    continues from the newest version.  Returns that version's folder.
     """
     from shelfwise.operators.upsert import upsert_products
     base = target.rstrip("/")
@@ -153,14 +183,11 @@ def stream_upsert(spark: SparkSession, source: str, schema, target: str, asof_co
     def merge(batch: DataFrame, batch_id: int):
         if batch.isEmpty():
             return
-        path = f"{base}/v={batch_id:08d}"
-        cur_path = _current_version(spark, base)
-        if cur_path == path:       # this batch was committed before a restart
-            return
+        name = f"v={batch_id:08d}"
+        cur_path = _current_version(spark, base, before=name)
         current = spark.read.parquet(cur_path) if cur_path else spark.createDataFrame([], batch.schema)
         asof = batch.select(F.max(asof_col)).first()[0]
-        upsert_products(current, batch, asof).drop("action").write.mode("overwrite").parquet(path)
-        spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").parquet(f"{base}/_current")
+        upsert_products(current, batch, asof).drop("action").write.mode("overwrite").parquet(f"{base}/{name}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     _run(stream.writeStream.option("checkpointLocation", checkpoint or scratch(spark, "stm1-ckpt"))

@@ -136,3 +136,18 @@ def test_cooldown_with_tied_timestamps(spark):
     df = spark.createDataFrame(rows, "platform string, created_at timestamp_ntz").repartition(5)
     got = sorted(r.created_at for r in rk.cooldown(df).collect())
     assert got == [t0 + dt.timedelta(days=d) for d in range(30)]
+
+
+def test_upsert_lookback_keeps_history(spark):
+    import datetime as dt
+
+    from shelfwise.operators import upsert as up
+    cols = "product_id string, platform string, sku string, title string, scraped_date date"
+    d = dt.date
+    cur = spark.createDataFrame([("p1", "amazon", "A", "old", d(2024, 1, 1)), ("p2", "amazon", "A", "new", d(2024, 1, 9)),
+                                 ("p3", "croma", "B", "far", d(2023, 1, 1)), ("p4", "croma", "C", "none", None)], cols)
+    inc = spark.createDataFrame([("q1", "amazon", "A", "newer", d(2024, 1, 10)), ("q2", "croma", "B", "far", d(2024, 1, 10)),
+                                 ("q3", "croma", "C", "none", d(2024, 1, 10))], cols)
+    got = sorted((r.product_id, r.title, r.action) for r in up.upsert_products(cur, inc, d(2024, 1, 10), 2).collect())
+    assert got == [("p1", "old", "unchanged"), ("p2", "newer", "updated"), ("p3", "far", "unchanged"),
+                   ("p4", "none", "touched"), ("q2", "far", "created")]

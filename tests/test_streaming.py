@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.operators import ranking as rk
@@ -36,3 +37,31 @@ def test_stream_cooldown_equals_batch(spark):
     got = {(r.platform, r.created_at) for r in st.stream_cooldown(spark, src, df.schema, 12).collect()}
     want = {(r.platform, r.created_at) for r in rk.cooldown(df).collect()}
     assert got == want
+
+
+def test_replayed_batches_change_nothing(spark):
+    df = spark.createDataFrame([("amazon", dt.datetime(2024, 1, 1))], "platform string, created_at timestamp_ntz")
+    out = st.scratch(spark, "sink")
+    write = st._batch_sink(out)
+    write(df, 0)
+    write(df, 1)
+    write(df, 1)                 # a replay of the last batch
+    assert spark.read.parquet(out).count() == 2
+
+
+def test_unfinished_versions_are_skipped_and_never_read_as_empty(spark):
+    base = st.scratch(spark, "versions")
+    assert st._current_version(spark, base) is None
+    df = spark.range(3)
+    df.write.parquet(f"{base}/v=00000000")
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{base}/v=00000001")
+    assert st._current_version(spark, base) == f"{base}/v=00000000"
+    assert st._current_version(spark, base, before="v=00000000") is None
+
+
+def test_lost_commit_marks_are_an_error(spark):
+    base = st.scratch(spark, "versions")
+    for v in range(2):
+        spark.range(3).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{base}/v=0000000{v}")
+    with pytest.raises(RuntimeError):
+        st._current_version(spark, base)
