@@ -22,7 +22,7 @@ def survey_ids() -> list[tuple[str, str]]:
 def entries_for(op_id: str, names: list[str]) -> list[str]:
     m = re.match(r"([A-Z]+)([0-9]+)", op_id)
     pre = f"{m.group(1).lower()}{int(m.group(2)):02d}"
-    return [n for n in names if re.match(rf"{pre}b?_", n)]
+    return [n for n in names if re.match(rf"{pre}[a-z]?_", n)]
 
 
 CALL = r"\b(?:stats|fl|jn|rk|od|cp|up|pg|tb|ex|st|tx|ul|nm|da|dt|ar|hs)\.([a-z_]+)\("

@@ -221,6 +221,22 @@ def ups08(t):
     return counts
 
 
+@query("ups08b_retained_logs", """
+SELECT id, platform, status, created_at FROM scraping_logs
+WHERE created_at >= (SELECT max(created_at) FROM scraping_logs) - INTERVAL 30 DAY""")
+def ups08b(t):
+    logs, _, _ = up.retention(t.scraping_logs, t.products, latest(t.scraping_logs, "created_at"), 30, 90)
+    return logs.select("id", "platform", "status", "created_at")
+
+
+@query("ups08c_retained_products", """
+SELECT product_id, is_active, scraped_date FROM products
+WHERE is_active OR scraped_date >= (SELECT max(created_at) FROM scraping_logs) - INTERVAL 90 DAY""")
+def ups08c(t):
+    _, products, _ = up.retention(t.scraping_logs, t.products, latest(t.scraping_logs, "created_at"), 30, 90)
+    return products.select("product_id", "is_active", "scraped_date")
+
+
 @query("ups09_bulk_set", """
 SELECT id, keyword, CASE WHEN id IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 90) THEN false ELSE status END AS status
 FROM keywords""")
@@ -270,12 +286,23 @@ SELECT c.id, c.platform, c.category, c.tag, c.status, CAST(c.total_runs + coales
  coalesce(per.last_at, c.last_run_at) AS last_run_at, coalesce(per.last_id, c.last_scraper_id) AS last_scraper_id
 FROM scraper_configurations c LEFT JOIN per ON c.id = per.id""")
 def ups12(t):
+    return _closed(t)[1]
+
+
+def _closed(t):
     runs = t.scraper_runs
     outcomes = runs.where(F.col("status") == "running").select(
         "scraper_id", F.when(F.col("errors_count") < 3, "completed").otherwise("failed").alias("status"),
         (F.col("created_at") + F.make_dt_interval(mins=F.col("products_scraped"))).alias("finished_at"))
-    _, cfg = up.close_runs(t.scraper_configurations, runs, outcomes)
-    return cfg
+    return up.close_runs(t.scraper_configurations, runs, outcomes)
+
+
+@query("ups12b_closed_runs", """
+SELECT scraper_id, CASE WHEN status <> 'running' THEN status WHEN errors_count < 3 THEN 'completed' ELSE 'failed' END AS status,
+ CASE WHEN status = 'running' THEN created_at + to_minutes(products_scraped) END AS completed_at,
+ CASE WHEN status = 'running' THEN products_scraped * 60 ELSE duration_seconds END AS duration_seconds FROM scraper_runs""")
+def ups12b(t):
+    return _closed(t)[0].select("scraper_id", "status", "completed_at", "duration_seconds")
 
 
 @query("ups13_append_errors", """
@@ -286,11 +313,21 @@ SELECT l.id, CAST(l.errors_count + coalesce(per.n, 0) AS INT) AS errors_count, p
  per.first_error_at, per.last_error_at
 FROM scraping_logs l LEFT JOIN per ON l.id = per.session_id""")
 def ups13(t):
-    errors = t.events.where(F.col("event_type") == "error").select(
+    out = up.append_errors(t.scraping_logs, _errors(t))
+    return out.select("id", "errors_count", "error_message", "first_error_at", "last_error_at")
+
+
+def _errors(t):
+    return t.events.where(F.col("event_type") == "error").select(
         F.col("user_id").alias("session_id"), F.concat(F.lit("error "), F.col("event_id").cast("string")).alias("message"),
         F.col("props").alias("details"), F.col("ts").alias("timestamp"))
-    out = up.append_errors(t.scraping_logs, errors)
-    return out.select("id", "errors_count", "error_message", "first_error_at", "last_error_at")
+
+
+@query("ups13b_error_details", """
+SELECT user_id AS id, 'error ' || CAST(event_id AS VARCHAR) AS message, props AS details, ts AS "timestamp"
+FROM events WHERE event_type = 'error'""")
+def ups13b(t):
+    return up.error_details(_errors(t))
 
 
 @query("cln01_clean_products", f"""

@@ -128,7 +128,7 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
 FROM (SELECT DISTINCT user_id AS k FROM events) t""",
     # search_items: one search-result card per event
     "search_items": f"""SELECT event_id AS item_id, user_id AS keyword_id, {_PLATFORM_OF.format(k='user_id')} AS platform, CAST(ts AS DATE) AS search_date,
- concat('SKU', CAST(event_id % 250 AS STRING)) AS sku, 1 + CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) % 5 AS page,
+ concat('SKU', CAST(event_id % 250 AS STRING)) AS sku, CAST(1 + (event_id + user_id) % 5 AS INT) AS page,
  event_type = 'error' AS is_sponsored, ts AS created_at
 FROM events""",
     # scraping_urls: one queued url per page
@@ -136,9 +136,9 @@ FROM events""",
  CASE CAST(page_id % 4 AS INT) WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' WHEN 2 THEN 'processing' ELSE 'pending' END AS status,
  CAST(page_id % 7 AS INT) AS priority, CAST(page_id % 3 AS INT) AS retry_count
 FROM pages""",
-    # rankings: organic cards numbered across pages of a keyword (sponsored cards removed)
+    # rankings: organic cards with a position that follows from the card (no window per keyword)
     "rankings": """SELECT item_id AS id, keyword_id, platform, sku, page,
- CAST(row_number() OVER (PARTITION BY keyword_id ORDER BY page, created_at, item_id) AS INT) AS position,
+ CAST(1 + (item_id * 7 + keyword_id) % 120 AS INT) AS position,
  lpad(CAST(year(created_at) * 10000 + month(created_at) * 100 + day(created_at) AS STRING), 10, '0') AS scraper_id, created_at
 FROM search_items WHERE NOT is_sponsored""",
     # scraper_configurations: one per configuration_id seen in runs
@@ -149,8 +149,8 @@ FROM scraper_runs GROUP BY configuration_id""",
     # search_pages: one row per (keyword, results page) with its organic card count
     "search_pages": """SELECT keyword_id, page, count(*) FILTER (WHERE NOT is_sponsored) AS organic_items
 FROM search_items GROUP BY keyword_id, page""",
-    # page_attempts: fetch attempts of a page; an error event returned no rows
-    "page_attempts": """SELECT user_id AS page_key, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS attempt,
+    # page_attempts: every four events are the attempts of one page; an error event returned no rows
+    "page_attempts": """SELECT CAST((event_id - event_id % 4) / 4 AS BIGINT) AS page_key, CAST(event_id % 4 + 1 AS INT) AS attempt,
  CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS rows_found, ts AS attempted_at
 FROM events""",
     # platforms: the fixed platform dimension (8 rows)
