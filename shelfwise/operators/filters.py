@@ -83,6 +83,11 @@ def has_items(c) -> Column:
     return c.isNotNull() & ~c.cast("string").isin("[]", "null")
 
 
+def has_no_items(c) -> Column:
+    """FIL7 negated: null, ``[]`` or ``null`` — exactly the rows that :func:`has_items` refuses."""
+    return ~F.coalesce(has_items(c), F.lit(False))
+
+
 def has_items_array(c) -> Column:
     return F.coalesce(F.size(col(c)), F.lit(0)) > 0
 
@@ -243,11 +248,23 @@ SIGN_IN_PHRASES = [
 ]
 
 
-def usable_pages(pages: DataFrame, min_chars: int = 1000, phrases=None) -> DataFrame:
-    """FIL18: pages of at least ``min_chars`` bytes that are not a sign-in page."""
+# fixed values: platforms whose pages must be longer than the general minimum (least bytes: over 5,000)
+PLATFORM_MIN_CHARS = {"reliancedigital": 5001}
+
+
+def usable_pages(pages: DataFrame, min_chars: int = 1000, phrases=None, platform: str | None = None) -> DataFrame:
+    """FIL18: pages of at least ``min_chars`` bytes that are not a sign-in page.
+
+    ``platform``: column that names the platform; those of ``PLATFORM_MIN_CHARS``
+    have a minimum of their own.
+    """
     low = F.lower(F.col("html"))
     hit = None
     for p in (phrases or SIGN_IN_PHRASES):
         one = F.contains(low, F.lit(p.lower()))
         hit = one if hit is None else hit | one
-    return pages.where((F.octet_length("html") >= min_chars) & ~hit)
+    least = F.lit(min_chars)
+    if platform:
+        for code, n in PLATFORM_MIN_CHARS.items():
+            least = F.when(F.col(platform) == code, F.lit(n)).otherwise(least)
+    return pages.where((F.octet_length("html") >= least) & ~hit)

@@ -59,6 +59,12 @@ def fil07(t):
     return t.reviews.where(fl.has_items("review_images")).select("id", "review_images")
 
 
+@query("fil07b_has_no_items", """
+SELECT id, review_images FROM reviews WHERE review_images IS NULL OR review_images IN ('[]', 'null')""")
+def fil07b(t):
+    return t.reviews.where(fl.has_no_items("review_images")).select("id", "review_images")
+
+
 @query("fil08_sentiment_neutral", """
 SELECT id, rating FROM reviews WHERE rating BETWEEN 2.1 AND 3.9""")
 def fil08(t):
@@ -71,6 +77,12 @@ def fil08b(t):
     return fl.sentiment_filter(t.reviews, "critical").select("id", "rating")
 
 
+@query("fil08c_sentiment_positive", """
+SELECT id, rating FROM reviews WHERE rating >= 4""")
+def fil08c(t):
+    return fl.sentiment_filter(t.reviews, "positive").select("id", "rating")
+
+
 @query("fil09_curated", """
 SELECT product_id, include_exclude FROM products WHERE include_exclude = 'include'""")
 def fil09(t):
@@ -161,3 +173,15 @@ SELECT page_id FROM pages WHERE strlen(html) >= 1000 AND NOT (
  OR contains(lower(html), 'ap_password'))""")
 def fil18(t):
     return fl.usable_pages(t.pages).select("page_id")
+
+
+@query("fil18b_usable_pages_by_platform", """
+SELECT page_id, platform FROM (SELECT p.page_id, p.html, u.platform FROM pages p JOIN scraping_urls u ON p.page_id = u.id) x
+WHERE strlen(html) >= CASE WHEN platform = 'reliancedigital' THEN 5001 ELSE 1000 END AND NOT (
+ contains(lower(html), 'ap_signin_form') OR contains(lower(html), 'sign-in') OR contains(lower(html), 'sign in to continue')
+ OR contains(lower(html), 'enter your email or mobile phone number') OR contains(lower(html), 'ap_email')
+ OR contains(lower(html), 'ap_password'))""")
+def fil18b(t):
+    from shelfwise.sources.views import _PLATFORM_OF
+    pages = t.pages.select("page_id", "html", F.expr(_PLATFORM_OF.format(k="page_id")).alias("platform"))
+    return fl.usable_pages(pages, platform="platform").select("page_id", "platform")
