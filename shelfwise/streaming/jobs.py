@@ -161,7 +161,7 @@ def _current_version(spark: SparkSession, target: str, before: str | None = None
     for name in reversed(names):
         if _committed(spark, f"{target}/{name}"):
             return f"{target}/{name}"
-    if len(names) > 1:
+    if names and (before is not None or len(names) > 1):  # an earlier batch was finished, so its mark is lost
         raise RuntimeError(f"{target} holds versions but none is committed: {names}")
     return None
 

@@ -65,3 +65,5 @@ def test_lost_commit_marks_are_an_error(spark):
         spark.range(3).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{base}/v=0000000{v}")
     with pytest.raises(RuntimeError):
         st._current_version(spark, base)
+    with pytest.raises(RuntimeError):
+        st._current_version(spark, base, before="v=00000001")
