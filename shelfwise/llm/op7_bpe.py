@@ -243,7 +243,7 @@ def _encode_words(path: str):
     return run
 
 
-def _reassemble(key, words: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+def _reassemble(words: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
     """One block: ids of its words, concatenated in the order of each text."""
     idx = np.concatenate([unpack(d) for d in words["idx"]] or [np.zeros(0, "<u4")])
     size = np.concatenate([unpack(d) for d in words["size"]] or [np.zeros(0, "<u4")]).astype(np.int64)
@@ -263,48 +263,62 @@ def _reassemble(key, words: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"row": texts["row"], "ids": out})
 
 
-def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``key`` (its string form under ``row``) and ids (little-endian uint32 bytes).
 
     The result has columns row (the key as string, null for a null key) and ids; rows with
-    equal keys stay separate rows.
+    equal keys stay separate rows.  ``decoded`` adds the bytes that the ids stand for, found
+    block by block where the ids are put together.
     """
+    def block(words: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        out = _reassemble(words, texts)
+        return out.assign(decoded=list(map(decoder(path), out["ids"]))) if decoded else out
+
+    schema = "row string, ids binary, decoded binary" if decoded else "row string, ids binary"
     base = docs.select(F.col(key).cast("string").alias("row"), F.col(text).alias("t"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = base.mapInPandas(*_blocks(pattern, parts, True))
     coded = (words.repartition(parts, "bucket").sortWithinPartitions("bucket")
              .mapInPandas(_encode_words(path), "block long, idx binary, size binary, ids binary"))
     texts = base.mapInPandas(*_blocks(pattern, parts, False))
-    return coded.groupBy("block").cogroup(texts.groupBy("block")).applyInPandas(_reassemble, "row string, ids binary")
+    return coded.groupBy("block").cogroup(texts.groupBy("block")).applyInPandas(block, schema)
+
+
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token-byte table: where the bytes of each id begin, how many they are, all bytes in a row."""
+    rank = ranks(path)
+    tokens = [b""] * (max(rank.values(), default=-1) + 1)
+    for t, i in rank.items():
+        tokens[i] = t
+    size = np.array([len(t) for t in tokens], np.int64)
+    return np.cumsum(size) - size, size, np.frombuffer(b"".join(tokens), np.uint8)
+
+
+def decoder(path: str):
+    """Ids (little-endian uint32 bytes) -> the bytes they stand for, joined with the token-byte table."""
+    start, size, flat = token_bytes(path)
+
+    def of(data: bytes) -> bytes:
+        i = np.frombuffer(data, "<u4").astype(np.int64)
+        parts = []
+        for at in range(0, len(i), 1 << 20):
+            j = i[at:at + (1 << 20)]
+            n = size[j]
+            first = np.repeat(start[j] - (np.cumsum(n) - n), n)
+            parts.append(flat[first + np.arange(int(n.sum()))].tobytes())
+        return b"".join(parts)
+
+    return of
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes its ids stand for, by a join with the token-byte table."""
     @F.pandas_udf("binary")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        rank = ranks(path)
-        top = max(rank.values(), default=-1) + 1
-        tokens = [b""] * top
-        for t, i in rank.items():
-            tokens[i] = t
-        size = np.array([len(t) for t in tokens], np.int64)
-        start = np.concatenate([[0], np.cumsum(size)])
-        flat = np.frombuffer(b"".join(tokens), np.uint8)
+        text = decoder(path)
         for s in batches:
-            res = []
-            for data in s:
-                if data is None:
-                    res.append(None)
-                    continue
-                i = np.frombuffer(data, "<u4").astype(np.int64)
-                parts = []
-                for at in range(0, len(i), 1 << 20):
-                    j = i[at:at + (1 << 20)]
-                    n = size[j]
-                    first = np.repeat(start[j] - (np.cumsum(n) - n), n)
-                    parts.append(flat[first + np.arange(int(n.sum()))].tobytes())
-                res.append(b"".join(parts))
-            yield pd.Series(res)
+            yield pd.Series([None if data is None else text(data) for data in s], dtype=object)
 
     return encoded.withColumn(out, of(F.col(ids)))
 

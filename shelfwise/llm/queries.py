@@ -77,7 +77,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document and the bytes they decode to, as digests."""
     path = vocabulary("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents")
-    coded = op7.decode(op7.encode(docs, path, pattern()), path)
+    coded = op7.encode(docs, path, pattern(), decoded=True)
     return coded.select(F.col("row").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -80,9 +80,12 @@ def test_encode_and_decode(edge, nothing, small, tiktoken_ids, monkeypatch, bloc
     monkeypatch.setattr(op7, "BLOCK_SYMBOLS", block)
     path = P.path("byte_bpe_50k.tiktoken")
     for df in (edge, small):
+        # the small table decodes in a step of its own, the edge cases along with the encoding
+        apart = df is small
         if block == 20_000 and df is edge:
             df = df.where("doc_id <> 7")
-        got = sorted((str(r["row"]), bytes(r["ids"]), bytes(r["decoded"])) for r in op7.decode(op7.encode(df, path, P.PATTERN), path).collect())
+        coded = op7.decode(op7.encode(df, path, P.PATTERN), path) if apart else op7.encode(df, path, P.PATTERN, decoded=True)
+        got = sorted((str(r["row"]), bytes(r["ids"]), bytes(r["decoded"])) for r in coded.collect())
         want = sorted((str(r["doc_id"]), b"".join(i.to_bytes(4, "little") for i in tiktoken_ids(r["text"] or "")), (r["text"] or "").encode()) for r in df.collect())
         assert [(k, hashlib.sha256(a).digest(), hashlib.sha256(b).digest()) for k, a, b in got] == [(k, hashlib.sha256(a).digest(), hashlib.sha256(b).digest()) for k, a, b in want]
     assert op7.encode(nothing, path, P.PATTERN).collect() == []
