@@ -5,8 +5,9 @@
    indexes, in position order, packed into bytes.  So the explode carries each word once
    per block and a position costs one to three bytes instead of a row.  Words and packed
    texts are two passes over the documents, so neither is written besides its shuffle;
-   a block is named by a digest of its texts, and one whose words are missing (an input
-   that does not repeat itself) fails instead of giving wrong ids.
+   a block is named by a digest of its place (task, turn) and its texts, so blocks of equal
+   copies stay apart, and one whose words are missing (an input that does not repeat
+   itself) fails instead of giving wrong ids.
 2. The words are shuffled by a hash of the word: one row per block and hash bucket, the
    words packed.  All copies of a word meet in one bucket, which encodes it once and
    answers every (block, index) that asked.  There are as many buckets as shuffle partitions.
@@ -33,6 +34,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -174,10 +176,12 @@ def _blocks(pattern: str, buckets: int, want_words: bool):
         split = splitter(pattern)
         index: dict[str, int] = {}
         texts: list[tuple[str, np.ndarray]] = []
-        held, digest = 0, xxhash.xxh64()
+        task = TaskContext.get().partitionId()
+        held, made = 0, 0
+        digest = xxhash.xxh64(f"{task} {made}")
 
         def flush():
-            nonlocal held, digest
+            nonlocal held, made, digest
             block = np.uint64(digest.intdigest()).astype(np.int64)
             words = list(index)
             # frequent words get small indexes, which pack into fewer bytes
@@ -201,7 +205,8 @@ def _blocks(pattern: str, buckets: int, want_words: bool):
                                         "codes": [pack(place[c]) if len(c) else b"\0" for _, c in some]})
             index.clear()
             texts.clear()
-            held, digest = 0, xxhash.xxh64()
+            held, made = 0, made + 1
+            digest = xxhash.xxh64(f"{task} {made}")
 
         for pdf in batches:
             for key, x in zip(pdf["row"], pdf["t"]):
@@ -249,7 +254,7 @@ def _reassemble(words: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
     size = np.concatenate([unpack(d) for d in words["size"]] or [np.zeros(0, "<u4")]).astype(np.int64)
     flat = np.concatenate([unpack(d) for d in words["ids"]] or [np.zeros(0, "<u4")])
     start = np.cumsum(size) - size
-    idx, first = np.unique(idx, return_index=True)  # equal blocks bring equal words twice
+    idx, first = np.unique(idx, return_index=True)  # in the order of the indexes
     size, start = size[first], start[first]
     out = []
     for data in texts["codes"]:

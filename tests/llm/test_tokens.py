@@ -89,3 +89,15 @@ def test_encode_and_decode(edge, nothing, small, tiktoken_ids, monkeypatch, bloc
         want = sorted((str(r["doc_id"]), b"".join(i.to_bytes(4, "little") for i in tiktoken_ids(r["text"] or "")), (r["text"] or "").encode()) for r in df.collect())
         assert [(k, hashlib.sha256(a).digest(), hashlib.sha256(b).digest()) for k, a, b in got] == [(k, hashlib.sha256(a).digest(), hashlib.sha256(b).digest()) for k, a, b in want]
     assert op7.encode(nothing, path, P.PATTERN).collect() == []
+
+
+def test_blocks_of_equal_copies_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(op7, "BLOCK_SYMBOLS", 100)
+    df = spark.range(0, 400, numPartitions=4).selectExpr("id AS doc_id", "'one text that is copied' AS text")
+    for want_words in (True, False):
+        run, schema = op7._blocks(P.PATTERN, 1, want_words)
+        rows = df.selectExpr("string(doc_id) AS row", "text AS t").mapInPandas(run, schema)
+        assert rows.select("block").distinct().count() == 80
+        assert rows.count() == (80 if want_words else 400)
+    got = op7.encode(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert got.count() == 400 and got.select("ids").distinct().count() == 1
