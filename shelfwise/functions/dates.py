@@ -1,4 +1,7 @@
-"""Date and duration scalars (DAT1–DAT5)."""
+"""Date and duration scalars (DAT1–DAT5).
+
+The text forms and date layouts are fixed values of the platforms' pages.
+"""
 
 from __future__ import annotations
 
@@ -68,6 +71,23 @@ def hours_since(c, asof) -> Column:
     return F.timestamp_diff("HOUR", col(c), lit(asof))
 
 
+def elapsed_label(c, asof) -> Column:
+    """DAT5: '3 days ago' — the largest whole unit from ``c`` to ``asof``, 'from now' for a later ``c``, null for null."""
+    a, b = F.least(col(c), lit(asof)), F.greatest(col(c), lit(asof))
+    whole = lambda unit: F.timestamp_diff(unit, a, b)
+    say = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"))
+    months, days = whole("MONTH"), whole("DAY")
+    size = (F.when(months >= 12, say(F.floor(months / 12), "year"))
+            .when(months >= 1, say(months, "month"))
+            .when(days >= 7, say(F.floor(days / 7), "week"))
+            .when(days >= 1, say(days, "day"))
+            .when(whole("HOUR") >= 1, say(whole("HOUR"), "hour"))
+            .when(whole("MINUTE") >= 1, say(whole("MINUTE"), "minute"))
+            .otherwise(say(whole("SECOND"), "second")))
+    return F.when(col(c).isNotNull() & lit(asof).isNotNull(),
+                  F.concat(size, F.when(col(c) > lit(asof), F.lit(" from now")).otherwise(" ago")))
+
+
 def within_cooldown(c, asof, hours: int = 12) -> Column:
     """DAT5: true when the last run is less than ``hours`` before ``asof``."""
     return hours_since(c, asof) < hours

@@ -86,6 +86,11 @@ def _one_row(first: DataFrame, **scalars: Column) -> DataFrame:
     return first.select("*", *[c.alias(n) for n, c in scalars.items()])
 
 
+def _aggregates(df: DataFrame, **values: Column) -> Column:
+    """Several aggregates of one table as one scalar subquery: a struct, so the table is read once."""
+    return df.agg(F.struct(*[c.alias(n) for n, c in values.items()]).alias("s")).scalar()
+
+
 def overview(products: DataFrame, logs: DataFrame, asof, n_platforms: int = len(schemas.PLATFORMS),
              days: int = 7) -> DataFrame:
     """AGG4: one-row overview of products and recent ingest sessions."""
@@ -96,13 +101,13 @@ def overview(products: DataFrame, logs: DataFrame, asof, n_platforms: int = len(
         round_avg(F.when(_active(), F.col("price"))).alias("avg_price"),
     )
     top = top_brands(products, 1, with_ties_broken=True).select(F.max("brand"))
-    return _one_row(
+    out = _one_row(
         prod,
         total_platforms=F.lit(n_platforms),
-        recent_scrapes=recent.select(F.count(F.lit(1))).scalar(),
-        successful_scrapes=recent.select(F.count_if(F.col("status") == "completed")).scalar(),
+        logs=_aggregates(recent, recent_scrapes=F.count(F.lit(1)), successful_scrapes=F.count_if(F.col("status") == "completed")),
         top_brand=top.scalar(),
     )
+    return out.select(*prod.columns, "total_platforms", "logs.*", "top_brand")
 
 
 def brand_counts(products: DataFrame, platform: str | None = None) -> DataFrame:
@@ -328,12 +333,9 @@ def health(products: DataFrame, logs: DataFrame, asof) -> DataFrame:
     week = logs.where(since("created_at", asof, 7))
     fresh = products.agg(F.count_if(since("scraped_date", asof, 3)).alias("fresh_products"),
                          F.count(F.lit(1)).alias("total_products"))
-    out = _one_row(
-        fresh,
-        logs_48h=logs.where(since("created_at", asof, 48, "HOURS")).select(F.count(F.lit(1))).scalar(),
-        logs_7d=week.select(F.count(F.lit(1))).scalar(),
-        failed_7d=week.select(F.count_if(F.col("status") == "failed")).scalar(),
-    )
+    out = _one_row(fresh, logs=_aggregates(
+        week, logs_48h=F.count_if(since("created_at", asof, 48, "HOURS")), logs_7d=F.count(F.lit(1)),
+        failed_7d=F.count_if(F.col("status") == "failed"))).select(*fresh.columns, "logs.*")
     fresh_pct = pct(F.col("fresh_products"), F.col("total_products"), 2)
     err_pct = pct(F.col("failed_7d"), F.col("logs_7d"), 2)
     return out.select(

@@ -38,3 +38,12 @@ SELECT count(*) FILTER (WHERE scraper_id = '0020240110') AS total_run1,
 FROM rankings""")
 def set03(t):
     return cp.count_deltas(t.rankings, "0020240110", "0020240111")
+
+
+@query("set03b_review_deltas", """
+SELECT count(*) FILTER (WHERE scraper_id = '0020240110') AS total_run1,
+ count(*) FILTER (WHERE scraper_id = '0020240111') AS total_run2,
+ count(*) FILTER (WHERE scraper_id = '0020240111') - count(*) FILTER (WHERE scraper_id = '0020240110') AS difference
+FROM reviews""")
+def set03b(t):
+    return cp.count_deltas(t.reviews, "0020240110", "0020240111")

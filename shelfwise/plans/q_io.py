@@ -97,6 +97,15 @@ def snk04b(t):
     return ex.export_run("0020240110", "rankings", rankings=t.rankings, keywords=t.keywords)
 
 
+@query("snk04c_export_run_reviews", """
+SELECT coalesce(p.sku, 'N/A') AS "Product SKU", r.reviewer_name AS "Reviewer", r.rating AS "Rating", r.review_title AS "Title",
+ r.review_text AS "Text", CAST(NULL AS DATE) AS "Date", CASE WHEN r.verified_purchase THEN 'Yes' ELSE 'No' END AS "Verified"
+FROM reviews r LEFT JOIN (SELECT DISTINCT platform, sku FROM products) p ON r.platform = p.platform AND r.sku = p.sku
+WHERE r.scraper_id = '0020240110'""")
+def snk04c(t):
+    return ex.export_run("0020240110", "reviews", products=t.products, reviews=t.reviews)
+
+
 @query("snk05_stats_document")
 def snk05(t):
     asof = latest(t.scraping_logs, "created_at")

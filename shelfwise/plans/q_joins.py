@@ -64,6 +64,20 @@ def joi06(t):
                        ["platform"], only_null=False)
 
 
+@query("joi06b_backfill_reviews", """
+WITH r AS (SELECT id, concat(platform, '|', sku) AS product_key, CASE WHEN id % 3 = 0 THEN NULL ELSE platform END AS platform,
+  CASE WHEN id % 4 = 0 THEN NULL ELSE sku END AS sku FROM reviews),
+p AS (SELECT DISTINCT concat(platform, '|', sku) AS product_key, platform, sku FROM products)
+SELECT r.id, r.product_key, coalesce(r.platform, p.platform) AS platform, coalesce(r.sku, p.sku) AS sku
+FROM r LEFT JOIN p ON r.product_key = p.product_key""")
+def joi06b(t):
+    key = F.concat_ws("|", "platform", "sku").alias("product_key")
+    unset = lambda c, n: F.when(F.col("id") % n != 0, F.col(c)).alias(c)
+    reviews = t.reviews.select("id", key, unset("platform", 3), unset("sku", 4))
+    products = t.products.select(key, "platform", "sku").distinct()
+    return jn.backfill(reviews, products, "product_key", "product_key", ["platform", "sku"])
+
+
 @query("joi07_only_new", """
 SELECT DISTINCT platform, sku FROM reviews r WHERE NOT EXISTS (
  SELECT 1 FROM products p WHERE p.platform = r.platform AND p.sku = r.sku)""")

@@ -287,6 +287,19 @@ def dat05(t):
                                   dt.within_cooldown("created_at", a, 12).alias("in_cooldown"))
 
 
+@query("dat05b_elapsed_label", """
+WITH s AS (SELECT id, created_at AS a, (SELECT max(created_at) FROM scraping_logs) AS b FROM scraping_logs),
+m AS (SELECT id, (epoch_us(b) - epoch_us(a)) // 1000000 AS secs,
+ (year(b) - year(a)) * 12 + month(b) - month(a) - CASE WHEN (day(b), CAST(b AS TIME)) < (day(a), CAST(a AS TIME)) THEN 1 ELSE 0 END AS months FROM s),
+u AS (SELECT id, CASE WHEN months >= 12 THEN months // 12 WHEN months >= 1 THEN months WHEN secs >= 604800 THEN secs // 604800 WHEN secs >= 86400 THEN secs // 86400
+  WHEN secs >= 3600 THEN secs // 3600 WHEN secs >= 60 THEN secs // 60 ELSE secs END AS n,
+ CASE WHEN months >= 12 THEN 'year' WHEN months >= 1 THEN 'month' WHEN secs >= 604800 THEN 'week' WHEN secs >= 86400 THEN 'day'
+  WHEN secs >= 3600 THEN 'hour' WHEN secs >= 60 THEN 'minute' ELSE 'second' END AS unit FROM m)
+SELECT id, concat(CAST(n AS VARCHAR), ' ', unit, CASE WHEN n = 1 THEN '' ELSE 's' END, ' ago') AS last_run FROM u""")
+def dat05b(t):
+    return t.scraping_logs.select("id", dt.elapsed_label("created_at", latest(t.scraping_logs, "created_at")).alias("last_run"))
+
+
 @query("arr01_sanitize_urls", f"""
 SELECT id, CASE WHEN len(l) > 0 THEN array_to_string(l, ',') END AS image_urls FROM (
  SELECT id, list_filter(list_transform(CAST(json(review_images) AS VARCHAR[]),

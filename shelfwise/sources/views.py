@@ -119,9 +119,10 @@ FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",
     "reviews": f"""SELECT d.doc_id AS id, concat('R', CAST(d.doc_id AS STRING)) AS review_id, {_PLATFORM_OF.format(k='d.doc_id')} AS platform,
  concat('SKU', CAST(d.doc_id % 300 AS STRING)) AS sku, concat('user', CAST(d.doc_id % 90 AS STRING)) AS reviewer_name,
  CASE WHEN d.n_chars % 11 = 0 THEN NULL ELSE CAST(1 + (d.n_chars % 9) * 0.5 AS DECIMAL(3,2)) END AS rating,
- substr(d.text, 1, 60) AS review_title, d.text AS review_text,
+ d.text AS review_title, d.text AS review_text,
  coalesce(l.quality, 0) = 1 AS verified_purchase, CAST(d.n_chars % 25 AS INT) AS helpful_count,
- CASE WHEN d.doc_id % 4 = 0 THEN concat('["http://img.example.com/', CAST(d.doc_id AS STRING), '.jpg"]') WHEN d.doc_id % 4 = 1 THEN '[]' WHEN d.doc_id % 4 = 2 THEN 'null' END AS review_images
+ CASE WHEN d.doc_id % 4 = 0 THEN concat('["http://img.example.com/', CAST(d.doc_id AS STRING), '.jpg"]') WHEN d.doc_id % 4 = 1 THEN '[]' WHEN d.doc_id % 4 = 2 THEN 'null' END AS review_images,
+ lpad(CAST(20240101 + d.doc_id % 28 AS STRING), 10, '0') AS scraper_id
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     # keywords: one per event user
     "keywords": f"""SELECT k AS id, {_PLATFORM_OF.format(k='k')} AS platform, concat('keyword ', CAST(k AS STRING)) AS keyword, k % 5 <> 0 AS status
