@@ -8,6 +8,8 @@ D. rankings    stored search pages → cards → positions (per platform scheme)
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from shelfwise.operators import ranking as rk
 from shelfwise.operators import stats
 from shelfwise.operators import upsert as up
 from shelfwise.operators.joins import resolve_product
+from shelfwise.session import checkpoint_dir
 from shelfwise.sources import export as ex
 
 # fixed values: how each platform numbers search positions
@@ -41,10 +44,13 @@ def ingest(spark: SparkSession, pages: DataFrame, current: DataFrame | None, aso
         .withColumn("scraped_date", F.to_date(F.lit(asof)))
     if current is None:
         current = spark.createDataFrame([], good.schema)
-    merged = up.upsert_products(current, good, asof)
+    # written once with the action of every row, so the pages are parsed once for table and counters
+    staged = f"{checkpoint_dir(spark).rstrip('/')}/ingest/{version}-{uuid.uuid4().hex}"
+    result = up.upsert_products(current, good, asof)
+    result.write.parquet(staged)
+    merged = spark.read.schema(result.schema).parquet(staged)
     path = up.write_version(merged.drop("action"), target, version, partition_by=["platform"])
-    counters = up.ingest_counters(spark.read.parquet(path).join(
-        merged.select("platform", "sku", "action"), ["platform", "sku"]))
+    counters = up.ingest_counters(merged)
     return path, counters, rejected
 
 
@@ -66,7 +72,7 @@ def rankings(search_pages: DataFrame, products: DataFrame, keyword_of_page: Data
     → ranking rows with positions and product ids; appended to ``target`` when given."""
     cards = pg.search_items(search_pages).join(keyword_of_page, "page_id") \
         .withColumn("created_at", F.localtimestamp()) \
-        .withColumn("item_id", F.col("page_id") * 1000 + F.col("ordinal"))
+        .withColumn("item_id", F.shiftleft(F.col("page_id"), 20) + F.col("ordinal"))  # up to a million cards a page
     ranked = resolve_product(positions(cards), products)
     rows = up.append_rankings(ranked.withColumnRenamed("item_id", "id"))
     if target:
