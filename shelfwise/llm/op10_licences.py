@@ -97,7 +97,10 @@ RULES = [
 ]
 
 #: Every known sentence has one of these words; a text without any is not cut into sentences.
-HINT = re.compile(r"licen[sc]e|copyright|warrant|redistribut|permission|creative commons|cc0|public domain|rights reserved|plainly marked|derived from", re.I)
+#: The raw text may have line ends and comment marks between two words.
+HINT = re.compile("|".join(w.replace(" ", "[^A-Za-z0-9]+") for w in (
+    "licen[sc]e", "copyright", "warrant", "redistribut", "permission", "creative commons", "cc0", "public domain",
+    "rights reserved", "plainly marked", "derived from", "provided by")), re.I)
 _compiled = [(name, re.compile(r"\b(?:" + p + ")")) for name, p in SENTENCES]
 _end = re.compile(r"[.!?](?=\s|$)|\n\s*\n")
 _word = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")

@@ -31,6 +31,16 @@ def test_known_texts():
     assert scan(None) == scan("") == ([], [], [])
 
 
+def test_sentences_wrapped_between_the_hinted_words():
+    assert scan("# This is free and unencumbered software released into the public\n# domain.")[0] == ["Unlicense"]
+    assert scan("All rights\nreserved")[0] == ["partial:all-rights"]
+    assert scan(" * All  rights\r\n *   reserved.")[0] == ["partial:all-rights"]
+    assert scan("// Creative\n// Commons Zero")[0] == ["CC0-1.0"]
+    assert scan("-- Altered source versions must be plainly\n-- marked as such.")[0] == ["Zlib"]
+    assert scan("Neither the name of X may be used to endorse or promote products derived\n# from this software")[0] == ["partial:bsd-endorse"]
+    assert scan("This software is provided\n# by the author as is.")[0] == ["partial:bsd-asis"]
+
+
 def test_rules_need_their_sentences_near():
     far = MIT.replace("The above", "One. Two. Three. Four. Five. Six. The above")
     assert "partial:mit-copies" in scan(far)[0]
