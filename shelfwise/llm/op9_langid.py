@@ -2,8 +2,9 @@
 
 A suffix automaton per language is built from a bounded sample of labelled text.  A
 text is parsed greedily against each automaton: every phrase is the longest match in
-that language's sample.  The language needing the fewest phrases per letter wins
-(cross-parsing estimates cross-entropy: long matches mean a close source).
+that language's sample.  Cross-parsing estimates cross-entropy: a phrase costs the bits
+of a place in the sample and of a symbol, so that samples of different size compare, and
+the language in which the text costs least wins.
 
 The automata are dense transition tables, so thousands of text segments are parsed in
 lock-step with numpy, one symbol per step.
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the training sample, per language: symbols in an automaton, rows drawn, longest text drawn.
+#: Bounds of the training sample, per language: symbols in an automaton, texts drawn, longest piece of a text.
 TRAIN_SYMBOLS = 40_000
 TRAIN_ROWS = 400
 TRAIN_MAX_CHARS = 20_000
@@ -97,7 +98,10 @@ class Model:
         self.table = fold_table("".join(letters[:250]))
         self.width = min(len(letters), 250) + 2
         self.langs = sorted(samples)
-        self.automata = [suffix_automaton(self._train(samples[k]), self.width) for k in self.langs]
+        trained = [self._train(samples[k]) for k in self.langs]
+        self.automata = [suffix_automaton(x, self.width) for x in trained]
+        #: Bits of a phrase, per language: a place in the sample and the symbol after the match.
+        self.bits = np.array([np.log2(max(len(x), 2)) + np.log2(self.width) for x in trained])
 
     def _train(self, texts: list[str]) -> list[int]:
         seq: list[int] = []
@@ -173,10 +177,10 @@ class Model:
             if not letters[i] or not self.langs:
                 out.append(("und", 0.0, 1.0))
                 continue
-            best = int(np.argmin(total[i]))
-            rest = np.delete(total[i], best)
-            second = int(rest.min()) if len(rest) else None
-            score = 1.0 if second is None else second / (second + int(total[i][best]))
+            cost = total[i] * self.bits
+            best = int(np.argmin(cost))
+            rest = np.delete(cost, best)
+            score = float(rest.min() / (rest.min() + cost[best])) if len(rest) else 1.0
             out.append((self.langs[best], float(score), float(total[i][best] / n[i])))
         return out
 
@@ -189,24 +193,28 @@ def held_out(doc_id) -> Column:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Fit on a bounded sample of the labelled rows of ``docs``.
 
-    Rows are drawn by a hash of the text against a rate per language (``TRAIN_ROWS`` over
-    its row count), so no language is sorted or gathered in one task; at most about
-    ``TRAIN_ROWS`` texts of at most ``TRAIN_MAX_CHARS`` characters per language reach the
-    driver.  The draw depends on the texts alone, not on partitions.
+    Texts are drawn by their hash against a rate per language (``TRAIN_ROWS`` over its
+    distinct texts; all where there are no more), so copies do not thin the draw, no
+    language is sorted or gathered in one task, and about ``TRAIN_ROWS`` pieces of at most
+    ``TRAIN_MAX_CHARS`` characters per language reach the driver.  A longer text gives the
+    piece that begins at its first letter.  The draw depends on the texts alone, not on
+    partitions.  If chance leaves a labelled language without a text, its least hash is drawn.
     """
     x = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where(
-        (F.length("t") <= TRAIN_MAX_CHARS) & F.col("t").rlike(r"\p{L}") & F.col("l").isNotNull())
-    counts = {r["l"]: r["n"] for r in x.groupBy("l").agg(F.count("*").alias("n")).collect()}
+        F.col("t").rlike(r"\p{L}") & F.col("l").isNotNull()).withColumn("h", F.pmod(F.xxhash64("t"), F.lit(1 << 30)))
+    counts = {r["l"]: r for r in x.groupBy("l").agg(F.count_distinct(F.xxhash64("t")).alias("n"), F.min("h").alias("least")).collect()}
     if not counts:
         return Model({})
-    h = F.pmod(F.xxhash64("t"), F.lit(1 << 30))
     want = F.lit(False)
-    for k, n in counts.items():
-        want = want | ((F.col("l") == k) & (h < min(1 << 30, (1 << 30) * TRAIN_ROWS // n)))
+    for k, r in counts.items():
+        below = (1 << 30) if r["n"] <= TRAIN_ROWS else max((1 << 30) * TRAIN_ROWS // r["n"], r["least"] + 1)
+        want = want | ((F.col("l") == k) & (F.col("h") < below))
+    piece = F.when(F.length("t") <= TRAIN_MAX_CHARS, F.col("t")).otherwise(
+        F.regexp_extract("t", rf"\p{{L}}[\s\S]{{0,{TRAIN_MAX_CHARS - 1}}}", 0))
     got: dict[str, list[str]] = {k: [] for k in counts}
-    for r in x.where(want).select("l", "t", h.alias("h")).distinct().orderBy("h", "t").collect():
+    for r in x.where(want).select("l", piece.alias("t"), "h").distinct().orderBy("h", "t").collect():
         got[r["l"]].append(r["t"])
-    return Model({k: v for k, v in got.items() if v})
+    return Model(got)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", out: str = "language") -> DataFrame:

@@ -60,3 +60,36 @@ def test_pieces_do_not_change_the_kind(monkeypatch):
     whole = m.predict(["abra " * 500])[0][0]
     monkeypatch.setattr(op9, "PIECE", 64)
     assert m.predict(["abra " * 500])[0][0] == whole == "x"
+
+
+def invented(letters, n, seed):
+    rng = np.random.default_rng(seed)
+    vocabulary = ["".join(rng.choice(list(letters), rng.integers(2, 6))) for _ in range(60)]
+    return [" ".join(rng.choice(vocabulary, 12)) for _ in range(n)]
+
+
+def test_copies_do_not_thin_the_draw(spark, monkeypatch):
+    monkeypatch.setattr(op9, "TRAIN_ROWS", 10)
+    a, b = invented("abcdefgh", 30, 1), invented("abcdefgh", 30, 2)
+    docs = spark.createDataFrame([(x, "a") for x in a] + [(x, "b") for x in b] + [("abab gaga", "b")] * 60_000, "text string, lang string")
+    model = op9.train(docs)
+    assert model.langs == ["a", "b"]
+    assert len(np.unique(model.bits.round(-1))) == 1  # both learn from several texts
+    got = [p[0] for p in model.predict(a + b)]
+    assert np.mean([x == y for x, y in zip(got, ["a"] * 30 + ["b"] * 30)]) > 0.95
+
+
+def test_a_language_of_long_texts_is_learned(spark):
+    a, b = invented("abcdefgh", 40, 3), invented("abcdefgh", 4000, 4)
+    long = "0 " * 15_000 + " ".join(b)
+    assert len(long) > 2 * op9.TRAIN_MAX_CHARS
+    model = op9.train(spark.createDataFrame([(x, "a") for x in a] + [(long, "b")], "text string, lang string"))
+    assert model.langs == ["a", "b"]
+    assert [p[0] for p in model.predict(a[:5] + b[-5:])] == ["a"] * 5 + ["b"] * 5
+
+
+def test_little_training_text_does_not_lose_by_its_size():
+    a, b = invented("abcdefgh", 600, 5), invented("abcdefgh", 600, 6)
+    m = op9.Model({"much": a[:500], "little": b[:4]})
+    assert np.mean([p[0] == "little" for p in m.predict(b[500:])]) > 0.95
+    assert np.mean([p[0] == "much" for p in m.predict(a[500:])]) > 0.95
