@@ -9,13 +9,16 @@ the language in which the text costs least wins.
 The automata are dense transition tables, so thousands of text segments are parsed in
 lock-step with numpy, one symbol per step.
 
-Text form: letters folded to lower case, every run of other characters one separator.
+Text form: letters folded to lower case, every run of other characters one separator.  Up
+to ``SINGLE`` letters are one symbol each; of a larger alphabet the rarer letters are two
+to four symbols, so every letter of the training text keeps its own code.
 A text is parsed in segments of ``SEGMENT`` symbols (at most one phrase more each), so
 a very long text needs no more memory at a time than ``PIECE`` characters.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,22 +36,53 @@ PIECE = 1 << 20
 MAX_PHRASE_RATE = 0.6
 
 
+#: Letters of an alphabet that fits single symbols.  In a larger one: letters of one symbol,
+#: lead symbols of two-symbol codes and of three-symbol codes, symbols that end or continue a code.
+SINGLE = 250
+ONE, LEAD_TWO, LEAD_THREE, TRAIL = 122, 48, 16, 64
+
+
+def code(rank: int) -> int:
+    """Symbols of the letter of a rank in a large alphabet, the first one in the low byte (up to four, room for a million letters)."""
+    lead, trail = ONE + 1, ONE + 1 + LEAD_TWO + LEAD_THREE
+    if rank < ONE:
+        return rank + 1
+    rank -= ONE
+    if rank < LEAD_TWO * TRAIL:
+        return lead + rank // TRAIL | trail + rank % TRAIL << 8
+    rank -= LEAD_TWO * TRAIL
+    three, rank = divmod(rank, TRAIL * TRAIL)
+    if three < LEAD_THREE - 4:
+        return lead + LEAD_TWO + three | trail + rank // TRAIL << 8 | trail + rank % TRAIL << 16
+    four, high = divmod(three - (LEAD_THREE - 4), TRAIL)
+    return lead + LEAD_TWO + LEAD_THREE - 4 + four | trail + high << 8 | trail + rank // TRAIL << 16 | trail + rank % TRAIL << 24
+
+
 def fold_table(alphabet: str) -> np.ndarray:
-    """code point -> symbol: 0 separator, 1.. the alphabet, last: a letter outside it."""
-    rank = {c: i + 1 for i, c in enumerate(alphabet)}
-    out = np.zeros(0x110000, np.uint8)
+    """code point -> symbol: 0 separator, 1.. the alphabet, last: a letter outside it.
+
+    An alphabet of more than ``SINGLE`` letters gives the symbols of ``code`` as bytes of an integer.
+    """
+    large = len(alphabet) > SINGLE
+    codes = {c: code(i) if large else i + 1 for i, c in enumerate(alphabet)}
+    other = min(len(alphabet), SINGLE) + 1
+    out = np.zeros(0x110000, "<u4" if large else np.uint8)
     for i in range(0x110000):
         c = chr(i)
         if c.isalpha():
-            out[i] = rank.get(c.lower()[0], len(alphabet) + 1)
+            out[i] = codes.get(c.lower()[0], other)
     return out
 
 
 def symbols(text: str, table: np.ndarray) -> np.ndarray:
     """Symbols of a text, framed by separators, runs of separators collapsed."""
     cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = np.zeros(len(cps) + 2, np.uint8)
-    s[1:-1] = table[cps]
+    body = table[cps]
+    if table.dtype != np.uint8:
+        parts = body.view(np.uint8).reshape(-1, 4)
+        body = parts[(parts != 0) | (np.arange(4) == 0)]
+    s = np.zeros(len(body) + 2, np.uint8)
+    s[1:-1] = body
     keep = np.empty(len(s), bool)
     keep[0] = True
     keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
@@ -94,9 +128,15 @@ class Model:
     """Folding table and one automaton per language (languages in sorted order)."""
 
     def __init__(self, samples: dict[str, list[str]]):
-        letters = sorted({ch.lower()[0] for t in samples.values() for x in t for ch in set(x) if ch.isalpha()})
-        self.table = fold_table("".join(letters[:250]))
-        self.width = min(len(letters), 250) + 2
+        seen = Counter(ch for t in samples.values() for x in t for ch in x if ch.isalpha())
+        often: Counter[str] = Counter()
+        for ch, n in seen.items():
+            often[ch.lower()[0]] += n
+        letters = sorted(often)
+        if len(letters) > SINGLE:
+            letters.sort(key=lambda ch: (-often[ch], ch))
+        self.table = fold_table("".join(letters))
+        self.width = min(len(letters), SINGLE) + 2
         self.langs = sorted(samples)
         trained = [self._train(samples[k]) for k in self.langs]
         self.automata = [suffix_automaton(x, self.width) for x in trained]

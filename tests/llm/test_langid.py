@@ -93,3 +93,24 @@ def test_little_training_text_does_not_lose_by_its_size():
     m = op9.Model({"much": a[:500], "little": b[:4]})
     assert np.mean([p[0] == "little" for p in m.predict(b[500:])]) > 0.95
     assert np.mean([p[0] == "much" for p in m.predict(a[500:])]) > 0.95
+
+
+def test_letters_beyond_single_symbols_are_not_merged():
+    han = [chr(0x4E00 + i) for i in range(1200)]
+    latin = invented("abcdefgh", 100, 7)
+    a, b = invented(han[300:700], 300, 8), invented(han[800:1200], 300, 9)
+    c = invented(han[:300], 200, 10) + ["".join(han[:300])]
+    m = op9.Model({"a": a[:200], "b": b[:200], "c": c, "latin": latin[:60]})
+    got = [p[0] for p in m.predict(a[200:] + b[200:] + latin[60:])]
+    assert got == ["a"] * 100 + ["b"] * 100 + ["latin"] * 40
+
+
+def test_codes_of_a_large_alphabet():
+    ranks = [*range(9000), *range(50_000, 60_000), *range(140_000, 150_000)]
+    codes = [op9.code(i).to_bytes(4, "little").rstrip(b"\0") for i in ranks]
+    assert len(set(codes)) == len(codes) and all(0 < x < op9.SINGLE + 1 for c in codes for x in c)
+    assert {len(c) for c in codes} == {1, 2, 3, 4}
+    known = set(codes)
+    assert not any(c[:i] in known for c in codes for i in range(1, len(c)))  # no code begins another
+    table = op9.fold_table("".join(chr(0x4E00 + i) for i in range(400)))
+    assert op9.symbols(chr(0x4E00) + chr(0x4E00 + 130) + "..x", table).tolist() == [0, 1, *op9.code(130).to_bytes(2, "little"), 0, op9.SINGLE + 1, 0]
