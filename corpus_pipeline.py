@@ -54,9 +54,10 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE ids of every document: doc_id, n_tokens, ids (little-endian uint32)."""
-    coded = op7.encode(docs, vocabulary("byte_bpe_50k.tiktoken"), pattern())
-    return coded.select(F.col("row").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    """Byte-level BPE of every document: doc_id, n_tokens, ids (little-endian uint32), digest of the bytes that they decode to."""
+    coded = op7.encode(docs, vocabulary("byte_bpe_50k.tiktoken"), pattern(), decoded=True)
+    return coded.select(F.col("row").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -1,3 +1,4 @@
+import hashlib
 import os
 import subprocess
 import sys
@@ -70,3 +71,9 @@ def test_the_rest_imports_without_the_subpackage(tmp_path):
             (tmp_path / "shelfwise" / p).symlink_to(os.path.join(ROOT, "shelfwise", p))
     code = "import __spark_entry__ as E; assert 'pipeline' not in E.queries() and len(E.queries()) >= 180 and 'op2_decontamination' not in E.oracle_sql()"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_the_last_stage_decodes(spark):
+    texts = {1: "one two  three", 2: "Grüße, 日本語 \n", 3: "", 4: "one two  three"}
+    got = C.token_ids(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), SF).collect()
+    assert {r["doc_id"]: r["decoded_sha256"] for r in got} == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in texts.items()}
