@@ -1,15 +1,16 @@
 """SimHash near-dedup by pigeonhole blocks.
 
-A 64-bit fingerprint is split into ``b`` blocks.  Fingerprints that differ in at most
-``d`` bits agree in at least ``b - d`` blocks, so with the key "all blocks but these d",
-for every choice of d blocks, each close pair shares a key.  Pairs within a key are
-verified by Hamming distance.
-
-Near copies of one text crowd a key with many distinct fingerprints.  Keys of at most
-``CROWD`` fingerprints are paired at once; the fingerprints of larger ones go to a finer
-split (more, smaller blocks, so longer keys), where close pairs share a key just the
-same.  At the finest split a key leaves three blocks of at most three bits open, so it
-holds at most 512 fingerprints, whatever the data.  Nothing is capped or dropped.
+The bits of a fingerprint are split into ``2 d`` blocks.  Fingerprints that differ in at
+most ``d`` bits agree in at least ``d`` blocks, so with the key "all blocks but these d",
+for every choice of d blocks, each close pair shares a key.
+
+Only components are wanted, so a key returns a forest, not its pairs.  Keys of at most
+``CROWD`` fingerprints are paired at once.  In a larger one every member is tried against
+the least member; then the links found so far are contracted, and a crowded key whose
+members are all in one component is done.  One that still holds two components is split
+within its own open bits (members agree on the others), where close pairs share a key just
+the same.  The open bits halve each time, and a key with d open bits or fewer is linked
+whole by its least member, so every close pair is in one component.  Nothing is capped.
 
 Exact copies are one fingerprint from the start, with the least document id of its rows.
 """
@@ -17,6 +18,7 @@ Exact copies are one fingerprint from the start, with the least document id of i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -28,7 +30,6 @@ from pyspark.sql import functions as F
 from shelfwise.llm.common import stored, text_key
 from shelfwise.llm.graph import components
 
-SPLITS = (6, 12, 24)
 CROWD = 16
 SEED = 42
 PIECE = 1 << 16
@@ -63,39 +64,57 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", shing
     return docs.withColumn(out, of(F.col(text)))
 
 
-def block_masks(blocks: int, open_blocks: int) -> list[int]:
-    """Masks (signed 64 bit) that keep all but ``open_blocks`` of ``blocks`` blocks."""
-    edge = [round(i * 64 / blocks) for i in range(blocks + 1)]
-    block = [((1 << (b - a)) - 1) << a for a, b in zip(edge, edge[1:])]
-    out = []
-    for skip in combinations(block, open_blocks):
-        m = ((1 << 64) - 1) & ~sum(skip)
-        out.append(m - (1 << 64) if m >> 63 else m)
-    return out
-
-
-def near_pairs(fps: DataFrame, bits: int = 3) -> DataFrame:
-    """(a, b), a < b: distinct fingerprints of ``fps`` (column fp) at most ``bits`` apart; repeats possible."""
-    todo, found = fps, None
-    for level, blocks in enumerate(SPLITS):
-        masks = block_masks(blocks, bits)
-        keyed = todo.select("fp", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("c", "mask")).select(
-            "fp", "c", F.col("fp").bitwiseAND(F.col("mask")).alias("k"))
-        shared = stored(keyed.groupBy("c", "k").agg(F.count("*").alias("n")).where("n > 1"), "simhash-keys")
-        members = stored(keyed.join(shared, ["c", "k"]), "simhash-members")
-        last = level == len(SPLITS) - 1
-        small = members if last else members.where(F.col("n") <= CROWD)
-        pairs = (small.groupBy("c", "k").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
+def signed(m: int) -> int:
+    return m - (1 << 64) if m >> 63 else m
+
+
+@lru_cache(1 << 14)
+def splits(opened: int, bits: int) -> tuple[int, ...]:
+    """Masks of the bits that stay open (signed 64 bit, like ``opened``) when ``opened`` is split in blocks and all but ``bits`` of them are fixed."""
+    at = [i for i in range(64) if opened >> i & 1]
+    edge = [round(i * len(at) / (2 * bits)) for i in range(2 * bits + 1)]
+    block = [sum(1 << i for i in at[a:b]) for a, b in zip(edge, edge[1:])]
+    return tuple(sorted({signed(sum(c)) for c in combinations(block, bits)}))
+
+
+def keyed(rows: DataFrame, bits: int) -> DataFrame:
+    """(fp, open, k): each row's fingerprint under every split of its open bits (no column ``open``: all are); k holds the fixed bits."""
+    @F.pandas_udf("array<long>")
+    def finer(opened: pd.Series) -> pd.Series:
+        return opened.map(lambda m: splits(m & ((1 << 64) - 1), bits))
+
+    first = "open" not in rows.columns
+    masks = F.array(*[F.lit(m) for m in splits((1 << 64) - 1, bits)]) if first else finer("open")
+    keys = rows.select("fp", F.explode(masks).alias("open")).withColumn("k", F.col("fp").bitwiseAND(F.bitwise_not("open")))
+    return keys if first else keys.distinct()
+
+
+def near_components(fps: DataFrame, bits: int = 3) -> DataFrame:
+    """(node, root): components of the links of at most ``bits`` (1 or more) bits among the distinct fingerprints in column fp.
+
+    Fingerprints without a link may be missing.
+    """
+    roots, todo = None, fps.select("fp")
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
+    while True:
+        members = stored(keyed(todo, bits), "simhash-keys")
+        shared = members.groupBy("open", "k").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
+        members = stored(members.join(shared, ["open", "k"]), "simhash-members")
+        crowds = members.where(F.col("n") > CROWD)
+        pairs = (members.where(F.col("n") <= CROWD).groupBy("open", "k").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
                  .select("fps", F.posexplode("fps").alias("i", "a"))
-                 .select("a", F.explode(F.slice("fps", F.col("i") + 2, F.size("fps"))).alias("b"))
-                 .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits))
-        found = pairs if found is None else found.union(pairs)
-        if last:
-            break
-        todo = stored(members.where(F.col("n") > CROWD).select("fp").distinct(), "simhash-crowded")
+                 .select("a", F.explode(F.slice("fps", F.col("i") + 2, F.size("fps"))).alias("b")).where(near("a", "b")))
+        stars = crowds.select(F.col("least").alias("a"), F.col("fp").alias("b")).where(near("a", "b"))
+        links = pairs.union(stars)
+        roots = components(links if roots is None else links.union(roots.toDF("a", "b")))
+        # crowded keys whose members are not yet one component; a key with few open bits always is
+        named = (crowds.where(F.bit_count("open") > bits).join(roots, F.col("fp") == F.col("node"), "left")
+                 .select("open", "k", "fp", F.coalesce("root", "fp").alias("root")))
+        split = named.groupBy("open", "k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        todo = stored(named.join(split.select("open", "k"), ["open", "k"], "left_semi").select("fp", "open"), "simhash-split")
         if not todo.limit(1).count():
             break
-    return found
+    return roots
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
@@ -108,7 +127,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     rows = stored(with_fingerprint(docs.select(F.col(key).alias("key"), text_key(F.col(text)).alias("th"), F.col(text).alias("t")), "t",
                                    shingle=shingle).select("key", "th", "fp"), "simhash-rows")
     classes = stored(rows.groupBy("fp").agg(F.min("key").alias("least")), "simhash-classes")
-    roots = components(near_pairs(classes.select("fp"), bits))
+    roots = near_components(classes.select("fp"), bits)
     placed = stored(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
                     .select("fp", F.coalesce("root", "fp").alias("component"), "least"), "simhash-roots")
     least = stored(placed.groupBy("component").agg(F.min("least").alias("component_id")), "simhash-components")

@@ -49,20 +49,38 @@ def test_edge_rows_and_documents(edge, nothing, small):
     assert got(nothing) == []
 
 
-@pytest.mark.parametrize("crowd", [2, 16])
-def test_crowded_keys_lose_no_pair(spark, monkeypatch, crowd):
+@pytest.mark.parametrize("crowd,bits", [(2, 3), (16, 3), (1, 1), (3, 5)])
+def test_crowded_keys_lose_no_component(spark, monkeypatch, crowd, bits):
     monkeypatch.setattr(op5, "CROWD", crowd)
     rng = random.Random(8)
-    fps = {rng.getrandbits(64) for _ in range(300)}
+    fps = {rng.getrandbits(64) for _ in range(200)}
     core = rng.getrandbits(64)
-    for _ in range(250):  # near copies: few bits of a dozen open ones
+    for _ in range(200):  # near copies: few bits of a dozen open ones
         x = core
         for b in rng.sample(range(0, 60, 5), rng.randint(1, 6)):
             x ^= 1 << b
         fps.add(x)
-    want = {tuple(sorted((s(a), s(b)))) for a, b in combinations(fps, 2) if bin(a ^ b).count("1") <= 3 for s in [lambda v: v - (1 << 64) if v >> 63 else v]}
-    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in fps], "fp long")
-    assert {(r["a"], r["b"]) for r in op5.near_pairs(df).collect()} == want
+    for x in list(fps)[:60]:  # pairs just beyond the distance
+        fps.add(x ^ sum(1 << b for b in rng.sample(range(64), bits + 1)))
+    fps = sorted(op5.signed(v) for v in fps)
+    root = {v: v for v in fps}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b in combinations(fps, 2):
+        if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= bits:
+            root[find(a)] = find(b)
+    got_ = {r["node"]: r["root"] for r in op5.near_components(spark.createDataFrame([(v,) for v in fps], "fp long"), bits).collect()}
+    by = {}
+    for v in fps:
+        by.setdefault(got_.get(v, v), set()).add(v)
+    want = {}
+    for v in fps:
+        want.setdefault(find(v), set()).add(v)
+    assert sorted(map(sorted, by.values())) == sorted(map(sorted, want.values()))
 
 
 def test_components_of_chains_stars_and_loops(spark):
