@@ -6,6 +6,7 @@ digest columns from the operator's own output.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,9 @@ from shelfwise.llm import op7_bpe as op7
 from shelfwise.llm import op8_passages as op8
 from shelfwise.llm import op9_langid as op9
 from shelfwise.llm import op10_licences as op10
+from shelfwise.llm import op11_fingerprint as op11
+from shelfwise.llm import op12_runs as op12
+from shelfwise.llm import op13_negatives as op13
 from shelfwise.llm.common import table
 
 
@@ -102,6 +106,44 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.size("licence.findings").cast("long").alias("n_licences"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every document, its likeness to an edited form and to the next document."""
+    d = op11.with_neighbours(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def repeated_tail(key: str | None, words: list[bytes]) -> list[bytes]:
+    """In one document of ten (by the crc32 of its id) the words from some place on repeat the first few of them; null ids: none."""
+    h = zlib.crc32(key.encode()) if key is not None else 1
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a:a + p] * ((n - a) // p + 1))[:n - a]
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words (four periods and six words or more) in every document, and the text without the repeats."""
+    d = op12.find(table(spark, sf_dir, "documents").select("doc_id", "text"), shortest=6, exponent=4, edit=repeated_tail)
+    runs = F.col("periodic.runs")
+    best = F.array_min(F.transform(runs, lambda r: F.struct((-r["length"]).alias("most"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    d = d.select("doc_id", F.size(runs).cast("long").alias("n_runs"), best.alias("best"), digest(F.array_join(lines, "")).alias("runs_sha256"),
+                 digest(F.col("periodic.collapsed")).alias("collapsed_sha256"))
+    length = -F.col("best.most")
+    return d.select("doc_id", "n_runs", F.col("best.start").alias("start"), length.alias("length"), F.col("best.period").alias("period"),
+                    F.expr("(-1000 * best.most) div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten hard negatives for each of five positives of every hundredth vector."""
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return op13.mine(rows, F.col("vec_id") % 100 == 0, scale=256, positives=5, negatives=10, low=30, high=90)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -109,7 +151,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sharding, op2_decontamination, op3_token_counts, op4_pii, op5_simhash, op6_embeddings, op7_bpe,
-                            op8_passages, op9_language, op10_licences, pipeline)}
+                            op8_passages, op9_language, op10_licences, op11_fingerprints, op12_runs, op13_hard_negatives, pipeline)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -143,4 +185,20 @@ comp AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r
 deg AS (SELECT a AS r, count(*) AS n_links FROM link GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
 FROM v JOIN comp USING (r) LEFT JOIN deg USING (r)""",
+    "op13_hard_negatives": """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON b.vec_id IS DISTINCT FROM a.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id NULLS LAST) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id NULLS LAST)
+QUALIFY row_number() OVER w <= 10""",
 }
