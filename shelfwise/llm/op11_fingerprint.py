@@ -32,12 +32,12 @@ from shelfwise.llm.common import stored
 
 BUCKETS = 1024
 PIECE = 1 << 20
-#: What two buckets one, two and three quarters apart add to the difference.
-STEP = np.array([0, 1, 2, 4], np.int64)
+#: What two buckets none, one, two and three quarters apart add to the difference.
+STEP = np.array([0, 1, 2, 3], np.int64)
 #: What a step of the length code, and of a quartile ratio, adds; at most so many steps count.
 LENGTH_STEP, LENGTH_MOST, RATIO_STEP = 2, 24, 2
-#: Differences from this on are no likeness at all: unrelated quarters differ by 1.375 on average.
-BOUND = int(BUCKETS * 1.375)
+#: Differences from this on are no likeness at all: unrelated quarters differ by 1.25 on average.
+BOUND = int(BUCKETS * 1.25)
 
 
 def bucket_counts(data: bytes) -> np.ndarray:
