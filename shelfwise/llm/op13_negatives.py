@@ -52,13 +52,29 @@ def integers(vectors: list[np.ndarray], scale: int) -> np.ndarray:
     return np.array([[whole(x) for x in row] for row in m.tolist()], object)
 
 
+def _best(found: list[tuple[int, int]], scores: np.ndarray, rows: np.ndarray, k: int, ties: np.ndarray) -> list[tuple[int, int]]:
+    """The ``k`` best of ``found`` and the new rows, by score, then tie rank."""
+    if len(rows) > k:
+        least = np.partition(scores, len(scores) - k)[len(scores) - k]
+        kept = scores >= least
+        if kept.sum() > 4 * k:  # many equal scores: only the first of them by tie rank can stay
+            order = np.lexsort((ties[rows], -scores))[:k]
+            scores, rows = scores[order], rows[order]
+        else:
+            scores, rows = scores[kept], rows[kept]
+    return sorted(found + [(int(s), int(r)) for s, r in zip(scores.tolist(), rows.tolist())], key=lambda x: (-x[0], ties[x[1]]))[:k]
+
+
 class Lists:
     """The rows of a block with a sorted list per dimension."""
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable").T if vectors.shape[1] else np.arange(len(vectors))[None, :]
-        self.values = np.take_along_axis(vectors.T, self.order, 1) if vectors.shape[1] else np.zeros((1, len(vectors)))
+        if vectors.shape[1]:
+            self.order = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32))
+            self.values = np.take_along_axis(vectors.T, self.order, 1)
+        else:
+            self.order, self.values = np.arange(len(vectors), dtype=np.int32)[None, :], np.zeros((1, len(vectors)))
 
     def search(self, anchor: np.ndarray, allowed: np.ndarray, windows: list[tuple[int | None, int | None]], k: int, ties: np.ndarray) -> list[list[tuple[int, int]]]:
         """For each window (least score, greatest score; None: open) its ``k`` best allowed rows as (score, row).
@@ -66,38 +82,42 @@ class Lists:
         Better is a higher score, then a smaller entry of ``ties``.
         """
         n = len(self.vectors)
-        used = np.flatnonzero(anchor) if len(anchor) else np.zeros(0, np.int64)
+        used = np.flatnonzero(anchor)
         lists = used if len(used) else np.zeros(1, np.int64)  # an anchor of zeros still has to see every row
-        up = anchor[lists] < 0 if len(anchor) else np.zeros(1, bool)
-        weights = anchor[lists] if len(anchor) else np.zeros(1)
-        order = np.where(up[:, None], self.order[lists], self.order[lists][:, ::-1])
+        up = anchor[lists] < 0 if len(used) else np.zeros(1, bool)
+        rising, falling = lists[up.astype(bool)], lists[~up.astype(bool)]
         seen = np.zeros(n, bool)
         best: list[list[tuple[int, int]]] = [[] for _ in windows]
         open_ = list(range(len(windows)))
-        depth, step = 0, STEP
+        depth, step, every = 0, STEP, None
         while depth < n and open_:
             end = min(depth + step, n)
-            rows = np.unique(order[:, depth:end])
-            rows = rows[~seen[rows]]
+            new = np.zeros(n, bool)
+            new[self.order[rising, depth:end].ravel()] = True
+            new[self.order[falling, n - end:n - depth].ravel()] = True
+            rows = np.flatnonzero(new & ~seen)
             seen[rows] = True
             rows = rows[allowed[rows]]
             if len(rows):
-                scores = self.vectors[rows] @ anchor if len(anchor) else np.zeros(len(rows))
-                for w in open_:
-                    low, high = windows[w]
+                # a product with all rows costs less than one with a copy of most of them
+                if every is None and len(rows) * 4 >= n and self.vectors.dtype != object:
+                    every = self.vectors @ anchor
+                scores = self.vectors[rows] @ anchor if every is None else every[rows]
+                floors = [best[w][-1][0] if len(best[w]) == k else windows[w][0] for w in open_]
+                if None not in floors:  # what no window can take
+                    some = (scores >= min(floors)).astype(bool)
+                    rows, scores = rows[some], scores[some]
+                for w, floor in zip(open_, floors):
                     fits = np.ones(len(rows), bool)
-                    if low is not None:
-                        fits &= (scores >= low).astype(bool)
-                    if high is not None:
-                        fits &= (scores <= high).astype(bool)
-                    if len(best[w]) == k:
-                        fits &= (scores >= best[w][-1][0]).astype(bool)
+                    if floor is not None:
+                        fits &= (scores >= floor).astype(bool)
+                    if windows[w][1] is not None:
+                        fits &= (scores <= windows[w][1]).astype(bool)
                     if fits.any():
-                        new = [(int(s), int(r)) for s, r in zip(scores[fits].tolist(), rows[fits].tolist())]
-                        best[w] = sorted(best[w] + new, key=lambda x: (-x[0], ties[x[1]]))[:k]
-            at = n - end if end <= n else 0
-            value = np.where(up, self.values[lists, end - 1], self.values[lists, at])
-            threshold = int(weights @ value) if len(used) else 0
+                        best[w] = _best(best[w], scores[fits], rows[fits], k, ties)
+            if seen.all():
+                break
+            threshold = int(anchor[rising] @ self.values[rising, end - 1] + anchor[falling] @ self.values[falling, n - end]) if len(used) else 0
             open_ = [w for w in open_ if not (len(best[w]) == k and threshold < best[w][-1][0])
                      and not (windows[w][0] is not None and threshold < windows[w][0])]
             depth, step = end, step * 2
