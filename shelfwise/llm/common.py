@@ -29,6 +29,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no column of that name (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint for a stored table of known, small row count; else Spark shuffles."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -146,9 +146,7 @@ class Model:
     def _train(self, texts: list[str]) -> list[int]:
         seq: list[int] = []
         for x in texts:
-            s = symbols(x, self.table).tolist()
-            if len(seq) + len(s) <= TRAIN_SYMBOLS:
-                seq += s
+            seq += symbols(x, self.table)[:TRAIN_SYMBOLS - len(seq)].tolist()
         return seq
 
     def parse(self, pieces: list[np.ndarray]) -> np.ndarray:

@@ -114,3 +114,19 @@ def test_codes_of_a_large_alphabet():
     assert not any(c[:i] in known for c in codes for i in range(1, len(c)))  # no code begins another
     table = op9.fold_table("".join(chr(0x4E00 + i) for i in range(400)))
     assert op9.symbols(chr(0x4E00) + chr(0x4E00 + 130) + "..x", table).tolist() == [0, 1, *op9.code(130).to_bytes(2, "little"), 0, op9.SINGLE + 1, 0]
+
+
+def test_a_language_of_long_texts_in_a_large_alphabet_is_learned():
+    """Letters beyond the single symbols take several, so one text is longer than a whole training sample."""
+    import random
+
+    from shelfwise.llm import op9_langid as op9
+    rng = random.Random(6)
+    signs = [chr(0x4E00 + i) for i in range(2500)]
+    words = ["".join(rng.choice(signs[1800:]) for _ in range(2)) for _ in range(300)]
+    long_ = lambda n: "".join(rng.choice(words) for _ in range(n))
+    wide = ["".join(rng.choice(signs) for _ in range(4000)) for _ in range(4)]
+    model = op9.Model({"han": [long_(20_000)], "wide": wide, "en": ["the quick brown fox jumps over the lazy dog " * 40]})
+    assert all(len(a) > model.width * 100 for a in model.automata)
+    got = model.predict([long_(400), "the lazy fox jumps over the dog", long_(50)])
+    assert [g[0] for g in got] == ["han", "en", "han"] and got[0][2] <= op9.MAX_PHRASE_RATE
