@@ -77,3 +77,15 @@ def test_the_last_stage_decodes(spark):
     texts = {1: "one two  three", 2: "Grüße, 日本語 \n", 3: "", 4: "one two  three"}
     got = C.token_ids(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), SF).collect()
     assert {r["doc_id"]: r["decoded_sha256"] for r in got} == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in texts.items()}
+
+
+def test_columns_named_like_inner_ones_survive(spark):
+    names = ["id", "_id", "th", "_th", "key", "_key", "language", "_language", "pii", "_pii", "fp", "doc", "t"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    clash = docs.withColumns({n: F.col("doc_id") for n in names})
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, clash, SF)
+        assert out.columns == clash.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == r["doc_id"] for r in rows for n in names), name
+        assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in stage(spark, docs, SF).collect()), name
