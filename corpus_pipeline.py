@@ -16,7 +16,7 @@ from shelfwise.llm import op4_pii as op4
 from shelfwise.llm import op5_simhash as op5
 from shelfwise.llm import op7_bpe as op7
 from shelfwise.llm import op9_langid as op9
-from shelfwise.llm.common import stored, table, text_key
+from shelfwise.llm.common import fresh, stored, table, text_key
 from shelfwise.llm.queries import pattern, vocabulary
 
 
@@ -26,31 +26,41 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The model learns from this stage's own rows that are labelled and not held out.
     """
     model = op9.train(docs.where(~op9.held_out(F.col("doc_id"))))
-    return op9.predict(docs, model, out="_language").where(op9.accepted("_language")).drop("_language")
+    found = fresh(docs, "language")
+    return op9.predict(docs, model, out=found).where(op9.accepted(found)).drop(found)
+
+
+def _matched(docs: DataFrame, ids: DataFrame, how: str) -> tuple[DataFrame, str]:
+    """``docs`` semi- or anti-joined with (doc_id, th) rows, null-safe, and the name of the added content hash."""
+    key = fresh(docs, "key")
+    left = docs.withColumn(key, text_key(F.col("text")))
+    id_, th = fresh(left, "id"), fresh(left, "th")
+    right = ids.select(F.col("doc_id").alias(id_), F.col("th").alias(th))
+    return left.join(right, (F.col(key) == F.col(th)) & F.col("doc_id").eqNullSafe(F.col(id_)), how), key
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each SimHash group (3-word shingles, 3 bits): the least id."""
-    keep = stored(op5.survivors(op5.groups(docs, shingle=3, bits=3)).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")), "kept")
-    rows = docs.withColumn("_key", text_key(F.col("text")))
-    match = (F.col("_key") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    keep = stored(op5.survivors(op5.groups(docs, shingle=3, bits=3)), "kept")
+    rows, key = _matched(docs, keep, "left_semi")
     # a repeated row (same id, same text) is a copy too: one of each stays
-    return rows.join(keep, match, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return rows.dropDuplicates(["doc_id", key]).drop(key)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a 10-word window of a benchmark item."""
     hit = op2.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    drop = stored(hit.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "contaminated")
-    rows = docs.withColumn("_key", text_key(F.col("text")))
-    match = (F.col("_key") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    return rows.join(drop, match, "left_anti").drop("_key")
+    drop = stored(hit.select("doc_id", "th").distinct(), "contaminated")
+    rows, key = _matched(docs, drop, "left_anti")
+    return rows.drop(key)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks every span of personal data; ``n_chars`` follows the masked text."""
-    found = op4.find(docs, op4.fit(docs), out="_pii")
-    return found.withColumns({"text": F.col("_pii.masked"), "n_chars": F.length("_pii.masked").cast(docs.schema["n_chars"].dataType)}).drop("_pii")
+    pii = fresh(docs, "pii")
+    masked = F.col(f"{pii}.masked")
+    found = op4.find(docs, op4.fit(docs), out=pii)
+    return found.withColumns({"text": masked, "n_chars": F.length(masked).cast(docs.schema["n_chars"].dataType)}).drop(pii)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
