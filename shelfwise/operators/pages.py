@@ -1,12 +1,7 @@
-"""Page → record jobs (§2.10), one distributed job over a pages DataFrame.
-
-Every field is a first-match cascade of regular expressions evaluated by Spark
-(`regexp_extract` / `regexp_extract_all` inside whole-stage codegen).  Site
-markup lives in the rule table ``RULES`` (field → ordered patterns, per
-platform, with generic fallbacks), so the engine is the cascade and the strings
-are data.  Repeated blocks (search cards, reviews) are cut out of a page by
-splitting it at each block start and ``posexplode``-ing the pieces, which keeps
-the work per page and needs no DOM.
+"""Page fragments as Column expressions (§2.10): patterns that are local enough for regular expressions.
+
+What depends on a platform's own markup (records, cards, reviews, links) is read by
+``page_reader`` in one tokenising pass; its entry points are re-exported here.
 """
 
 from __future__ import annotations
@@ -19,8 +14,8 @@ from pyspark.sql import functions as F
 from shelfwise.functions import hashing as hs
 from shelfwise.functions import numbers as nm
 from shelfwise.functions import text as tx
-from shelfwise.functions.dates import review_date
 from shelfwise.operators.common import col
+from shelfwise.operators.page_reader import page_products, page_reviews, search_items  # noqa: F401
 
 TAG = "[a-zA-Z][a-zA-Z0-9]*"
 NESTING = 12
@@ -78,98 +73,13 @@ def meta(name: str) -> str:
     return rf'(?is)<(meta)\b(?=[^>]*\b(?:name|property)="{re.escape(name)}")[^>]*\bcontent="([^"]*)"'
 
 
-# the screen-reader copy inside a struck price (the element shows the amount twice)
-_OFFSCREEN_LIST = (rf'(?is)<({TAG})\b[^>]*\bclass="(?:[^"]*\s)?a-text-price(?:\s[^"]*)?"[^>]*>\s*'
-                   r'<span\b[^>]*\ba-offscreen\b[^>]*>([^<]*)<')
-
-
-# ---- fixed values: rule table (patterns are tried in order, first non-empty wins) ----
-# Built from the element ids / classes the platforms print; ``generic`` is the
-# fallback for every platform.
-RULES: dict[str, dict[str, list[str]]] = {
-    "generic": {
-        "title": [sel("h1"), sel("title"), meta("og:title"), meta("title")],
-        "description": [meta("description"), meta("og:description")],
-        "sale_price": [sel('[itemprop="price"]', "content")],
-        "list_price": [],
-        "rating": [sel('[itemprop="ratingValue"]', "content")],
-        "review_count": [sel('[itemprop="reviewCount"]', "content")],
-        "brand": [sel('[itemprop="brand"]', "content")],
-        "availability": [],
-        "seller": [],
-        "category_item": [],
-    },
-    "amazon": {
-        "title": [sel("#productTitle"), sel("#title"), sel(".product-title-word-break"), sel(".product-title"),
-                  sel("#titleSection")],
-        "description": [sel("#productDescription")],
-        "sale_price": [sel(".a-price-whole"), sel("#priceblock_dealprice"), sel("#priceblock_ourprice"),
-                       sel(".a-offscreen")],
-        "list_price": [_OFFSCREEN_LIST, sel(".a-text-price"), sel("#priceblock_listprice"), sel(".a-text-strike")],
-        "rating": [sel("#acrPopover", "title"), sel(".a-icon-alt")],
-        "review_count": [sel("#acrCustomerReviewText")],
-        "brand": [sel("#bylineInfo")],
-        "availability": [sel("#availability")],
-        "seller": [sel("#sellerProfileTriggerId"), sel("#merchant-info")],
-        "category_item": [sel(".a-link-normal.a-color-tertiary")],
-    },
-    "flipkart": {
-        "title": [sel(".VU-ZEz"), sel(".B_NuCI"), sel(".yhB1nd")],
-        "description": [sel("._1mXcCf")],
-        "sale_price": [sel(".Nx9bqj"), sel("._30jeq3")],
-        "list_price": [sel(".yRaY8j"), sel("._3I9_wc")],
-        "rating": [sel(".XQDdHH"), sel("._3LWZlK")],
-        "review_count": [sel(".Wphh3N"), sel("._2_R_DZ")],
-        "brand": [sel(".mEh187")],
-        "availability": [sel(".Z8JjpR"), sel("._16FRp0")],
-        "seller": [sel("#sellerName")],
-        "category_item": [sel(".R0cyWM"), sel("._2whKao")],
-    },
-    "vijaysales": {
-        "title": [sel(".productFullDetail__productName"), sel("h1")],
-        "sale_price": [sel(".product__price--price"), sel(".price")],
-        "list_price": [sel(".product__price--mrp"), sel(".mrp")],
-        "availability": [sel(".product__stock"), sel(".stock")],
-        "seller": [sel(".product__seller")],
-    },
-    "reliancedigital": {
-        "title": [sel(".pdp__title"), sel("h1")],
-        "sale_price": [sel(".pdp__offerPrice"), sel(".amount")],
-        "list_price": [sel(".pdp__mrp"), sel(".mrp")],
-        "seller": [sel(".pdp__seller")],
-    },
-    "croma": {
-        "title": [sel(".pd-title"), sel("h1")],
-        "sale_price": [sel("#pdp-product-price"), sel(".amount")],
-        "list_price": [sel("#old-price"), sel(".old-price")],
-    },
-    "blinkit": {"title": [sel("h1")], "sale_price": [sel(".ProductPrice")]},
-    "bigbasket": {"title": [sel("h1")], "sale_price": [sel(".Pricing___StyledLabel")],
-                  "list_price": [sel(".Pricing___StyledLabel2")], "category_item": [sel(".Breadcrumb a")]},
-    "meesho": {"title": [sel("h1")], "sale_price": [sel("h4")], "list_price": [sel("p.strike")],
-               "seller": [sel(".ShopCardstyled__ShopName")]},
-}
-# default availability text when nothing matches
-AVAILABILITY_DEFAULT = {"amazon": "Unknown", "flipkart": "In Stock", "vijaysales": "In Stock",
-                        "blinkit": "In Stock", "default": "Unknown"}
-# markers of a sponsored search card (matched case-insensitively)
+# ---- fixed values: markup that is the same everywhere ----
+TITLE_RULES = [sel("h1"), sel("title"), meta("og:title"), meta("title")]
 # markers of a sponsored search card (regular expressions, matched case-insensitively)
 SPONSORED_MARKERS = ["sponsored", "AdHolder", 'data-is-sponsored="true"', "IxWX8O", r'\bis-ad="true"',
                      r'class="[^"]*\bad\b[^"]*"', r"\bAd\b</"]
 # a url flag fm=<value> marks an ad unless the value is organic
 AD_URL_FLAG, ORGANIC_URL_FLAG = r"[?&]fm=", r"[?&]fm=organic"
-# start of a search-result card per platform
-CARD_START = {
-    "amazon": r'<div\b[^>]*data-component-type="s-search-result"',
-    "flipkart": r"<div\b[^>]*data-id=\"",
-    "default": r'<div\b[^>]*class="[^"]*\b(?:product-card|product-item|card)\b[^"]*"',
-}
-# start of a review block per platform
-REVIEW_START = {
-    "amazon": r'<div\b[^>]*data-hook="review"',
-    "flipkart": r'<div\b[^>]*class="[^"]*\bcol EPCmJX\b',
-    "default": r'<div\b[^>]*class="[^"]*\breview(?:-item|-card)?\b[^"]*"',
-}
 # a product card that is a button, and the node of its name
 CARD_BUTTON = r'<div\b(?=[^>]*\btabindex="0")(?=[^>]*\brole="button")'
 CARD_NAME = sel("div.tw-text-300.tw-font-semibold.tw-line-clamp-2")
@@ -239,27 +149,6 @@ def cascade(html, patterns: list[str], min_len: int = 0, group: int = 2) -> Colu
     return F.try_element_at(kept, F.lit(1))
 
 
-def rules_for(platform: str, field: str) -> list[str]:
-    return RULES.get(platform, {}).get(field, []) + RULES["generic"].get(field, [])
-
-
-def field(html, platform, name: str, min_len: int = 0) -> Column:
-    """A field by platform: the platform's own cascade (``CASE platform``), then
-    the generic cascade shared by all platforms (evaluated once).  Built as one
-    SQL expression over the ``html`` / ``platform`` column names."""
-    h = html if isinstance(html, str) else "html"
-    p = platform if isinstance(platform, str) else "platform"
-    branches = [f"WHEN {p} = '{code}' THEN {cascade_sql(h, rules[name], min_len)}"
-                for code, rules in RULES.items() if code != "generic" and rules.get(name)]
-    generic = RULES["generic"].get(name, [])
-    specific = f"CASE {' '.join(branches)} END" if branches else None
-    if specific and generic:
-        return F.expr(f"coalesce({specific}, {cascade_sql(h, generic, min_len)})")
-    if specific:
-        return F.expr(specific)
-    return F.expr(cascade_sql(h, generic, min_len))
-
-
 # ---------------------------------------------------------------- links (PAG1–2)
 def _links(pages: DataFrame, links: Column, limit: int | None) -> DataFrame:
     """Distinct links in page order as (page_id, ordinal, link), all of them unless ``limit`` is given."""
@@ -313,9 +202,12 @@ def _is_product(node: Column) -> Column:
 
 def jsonld_product_block(html) -> Column:
     """The first JSON-LD node whose own @type is Product (an object, a list entry or one of @graph)."""
-    blocks = F.regexp_extract_all(col(html), F.lit(JSONLD), 1)
-    nodes = F.flatten(F.transform(blocks, _ld_nodes))
-    return F.try_element_at(F.filter(nodes, _is_product), F.lit(1))
+    return jsonld_node(F.regexp_extract_all(col(html), F.lit(JSONLD), 1))
+
+
+def jsonld_node(blocks: Column) -> Column:
+    """The first Product node of an array of JSON-LD texts."""
+    return F.try_element_at(F.filter(F.flatten(F.transform(blocks, _ld_nodes)), _is_product), F.lit(1))
 
 
 def by_platform(platform, ld: Column, markup: Column) -> Column:
@@ -352,22 +244,6 @@ def jsonld_product(pages: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- product parts
-def with_price_pair(df: DataFrame, html: str = "html", platform: str = "platform", ld: str | None = None) -> DataFrame:
-    """PAG6: list and sale price from JSON-LD and the cascades, in the platform's
-    order (each extracted once), then the NUM9 repair on the extracted columns.
-    ``ld``: a column that holds the JSON-LD product node already."""
-    base = df if ld else df.withColumn("__ld", jsonld_product_block(html))
-    j = jsonld_fields(block=ld or "__ld")
-    raw = base.select(
-        *df.columns, j["sale_price"].alias("__ld_sale"), j["list_price"].alias("__ld_list"),
-        nm.extract_price(field(html, platform, "sale_price")).alias("__markup_sale"),
-        nm.extract_price(field(html, platform, "list_price")).alias("__markup_list"))
-    both = raw.select(*df.columns, by_platform(platform, F.col("__ld_sale"), F.col("__markup_sale")).alias("__sale"),
-                      by_platform(platform, F.col("__ld_list"), F.col("__markup_list")).alias("__list"))
-    lst, sale = nm.repair_prices("__list", "__sale", platform)
-    return both.select(*df.columns, lst.alias("list_price"), sale.alias("sale_price"))
-
-
 def star_histogram(html) -> Column:
     """PAG7: star shares 5→1 as percents.
 
@@ -466,14 +342,6 @@ def variants(html) -> Column:
         F.regexp_extract(s, r'data-(?:defaultasin|asin)="([A-Z0-9]+)"', 1).alias("asin")))
 
 
-def availability(html, platform) -> Column:
-    """PAG15: availability text, else the platform default."""
-    p = col(platform)
-    dflt = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in AVAILABILITY_DEFAULT.items() for x in kv]), p),
-                      F.lit(AVAILABILITY_DEFAULT["default"]))
-    return F.coalesce(field(html, platform, "availability"), dflt)
-
-
 def offers(html) -> Column:
     """PAG16: discount / offer percents found in offer blocks, joined by '; '."""
     blocks = F.regexp_extract_all(col(html), F.lit(element(r'class="[^"]*\b(?:savingsPercentage|offer[^"]*)\b[^"]*"')), 2)
@@ -512,82 +380,6 @@ def badges_and_rank(html) -> dict[str, Column]:
     }
 
 
-def seller_and_badge(html, platform) -> dict[str, Column]:
-    """PAG28: seller name (label 'Fulfilled by' removed), seller rating kept only
-    when <= 5, product badge only when visible (not display:none)."""
-    h = col(html)
-    seller = tx.strip_label(field(html, platform, "seller"), "Fulfilled by")
-    srating = F.regexp_extract(h, r'(?is)class="[^"]*\bseller-rating\b[^"]*"[^>]*>\s*([\d.]+)', 1).try_cast("double")
-    badge_tag = F.regexp_extract(h, r'(?is)<[a-z]+\b[^>]*class="[^"]*\bproduct-badge\b[^"]*"[^>]*>', 0)
-    badge = F.when((badge_tag != "") & ~badge_tag.rlike(r"(?i)display:\s*none"),
-                   _text(F.regexp_extract(h, element(r'class="[^"]*\bproduct-badge\b[^"]*"'), 2)))
-    return {"seller_name": F.nullif(seller, F.lit("")), "seller_rating": F.when(srating <= 5, srating),
-            "product_badge": badge}
-
-
-def page_products(pages: DataFrame, platform: str | Column = "platform") -> DataFrame:
-    """PAG5: a full product record per product page — cascades and JSON-LD per
-    field in the platform's order, price pair, histogram, specs — then cleaned (CLN1).
-
-    Staged projections: every regular expression runs once per page (stage 1
-    and 2 extract, stage 3 combines extracted columns, stage 4 cleans), which
-    keeps each generated method small and no extraction is repeated.
-    """
-    from shelfwise.functions.urls import sku_from_url
-    from shelfwise.operators.upsert import clean_products
-    p = platform if isinstance(platform, Column) else F.col(platform)
-    h = F.col("html")
-    s1 = pages.select("page_id", p.alias("platform"), "url", "html",
-                      jsonld_product_block(h).alias("__ld"), spec_map(h).alias("__specs"))
-    s1 = with_price_pair(s1, ld="__ld")
-    dprice, ddate = delivery(h)
-    extra = badges_and_rank(h)
-    seller = seller_and_badge(h, "platform")
-    s2 = s1.select(
-        "page_id", "platform", "url", "__ld", "__specs", "list_price", "sale_price",
-        field("html", "platform", "title", 3).alias("__title"),
-        field("html", "platform", "description").alias("__description"),
-        field("html", "platform", "brand").alias("__brand"),
-        nm.rating(field("html", "platform", "rating")).alias("__rating"),
-        F.nullif(F.regexp_extract(F.replace(field("html", "platform", "review_count"), F.lit(","), F.lit("")),
-                                  r"(\d+)", 1), F.lit("")).try_cast("bigint").alias("__reviews"),
-        star_histogram(h).alias("__hist"), image_urls(h).alias("__images"), video_urls(h).alias("video_urls"),
-        breadcrumb(h, "platform").alias("category"), availability(h, "platform").alias("inventory_status"),
-        offers(h).alias("offers"), dprice.alias("delivery_price"), ddate.alias("delivery_date"),
-        extra["highlights"].alias("highlights"), extra["customers_say"].alias("customers_say"),
-        extra["amazon_choice"].alias("amazon_choice"), extra["bestseller"].alias("bestseller"),
-        seller["seller_name"].alias("seller_name"), seller["product_badge"].alias("product_badge"),
-        nm.currency_code(F.nullif(F.regexp_extract(h, r'(?is)class="[^"]*\ba-price-symbol\b[^"]*"[^>]*>([^<]*)<', 1),
-                                  F.lit(""))).alias("currency_code"),
-    )
-    jl = jsonld_fields(block="__ld")
-    specs = F.col("__specs")
-
-    def first(name, markup):
-        return by_platform("platform", jl[name], markup).alias(name)
-    raw = s2.select(
-        F.col("page_id").alias("product_id"), "platform", F.col("url").alias("product_url"),
-        first("title", F.col("__title")), first("description", F.col("__description")),
-        first("brand", F.coalesce(F.col("__brand"), named_attr(specs, "^brand"))),
-        named_attr(specs, "^manufacturer").alias("manufacturer"),
-        named_attr(specs, "^model").alias("model_name"),
-        named_attr(specs, "^colou?r").alias("color"),
-        named_attr(specs, "weight").alias("weight"),
-        dimensions(specs, "platform").alias("dimensions"),
-        F.coalesce("list_price", jl["sale_price"]).cast("string").alias("price"),
-        F.col("sale_price").cast("string").alias("sale_price"),
-        first("rating", F.col("__rating")).cast("string").alias("rating"),
-        first("review_count", F.col("__reviews")).cast("string").alias("review_count"),
-        *[F.col("__hist")[5 - i].cast("string").alias(f"rating_{i}_star_percent") for i in range(1, 6)],
-        first("image_urls", F.when(F.size("__images") > 0, F.col("__images"))),
-        "video_urls", F.to_json(specs).alias("technical_details"),
-        "category", "inventory_status", "offers", "delivery_price", "delivery_date", "highlights",
-        "customers_say", "amazon_choice", "bestseller", "seller_name", "product_badge", "currency_code",
-        F.coalesce(sku_from_url(F.col("url"), F.col("platform")), hs.content_id(F.col("url"), "", 12)).alias("sku"),
-    )
-    return clean_products(raw).withColumnRenamed("product_id", "page_id")
-
-
 # ---------------------------------------------------------------- search pages (PAG19–20)
 def _blocks(html: Column, start_pattern: str) -> Column:
     """Blocks of a page: the text from each block start to the next one."""
@@ -606,30 +398,6 @@ def is_sponsored(block, platform=None) -> Column:
     return out
 
 
-def search_items(pages: DataFrame, platform: str | Column = "platform") -> DataFrame:
-    """PAG19: search-result cards → (page_id, ordinal, sku, title, is_sponsored).
-
-    The page is cut at each card start of its platform; each piece is one card.
-    """
-    p = platform if isinstance(platform, Column) else F.col(platform)
-    h = F.col("html")
-    blocks = None
-    for code, pat in CARD_START.items():
-        if code == "default":
-            continue
-        e = _blocks(h, pat)
-        blocks = F.when(p == code, e) if blocks is None else blocks.when(p == code, e)
-    blocks = blocks.otherwise(_blocks(h, CARD_START["default"]))
-    cards = pages.select("page_id", "url", p.alias("platform"), F.posexplode(blocks).alias("ordinal", "card"))
-    c = F.col("card")
-    sku = F.coalesce(F.nullif(F.regexp_extract(c, r'data-asin="([A-Z0-9]{10})"', 1), F.lit("")),
-                     F.nullif(F.regexp_extract(c, r'data-id="([A-Za-z0-9]+)"', 1), F.lit("")),
-                     F.nullif(F.regexp_extract(c, r'data-(?:sku|product-id)="([A-Za-z0-9_\-]+)"', 1), F.lit("")))
-    title = cascade("card", [sel("h2"), sel(".product-title"), sel("a", "title")], 0)
-    return cards.select("page_id", "platform", (F.col("ordinal") + 1).cast("int").alias("ordinal"),
-                        sku.alias("sku"), title.alias("title"), is_sponsored(c).alias("is_sponsored"))
-
-
 # ---------------------------------------------------------------- reviews (PAG21–27)
 def review_id(block, platform) -> Column:
     """PAG22: id attribute, else the permalink id, else a content hash (HSH1)."""
@@ -675,32 +443,3 @@ def sentiment_label(rating) -> Column:
     """PAG27: positive (>= 4), neutral (>= 3), negative, null without a rating."""
     r = col(rating)
     return F.when(r.isNull(), F.lit(None)).when(r >= 4, "positive").when(r >= 3, "neutral").otherwise("negative")
-
-
-def page_reviews(pages: DataFrame, platform: str | Column = "platform", asof=None) -> DataFrame:
-    """PAG21: review blocks of a product page → review rows, FIL15 applied."""
-    from shelfwise.operators.filters import accept_reviews
-    p = platform if isinstance(platform, Column) else F.col(platform)
-    h = F.col("html")
-    blocks = None
-    for code, pat in REVIEW_START.items():
-        if code == "default":
-            continue
-        e = _blocks(h, pat)
-        blocks = F.when(p == code, e) if blocks is None else blocks.when(p == code, e)
-    blocks = blocks.otherwise(_blocks(h, REVIEW_START["default"]))
-    rv = pages.select("page_id", p.alias("platform"), F.posexplode(blocks).alias("ordinal", "block"))
-    b = F.col("block")
-    name = cascade("block", [sel(".a-profile-name"), sel(".reviewer-name"), sel(".review-author")], 0)
-    title = cascade("block", [sel('[data-hook="review-title"]'), sel(".review-title")], 0)
-    body = cascade("block", [sel('[data-hook="review-body"]'), sel(".review-text"), sel(".review-body")], 0)
-    date_text = cascade("block", [sel('[data-hook="review-date"]'), sel(".review-date")], 0)
-    rating = star_rating(b)
-    out = rv.select(
-        "page_id", "platform", (F.col("ordinal") + 1).cast("int").alias("ordinal"),
-        review_id(b, F.col("platform")).alias("review_id"), name.alias("reviewer_name"),
-        rating.cast("decimal(3,2)").alias("rating"), title.alias("review_title"), body.alias("review_text"),
-        (review_date(date_text, asof) if asof is not None else F.lit(None).cast("date")).alias("review_date"),
-        verified(b).alias("verified_purchase"), helpful_count(b).alias("helpful_count"),
-        variant_info(b).alias("variant_info"), sentiment_label(rating).alias("sentiment"))
-    return accept_reviews(out)

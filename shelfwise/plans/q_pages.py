@@ -1,15 +1,18 @@
 """Catalogue entries for §2.10 page jobs, run over every page of the driver's ``pages`` table.
 
 The driver pages carry titles, nav links, ad blocks and articles; the view
-``shop_pages`` appends prices, JSON-LD, cards and reviews whose values follow from
-the page's key.  PAG6, 15, 18, 21 and 28 are compared with those values themselves;
-the other twins read the markup with expressions of their own engine.
+``shop_pages`` appends each platform's own markup (prices, JSON-LD, cards, reviews), whose
+values follow from the page's key.  What the page reader yields (PAG1b, 3b, 5, 6, 15, 19, 21,
+28) is compared with those values themselves; the other twins read the markup with
+expressions of their own engine.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfwise.functions import text as tx
+from shelfwise.operators import page_reader as rd
 from shelfwise.operators import pages as pg
 from shelfwise.plans.catalog import query
 from shelfwise.sources.views import LIST, SALE, _PLATFORM_OF
@@ -30,6 +33,30 @@ def pag01(t):
     return pg.product_links(t.shop_pages, path_pattern=None)
 
 
+def _by_platform(cases: dict[str, str], other: str = "NULL") -> str:
+    return "CASE platform " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in cases.items()) + f" ELSE {other} END"
+
+
+_ID = "CAST(page_id AS VARCHAR)"
+_ASIN = f"lpad({_ID}, 9, '0')"
+# the links of the first and of the second card (an ad) by platform
+_LINK = {"amazon": (f"'https://www.amazon.in/dp/B' || {_ASIN}", "NULL"),
+         "flipkart": (f"'https://www.flipkart.com/thing/p/itm' || {_ID} || 'A?fm=organic'", f"'https://www.flipkart.com/thing/p/itm' || {_ID} || 'B?fm=search'"),
+         "vijaysales": (f"'https://www.vijaysales.com/p/' || {_ID}", "NULL"),
+         "reliancedigital": (f"'https://www.reliancedigital.in/x/p/R' || {_ID} || 'A'", f"'https://www.reliancedigital.in/x/p/R' || {_ID} || 'B'"),
+         **{p: (f"'{site}' || {_ID} || '1{tail}'", f"'{site}' || {_ID} || '2{tail}'") for p, site, tail in (
+             ("croma", "https://www.croma.com/x/p/", ""), ("bigbasket", "https://www.bigbasket.com/pd/", "/x"), ("meesho", "https://www.meesho.com/x/p/", ""))}}
+
+
+@query("pag01b_platform_links", f"""
+WITH p AS (SELECT page_id, {_PLAT} AS platform FROM pages),
+l AS (SELECT page_id, 1 AS ordinal, {_by_platform({k: v[0] for k, v in _LINK.items()})} AS link FROM p
+  UNION ALL SELECT page_id, 2, {_by_platform({k: v[1] for k, v in _LINK.items()})} FROM p WHERE page_id % 3 <> 0)
+SELECT page_id, CAST(ordinal AS INT) AS ordinal, link FROM l WHERE link IS NOT NULL""")
+def pag01b(t):
+    return rd.product_links(_pages(t))
+
+
 def _pag02_sql() -> str:
     slug = "regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
     return f"""
@@ -63,7 +90,7 @@ _TITLE_RX = ["(?is)<h1\\b[^>]*>(.*?)</h1", "(?is)<title\\b[^>]*>(.*?)</title",
     f"CASE WHEN length({_txt(f'regexp_extract(html, {chr(39)}{r}{chr(39)}, 1)')}) > 3 "
     f"THEN {_txt(f'regexp_extract(html, {chr(39)}{r}{chr(39)}, 1)')} END" for r in _TITLE_RX) + ") AS title FROM shop_pages")
 def pag03(t):
-    return t.shop_pages.select("page_id", pg.cascade("html", pg.RULES["generic"]["title"], 3).alias("title"))
+    return t.shop_pages.select("page_id", pg.cascade("html", pg.TITLE_RULES, 3).alias("title"))
 
 
 def _price_sql(x: str) -> str:
@@ -98,17 +125,12 @@ def pag04(t):
     return pg.jsonld_product(t.shop_pages).withColumn("image_urls", F.array_join("image_urls", " "))
 
 
-@query("pag05_page_products")
-def pag05(t):
-    return pg.page_products(_pages(t))
-
-
 _LD_FIRST = "platform IN ('croma', 'reliancedigital', 'bigbasket', 'blinkit')"
 
 
 @query("pag06_price_pair", f"""
 WITH v AS (SELECT page_id, {_PLAT} AS platform, {SALE} AS sale, CASE WHEN page_id % 3 < 2 THEN {SALE} + 1 END AS ld_sale,
-  CASE WHEN page_id % 5 <> 0 AND page_id % 8 <> 5 THEN {LIST} END AS list, CASE WHEN page_id % 3 = 1 THEN {LIST} + 1 END AS ld_list FROM pages),
+  CASE WHEN page_id % 5 <> 0 THEN {LIST} END AS list, CASE WHEN page_id % 3 = 1 THEN {LIST} + 1 END AS ld_list FROM pages),
 w AS (SELECT page_id, platform, CASE WHEN {_LD_FIRST} THEN coalesce(ld_sale, sale) ELSE sale END AS s,
   CASE WHEN {_LD_FIRST} THEN coalesce(ld_list, list) ELSE coalesce(list, ld_list) END AS l FROM v),
 f AS (SELECT page_id, platform, CASE WHEN l IS NULL AND platform IN ('amazon', 'reliancedigital', 'bigbasket', 'meesho') THEN s ELSE l END AS l,
@@ -116,7 +138,53 @@ f AS (SELECT page_id, platform, CASE WHEN l IS NULL AND platform IN ('amazon', '
 SELECT page_id, CAST(CASE WHEN platform = 'reliancedigital' AND s > l THEN s ELSE l END AS DOUBLE) AS list_price,
  CAST(CASE WHEN platform = 'reliancedigital' AND s > l THEN l ELSE s END AS DOUBLE) AS sale_price FROM f""")
 def pag06(t):
-    return pg.with_price_pair(_pages(t)).select("page_id", "list_price", "sale_price")
+    return rd.with_price_pair(_pages(t))
+
+
+_H1 = _txt("regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1', 1)")
+_STOCK = _by_platform({"blinkit": "CASE WHEN page_id % 7 <> 0 THEN 'In Stock' ELSE 'Out of Stock' END",
+                       "vijaysales": "CASE WHEN page_id % 21 = 0 THEN 'Out of Stock' ELSE 'In Stock' END",
+                       **{p: f"CASE WHEN page_id % 7 <> 0 THEN 'Only ' || CAST(page_id % 9 + 1 AS VARCHAR) || ' left in stock' ELSE '{d}' END" for p, d in (
+                           ("amazon", "Unknown"), ("flipkart", "In Stock"), ("reliancedigital", "Available"), ("croma", "Available"),
+                           ("bigbasket", "Unknown"), ("meesho", "In Stock"))}})
+_SELLER = "CASE WHEN platform IN ('amazon', 'flipkart', 'reliancedigital', 'meesho') THEN 'Shop ' || CAST(page_id % 17 AS VARCHAR) END"
+
+
+@query("pag03b_platform_title", f"""
+SELECT page_id, CASE WHEN platform = 'blinkit' THEN {_H1} ELSE 'Item ' || CAST(page_id % 101 AS VARCHAR) || ' of the shelf' END AS title
+FROM (SELECT page_id, html, {_PLAT} AS platform FROM pages) x""")
+def pag03b(t):
+    return rd.with_page(_pages(t), "fields").select("page_id", rd.value("title").alias("title"))
+
+
+@query("pag05_page_products", f"""
+WITH x AS (SELECT page_id, {_PLAT} AS platform, {_H1} AS h1, page_id % 3 AS k, {SALE} AS sale, {LIST} AS list FROM pages),
+y AS (SELECT *, {_LD_FIRST} AS ld_first, CASE WHEN k < 2 THEN sale + 1 END AS ld_sale, CASE WHEN k = 1 THEN list + 1 END AS ld_list,
+  CASE WHEN page_id % 5 <> 0 THEN list END AS m_list, CASE WHEN platform = 'blinkit' THEN regexp_replace(h1, '{tx.NOT_ALLOWED}', '', 'g') ELSE 'Item ' || (page_id % 101) || ' of the shelf' END AS m_title,
+  CASE k WHEN 0 THEN 'Ld item ' || (page_id % 97) WHEN 1 THEN 'Graph item ' || (page_id % 97) END AS ld_title FROM x),
+z AS (SELECT *, CASE WHEN ld_first THEN coalesce(ld_sale, sale) ELSE sale END AS s,
+  CASE WHEN ld_first THEN coalesce(ld_list, m_list) ELSE coalesce(m_list, ld_list) END AS l FROM y),
+f AS (SELECT *, CASE WHEN l IS NULL AND platform IN ('amazon', 'reliancedigital', 'bigbasket', 'meesho') THEN s ELSE l END AS l2,
+  CASE WHEN l IS NULL AND platform = 'meesho' THEN NULL ELSE s END AS s2 FROM z)
+SELECT page_id, platform, CASE WHEN ld_first THEN coalesce(ld_title, m_title) ELSE m_title END AS title,
+ CASE WHEN ld_first AND k < 2 THEN 'Maker ' || (page_id % 7) ELSE 'Maker ' || (page_id % 11) END AS brand,
+ CAST(coalesce(CASE WHEN platform = 'reliancedigital' AND s2 > l2 THEN s2 ELSE l2 END, ld_sale) AS DOUBLE) AS price,
+ CAST(CASE WHEN platform = 'reliancedigital' AND s2 > l2 THEN l2 ELSE s2 END AS DOUBLE) AS sale_price,
+ CAST(CASE WHEN ld_first AND k = 1 THEN 3 ELSE 4 END + (page_id % 10) / 10 AS DOUBLE) AS rating,
+ CAST(CASE WHEN ld_first AND k = 0 THEN page_id % 500 WHEN ld_first AND k = 1 THEN page_id % 300 ELSE page_id % 700 + 1 END AS BIGINT) AS review_count,
+ {_STOCK} AS inventory_status, {_SELLER} AS seller_name,
+ CASE WHEN platform = 'amazon' THEN '-' || (page_id % 60 + 1) || '%' ELSE (page_id % 60 + 1) || '% off' END AS offers,
+ CASE WHEN platform = 'blinkit' THEN 'M' || (page_id % 53) END AS model_name,
+ CASE platform WHEN 'amazon' THEN 'Shelf ' || (page_id % 12) || ', All' WHEN 'flipkart' THEN 'Shelf ' || (page_id % 12) || ', All'
+  WHEN 'reliancedigital' THEN 'Shelf ' || (page_id % 12) || ' ,All' WHEN 'croma' THEN 'Shelf ' || (page_id % 12) || ' , All'
+  WHEN 'bigbasket' THEN 'Shelf ' || (page_id % 12) || '  All' WHEN 'meesho' THEN 'All' END AS category,
+ CASE WHEN platform = 'amazon' THEN 'Sixteen GB of memory, lot ' || (page_id % 31) END AS highlights, 'INR' AS currency_code
+FROM f""")
+def pag05(t):
+    d = rd.page_products(_pages(t))
+    return d.select("page_id", "platform", "title", "brand", *[F.col(c).cast("double").alias(c) for c in ("price", "sale_price", "rating")],
+                    F.col("review_count").cast("bigint").alias("review_count"), "inventory_status", "seller_name", "offers", "model_name", "category",
+                    "highlights", "currency_code")
 
 
 
@@ -252,14 +320,9 @@ def pag14(t):
         "|", F.coalesce(e["name"], F.lit("")), F.coalesce(e["image"], F.lit("")), e["asin"])), ";").alias("variants"))
 
 
-@query("pag15_availability", f"""
-SELECT page_id, platform, CASE WHEN page_id % 6 <> 0 AND platform IN ('amazon', 'flipkart', 'vijaysales')
-  THEN 'Only ' || CAST(page_id % 9 + 1 AS VARCHAR) || ' left in stock'
- WHEN platform IN ('flipkart', 'vijaysales', 'blinkit') THEN 'In Stock' ELSE 'Unknown' END AS inventory_status
-FROM (SELECT page_id, {_PLAT} AS platform FROM pages) x""")
+@query("pag15_availability", f"SELECT page_id, platform, {_STOCK} AS inventory_status FROM (SELECT page_id, {_PLAT} AS platform FROM pages) x")
 def pag15(t):
-    p = _pages(t)
-    return p.select("page_id", "platform", pg.availability("html", F.col("platform")).alias("inventory_status"))
+    return rd.with_page(_pages(t), "fields").select("page_id", "platform", rd.availability().alias("inventory_status"))
 
 
 _OFFER_RX = '(?is)class="[^"]*\\b(?:savingsPercentage|offer[^"]*)\\b[^"]*"[^>]*>(.*?)</'
@@ -299,34 +362,21 @@ def pag18(t):
     return t.shop_pages.select("page_id", *[v.alias(k) for k, v in f.items()])
 
 
-def _pag19_sql() -> str:
-    def mark(pat):
-        return f"regexp_replace(html, '({pat})', chr(1) || '\\1', 'g')"
-    starts = {k: v for k, v in pg.CARD_START.items() if k != "default"}
-    marked = ("CASE " + " ".join(f"WHEN platform = '{k}' THEN {mark(v)}" for k, v in starts.items())
-              + f" ELSE {mark(pg.CARD_START['default'])} END")
-    sku = ("coalesce(nullif(regexp_extract(card, 'data-asin=\"([A-Z0-9]{10})\"', 1), ''), "
-           "nullif(regexp_extract(card, 'data-id=\"([A-Za-z0-9]+)\"', 1), ''), "
-           "nullif(regexp_extract(card, 'data-(?:sku|product-id)=\"([A-Za-z0-9_\\-]+)\"', 1), ''))")
-    # RE2 has no back-references: the twin names the tags that the pages use
-    rules = ['(?is)<h2\\b[^>]*>(.*?)</h2', '(?is)<div\\b[^>]*\\bclass="(?:[^"]*\\s)?product-title(?:\\s[^"]*)?"[^>]*>(.*?)</div',
-             '(?is)<a\\b[^>]*\\btitle="([^"]*)"']
-    raws = ", ".join(f"regexp_extract(card, '{p}', 1)" for p in rules)
-    title = f"list_filter(list_transform([{raws}], lambda x: {_txt('x')}), lambda y: length(y) > 0)[1]"
-    markers = " OR ".join(f"regexp_matches(card, '(?i){m}')" for m in pg.SPONSORED_MARKERS)
-    sponsored = (f"((regexp_matches(card, '(?i){pg.AD_URL_FLAG}') AND NOT regexp_matches(card, '(?i){pg.ORGANIC_URL_FLAG}'))"
-                 f" OR {markers})")
-    return f"""
-WITH p AS (SELECT page_id, html, {_PLAT} AS platform FROM shop_pages),
-b AS (SELECT page_id, platform, string_split({marked}, chr(1)) AS parts FROM p),
-c AS (SELECT page_id, platform, list_slice(parts, 2, len(parts)) AS cards FROM b),
-u AS (SELECT page_id, platform, CAST(generate_subscripts(cards, 1) AS INT) AS ordinal, unnest(cards) AS card FROM c)
-SELECT page_id, platform, ordinal, {sku} AS sku, {title} AS title, {sponsored} AS is_sponsored FROM u"""
+# (sku, title) of the first card, sku of the second one
+_CARD = {"amazon": (f"'B' || {_ASIN}", f"'C' || {_ASIN}"), "flipkart": (f"'itm' || {_ID} || 'A'", f"'itm' || {_ID} || 'B'"),
+         "vijaysales": (f"'V' || {_ID} || 'A'", f"'second-' || {_ID}"), "reliancedigital": (f"'R' || {_ID} || 'A'", f"'R' || {_ID} || 'B'")}
 
 
-@query("pag19_search_items", _pag19_sql())
+@query("pag19_search_items", f"""
+WITH p AS (SELECT page_id, {_PLAT} AS platform FROM pages),
+b AS (SELECT page_id, platform, 1 AS n, CAST(page_id % 400 + 100 AS VARCHAR) AS sku, 'Milk & Bread ' || (page_id % 25) || '!' AS title, false AS is_sponsored FROM p
+  UNION ALL SELECT page_id, platform, 2, '7', NULL, false FROM p UNION ALL SELECT page_id, platform, 3, '9', 'Rice', false FROM p),
+c AS (SELECT page_id, platform, 4 AS n, {_by_platform({k: v[0] for k, v in _CARD.items()}, f"{_ID} || '1'")} AS sku, 'Card no ' || (page_id % 77) AS title, false AS is_sponsored FROM p
+  UNION ALL SELECT page_id, platform, 5, {_by_platform({k: v[1] for k, v in _CARD.items()}, f"{_ID} || '2'")}, 'Second', platform NOT IN ('vijaysales', 'blinkit') FROM p WHERE page_id % 3 <> 0)
+SELECT page_id, platform, CAST(CASE WHEN platform = 'blinkit' THEN n ELSE n - 3 END AS INT) AS ordinal, sku, title, is_sponsored
+FROM (SELECT * FROM c UNION ALL SELECT * FROM b WHERE platform = 'blinkit') u""")
 def pag19(t):
-    return pg.search_items(_pages(t))
+    return rd.search_items(_pages(t))
 
 
 def _pag20_sql() -> str:
@@ -347,18 +397,23 @@ def pag20(t):
 
 
 @query("pag21_page_reviews", f"""
-WITH p AS (SELECT page_id, {_PLAT} AS platform, CAST(page_id % 5 + 1 AS INT) AS r FROM pages)
-SELECT page_id, platform, 1 AS ordinal, 'RV' || page_id || 'A' AS review_id, 'User ' || (page_id % 19) AS reviewer_name,
- CAST(r AS DECIMAL(3,2)) AS rating, 'Title ' || (page_id % 23) AS review_title,
- 'Good screen and keys of lot ' || (page_id % 31) || '.' AS review_text, make_date(2024, 1, page_id % 28 + 1) AS review_date,
- page_id % 2 = 0 AS verified_purchase, CAST(page_id % 40 + 2 AS INT) AS helpful_count, 'Colour: Shade ' || (page_id % 9) AS variant_info,
- CASE WHEN r >= 4 THEN 'positive' WHEN r >= 3 THEN 'neutral' ELSE 'negative' END AS sentiment FROM p
+WITH p AS (SELECT page_id, {_PLAT} AS platform, CAST(page_id % 5 + 1 AS INT) AS score, 'User ' || (page_id % 19) AS who, 'Title ' || (page_id % 23) AS head,
+  'Good screen and keys of lot ' || (page_id % 31) || '.' AS say, page_id % 28 + 1 AS d FROM pages),
+r AS (SELECT *, CASE platform WHEN 'reliancedigital' THEN 2 WHEN 'bigbasket' THEN 3 ELSE score END AS r FROM p WHERE platform <> 'blinkit')
+SELECT page_id, platform, 1 AS ordinal, {_by_platform({
+    "amazon": f"'RV' || {_ID} || 'A'", "flipkart": f"'RV' || {_ID} || 'A'", "croma": f"'CROMA_RV' || {_ID} || 'A'", "reliancedigital": f"'RD_RV' || {_ID} || 'A'",
+    "bigbasket": f"'BB_RV' || {_ID} || 'A'", "vijaysales": "'VS_' || left(md5(who || score || ' of 5' || head || say || d || '/01/2024'), 16)"})} AS review_id,
+ who AS reviewer_name, CAST(r AS DECIMAL(3,2)) AS rating, head AS review_title, say AS review_text,
+ CASE WHEN platform = 'flipkart' THEN make_date(2024, 1, 1) ELSE make_date(2024, 1, d) END AS review_date, platform <> 'vijaysales' AS verified_purchase,
+ CAST(CASE WHEN platform = 'vijaysales' THEN 0 ELSE page_id % 40 + 2 END AS INT) AS helpful_count,
+ CASE WHEN platform = 'amazon' THEN 'Colour: Shade ' || (page_id % 9) END AS variant_info,
+ CASE WHEN r >= 4 THEN 'positive' WHEN r >= 3 THEN 'neutral' ELSE 'negative' END AS sentiment FROM r
 UNION ALL
-SELECT page_id, platform, 2, 'RV' || page_id || 'B', 'Silent', NULL, NULL, NULL, NULL, false, 0, NULL, NULL
-FROM p WHERE page_id % 2 = 1 AND platform IN ('amazon', 'flipkart')""")
+SELECT page_id, platform, 2, 'RV' || {_ID} || 'B', 'Silent', NULL, NULL, NULL, NULL, false, 0, NULL, NULL
+FROM p WHERE page_id % 5 = 1 AND platform IN ('amazon', 'flipkart')""")
 def pag21(t):
     from shelfwise.operators.common import latest
-    return pg.page_reviews(_pages(t), asof=latest(t.events, "ts"))
+    return rd.page_reviews(_pages(t), asof=latest(t.events, "ts"))
 
 
 def _pag22_sql() -> str:
@@ -426,11 +481,8 @@ def pag27(t):
 
 
 @query("pag28_seller_and_badge", f"""
-SELECT page_id, CASE WHEN platform IN ('amazon', 'flipkart', 'vijaysales', 'reliancedigital', 'meesho') THEN 'Shop ' || (page_id % 17) END AS seller_name,
- CASE WHEN page_id % 7 <= 4 THEN page_id % 7 + 0.5::DOUBLE END AS seller_rating,
- CASE WHEN page_id % 3 <> 0 THEN 'Badge no ' || (page_id % 5) END AS product_badge
+SELECT page_id, {_SELLER} AS seller_name, CASE WHEN platform = 'meesho' AND page_id % 5 < 4 THEN page_id % 5 + 1.5::DOUBLE END AS seller_rating,
+ CASE WHEN platform = 'vijaysales' AND page_id % 9 < 3 THEN 'Badge no ' || (page_id % 5) END AS product_badge
 FROM (SELECT page_id, {_PLAT} AS platform FROM pages) x""")
 def pag28(t):
-    p = _pages(t)
-    f = pg.seller_and_badge("html", F.col("platform"))
-    return p.select("page_id", *[v.alias(k) for k, v in f.items()])
+    return rd.with_page(_pages(t), "fields", "specs").select("page_id", *[v.alias(k) for k, v in rd.seller_and_badge().items()])

@@ -33,6 +33,83 @@ def _n(m: int, add: int = 0) -> str:
 SALE = "(2500 + page_id * 37 % 90000)"
 LIST = f"CASE WHEN page_id % 7 = 0 THEN {SALE} - 100 ELSE {SALE} + 500 + page_id % 1000 END"
 _LD = "concat('<script type=\"application/ld+json\">', {}, '</script>')"
+
+def _html(template: str, **parts: str) -> str:
+    """SQL that prints an HTML template, each ``{name}`` replaced by an SQL value."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    return "concat(" + ", ".join(parts[x] if i % 2 else f"'{x}'" for i, x in enumerate(pieces) if x) + ")"
+
+
+#: What a product, a listing and a review page print, by platform, as ``page_rules`` reads it.
+_TITLE, _LEFT, _SHOP, _STARS, _COUNT = (f"concat('Item ', {_n(101)}, ' of the shelf')", f"concat('Only ', {_n(9, 1)}, ' left in stock')",
+                                        f"concat('Shop ', {_n(17)})", f"concat('4.', {_n(10)})", _n(700, 1))
+_VALUES = {"title": _TITLE, "sale": f"CAST({SALE} AS STRING)", "list": f"CAST({LIST} AS STRING)", "left": _LEFT, "shop": _SHOP, "stars": _STARS,
+           "count": _COUNT, "shelf": _n(12), "lot": _n(31), "off": _n(60, 1), "id": "CAST(page_id AS STRING)", "user": _n(19), "day": _n(28, 1),
+           "vote": _n(40, 2), "say": f"concat('Good screen and keys of lot ', {_n(31)}, '.')", "head": f"concat('Title ', {_n(23)})",
+           "score": _n(5, 1), "shade": _n(9), "lot5": _n(5),
+           "hide": """CASE CAST(page_id % 9 AS INT) WHEN 3 THEN ' d-none"' WHEN 4 THEN ' d-none"' WHEN 5 THEN ' d-none"' WHEN 0 THEN '"' WHEN 1 THEN '"' WHEN 2 THEN '" style="display: block"' ELSE '" style="display: none"' END""", "asin": "lpad(CAST(page_id AS STRING), 9, '0')", "made": _n(11), "card": f"concat('Card no ', {_n(77)})"}
+# product: always; priced: where a list price is printed; stocked, unstocked: by stock; listing: two cards, the second an ad on most pages; reviews: one, or two
+_SITE = {
+    0: {"product": """<div id="centerCol"><h1 id="title"><span id="productTitle"> {title} </span></h1><span class="a-price a-price-current"><span class="a-offscreen">₹{sale}</span></span><i><span class="a-icon-alt">{stars} out of 5 stars</span></i><span data-hook="total-review-count">{count} ratings</span></div><table><tr class="po-brand"><td>Brand</td><td>Maker {made}</td></tr></table><span class="savingsPercentage">-{off}%</span><ul id="x"><li class="a-breadcrumb-text">Shelf {shelf}</li><li class="a-breadcrumb-text">All</li></ul><span class="a-icon-text-fba">Fulfilled by <b>{shop}</b></span>""",
+        "priced": """<div id="centerCol"><p><span class="a-text-strike">₹{list}</span></p></div>""",
+        "stocked": """<div id="availability"><p><span> {left} </span></p></div>""", "unstocked": "",
+        "card": """<div data-component-type="s-search-result" data-asin="B{asin}"><h2><a class="a-link-normal s-no-outline" href="/dp/B{asin}"><span>{card}</span></a></h2></div>""",
+        "ad": """<div data-component-type="s-search-result" data-asin="C{asin}"><span data-component-type="s-sponsored-label">Ad</span><h2><a href="/x"><span>Second</span></a></h2></div>""",
+        "review": """<ul><li data-hook="review" id="RV{id}A"><span class="a-profile-name">User {user}</span><i data-hook="review-star-rating"><span class="a-icon-alt">{score}.0 out of 5 stars</span></i><a data-hook="review-title"><span>{head}</span></a><span data-hook="review-date">Reviewed in India on {day} January 2024</span><span data-hook="avp-badge">Verified Purchase</span><span data-hook="format-strip">Colour: Shade {shade}</span><span data-hook="review-body"><span>{say}</span></span><span data-hook="helpful-vote-statement">{vote} people found this helpful</span></li></ul>""",
+        "silent": """<ul><li data-hook="review" id="RV{id}B"><span class="a-profile-name">Silent</span></li></ul>"""},
+    1: {"product": """<div class="v1zwn21j v1zwn26"><span>{title}</span></div><div class="v1zwn21k v1zwn20">₹{sale}</div><div class="css-146c3p1">{stars}</div><a href="/ratings-reviews/1"><div class="css-146c3p1">10 Ratings | {count} Reviews</div></a><div class="grid-formation-dynamic"><div class="v1zwn21l v1zwn27">Brand</div><div class="v1zwn21k v1zwn26">Maker {made}</div></div><div class="v1zwn21z v1zwn20">{off}% off</div><div class="faikzn"><a>Home</a><a>Shelf {shelf}</a><a>All</a></div><div class="v1zwn21k v1zwn25">Fulfilled by {shop}</div>""",
+        "priced": """<div class="v1zwn21l v1zwn21">₹{list}</div>""", "stocked": """<div class="_16FRp0">{left}</div>""", "unstocked": "",
+        "card": """<div data-id="F{id}"><a href="/thing/p/itm{id}A?fm=organic" title="{card}">open</a></div>""",
+        "ad": """<div data-id="G{id}"><div><a href="/thing/p/itm{id}B?fm=search" title="Second">open</a></div></div>""",
+        "review": """<div class="col x_CUu6 QccLnz"><div id="review-RV{id}A"></div><p class="zJ1ZGa ZDi3w2">User {user}</p><div class="MKiFS6 ojKpP6">{score}</div><p class="qW2QI1">{head}</p><div class="t-ZTKy">{say}READ MORE</div><p class="zJ1ZGa">Jan, 2024</p><p class="Zhmv6U">Certified Buyer</p><span class="Fp3hrV">{vote}</span></div>""",
+        "silent": """<div class="col x_CUu6 QccLnz"><div id="review-RV{id}B"></div><p class="zJ1ZGa ZDi3w2">Silent</p></div>"""},
+    2: {"product": """<div class="page-title"><h1>{title}</h1></div><div class="product__price--deatils d-none"><b data-final-price="1" data-mrp="2"></b></div><div class="product__price--deatils"><b data-final-price="{sale}"></b></div><div class="product__title--reviews-star" data-rating-summary="{stars}"></div><div class="product__title--stats"><span>{stars} (4 Ratings & {count} Reviews)</span></div><div class="productspecification"><ul><li><span class="panel-list-key">Brand</span><span class="panel-list-value">Maker {made}</span></li></ul></div><p class="product__price--discount-label">{off}% off</p><p class="product__tags--label{hide}>Badge <i>no</i> {lot5}</p>""",
+        "priced": """<div class="product__price--deatils"><i data-mrp="{list}"></i></div>""",
+        "stocked": """<p class="instock__text d-none">no</p><p class="instock__text">yes</p>""", "unstocked": """<p class="instock__text d-none">no</p>""",
+        "card": """<div class="product-card" data-product-id="V{id}A"><h2>{card}</h2><a href="/p/{id}">go</a></div>""",
+        "ad": """<div class="product-item"><h2>Second</h2><a href="/second-{id}.html">go</a></div>""",
+        "review": """<div class="review-item"><b class="reviewer-name">User {user}</b><b class="rating">{score} of 5</b><h3>{head}</h3><p class="review-text">{say}</p><b class="review-date">{day}/01/2024</b></div>""",
+        "silent": """<div class="review-item"><b class="reviewer-name">Silent</b></div>"""},
+    3: {"product": """<h1 data-testid="product-title">{title}</h1><div class="product-price">₹{sale}</div><b class="rating-value">{stars}</b><b class="review-count">{count}</b><ul id="specification"><li class="specifications-list"><span>Seller</span><div class="specifications-list--right"><ul><li>{shop}</li></ul></div></li><li class="specifications-list"><span>Brand</span><div class="specifications-list--right"><ul><li>Maker {made}</li></ul></div></li></ul><b class="product-price-discount">{off}% off</b><div class="breadcrumb"><a>Shelf {shelf}</a><a>All</a></div>""",
+        "priced": """<div class="product-marked-price">₹{list}</div>""", "stocked": """<div class="stock-status">{left}</div>""", "unstocked": "",
+        "card": """<div data-testid="product-card" data-product-id="R{id}A"><h3>{card}</h3><a href="/x/p/R{id}A">go</a></div>""",
+        "ad": """<div data-testid="product-card"><i class="promoted"></i><h3>Second</h3><a href="/x/p/R{id}B">go</a></div>""",
+        "review": """<div class="rd-feedback-service-review-container" id="RV{id}A"><b class="rd-feedback-service-jds-desk-body-s">User {user}</b><svg><path fill="#FFD947"></path><path fill="#FFD947"></path><path fill="#EEE"></path></svg><b class="rd-feedback-service-review-row-title">{head}</b><p class="rd-feedback-service-review-row-description">{say}</p><b class="rd-feedback-service-review-row-top-right">{day}/01/2024</b><i class="rd-feedback-service-certified-buyer-container">Certified</i><b class="rd-feedback-service-vote-text">{vote}</b></div>""",
+        "silent": """<div class="rd-feedback-service-review-container" id="RV{id}B"><b class="rd-feedback-service-jds-desk-body-s">Silent</b></div>"""},
+    4: {"product": """<h1 data-testid="product-title">{title}</h1><div class="cp-price main-product-price"><b class="new-price"><b class="amount">₹{sale}</b></b></div><div class="cp-rating"><span>{stars}</span><span class="text"><a class="pr-review">({count} Reviews)</a></span></div><ul class="cp-specification-spec-info"><li class="cp-specification-spec-title"><h4>Brand</h4></li><li class="cp-specification-spec-details">Maker {made}</li></ul><b class="discount-info">{off}% off</b><div class="cp-breadcrumb"><ul class="list"><li><a>Shelf {shelf}</a></li><li><a>All</a></li></ul></div>""",
+        "priced": """<div class="cp-price discount"><b class="old-price"><b class="amount">₹{list}</b></b></div>""", "stocked": """<div data-testid="stock-status">{left}</div>""", "unstocked": "",
+        "card": """<div data-testid="product-card"><h3>{card}</h3><a href="/x/p/{id}1">go</a></div>""",
+        "ad": """<div data-testid="product-card"><i class="ad-badge"></i><h3>Second</h3><a href="/x/p/{id}2">go</a></div>""",
+        "review": """<ul class="list"><li class="list-item" data-review-id="RV{id}A"><b class="reviewer-name">User {user}</b><b class="star-rating">{score}</b><h4>{head}</h4><p>{say}</p><time>{day}/01/2024</time><i class="verified-badge">Verified</i><b class="vote-count">{vote}</b></li></ul>""",
+        "silent": """<ul class="list"><li class="list-item" data-review-id="RV{id}B"><b class="reviewer-name">Silent</b></li></ul>"""},
+    5: {"product": """<span data-test-id="pdp-price">₹{sale}</span><div data-test-id="pdp-rating">{stars}</div><span data-test-id="pdp-review-count">{count}</span><span data-test-id="pdp-brand">Maker {made}</span><span data-test-id="pdp-offer">{off}% off</span>""",
+        "priced": """<span data-test-id="pdp-mrp">₹{list}</span>""", "stocked": """<button>ADD</button>""", "unstocked": """<button>Notify</button>""",
+        "card": """<div tabindex="0" role="button" id="{id}1"><div class="tw-text-300 tw-font-semibold tw-line-clamp-2">{card}</div></div>""",
+        "ad": """<div tabindex="0" role="button" id="{id}2"><div class="tw-text-300 tw-font-semibold tw-line-clamp-2">Second</div></div>""",
+        "review": "", "silent": ""},
+    6: {"product": """<h1 data-testid="product-title">{title}</h1><span data-testid="selling-price">₹{sale}</span><span data-testid="rating">{stars}</span><span data-testid="review-count">{count}</span><span data-testid="brand">Maker {made}</span><b class="offer-text">{off}% off</b><nav data-testid="breadcrumb"><a>Shelf {shelf}</a><a>All</a></nav>""",
+        "priced": """<span data-testid="mrp-price">₹{list}</span>""", "stocked": """<div class="stock-status">{left}</div>""", "unstocked": "",
+        "card": """<div qa="product-card"><h3>{card}</h3><a href="/pd/{id}1/x">go</a></div>""",
+        "ad": """<div qa="product-card"><i data-testid="sponsored"></i><h3>Second</h3><a href="/pd/{id}2/x">go</a></div>""",
+        "review": """<div class="review-card" data-review-id="RV{id}A"><b class="reviewer-name">User {user}</b><b class="star filled"></b><b class="star filled"></b><b class="star filled"></b><b class="star"></b><b class="review-heading">{head}</b><p class="review-body">{say}</p><time>{day}/01/2024</time><i class="verified-badge">Verified</i><b class="vote-count">{vote}</b></div>""",
+        "silent": """<div class="review-card" data-review-id="RV{id}B"><b class="reviewer-name">Silent</b></div>"""},
+    7: {"product": """<h1 class="productTitle">{title}</h1><b class="salePrice">₹{sale}</b><b class="rating">{stars}</b><b class="reviewCount">{count}</b><span class="brand">Maker {made}</span><ul class="offers"><li>{off}% off</li></ul><p class="breadcrumb"><a>Shelf {shelf}</a><a>All</a></p><b class="sellerName">{shop}</b><b class="sellerRating">{score}.5</b>""",
+        "priced": """<b class="originalPrice">₹{list}</b>""", "stocked": """<b class="availability">{left}</b>""", "unstocked": "",
+        "card": """<div class="productCard"><h3>{card}</h3><a href="/x/p/{id}1">go</a></div>""",
+        "ad": """<div class="productCard"><span class="is-sponsored"></span><h3>Second</h3><a href="/x/p/{id}2">go</a></div>""",
+        "review": """<div class="reviewCard"><span class="reviewer">User {user}</span><span class="rating">{score}</span><h3>{head}</h3><p class="review-text">{say}</p><span class="date">{day}/01/2024</span><span class="verified">Verified</span><span class="helpful">{vote}</span></div>""",
+        "silent": """<div class="reviewCard"><span class="reviewer">Silent</span></div>"""},
+}
+
+
+def _site_part(name: str, when: str | None = None) -> str:
+    """SQL of one part by platform, printed where ``when`` holds."""
+    out = "CASE CAST(page_id % 8 AS INT) " + " ".join(f"WHEN {k} THEN {_html(v[name], **_VALUES) if v[name] else chr(39) * 2}" for k, v in _SITE.items()) + " END"
+    return out if when is None else f"CASE WHEN {when} THEN {out} ELSE '' END"
+
+
+_SITE_PARTS = [_site_part("product"), _site_part("priced", "page_id % 5 <> 0"), _site_part("stocked", "page_id % 7 <> 0"), _site_part("unstocked", "page_id % 21 = 0"),
+               _site_part("card"), _site_part("ad", "page_id % 3 <> 0"), _site_part("review"), _site_part("silent", "page_id % 5 = 1")]
 # shop markup appended to every stored page, its values derived from the page's key
 _SHOP_PARTS = [
     # JSON-LD: an object, a @graph, or a list whose nested product must not count
@@ -45,9 +122,6 @@ _SHOP_PARTS = [
  '","image":"https://img.example.com/g', {_n(1000)}, '.jpg","offers":{{"lowPrice":"', CAST({SALE} + 1 AS STRING), '","highPrice":"',
  CAST({LIST} + 1 AS STRING), '"}},"aggregateRating":{{"ratingValue":"3.', {_n(10)}, '","ratingCount":"', {_n(300)}, '"}}}}]}}')""")
     + " ELSE " + _LD.format("""'{"@type":"ItemList","itemListElement":[{"@type":"Product","name":"Nested"}]}'""") + " END",
-    f"""'<meta itemprop="price" content="', CAST({SALE} AS STRING), '">'""",
-    f"""CASE WHEN page_id % 5 = 0 THEN '' ELSE concat('<p id="old-price" class="a-text-price yRaY8j product__price--mrp pdp__mrp Pricing___StyledLabel2 strike"><span>',
- CAST({LIST} AS STRING), '</span></p>') END""",
     # star shares: a table, bars, or counts
     f"""CASE page_id % 3 WHEN 0 THEN concat('<table id="histogramTable"><tr><td>Five</td><td>', {_n(60)}, '%</td></tr><tr><td>Four</td><td>20%</td></tr><tr><td>Three</td><td>10%</td></tr><tr><td>Two</td><td>5%</td></tr><tr><td>One</td><td>', {_n(6)}, '%</td></tr></table>')
  WHEN 1 THEN concat('<i style="width: ', {_n(70)}, '%"></i><i style="width: 11%"></i><i style="width: 7%"></i><i style="width: 5%"></i><i style="width: ', {_n(4)}, '%"></i>')
@@ -59,20 +133,15 @@ _SHOP_PARTS = [
     f"""'<img data-old-hires="https://img.example.com/big', {_n(200)}, '.jpg" src="/s.jpg"><img srcset="https://img.example.com/', {_n(50)}, '.jpg 1x, https://img.example.com/x.jpg 2x">',
  '<img src="https://i.ytimg.com/vi/', lpad(CAST(page_id AS STRING), 11, 'v'), '/0.jpg"><a data-clip="https://cdn.example.com/', {_n(300)}, '.mp4"></a>'""",
     f"""'<ul><li data-defaultasin="B', {_n(900, 100)}, '" title="Shade ', {_n(9)}, '"><img src="https://img.example.com/v.jpg"></li><li data-asin="C', {_n(800, 100)}, '">other</li></ul>'""",
-    f"""CASE WHEN page_id % 6 = 0 THEN '' ELSE concat('<div id="availability" class="Z8JjpR product__stock"><span>Only ', {_n(9, 1)}, '</span> left in stock</div>') END""",
-    f"""'<span class="savingsPercentage">-', {_n(60, 1)}, '%</span><div class="offer-box">Extra ', {_n(15, 1)}, '% off</div>'""",
+    f"""'<span class="offer-box">-', {_n(60, 1)}, '%</span><div class="offer-box">Extra ', {_n(15, 1)}, '% off</div>'""",
     f"""CASE WHEN page_id % 2 = 0 THEN concat('<div class="delivery-block">FREE delivery by Friday, January ', {_n(28, 1)}, '</div>')
  ELSE concat('<div class="delivery-block">₹', {_n(90, 10)}, ' delivery in ', {_n(6, 2)}, ' days</div>') END""",
     f"""'<p>Best Sellers Rank: #', {_n(900, 1)}, ' in Laptops</p>', CASE WHEN page_id % 2 = 0 THEN '<i class="mvt-ac-badge"></i>' ELSE '' END,
  CASE WHEN page_id % 3 = 0 THEN '<i class="mvt-best-seller-badge"></i>' ELSE '' END""",
     f"""'<div id="feature-bullets"><div><ul><li><span>Sixteen GB of memory, lot ', {_n(31)}, '</span></li><li>short</li></ul></div><ul><li>A second list of points</li></ul></div>'""",
     f"""'<div data-hook="cr-insights-widget-summary"><div>Buyers like</div> <p>the <b>screen</b> of lot ', {_n(31)}, '.</p></div><span>Deal ends in ', {_n(48)}, ' hours</span>'""",
-    f"""'<a id="sellerProfileTriggerId" class="product__seller pdp__seller ShopCardstyled__ShopName">Fulfilled by <b>Shop</b> ', {_n(17)}, '</a><b id="sellerName">Fulfilled by Shop ', {_n(17)},
- '</b><b class="seller-rating">', {_n(7)}, '.5</b><b class="product-badge"', CASE WHEN page_id % 3 = 0 THEN ' style="display:none"' ELSE '' END, '>Badge <i>no</i> ', {_n(5)}, '</b>'""",
     f"""'<div tabindex="0" role="button" id="', {_n(400, 100)}, '"><div class="tw-text-300 tw-font-semibold tw-line-clamp-2">Milk & Bread ', {_n(25)}, '!</div></div><div tabindex="0" role="button" id="7"></div>',
  '<div tabindex="0" role="button" id="9"><div class="tw-text-300 tw-font-semibold tw-line-clamp-2">Rice</div></div>'""",
-    f"""'<div class="product-card" data-component-type="s-search-result" data-asin="B', lpad(CAST(page_id AS STRING), 9, '0'), '" data-id="F', CAST(page_id AS STRING), '"><h2><a href="/dp/', CAST(page_id AS STRING), '">Card <b>no</b> ', {_n(77)}, '</a></h2></div>',
- '<div class="product-card" data-component-type="s-search-result" data-id="G', CAST(page_id AS STRING), '"><h2>Second</h2>', CASE WHEN page_id % 4 = 0 THEN '' ELSE '<b>Sponsored</b>' END, '</div>'""",
     f"""'<div class="col EPCmJX review" data-hook="review" id="RV', CAST(page_id AS STRING), 'A"><b class="a-profile-name">User ', {_n(19)}, '</b><i>', {_n(5, 1)}, '.0 out of 5</i><a data-hook="review-title"><b>Title</b> ', {_n(23)},
  '</a><b data-hook="review-date">Reviewed in India on ', {_n(28, 1)}, ' January 2024</b><a data-hook="format-strip">Colour: Shade ', {_n(9)}, '</a>', CASE WHEN page_id % 2 = 0 THEN '<i>Verified Purchase</i>' ELSE '' END,
  '<div data-hook="review-body"><div>Good <b>screen</b> and </div><p>keys of lot ', {_n(31)}, '.</p></div><b class="cr-vote-text">', {_n(40, 2)}, ' people found this helpful</b></div>'""",
@@ -81,7 +150,7 @@ _SHOP_PARTS = [
 
 VIEW_SQL: dict[str, str] = {
     # shop_pages: every stored page with shop markup (prices, JSON-LD, cards, reviews) at its end
-    "shop_pages": "SELECT page_id, url, concat(html, " + ",\n ".join(_SHOP_PARTS) + ") AS html\nFROM pages",
+    "shop_pages": "SELECT page_id, url, concat(html, " + ",\n ".join(_SHOP_PARTS + _SITE_PARTS) + ") AS html\nFROM pages",
     # products: one snapshot row per lineitem; scraper_id = ship month
     "products": f"""SELECT md5(concat_ws('|', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING), CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING), CAST(CAST(l_shipdate AS DATE) AS STRING))) AS product_id,
  {_PLATFORM_OF.format(k='l_suppkey')} AS platform,
