@@ -234,11 +234,11 @@ PLATFORM_PAGES = {
 <div class="cp-rating"><span>4.4</span><span class="text"><a class="pr-review">(321 Reviews)</a></span></div><ul class="cp-specification-spec-info"><li class="cp-specification-spec-title"><h4>Brand</h4></li><li class="cp-specification-spec-details">Samsung</li></ul>
 <div class="cp-breadcrumb"><ul class="list"><li><a>Phones</a></li><li><a>Smart</a></li></ul></div><div class="barAndStar"><b class="star-text">5 star</b><div class="bar-container"><div style="width: 70%"></div></div></div>""" + "".join(
         f'<div class="barAndStar"><b class="star-text">{i} star</b><div class="bar-container"><div style="width: {w}%"></div></div></div>' for i, w in ((4, 15), (3, 5), (2, 5), (1, 5))),
-    "blinkit": """<div class="tw-text-400 tw-font-bold">Milk 500 ml</div><div class="tw-text-200 tw-font-semibold">₹28</div><div class="tw-text-200 tw-font-regular tw-line-through">₹30</div><button><span>ADD</span></button>
+    "blinkit": """<div class="tw-text-400 tw-font-bold">Milk 500 ml</div><div class="tw-text-200 tw-font-semibold">₹2,800</div><div class="tw-text-200 tw-font-regular tw-line-through">₹3,000</div><button><span>ADD</span></button>
 <div class="tw-text-050 tw-font-bold tw-uppercase">8 mins</div><table><tr><th>Brand</th><td>Amul</td></tr></table>""",
-    "bigbasket": """<div class="prod-details"><h1>Rice</h1><span class="weight">5 kg</span></div><div class="price"><span class="currency">₹</span><span class="discnt-price">₹ 410</span></div>
+    "bigbasket": """<div class="prod-details"><h1>Rice</h1><span class="weight">5 kg</span></div><div class="price"><span class="currency">₹</span><span class="discnt-price">₹ 4,100</span></div>
 <table class="spec-table"><tr><th>Unit Weight</th><td>5 kg</td></tr><tr><td>Dimensions</td><td>10 x 20</td></tr></table><nav class="breadcrumb"><a>Food</a><a>Grains</a></nav><button qa="add-to-cart">Add</button>""",
-    "meesho": """<h1 class="x-title-y">Cotton Saree</h1><span class="price">₹499</span><span>Color: <b>Red</b></span><span class="rating">4.0</span><p class="breadcrumb"><a>Women</a><a>Sarees</a></p>
+    "meesho": """<h1 class="x-title-y">Cotton Saree</h1><span class="price">₹4,990</span><span>Color: <b>Red</b></span><span class="rating">4.0</span><p class="breadcrumb"><a>Women</a><a>Sarees</a></p>
 <div class="seller-info">Asha Store</div><span class="seller-rating">4.4</span><ul class="highlights"><li>Soft</li><li>Light</li></ul>""",
     "flipkart": """<div class="v1zwn21j v1zwn26">Redmi Note</div><div class="grid-formation-dynamic"><div><div class="v1zwn21l v1zwn27">Color</div></div><div class="v1zwn21k v1zwn26">Deep blue and something</div></div>
 <table class="n7infM"><tr><td>Brand</td><td><ul><li>Redmi</li></ul></td></tr></table><div style="color:red;text-decoration: line-through">₹20,999</div><span class="x Nx9bqj y">₹17,999</span><div class="a-rating-b"><span>4.2</span></div>
@@ -261,11 +261,11 @@ def test_records_of_the_other_platforms(spark):
     assert (c.title, float(c.sale_price), float(c.price), c.review_count, c.brand, c.category) == ("Phone 12", 74999.0, 79999.0, 321, "Samsung", "Phones , Smart")
     assert [float(c[f"rating_{i}_star_percent"]) for i in (5, 4, 3)] == [70.0, 15.0, 5.0]
     b = r["blinkit"]
-    assert (b.title, float(b.sale_price), float(b.price), b.inventory_status, b.brand) == ("Milk 500 ml", 28.0, 30.0, "In Stock", "Amul")
+    assert (b.title, float(b.sale_price), float(b.price), b.inventory_status, b.brand) == ("Milk 500 ml", 2800.0, 3000.0, "In Stock", "Amul")
     g = r["bigbasket"]
-    assert (g.title, float(g.sale_price), g.weight, g.dimensions, g.inventory_status) == ("Rice", 410.0, "5 kg", "10 x 20", "In Stock")
+    assert (g.title, float(g.sale_price), g.weight, g.dimensions, g.inventory_status) == ("Rice", 4100.0, "5 kg", "10 x 20", "In Stock")
     m = r["meesho"]
-    assert (m.title, float(m.price), m.color, m.category, m.seller_name, m.highlights) == ("Cotton Saree", 499.0, "Color Red", "Sarees", "Asha Store", "Soft, Light")
+    assert (m.title, float(m.price), m.color, m.category, m.seller_name, m.highlights) == ("Cotton Saree", 4990.0, "Color Red", "Sarees", "Asha Store", "Soft, Light")
     f = r["flipkart"]
     assert (f.title, float(f.sale_price), float(f.price), float(f.rating), f.review_count, f.brand, f.category) == ("Redmi Note", 17999.0, 20999.0, 4.2, 1500, "Redmi", "Mobiles")
 
