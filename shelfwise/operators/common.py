@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.session import checkpoint_dir
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once under ``spark.checkpoint.dir`` and read back: cuts the lineage of iterative jobs in shared storage."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/steps/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 def lit(v) -> Column:
     """A Column for ``v`` (a Column passes through).

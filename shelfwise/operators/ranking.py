@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfwise.operators.common import since
+from shelfwise.operators.common import since, stored
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str], cols: list[str] | None = None) -> DataFrame:
@@ -196,40 +196,53 @@ def retry_outcome(attempts: DataFrame, key: str = "page_key", max_retries: int =
              "recovered_at", F.col("recovered_at").isNotNull().alias("recovered"))
 
 
+def _neighbours(instants: DataFrame, limit: Column) -> DataFrame:
+    """(k, t, before, nxt) for distinct (k, t): the instant just before, and the first one at least ``limit`` later.
+
+    Both are looked up inside (key, hour) slices; what a slice does not hold comes from a
+    table with one row per slice, so no task sees all instants of a key.
+    """
+    asked = instants.select("k", (F.col("t") + limit).alias("at"), F.col("t").alias("t"), F.lit(True).alias("ask"))
+    events = instants.select("k", F.col("t").alias("at"), "t", F.lit(False).alias("ask")).unionByName(asked)
+    events = events.withColumn("slice", F.date_trunc("HOUR", F.col("at")))
+    here = F.when(~F.col("ask"), F.col("at"))
+    slices = events.groupBy("k", "slice").agg(F.min(here).alias("first"), F.max(here).alias("last"))
+    up, down = Window.partitionBy("k").orderBy("slice"), Window.partitionBy("k").orderBy(F.col("slice").desc())
+    slices = slices.select("k", "slice", F.max("last").over(up.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
+                           F.min("first").over(down.rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
+    # running aggregates: ascending for the instant before, descending for the first one from here on (an equal instant counts)
+    back = Window.partitionBy("k", "slice").orderBy("at", F.col("ask").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    on = Window.partitionBy("k", "slice").orderBy(F.col("at").desc(), "ask").rowsBetween(Window.unboundedPreceding, -1)
+    found = events.select("k", "slice", "t", "ask", F.max(here).over(back).alias("below"), F.min(here).over(on).alias("above")).join(slices, ["k", "slice"])
+    before = found.where("NOT ask").select("k", "t", F.coalesce("below", "earlier").alias("before"))
+    nxt = found.where("ask").select("k", "t", F.coalesce("above", "later").alias("nxt"))
+    return before.join(nxt, ["k", "t"])
+
+
 def cooldown(attempts: DataFrame, ts: str = "created_at", key: str = "platform", hours: int = 12) -> DataFrame:
     """WIN14: greedy cool-down — an attempt is accepted when it is at least
     ``hours`` after the previously *accepted* one.
 
-    Exact and bounded: an attempt that comes >= ``hours`` after the previous
-    attempt is always accepted, which cuts the timeline into independent
-    bursts; the greedy fold (``aggregate`` over the sorted burst) runs per
-    burst only.  Nothing is sorted per platform: the previous attempt is found
-    inside (platform, day) splits, the last attempt of the previous non-empty
-    day comes from a small per-day table, and bursts are numbered with the same
-    two-level running count as :func:`number_rows`.
+    Pointer jumping.  Every attempt points to the first one at least ``hours`` later; an
+    accepted attempt's successor is where it points to.  An attempt without another one in
+    the ``hours`` before it is accepted whatever came earlier, so all of these start at
+    once.  Each round accepts what the accepted ones point to and replaces every pointer
+    by the one two steps on, so a chain of n attempts takes log2(n) rounds of joins on
+    (key, instant); nothing is gathered per key or per chain.
+
+    Attempts at one instant are one attempt; a null key or instant takes no part.
     """
-    # an attempt at the same instant as an accepted one is always refused, so the
-    # distinct instants decide the result — and the numbering below has no ties;
-    # the splits are hours (column name kept short: __day)
-    day = F.date_trunc("hour", F.col(ts)).alias("__day")
-    df = attempts.select(F.col(key), F.col(ts)).distinct().select(F.col(key), F.col(ts), day)
-    per_day = df.groupBy(key, "__day").agg(F.max(ts).alias("__day_last"))
-    wd = Window.partitionBy(key).orderBy("__day")
-    per_day = per_day.withColumn("__prev_day_last", F.lag("__day_last").over(wd))
-    w_in = Window.partitionBy(key, "__day").orderBy(ts)
-    df = df.join(per_day.select(key, "__day", "__prev_day_last"), [key, "__day"])
-    prev = F.coalesce(F.lag(ts).over(w_in), F.col("__prev_day_last"))
     limit = F.expr(f"INTERVAL {int(hours)} HOURS")
-    df = df.withColumn("__new", F.when(prev.isNull() | ((F.col(ts) - prev) >= limit), 1).otherwise(0))
-    # burst number = running count of burst starts: per-day totals, then a running sum inside the day
-    starts = df.groupBy(key, "__day").agg(F.sum("__new").alias("__n"))
-    offs = starts.select(key, "__day", F.coalesce(F.sum("__n").over(
-        wd.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
-    df = df.join(offs, [key, "__day"]).withColumn(
-        "__burst", F.col("__off") + F.sum("__new").over(w_in.rowsBetween(Window.unboundedPreceding, 0)))
-    per = df.groupBy(key, "__burst").agg(F.sort_array(F.collect_list(F.col(ts))).alias("__ts"))
-    accepted = F.aggregate(
-        "__ts", F.array().cast(f"array<{dict(attempts.dtypes)[ts]}>"),
-        lambda acc, x: F.when((F.size(acc) == 0) | ((x - F.element_at(acc, -1)) >= limit),
-                              F.concat(acc, F.array(x))).otherwise(acc))
-    return per.select(key, F.explode(accepted).alias(ts))
+    instants = attempts.select(F.col(key).alias("k"), F.col(ts).alias("t")).where("k IS NOT NULL AND t IS NOT NULL").distinct()
+    nodes = stored(_neighbours(instants, limit), "cooldown-nodes")
+    accepted = nodes.where(F.col("before").isNull() | (F.col("t") - F.col("before") >= limit)).select("k", "t")
+    # a pointer to such a start tells nothing new, and without it chains end there
+    jump = stored(nodes.where("nxt IS NOT NULL").join(accepted.withColumnRenamed("t", "nxt"), ["k", "nxt"], "left_anti").select("k", "t", "nxt"), "cooldown-jump")
+    while not jump.isEmpty():
+        reached = stored(accepted.join(jump, ["k", "t"]).select("k", F.col("nxt").alias("t")), "cooldown-reached")
+        if reached.isEmpty():
+            break
+        accepted = accepted.union(reached)
+        further = jump.select("k", F.col("t").alias("nxt"), F.col("nxt").alias("end"))
+        jump = stored(jump.join(further, ["k", "nxt"]).select("k", "t", F.col("end").alias("nxt")), "cooldown-jump")
+    return accepted.select(F.col("k").alias(key), F.col("t").alias(ts))

@@ -1,23 +1,21 @@
 """Catalogue entries for §2.11 streaming twins.
 
-Each entry lands the driver-derived logs / products as a sequence of file drops
-(one per year, oldest first) under ``spark.checkpoint.dir``, runs the streaming
-query to completion (``availableNow``) and returns its result table; the oracle
-is the batch twin.
+Each entry lands the driver-derived rows as files that arrive oldest first (one write
+job) under ``spark.checkpoint.dir``, runs the streaming query to completion
+(``availableNow``) and returns its result table; the oracle is the batch twin.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from shelfwise.plans.catalog import query
+from shelfwise.plans.q_windows import _COOLDOWN_SQL
 from shelfwise.streaming import jobs as st
 
 
 def _logs_source(t):
     logs = t.scraping_logs
     path = st.scratch(t.spark, "logs-drops")
-    st.land_files(logs, path, "created_at", F.year("created_at"))
+    st.land_files(logs, path, "created_at")
     return path, logs.schema
 
 
@@ -26,7 +24,7 @@ def stm01(t):
     p = t.products.select("product_id", "platform", "sku", "title", "brand", "price", "sale_price", "rating",
                           "review_count", "is_active", "scraped_date")
     src = st.scratch(t.spark, "products-drops")
-    st.land_files(p, src, "scraped_date", F.year("scraped_date"))
+    st.land_files(p, src, "scraped_date")
     last = st.stream_upsert(t.spark, src, p.schema, st.scratch(t.spark, "products-versions"))
     return t.spark.read.parquet(last)
 
@@ -38,16 +36,13 @@ def stm02(t):
     return st.stream_daily_activity(t.spark, src, schema)
 
 
-@query("stm03_stream_cooldown", """
-WITH RECURSIVE acc(platform, ts) AS (
- SELECT platform, min(created_at) FROM scraping_logs GROUP BY platform
- UNION ALL
- SELECT a.platform, (SELECT min(l.created_at) FROM scraping_logs l WHERE l.platform = a.platform
-   AND l.created_at >= a.ts + INTERVAL 12 HOUR) FROM acc a WHERE a.ts IS NOT NULL)
-SELECT platform, ts AS created_at FROM acc WHERE ts IS NOT NULL""")
+@query("stm03_stream_cooldown", _COOLDOWN_SQL)
 def stm03(t):
-    src, schema = _logs_source(t)
-    return st.stream_cooldown(t.spark, src, schema, 12)
+    attempts = t.search_items.select("platform", "created_at")
+    path = st.scratch(t.spark, "attempts-drops")
+    st.land_files(attempts, path, "created_at")
+    st.close_stream(t.spark, path, attempts.schema)
+    return st.stream_cooldown(t.spark, path, attempts.schema, 12).where("platform <> ''")
 
 
 @query("stm04_stream_activity_48h", """

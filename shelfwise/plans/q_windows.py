@@ -129,15 +129,19 @@ def win13(t):
     return rk.retry_outcome(t.page_attempts, "page_key", 3)
 
 
-@query("win14_cooldown", """
-WITH RECURSIVE acc(platform, ts) AS (
- SELECT platform, min(created_at) FROM scraping_logs GROUP BY platform
+# attempts minutes apart: every event of a platform's users
+_COOLDOWN_SQL = """
+WITH RECURSIVE a AS (SELECT DISTINCT platform, created_at AS x FROM search_items),
+acc(platform, ts) AS (
+ SELECT platform, min(x) FROM a GROUP BY platform
  UNION ALL
- SELECT a.platform, (SELECT min(l.created_at) FROM scraping_logs l WHERE l.platform = a.platform
-   AND l.created_at >= a.ts + INTERVAL 12 HOUR) FROM acc a WHERE a.ts IS NOT NULL)
-SELECT platform, ts AS created_at FROM acc WHERE ts IS NOT NULL""")
+ SELECT c.platform, (SELECT min(a.x) FROM a WHERE a.platform = c.platform AND a.x >= c.ts + INTERVAL 12 HOUR) FROM acc c WHERE c.ts IS NOT NULL)
+SELECT platform, ts AS created_at FROM acc WHERE ts IS NOT NULL"""
+
+
+@query("win14_cooldown", _COOLDOWN_SQL)
 def win14(t):
-    return rk.cooldown(t.scraping_logs.select("platform", "created_at"), "created_at", "platform", 12)
+    return rk.cooldown(t.search_items.select("platform", "created_at"), "created_at", "platform", 12)
 
 
 @query("srt01_order_by", """

@@ -13,33 +13,33 @@ import uuid
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from shelfwise.operators.common import instant_to_ntz, ntz_micros, ntz_to_instant
 from shelfwise.session import checkpoint_dir
 
 
+CLOSING = "2200-01-01 00:00:00"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def land_files(df: DataFrame, path: str, order_col: str, pieces_expr) -> list[str]:
-    """Write ``df`` as a sequence of file drops (one folder per piece, oldest
-    first), the way an upstream writer would deliver them.
+def land_files(df: DataFrame, path: str, order_col: str, files: int = 8) -> None:
+    """Write ``df`` as ``files`` files that arrive in the order of ``order_col``, in one job.
 
-    A feeder for the registry's entries and tests: the pieces must be few (years),
-    as they are written one after the other so that the file source reads them in
-    time order.
+    The file source takes files by their modification time, which is set here; a feeder
+    for the registry's entries and tests, as an upstream writer would deliver them.
     """
-    keys = [r[0] for r in df.select(pieces_expr.alias("k")).distinct().orderBy("k").collect()]
-    out = []
-    for k in keys:
-        target = f"{path}/drop={k}"
-        df.where(pieces_expr == F.lit(k)).sortWithinPartitions(order_col).coalesce(1) \
-            .write.mode("overwrite").parquet(target)
-        out.append(target)
-    return out
+    spark = df.sparkSession
+    df.repartitionByRange(files, order_col).sortWithinPartitions(order_col).write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted((f.getPath() for f in fs.listStatus(where) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    for i, part in enumerate(parts):
+        fs.setTimes(part, 1_600_000_000_000 + i * 1000, -1)
 
 
 def _run(query_builder, trigger_once: bool = True):
@@ -95,43 +95,89 @@ def stream_activity_48h(spark: SparkSession, source: str, schema, watermark: str
     return latest_rows(spark, out, ["window_start"], ["window_start", "sessions"])
 
 
-def _cooldown_state(hours: int):
-    limit = int(hours) * 3600 * 1_000_000
+SLICE_US = 3_600_000_000
 
-    def fn(key, pdfs, state):
-        last = state.get[0] if state.exists else None
-        accepted = []
-        for pdf in pdfs:
-            for t in pdf["ts_us"].sort_values().tolist():
-                if last is None or t - last >= limit:
-                    accepted.append(t)
-                    last = t
-        if last is not None:
-            state.update((int(last),))
-        yield pd.DataFrame({"platform": [key[0]] * len(accepted), "ts_us": accepted})
-    return fn
 
+class Cooldown(StatefulProcessor):
+    """Greedy cool-down of one platform over rows that may arrive out of order.
 
-def stream_cooldown(spark: SparkSession, source: str, schema, hours: int = 12, ts: str = "created_at",
-                    key: str = "platform") -> DataFrame:
-    """STM3: a session on a platform is accepted only >= ``hours`` after the
-    previously accepted one; the last accepted time per platform is the state.
+    Instants wait in a map of hour slices until the watermark has passed their slice (an
+    event-time timer per slice), then they are taken in order; the state holds the last
+    accepted instant and the open slices only, so it is bounded by the watermark delay.
+    """
 
-    Arrivals must be in time order per platform (files land oldest first);
-    the batch twin is WIN14.
+    def __init__(self, hours: int):
+        self.limit = int(hours) * 3600 * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "us long")
+        self.slices = handle.getMapState("slices", "slice long", "instants array<long>")
+
+    def handleInputRows(self, key, rows, timerValues):
+        seen: dict[int, set[int]] = {}
+        for pdf in rows:
+            for us in pdf["ts_us"].tolist():
+                seen.setdefault(us // SLICE_US, set()).add(us)
+        passed = timerValues.getCurrentWatermarkInMs()
+        for part, instants in seen.items():
+            end = (part + 1) * SLICE_US // 1000
+            if end <= passed:
+                continue  # the slice is closed: these rows are later than the watermark allows
+            if self.slices.containsKey((part,)):
+                instants |= set(self.slices.getValue((part,))[0])
+            else:
+                self.handle.registerTimer(end)
+            self.slices.updateValue((part,), (sorted(instants),))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        # timers need not fire in order: the first one takes every slice that is closed by now
+        closed = sorted(k[0] for k in self.slices.keys() if (k[0] + 1) * SLICE_US // 1000 <= timerValues.getCurrentWatermarkInMs())
+        last = self.last.get()[0] if self.last.exists() else None
+        out = []
+        for part in closed:
+            for us in sorted(self.slices.getValue((part,))[0]):
+                if last is None or us - last >= self.limit:
+                    out.append(us)
+                    last = us
+            self.slices.removeKey((part,))
+        if out:
+            self.last.update((last,))
+            yield pd.DataFrame({"platform": [key[0]] * len(out), "ts_us": out})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_cooldown(spark: SparkSession, source: str, schema, hours: int = 12, ts: str = "created_at", key: str = "platform",
+                    watermark: str = "1 hour", checkpoint: str | None = None, target: str | None = None) -> DataFrame:
+    """STM3: a session on a platform is accepted only >= ``hours`` after the previously accepted one (batch twin: WIN14).
+
+    Rows may be out of order by up to the ``watermark`` delay; later ones are dropped.  An
+    instant is decided once the watermark has passed its hour, so the last rows stay open
+    until newer ones come (:func:`close_stream`).  Equal instants of a platform reach the
+    state once.  A restart from ``checkpoint`` into the same ``target`` repeats no row.
     """
-    out = scratch(spark, "stm3-out")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = target or scratch(spark, "stm3-out")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    micros = stream.select(F.col(key).alias("platform"), ntz_micros(ts).alias("ts_us"))
-    acc = micros.groupBy("platform").applyInPandasWithState(
-        _cooldown_state(hours), outputStructType="platform string, ts_us long",
-        stateStructType="last_us long", outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
-    _run(acc.writeStream.outputMode("append").option("checkpointLocation", scratch(spark, "stm3-ckpt"))
-         .foreachBatch(_batch_sink(out)))
-    res = spark.read.parquet(out)
+    rows = (stream.select(F.col(key).alias("platform"), ntz_to_instant(ts).alias("at"), ntz_micros(ts).alias("ts_us")).where("platform IS NOT NULL AND at IS NOT NULL")
+            .withWatermark("at", watermark))
+    acc = rows.groupBy("platform").transformWithStateInPandas(
+        Cooldown(hours), outputStructType="platform string, ts_us long", outputMode="append", timeMode="eventTime")
+    _run(acc.writeStream.outputMode("append").option("checkpointLocation", checkpoint or scratch(spark, "stm3-ckpt")).foreachBatch(_batch_sink(out)))
+    res = spark.read.schema("platform string, ts_us long").parquet(out)
     return res.select(F.col("platform"), F.timestamp_add("MICROSECOND", F.col("ts_us"), F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")).alias(ts))
 
 
+def close_stream(spark: SparkSession, source: str, schema, ts: str = "created_at", key: str = "platform") -> None:
+    """Adds a last file with one row of no platform far in the future: the watermark passes everything before it."""
+    cols = [F.lit(CLOSING).cast("timestamp_ntz").alias(f.name) if f.name == ts else F.lit("").alias(f.name) if f.name == key
+            else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    spark.range(1).select(*cols).write.mode("append").parquet(source)
+
+
 def _folders(spark: SparkSession, base: str, prefix: str) -> list[str]:
     """Names of the subfolders of ``base`` that start with ``prefix``, ascending; none if ``base`` does not exist.
 

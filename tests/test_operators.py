@@ -54,6 +54,16 @@ def test_cooldown_matches_brute_force(spark):
     assert got == want
 
 
+def test_cooldown_of_minute_spaced_months(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("dense", t0 + dt.timedelta(minutes=7 * i)) for i in range(24_000)] + [("gaps", t0 + dt.timedelta(hours=h)) for h in (0, 12, 13, 24, 100, 111, 112)]
+    rows += [("dense", t0)] * 3 + [(None, t0), ("gaps", None)]
+    df = spark.createDataFrame(rows, "platform string, created_at timestamp_ntz")
+    got = sorted((r.platform, r.created_at) for r in rk.cooldown(df).collect())
+    assert got == [(p, t) for p in ("dense", "gaps") for t in _brute_cooldown({t for q, t in rows if q == p and t})]
+    assert rk.cooldown(df.limit(0)).collect() == []
+
+
 def test_organic_positions_gap_free(spark):
     rows = []
     for kw in (1, 2):

@@ -1,6 +1,7 @@
 """Streaming twins: restart from the checkpoint and equality with the batch operators."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,25 +19,45 @@ def test_stream_upsert_resumes_from_checkpoint(spark):
     src, target, ckpt = st.scratch(spark, "src"), st.scratch(spark, "tgt"), st.scratch(spark, "ckpt")
     # first two months arrive, the query stops; the third month arrives and the query restarts
     first = df.where(F.month("scraped_date") <= 2)
-    st.land_files(first, src, "scraped_date", F.month("scraped_date"))
+    st.land_files(first, src, "scraped_date", 2)
     v1 = st.stream_upsert(spark, src, df.schema, target, checkpoint=ckpt)
     assert {r.sku: r.title for r in spark.read.parquet(v1).collect()} == {"S1": "T1b", "S2": "T2"}
-    st.land_files(df.where(F.month("scraped_date") == 3), src + "-later", "scraped_date", F.month("scraped_date"))
-    spark.read.parquet(src + "-later/drop=3").write.mode("overwrite").parquet(src + "/drop=3")
+    df.where(F.month("scraped_date") == 3).write.mode("append").parquet(src)
     v2 = st.stream_upsert(spark, src, df.schema, target, checkpoint=ckpt)
     final = {r.sku: (r.title, r.price) for r in spark.read.parquet(v2).collect()}
     assert final == {"S1": ("T1b", 11.0), "S2": ("T2", 20.0), "S3": ("T3", 30.0)}
 
 
+def _attempts(spark, rows):
+    return spark.createDataFrame(rows, "platform string, created_at timestamp_ntz")
+
+
 def test_stream_cooldown_equals_batch(spark):
-    t0 = dt.datetime(2024, 1, 1)
-    rows = [("amazon" if i % 2 else "croma", t0 + dt.timedelta(hours=5 * i)) for i in range(40)]
-    df = spark.createDataFrame(rows, "platform string, created_at timestamp_ntz")
+    t0, rng = dt.datetime(2024, 1, 1), random.Random(4)
+    rows = [(rng.choice(["amazon", "croma", None]), t0 + dt.timedelta(minutes=rng.randrange(60 * 24 * 12))) for _ in range(900)]
+    df = _attempts(spark, rows + rows[:50] + [("amazon", None)])
     src = st.scratch(spark, "cool")
-    st.land_files(df, src, "created_at", F.dayofmonth("created_at"))
-    got = {(r.platform, r.created_at) for r in st.stream_cooldown(spark, src, df.schema, 12).collect()}
-    want = {(r.platform, r.created_at) for r in rk.cooldown(df).collect()}
-    assert got == want
+    st.land_files(df, src, "created_at", 6)
+    st.close_stream(spark, src, df.schema)
+    got = sorted((r.platform, r.created_at) for r in st.stream_cooldown(spark, src, df.schema, 12).where("platform <> ''").collect())
+    want = sorted((r.platform, r.created_at) for r in rk.cooldown(df).collect())
+    assert got == want and len(want) > 30
+
+
+def test_stream_cooldown_out_of_order_late_rows_and_restart(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    h = lambda x: t0 + dt.timedelta(hours=x)
+    src, ckpt, out = st.scratch(spark, "cool"), st.scratch(spark, "ckpt"), st.scratch(spark, "out")
+    # arrival order of the files: 0, 30 / 13, 26 (out of order, within the delay) / 60 / 14 (too late)
+    for rows in ([("amazon", h(0)), ("amazon", h(30))], [("amazon", h(13)), ("amazon", h(26))], [("amazon", h(60))], [("amazon", h(14))]):
+        _attempts(spark, rows).coalesce(1).write.mode("append").parquet(src)
+        got = sorted(r.created_at for r in st.stream_cooldown(spark, src, _attempts(spark, rows).schema, 12, watermark="20 hours", checkpoint=ckpt, target=out).collect())
+    assert got == [h(0), h(13), h(26)]           # 30 is 4 h after 26; 60 is still open; 14 came after its hour was closed
+    st.close_stream(spark, src, _attempts(spark, []).schema)
+    args = dict(watermark="20 hours", checkpoint=ckpt, target=out)
+    for _ in range(2):                            # a restart without new files changes nothing
+        got = sorted(r.created_at for r in st.stream_cooldown(spark, src, _attempts(spark, []).schema, 12, **args).where("platform <> ''").collect())
+        assert got == [h(0), h(13), h(26), h(60)]
 
 
 def test_replayed_batches_change_nothing(spark):
