@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+import regex as re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfwise.functions.text import sanitize_string
+from shelfwise.functions.text import NOT_ALLOWED, SPACES, TAG, sanitize_string
 from shelfwise.functions.urls import sanitize_url
 from shelfwise.operators.common import col
 
@@ -44,6 +49,50 @@ def sanitize_array(c) -> Column:
     return F.when(F.size(last) > 0, out)
 
 
+def _clean(x) -> str | None:
+    """sanitize_string of a JSON scalar as text (true is '1', false and null are empty)."""
+    t = "" if x is None or x is False else "1" if x is True else str(x)
+    t = re.sub(NOT_ALLOWED, "", re.sub(SPACES, " ", re.sub(TAG, "", t)).strip(" "))
+    return None if t in ("", "0") else t
+
+
+def _clean_nested(x):
+    """Cleaned copy of a JSON object or list; None when nothing is left.  A list that loses entries keeps their positions as keys."""
+    out: dict = {}
+    for k, v in x.items() if isinstance(x, dict) else enumerate(x):
+        value = _clean_nested(v) if isinstance(v, (dict, list)) else _clean(v)
+        if value is not None:
+            key = (_clean(k) or k) if isinstance(k, str) else k
+            out.pop(key, None)
+            out[key] = value
+    if isinstance(x, list) and list(out) == list(range(len(out))):
+        return list(out.values()) or None
+    return {str(k): v for k, v in out.items()} or None
+
+
+def sanitize_nested(c) -> Column:
+    """ARR2 / JSN1 to any depth: JSON text whose objects and lists are cleaned as :func:`sanitize_array` does.
+
+    Keys and values go through sanitize_string, entries that clean to nothing are dropped,
+    of equal keys the later counts.  Text that is no JSON is split on , ; or |.  Null for
+    null and for JSON scalars, and when nothing is left.
+    """
+    @F.pandas_udf("string")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            out = []
+            for t in s:
+                try:
+                    x = json.loads(t) if isinstance(t, str) and t else None
+                except ValueError:
+                    x = re.split(r"[,;|]", t)
+                done = _clean_nested(x) if isinstance(x, (dict, list)) else None
+                out.append(None if done is None else json.dumps(done, ensure_ascii=False, separators=(",", ":")))
+            yield pd.Series(out, dtype=object)
+
+    return of(col(c))
+
+
 def first_distinct(c, k: int) -> Column:
     """ARR3: de-duplicate keeping first occurrences, then the first ``k``."""
     return F.slice(F.array_distinct(col(c)), 1, k)

@@ -19,6 +19,7 @@ from shelfwise.operators import pages as pg
 from shelfwise.operators import ranking as rk
 from shelfwise.operators import stats
 from shelfwise.operators import upsert as up
+from shelfwise.operators.common import lit
 from shelfwise.operators.joins import resolve_product
 from shelfwise.session import checkpoint_dir
 from shelfwise.sources import export as ex
@@ -66,12 +67,12 @@ def positions(items: DataFrame, per_page: int = 24) -> DataFrame:
     return out
 
 
-def rankings(search_pages: DataFrame, products: DataFrame, keyword_of_page: DataFrame,
+def rankings(search_pages: DataFrame, products: DataFrame, keyword_of_page: DataFrame, asof,
              target: str | None = None) -> DataFrame:
     """D: search pages (page_id, url, html, platform) + (page_id, keyword_id, page)
     → ranking rows with positions and product ids; appended to ``target`` when given."""
     cards = pg.search_items(search_pages).join(keyword_of_page, "page_id") \
-        .withColumn("created_at", F.localtimestamp()) \
+        .withColumn("created_at", lit(asof)) \
         .withColumn("item_id", F.shiftleft(F.col("page_id"), 20) + F.col("ordinal"))  # up to a million cards a page
     ranked = resolve_product(positions(cards), products)
     rows = up.append_rankings(ranked.withColumnRenamed("item_id", "id"))

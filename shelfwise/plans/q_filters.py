@@ -91,9 +91,11 @@ def fil09(t):
 
 @query("fil10_incomplete_products", """
 SELECT product_id, platform FROM products
-WHERE (price IS NULL OR brand IS NULL OR title IS NULL OR title = '') AND is_active""")
+WHERE (price IS NULL OR brand IS NULL OR title IS NULL OR title = '' OR review_count % 5 = 0) AND is_active""")
 def fil10(t):
-    p = t.products.withColumn("description", F.lit(None).cast("string"))
+    # an empty description on a fifth of the products, none on another fifth
+    left = F.col("review_count") % 5
+    p = t.products.withColumn("description", F.when(left == 0, "").when(left > 1, F.col("title")))
     return fl.incomplete_products(p).select("product_id", "platform")
 
 
@@ -121,18 +123,29 @@ def fil13(t):
                              fl.valid_rating(F.col("rating")).alias("rating_ok"))
 
 
-@query("fil14_validate_products", """
+# products of which some lack a sku, a title or a platform, at prices on both sides of the least one
+_LACKING = """(SELECT product_id, CASE WHEN review_count % 11 = 0 THEN '' WHEN review_count % 11 = 1 THEN NULL ELSE sku END AS sku,
+  CASE WHEN review_count % 13 = 0 THEN '0' ELSE title END AS title, CASE WHEN review_count % 17 = 0 THEN NULL ELSE platform END AS platform, price / 10 AS price FROM products) p"""
+
+
+def _lacking(t):
+    left = lambda n: F.col("review_count") % n
+    return t.products.select("product_id", F.when(left(11) == 0, "").when(left(11) > 1, F.col("sku")).alias("sku"), F.when(left(13) == 0, "0").otherwise(F.col("title")).alias("title"),
+                             F.when(left(17) != 0, F.col("platform")).alias("platform"), (F.col("price") / 10).alias("price"))
+
+
+@query("fil14_validate_products", f"""
 SELECT product_id, CASE WHEN price IS NOT NULL AND NOT (price BETWEEN 2000 AND 1600000) THEN 'price out of range' END AS warning
-FROM products WHERE NOT (sku IS NULL OR sku IN ('', '0') OR title IS NULL OR title IN ('', '0') OR platform IS NULL OR platform IN ('', '0'))""")
+FROM {_LACKING} WHERE NOT (sku IS NULL OR sku IN ('', '0') OR title IS NULL OR title IN ('', '0') OR platform IS NULL OR platform IN ('', '0'))""")
 def fil14(t):
-    good, _ = fl.validate_products(t.products)
+    good, _ = fl.validate_products(_lacking(t))
     return good.select("product_id", "warning")
 
 
-@query("fil14b_rejected_products", """
-SELECT product_id FROM products WHERE sku IS NULL OR sku IN ('', '0') OR title IS NULL OR title IN ('', '0') OR platform IS NULL OR platform IN ('', '0')""")
+@query("fil14b_rejected_products", f"""
+SELECT product_id FROM {_LACKING} WHERE sku IS NULL OR sku IN ('', '0') OR title IS NULL OR title IN ('', '0') OR platform IS NULL OR platform IN ('', '0')""")
 def fil14b(t):
-    _, bad = fl.validate_products(t.products)
+    _, bad = fl.validate_products(_lacking(t))
     return bad.select("product_id")
 
 

@@ -51,9 +51,10 @@ def joi04(t):
 @query("joi05_config_products", """
 SELECT c.id AS configuration_id, c.platform AS config_platform, c.category AS config_category, r.scraper_id,
  p.product_id, p.sku, p.platform, p.price
-FROM scraper_configurations c JOIN scraper_runs r ON r.configuration_id = c.id JOIN products p ON p.scraper_id = r.scraper_id""")
+FROM scraper_configurations c JOIN scraper_runs r ON r.configuration_id = c.id JOIN products p ON lpad(substr(p.sku, 4), 10, '0') = r.scraper_id""")
 def joi05(t):
-    return jn.config_products(t.scraper_configurations, t.scraper_runs, t.products)
+    # a product belongs to the run that has the number of its sku
+    return jn.config_products(t.scraper_configurations, t.scraper_runs, t.products.withColumn("scraper_id", F.expr("lpad(substr(sku, 4), 10, '0')")))
 
 
 @query("joi06_backfill", """

@@ -238,12 +238,14 @@ def pag08(t):
 
 @query("pag09_named_attr", f"""
 WITH {_spec_entries_sql()}
-SELECT page_id, {_named_sql('^brand')} AS brand, {_named_sql('^model')} AS model_name, {_named_sql('^colou?r')} AS color
+SELECT page_id, {_named_sql('^brand')} AS brand, {_named_sql('^model')} AS model_name, {_named_sql('^colou?r')} AS color,
+ {_named_sql('weight')} AS weight, {_named_sql('^manufacturer')} AS manufacturer
 FROM s1""")
 def pag09(t):
     s = pg.spec_map("html")
     return t.shop_pages.select("page_id", pg.named_attr(s, "^brand").alias("brand"),
-                          pg.named_attr(s, "^model").alias("model_name"), pg.named_attr(s, "^colou?r").alias("color"))
+                          pg.named_attr(s, "^model").alias("model_name"), pg.named_attr(s, "^colou?r").alias("color"),
+                               pg.named_attr(s, "weight").alias("weight"), pg.named_attr(s, "^manufacturer").alias("manufacturer"))
 
 
 @query("pag10_dimensions", f"""

@@ -105,10 +105,10 @@ def url01(t):
 
 @query("url02_absolutize", """
 SELECT page_id, CASE WHEN starts_with(h, 'http') THEN h ELSE 'https://www.example.com' || h END AS link
-FROM (SELECT page_id, regexp_extract(html, 'href="([^"]*)"', 1) AS h FROM pages) x""")
+FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS h FROM shop_pages) x""")
 def url02(t):
-    h = F.regexp_extract("html", r'href="([^"]*)"', 1)
-    return t.pages.select("page_id", ul.absolutize(h, "https://www.example.com").alias("link"))
+    links = t.shop_pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1)).alias("h"))
+    return links.select("page_id", ul.absolutize("h", "https://www.example.com").alias("link"))
 
 
 @query("url03_strip_query", """
@@ -217,7 +217,7 @@ def num09(t):
     return t.products.select("product_id", p.alias("price_fixed"), s.alias("sale_fixed"))
 
 
-_SYM = "nullif(regexp_extract(review_text, '([₹$£€¥₩])', 1), '')"
+_SYM = "CASE CAST(id % 7 AS INT) WHEN 0 THEN '₹' WHEN 1 THEN '$' WHEN 2 THEN ' £ ' WHEN 3 THEN '€' WHEN 4 THEN '¥' WHEN 5 THEN 'Rs' END"
 _CUR = f"CASE trim({_SYM}) " + " ".join(
     f"WHEN '{k}' THEN '{v}'" for k, v in nm.CURRENCY_MAP.items()) + f" ELSE trim({_SYM}) END"
 
@@ -225,8 +225,7 @@ _CUR = f"CASE trim({_SYM}) " + " ".join(
 @query("num10_currency_code", f"""
 SELECT id, {_CUR} AS currency FROM reviews""")
 def num10(t):
-    sym = F.nullif(F.regexp_extract("review_text", "([₹$£€¥₩])", 1), F.lit(""))
-    return t.reviews.select("id", nm.currency_code(sym).alias("currency"))
+    return t.reviews.select("id", nm.currency_code(F.expr(_SYM)).alias("currency"))
 
 
 _SESS = "SELECT keyword_id, min(created_at) AS started_at, max(created_at) AS completed_at FROM search_items GROUP BY keyword_id"
@@ -334,6 +333,20 @@ def arr02(t):
         F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";").alias("props_clean"))
 
 
+# objects and lists within objects; what cleans to nothing is on every level
+_NESTED = ("""concat('{"Title <i>":"  Lot <b>', CAST(event_id AS STRING), '</b> * ","specs":{"Ram#":"', CAST(user_id AS STRING), ' GB","gone":"<p></p>","parts":["one  ",', """
+           """CASE WHEN event_id % 2 = 0 THEN '"",' ELSE '' END, '" two <u>', event_type, '</u>",null],"deep":[[{"x":["0",{"y":"', event_type, '"}]}]]},"flag":true,"off":false,"n":', CAST(event_id % 3 AS STRING), '}')""")
+
+
+@query("arr02b_sanitize_nested", """
+SELECT event_id, '{"Title":"Lot ' || event_id || ' ","specs":{"Ram":"' || user_id || ' GB","parts":' ||
+ CASE WHEN event_id % 2 = 0 THEN '{"0":"one","2":"two ' || event_type || '"}' ELSE '["one","two ' || event_type || '"]' END ||
+ ',"deep":[[{"x":{"1":{"y":"' || event_type || '"}}}]]},"flag":"1"' || CASE WHEN event_id % 3 > 0 THEN ',"n":"' || (event_id % 3) || '"' ELSE '' END || '}' AS props_clean
+FROM events""")
+def arr02b(t):
+    return t.events.select("event_id", ar.sanitize_nested(F.expr(_NESTED)).alias("props_clean"))
+
+
 @query("arr03_first_distinct", """
 SELECT product_id, array_to_string(list_slice(list_filter(w, lambda x, i: list_position(w, x) = i), 1, 2), ' ') AS first_words
 FROM (SELECT product_id, string_split(title, ' ') AS w FROM products) x""")
@@ -388,8 +401,12 @@ def hsh03(t):
     return t.reviews.select("id", hs.review_hash("sku", "reviewer_name", "rating", "review_text").alias("review_hash"))
 
 
-@query("ext01_specs_from_text", """
-SELECT id, CASE WHEN regexp_extract(review_text, '(?i)(\\d+)\\s*GB\\s*(RAM|Memory)', 1) <> ''
- THEN regexp_extract(review_text, '(?i)(\\d+)\\s*GB\\s*(RAM|Memory)', 1) || 'GB' END AS ram FROM reviews""")
+# product texts that name their memory in several ways, or not at all
+_SPEC_TEXT = "CASE review_count % 4 WHEN 0 THEN concat(title, ' ', CAST(review_count AS STRING), 'GB RAM, fast') WHEN 1 THEN concat(title, ' with ', CAST(review_count AS STRING), '  gb Memory') WHEN 2 THEN concat(title, ' 512 GB disk') END"
+
+
+@query("ext01_specs_from_text", f"""
+SELECT product_id, CASE WHEN regexp_extract(x, '(?i)(\\d+)\\s*GB\\s*(RAM|Memory)', 1) <> ''
+ THEN regexp_extract(x, '(?i)(\\d+)\\s*GB\\s*(RAM|Memory)', 1) || 'GB' END AS ram FROM (SELECT product_id, {_SPEC_TEXT} AS x FROM products) y""")
 def ext01(t):
-    return t.reviews.select("id", hs.specs_from_text("review_text").alias("ram"))
+    return t.products.select("product_id", hs.specs_from_text(F.expr(_SPEC_TEXT)).alias("ram"))

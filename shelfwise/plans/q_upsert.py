@@ -114,13 +114,14 @@ def agg31(t):
 R_COLS = ["id", "reviewer_name", "rating", "review_title", "review_text", "verified_purchase", "helpful_count",
           "review_images"]
 R_CHANGE = [f for f in up.REVIEW_CHANGE_FIELDS if f in R_COLS]
-R_INC = "SELECT * REPLACE (helpful_count + 1 AS helpful_count) FROM reviews WHERE verified_purchase"
+R_INC = "SELECT * REPLACE (CAST(helpful_count + id % 2 AS INT) AS helpful_count) FROM reviews WHERE id % 4 > 0"
 
 
 def _reviews_split(t):
     r = t.reviews.select("platform", "sku", "review_id", *R_COLS)
-    cur = r.where(F.col("rating").isNotNull())
-    inc = r.where(F.col("verified_purchase")).withColumn("helpful_count", (F.col("helpful_count") + 1).cast("int"))
+    # a quarter of the reviews is stored, a quarter comes in, half is both
+    cur = r.where(F.col("id") % 4 < 3)
+    inc = r.where(F.col("id") % 4 > 0).withColumn("helpful_count", (F.col("helpful_count") + F.col("id") % 2).cast("int"))
     return cur, inc
 
 
@@ -128,7 +129,7 @@ def _ups2_sql() -> str:
     keys = ["platform", "sku", "review_id"]
     cols = ", ".join(keys + R_COLS)
     body = _merge_sql(keys, R_COLS, R_CHANGE, None, ident=("id",))
-    return f"""WITH cur AS ({_dedup(f"(SELECT {cols} FROM reviews WHERE rating IS NOT NULL) b", 'platform, sku, review_id', 'id DESC')}),
+    return f"""WITH cur AS ({_dedup(f"(SELECT {cols} FROM reviews WHERE id % 4 < 3) b", 'platform, sku, review_id', 'id DESC')}),
 inc AS ({_dedup(f"(SELECT {cols} FROM ({R_INC}) r0) b", 'platform, sku, review_id', 'id DESC')})
 {body}"""
 
@@ -142,8 +143,8 @@ def ups02(t):
 @query("ups03_upsert_reviews_by_hash", f"""
 WITH h AS (SELECT *, md5(encode(coalesce(sku, '') || coalesce(reviewer_name, '') || coalesce(CAST(rating AS VARCHAR), ''))
    || encode(coalesce(review_text, ''))[1:50]) AS review_hash FROM reviews),
-cur AS ({_dedup("(SELECT review_hash, id, helpful_count FROM h WHERE rating IS NOT NULL) b", "review_hash", "id DESC")}),
-inc AS ({_dedup("(SELECT review_hash, id, helpful_count + 1 AS helpful_count FROM h WHERE verified_purchase) b", "review_hash", "id DESC")})
+cur AS ({_dedup("(SELECT review_hash, id, helpful_count FROM h WHERE id % 4 < 3) b", "review_hash", "id DESC")}),
+inc AS ({_dedup("(SELECT review_hash, id, CAST(helpful_count + id % 2 AS INT) AS helpful_count FROM h WHERE id % 4 > 0) b", "review_hash", "id DESC")})
 SELECT coalesce(n.review_hash, o.review_hash) AS review_hash,
  CASE WHEN o.review_hash IS NULL THEN n.id ELSE o.id END AS id,
  CASE WHEN o.review_hash IS NULL THEN n.helpful_count
@@ -155,9 +156,9 @@ SELECT coalesce(n.review_hash, o.review_hash) AS review_hash,
 FROM inc n FULL JOIN cur o ON n.review_hash = o.review_hash""")
 def ups03(t):
     r = t.reviews.withColumn("review_hash", hs.review_hash("sku", "reviewer_name", "rating", "review_text"))
-    cur = r.where(F.col("rating").isNotNull()).select("review_hash", "id", "helpful_count")
-    inc = r.where(F.col("verified_purchase")).select(
-        "review_hash", "id", (F.col("helpful_count") + 1).cast("int").alias("helpful_count"))
+    cur = r.where(F.col("id") % 4 < 3).select("review_hash", "id", "helpful_count")
+    inc = r.where(F.col("id") % 4 > 0).select(
+        "review_hash", "id", (F.col("helpful_count") + F.col("id") % 2).cast("int").alias("helpful_count"))
     return up.upsert_reviews_by_hash(cur, inc)
 
 

@@ -96,6 +96,21 @@ def win09(t):
     return rk.platform_last_next(t.scraper_runs, t.scraping_urls)
 
 
+# runs with an end, urls with a schedule (some without)
+@query("win09b_platform_scheduled_next", """
+WITH r AS (SELECT *, created_at + to_seconds(CAST(duration_seconds AS BIGINT)) AS completed_at FROM scraper_runs),
+l AS (SELECT platform, scraper_id AS last_completed_run, completed_at AS last_completed_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY platform ORDER BY completed_at DESC, scraper_id DESC) AS rn FROM r WHERE status = 'completed') x WHERE rn = 1),
+u AS (SELECT *, CASE WHEN retry_count > 0 THEN TIMESTAMP '2024-01-01' + to_hours(CAST(id * 37 % 1000 AS BIGINT)) END AS next_scheduled_run FROM scraping_urls),
+n AS (SELECT platform, id AS next_url_id FROM (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY next_scheduled_run, id) AS rn
+  FROM u WHERE next_scheduled_run IS NOT NULL) x WHERE rn = 1)
+SELECT coalesce(l.platform, n.platform) AS platform, l.last_completed_run, l.last_completed_at, n.next_url_id FROM l FULL JOIN n ON l.platform = n.platform""")
+def win09b(t):
+    runs = t.scraper_runs.withColumn("completed_at", F.expr("timestampadd(SECOND, duration_seconds, created_at)"))
+    urls = t.scraping_urls.withColumn("next_scheduled_run", F.when(F.col("retry_count") > 0, F.expr("timestampadd(HOUR, CAST(id * 37 % 1000 AS INT), TIMESTAMP_NTZ'2024-01-01')")))
+    return rk.platform_last_next(runs, urls)
+
+
 @query("win10_first_per_sku", """
 SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY product_id) AS rn FROM products) x WHERE rn = 1""")
 def win10(t):

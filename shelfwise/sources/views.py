@@ -128,7 +128,7 @@ _SHOP_PARTS = [
  ELSE concat('<b class="star-count">', {_n(900, 100)}, '</b><b class="star-count">200</b><b class="star-count">100</b><b class="star-count">50</b><b class="star-count">', {_n(50)}, '</b>') END""",
     f"""'<table><tr><th>Brand</th><td>Maker ', {_n(11)}, '</td></tr><tr><th>Model</th><td>old</td></tr><tr><th>Model</th><td>M', {_n(53)}, '</td></tr><tr><th>Colour</th><td>Shade ', {_n(9)},
  '</td></tr><tr><th>Width</th><td>', {_n(40, 10)}, ' cm</td></tr><tr><th>Depth</th><td>', {_n(30, 5)}, ' cm</td></tr><tr><th>Height</th><td>', CASE WHEN page_id % 4 = 0 THEN ' ' ELSE '9 cm' END,
- '</td></tr><tr><th>Length</th><td>', {_n(20, 2)}, ' cm</td></tr></table>'""",
+ '</td></tr><tr><th>Item Weight</th><td>', {_n(9, 1)}, ' kg</td></tr><tr><th>Manufacturer</th><td>Plant ', {_n(13)}, '</td></tr><tr><th>Length</th><td>', {_n(20, 2)}, ' cm</td></tr></table>'""",
     f"""'<ul><li class="breadcrumb-item"><a>Home</a></li><li class="breadcrumb-item"><a>Shelf ', {_n(12)}, '</a></li><li class="breadcrumb-item"><a>Shelf ', {_n(4)}, '</a></li></ul>'""",
     f"""'<img data-old-hires="https://img.example.com/big', {_n(200)}, '.jpg" src="/s.jpg"><img srcset="https://img.example.com/', {_n(50)}, '.jpg 1x, https://img.example.com/x.jpg 2x">',
  '<img src="https://i.ytimg.com/vi/', lpad(CAST(page_id AS STRING), 11, 'v'), '/0.jpg"><a data-clip="https://cdn.example.com/', {_n(300)}, '.mp4"></a>'""",

@@ -28,6 +28,6 @@ def test_rankings_flow_numbers_by_platform(spark):
     kw = spark.createDataFrame([(5, 42, 1)], "page_id long, keyword_id long, page int")
     products = spark.createDataFrame([("P1", "amazon", "B000000003", dt.date(2024, 1, 1))],
                                      "product_id string, platform string, sku string, scraped_date date")
-    rows = {r.sku: r for r in flows.rankings(pages, products, kw).collect()}
+    rows = {r.sku: r for r in flows.rankings(pages, products, kw, dt.datetime(2024, 5, 1)).collect()}
     assert {s: r.position for s, r in rows.items()} == {"B000000001": 1, "B000000003": 2, "B000000005": 3}
     assert rows["B000000003"].product_id == "P1" and rows["B000000001"].product_id is None

@@ -160,3 +160,13 @@ def test_arrays(spark):
 def test_sanitize_array_later_duplicate_key_wins(spark):
     df = spark.createDataFrame([('{"a!": "1", "a": "2", "b": "<i>x</i>"}',)], "t string")
     assert df.select(ar.sanitize_array("t")).first()[0] == {"a": "2", "b": "x"}
+
+
+def test_sanitize_nested_values(spark):
+    from shelfwise.functions import arrays as ar
+    rows = [('{"a":{"b":["x","",{"c":"<p> y </p>"}]},"A*":1,"A":2,"z":{"q":[]}}', '{"a":{"b":{"0":"x","2":{"c":"y"}}},"A":"2"}'),
+            ('["one","two"]', '["one","two"]'), ("red; green|blue", '["red","green","blue"]'), ('"just text"', None), ("5", None), ("{}", None), ("", None), (None, None),
+            ('{"n":1.50,"t":true,"f":false,"zero":0}', '{"n":"1.5","t":"1"}'), ('{"***":"v"}', '{"***":"v"}')]
+    df = spark.createDataFrame(rows, "t string, want string")
+    got = df.select("t", "want", ar.sanitize_nested("t").alias("got")).collect()
+    assert [(r.t, r.got) for r in got] == rows
