@@ -5,8 +5,8 @@ cut into ``BLOCKS`` blocks, a close pair is within (2 - 2s) / BLOCKS in at least
 them.  The rotation is onto the principal axes, dealt to the blocks in turn, so each
 block leads with a direction of large variance.
 
-Per block, vectors are range-partitioned on the leading coordinate into runs of about
-``RUN`` vectors; only runs whose intervals come within the block's range are joined, one
+Per block, vectors are range-partitioned on the leading coordinate into runs of at most
+about ``RUN`` vectors or ``RUN_BYTES``; only runs whose intervals come within the block's range are joined, one
 task per pair of runs.  Inside it the block distance filters, the union over blocks is
 verified on the original vectors in double precision, and a pair found in several blocks
 counts only in the first.  A task returns links per vector and a spanning forest, never
@@ -32,6 +32,8 @@ from shelfwise.llm.graph import components
 
 BLOCKS = 4
 RUN = 16_384
+#: A run is shorter where its vectors would take more bytes (doubles and rotated floats).
+RUN_BYTES = 32 << 20
 SLACK = 1e-5
 #: Pairs verified at a time within a task.
 PAIRS = 100_000
@@ -50,6 +52,12 @@ def unit(rows: list) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def scaled(rows: list, dim: int) -> np.ndarray:
+    """Vectors as doubles, each times a power of two that brings its greatest component near 1, so no square over- or underflows; cosines stay as they are."""
+    x = np.array([np.asarray(v, np.float64) for v in rows]).reshape(len(rows), dim)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0.0))[1][:, None])
+
+
 def rotation(classes: DataFrame, dim: int) -> np.ndarray:
     """Principal axes of all unit vectors of this length, dealt to the blocks in turn (dim x dim)."""
     def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -60,10 +68,11 @@ def rotation(classes: DataFrame, dim: int) -> np.ndarray:
         yield pd.DataFrame({"i": np.arange(dim), "row": list(total)})
 
     rows = (classes.select("e").mapInPandas(gram, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "x"))
-            .groupBy("i", "j").agg(F.sum("x").alias("x")).collect())  # dim * dim numbers
+            .groupBy("i", "j").agg(F.sum("x").alias("x"))
+            .groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda s: s["x"]).alias("row")).collect())  # dim rows of dim numbers
     m = np.zeros((dim, dim))
     for r in rows:
-        m[r["i"], r["j"]] = r["x"]
+        m[r["i"]] = r["row"]
     axes = np.linalg.eigh(m)[1][:, ::-1]
     return axes[:, np.argsort(np.arange(dim) % blocks_of(dim), kind="stable")]
 
@@ -102,7 +111,7 @@ def _join_runs(dim: int, cosine: float):
             d = d.sort_values("c")
             c.append(d["c"].to_numpy())
             w.append(d["w"].to_numpy())
-            x.append(np.array([np.asarray(v, np.float64) for v in d["e"]]).reshape(len(d), dim))
+            x.append(scaled(list(d["e"]), dim))
             r.append(np.frombuffer(b"".join(d["r"]), np.float32).reshape(len(d), dim))
         links = [np.zeros(len(a), np.int64) for a in c]
         root: dict[int, int] = {}
@@ -160,7 +169,7 @@ def _links_of_length(classes: DataFrame, dim: int, count: int, cosine: float) ->
                                 "lead": [list(v) for v in (r[:, edge[:-1]].astype(np.float64) + tie[:, None])]})
 
     rows = stored(classes.select("c", "w", "e").mapInPandas(spread, f"c long, w long, e {kind}, r binary, lead array<double>"), "embedding-rows")
-    runs = -(-count // RUN)
+    runs = -(-count // min(RUN, max(64, RUN_BYTES // (12 * dim))))
     n_blocks = len(edge) - 1
     cuts = [[] for _ in range(n_blocks)]
     if runs > 1:

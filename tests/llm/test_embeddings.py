@@ -54,3 +54,26 @@ def test_empty(spark):
     assert result(spark.createDataFrame([], "vec_id long, embedding array<float>")) == []
     one = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
     assert result(one) == [(1, 0, 1, True)]
+
+
+def test_extreme_doubles(spark):
+    import decimal
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(12, 4))
+    base[6:] = base[:6] + rng.normal(scale=0.05, size=(6, 4))
+    sizes = [1e-200, 1e200, 1e-308, 1e307, 1.0, 3e-160]
+    rows = [(i, [float(x * sizes[i % 6]) for x in v]) for i, v in enumerate(base)]
+    rows += [(100 + i, [1e-200 if i == j else 0.0 for j in range(4)]) for i in range(4)] + [(200, [1e200, 0.0, 0.0, 0.0]), (201, [1e200, 1e200, 0.0, 0.0]), (202, [5e-324, 0.0, 0.0, 0.0])]
+    exact = [[decimal.Decimal(x) for x in e] for _, e in rows]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    with decimal.localcontext() as ctx:
+        ctx.prec, ctx.Emax, ctx.Emin = 60, 9_999_999, -9_999_999
+        links = {r[0]: sum(i != j and dot(a, b) >= decimal.Decimal("0.9") * (dot(a, a) * dot(b, b)).sqrt() for j, b in enumerate(exact)) for i, (r, a) in enumerate(zip(rows, exact))}
+    got = {r["vec_id"]: r["n_links"] for r in op6.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == links and {0, 1, 2} <= set(links.values())
+
+
+def test_runs_are_sized_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(op6, "RUN_BYTES", 12 * 16 * 64)
+    rows = vectors()
+    assert result(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == brute(rows)
