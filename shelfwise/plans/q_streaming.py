@@ -7,6 +7,8 @@ job) under ``spark.checkpoint.dir``, runs the streaming query to completion
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from shelfwise.plans.catalog import query
 from shelfwise.plans.q_windows import _COOLDOWN_SQL
 from shelfwise.streaming import jobs as st
@@ -19,14 +21,21 @@ def _logs_source(t):
     return path, logs.schema
 
 
-@query("stm01_stream_upsert")
+_P = ("title", "brand", "price", "sale_price", "rating", "review_count")
+
+
+@query("stm01_stream_upsert", f"""
+WITH y AS (SELECT *, year(scraped_date) AS yr, row_number() OVER (PARTITION BY platform, sku, year(scraped_date) ORDER BY scraped_date DESC, product_id DESC) AS rn FROM products),
+a AS (SELECT yr, max(scraped_date) AS seen FROM y GROUP BY yr),
+k AS (SELECT platform, sku, arg_min(product_id, yr) AS product_id, max(yr) AS yr,
+  {', '.join(f"arg_max({c}, yr) FILTER ({c} IS NOT NULL) AS {c}" for c in _P)} FROM y WHERE rn = 1 GROUP BY platform, sku)
+SELECT product_id, platform, sku, {', '.join(_P)}, seen AS scraped_date FROM k JOIN a USING (yr)""")
 def stm01(t):
-    p = t.products.select("product_id", "platform", "sku", "title", "brand", "price", "sale_price", "rating",
-                          "review_count", "is_active", "scraped_date")
+    p = t.products.select("product_id", "platform", "sku", *_P, "scraped_date")
     src = st.scratch(t.spark, "products-drops")
-    st.land_files(p, src, "scraped_date")
-    last = st.stream_upsert(t.spark, src, p.schema, st.scratch(t.spark, "products-versions"))
-    return t.spark.read.parquet(last)
+    st.land_files(p, src, "scraped_date", by=F.year("scraped_date"))
+    last = st.stream_upsert(t.spark, src, p.schema, st.scratch(t.spark, "products-versions"), buckets=16)
+    return st.read_version(t.spark, last, p.schema)
 
 
 @query("stm02_stream_daily_activity", """

@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -27,17 +27,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def land_files(df: DataFrame, path: str, order_col: str, files: int = 8) -> None:
-    """Write ``df`` as ``files`` files that arrive in the order of ``order_col``, in one job.
+def land_files(df: DataFrame, path: str, order_col: str, files: int = 8, by: Column | None = None) -> None:
+    """Write ``df`` as ``files`` files that arrive in the order of ``order_col``, or as one file per value of ``by``, in one job.
 
     The file source takes files by their modification time, which is set here; a feeder
     for the registry's entries and tests, as an upstream writer would deliver them.
     """
     spark = df.sparkSession
-    df.repartitionByRange(files, order_col).sortWithinPartitions(order_col).write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    parts = sorted((f.getPath() for f in fs.listStatus(where) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    if by is None:
+        df.repartitionByRange(files, order_col).sortWithinPartitions(order_col).write.parquet(path)
+    else:
+        df.withColumn("drop", by).repartition("drop").sortWithinPartitions("drop", order_col).write.partitionBy("drop").parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [f"{path}/{n}" for n in _folders(spark, path, "drop=")] if by is not None else [path]
+    parts = [hadoop(f"{f}/{n}") for f in folders for n in _folders(spark, f, "part-")]
     for i, part in enumerate(parts):
         fs.setTimes(part, 1_600_000_000_000 + i * 1000, -1)
 
@@ -179,7 +183,7 @@ def close_stream(spark: SparkSession, source: str, schema, ts: str = "created_at
 
 
 def _folders(spark: SparkSession, base: str, prefix: str) -> list[str]:
-    """Names of the subfolders of ``base`` that start with ``prefix``, ascending; none if ``base`` does not exist.
+    """Names of the files and folders in ``base`` that start with ``prefix``, ascending; none if ``base`` does not exist.
 
     Any other failure of the file system is raised.
     """
@@ -212,30 +216,72 @@ def _current_version(spark: SparkSession, target: str, before: str | None = None
     return None
 
 
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("platform", "sku"), F.lit(int(buckets))).cast("int")
+
+
+def read_version(spark: SparkSession, version: str, schema) -> DataFrame:
+    """The table that a manifest folder (see :func:`stream_upsert`) names."""
+    base = version.rsplit("/manifest/", 1)[0]
+    parts = [f"{base}/{r.data}" for r in spark.read.parquet(version).orderBy("bucket").collect()]  # one row per bucket
+    return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+
+
+def _expire(spark: SparkSession, base: str, keep: int) -> None:
+    """Removes manifests but the last ``keep`` committed ones, and bucket folders that no kept manifest names."""
+    names = [n for n in _folders(spark, f"{base}/manifest", "v=") if _committed(spark, f"{base}/manifest/{n}")]
+    old, kept = names[:-keep], names[-keep:]
+    if not old:
+        return
+    used = {r.data for n in kept for r in spark.read.parquet(f"{base}/manifest/{n}").collect()}
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    for n in old:
+        fs.delete(path(f"{base}/manifest/{n}"), True)
+    newest = kept[-1]
+    for v in _folders(spark, f"{base}/data", "v="):
+        if v <= newest:  # a later one is a write under way
+            for b in _folders(spark, f"{base}/data/{v}", "bucket="):
+                if f"data/{v}/{b}" not in used:
+                    fs.delete(path(f"{base}/data/{v}/{b}"), True)
+
+
 def stream_upsert(spark: SparkSession, source: str, schema, target: str, asof_col: str = "scraped_date",
-                  checkpoint: str | None = None) -> str:
+                  checkpoint: str | None = None, buckets: int = 64, keep: int = 2) -> str:
     """STM1: product snapshots arrive as files and are upserted batch by batch.
 
-    Each micro-batch is de-duplicated per (platform, sku) (WIN1) and merged
-    into the newest committed version with UPS1; the result is the next version
-    folder ``v=<batch id>``, which counts only once its commit mark is there.  A
-    batch replayed after a failure starts from the version before its own, so it
-    rewrites the same rows, and a restarted query (same ``checkpoint``)
-    continues from the newest version.  Returns that version's folder.
+    The table lies in ``buckets`` hash buckets of (platform, sku).  A micro-batch is
+    de-duplicated per key (WIN1) and merged (UPS1) with the buckets that it touches only;
+    these are written anew under ``data/v=<batch id>``, and ``manifest/v=<batch id>`` names
+    the folder of every bucket.  A version counts once its manifest's commit mark is there,
+    so a batch replayed after a failure starts from the manifest before its own and writes
+    the same rows, and a restarted query (same ``checkpoint``) continues from the newest one.
+    All but the last ``keep`` versions are removed.  Choose ``buckets`` so that one is a few
+    hundred MB; the manifest has one row for each.  Returns the newest manifest's folder
+    (:func:`read_version`).
     """
     from shelfwise.operators.upsert import upsert_products
     base = target.rstrip("/")
+    names = [f.name for f in schema.fields]
 
     def merge(batch: DataFrame, batch_id: int):
-        if batch.isEmpty():
+        batch = batch.select(*names)
+        touched = [r[0] for r in batch.select(_bucket(buckets).alias("b")).distinct().orderBy("b").collect()]
+        if not touched:
             return
-        name = f"v={batch_id:08d}"
-        cur_path = _current_version(spark, base, before=name)
-        current = spark.read.parquet(cur_path) if cur_path else spark.createDataFrame([], batch.schema)
+        version = f"v={batch_id:08d}"
+        before = _current_version(spark, f"{base}/manifest", before=version)
+        held = {r.bucket: r.data for r in spark.read.parquet(before).collect()} if before else {}
+        parts = [f"{base}/{held[b]}" for b in touched if b in held]
+        current = spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
         asof = batch.select(F.max(asof_col)).first()[0]
-        upsert_products(current, batch, asof).drop("action").write.mode("overwrite").parquet(f"{base}/{name}")
+        merged = upsert_products(current, batch, asof).select(*names, _bucket(buckets).alias("bucket"))
+        merged.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{base}/data/{version}")
+        now = held | {b: f"data/{version}/bucket={b}" for b in touched}
+        spark.createDataFrame(sorted(now.items()), "bucket int, data string").coalesce(1).write.mode("overwrite").parquet(f"{base}/manifest/{version}")
+        _expire(spark, base, keep)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     _run(stream.writeStream.option("checkpointLocation", checkpoint or scratch(spark, "stm1-ckpt"))
          .foreachBatch(merge))
-    return _current_version(spark, base)
+    return _current_version(spark, f"{base}/manifest")

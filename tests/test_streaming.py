@@ -21,13 +21,36 @@ def test_stream_upsert_resumes_from_checkpoint(spark):
     first = df.where(F.month("scraped_date") <= 2)
     st.land_files(first, src, "scraped_date", 2)
     v1 = st.stream_upsert(spark, src, df.schema, target, checkpoint=ckpt)
-    assert {r.sku: r.title for r in spark.read.parquet(v1).collect()} == {"S1": "T1b", "S2": "T2"}
+    assert {r.sku: r.title for r in st.read_version(spark, v1, df.schema).collect()} == {"S1": "T1b", "S2": "T2"}
     df.where(F.month("scraped_date") == 3).write.mode("append").parquet(src)
     v2 = st.stream_upsert(spark, src, df.schema, target, checkpoint=ckpt)
-    final = {r.sku: (r.title, r.price) for r in spark.read.parquet(v2).collect()}
+    final = {r.sku: (r.title, r.price) for r in st.read_version(spark, v2, df.schema).collect()}
     assert final == {"S1": ("T1b", 11.0), "S2": ("T2", 20.0), "S3": ("T3", 30.0)}
 
 
+def test_a_one_product_batch_writes_one_bucket(spark):
+    d = dt.date
+    cols = "product_id string, platform string, sku string, title string, price double, scraped_date date"
+    many = spark.createDataFrame([(f"p{i}", "amazon", f"S{i}", f"T{i}", 10.0 + i, d(2024, 1, 1)) for i in range(200)], cols)
+    src, target, ckpt = st.scratch(spark, "src"), st.scratch(spark, "tgt"), st.scratch(spark, "ckpt")
+    schema, args = many.schema, dict(checkpoint=ckpt, buckets=8)
+    many.coalesce(1).write.parquet(src)
+    v = st.stream_upsert(spark, src, schema, target, **args)
+    first = {r.bucket: r.data for r in spark.read.parquet(v).collect()}
+    assert sorted(first) == list(range(8)) and st.read_version(spark, v, schema).count() == 200
+    for i, price in enumerate((1.0, 2.0, 3.0)):
+        spark.createDataFrame([("q", "amazon", "S7", None, price, d(2024, 2, 1 + i))], cols).coalesce(1).write.mode("append").parquet(src)
+        v = st.stream_upsert(spark, src, schema, target, **args)
+    now = {r.bucket: r.data for r in spark.read.parquet(v).collect()}
+    moved = [b for b in now if now[b] != first[b]]
+    assert len(moved) == 1 and st._folders(spark, f"{target}/data/v=00000003", "bucket=") == [f"bucket={moved[0]}"]
+    rows = {r.sku: r for r in st.read_version(spark, v, schema).collect()}
+    assert len(rows) == 200 and (rows["S7"].product_id, rows["S7"].title, rows["S7"].price) == ("p7", "T7", 3.0)
+    # two versions stay: the bucket's folders before them and the older manifests are gone, untouched buckets are not
+    assert st._folders(spark, f"{target}/manifest", "v=") == ["v=00000002", "v=00000003"]
+    assert st._folders(spark, f"{target}/data/v=00000001", "bucket=") == [] and len(st._folders(spark, f"{target}/data/v=00000000", "bucket=")) == 7
+
+
 def _attempts(spark, rows):
     return spark.createDataFrame(rows, "platform string, created_at timestamp_ntz")
 
