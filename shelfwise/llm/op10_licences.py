@@ -31,7 +31,7 @@ GAP = 3
 # numbers between single spaces): [a|b] is a choice, {n} a gap of up to n words.
 _UNDER = "[licensed|released|distributed|available|made available|covered|published] under the [terms of the |terms and conditions of the |]"
 _FREE = "[program|library|software|file|package] is free software you can redistribute it and or modify it under the terms of [the |]gnu "
-_CC = "[licensed|released|available|distributed|published] under [a |the |][creative commons |cc |]"
+_CC = "[licensed|released|available|distributed|published] under [a |the |][creative commons |cc ]"
 _NC, _SA, _ND = "[noncommercial|non commercial|nc]", "[sharealike|share alike|sa]", "[noderivatives|no derivatives|noderivs|no derivs|nd]"
 SENTENCES: dict[str, list[str]] = {
     "gpl3-notice": [_UNDER + "gnu [general public license|gpl] [version |v |v|]3[.0|]", _UNDER + "gpl[ |][version |v |v|]3[.0|]"],
@@ -140,7 +140,7 @@ ABBREVIATIONS = ("v", "V", "vs", "e.g", "i.e", "Inc", "inc", "Ltd", "Co", "Corp"
 #: The raw text may have line ends and comment marks between two words.
 HINT = re.compile("|".join(w.replace(" ", "[^A-Za-z0-9]+") for w in (
     "licen[sc]e", "copyright", "warrant", "redistribut", "permission", "creative commons", "cc0", "public domain",
-    "rights reserved", "plainly marked", "derived from", "provided by", "in no event", "useful but", "mpl was", "under the", "under a", "under cc")), re.I)
+    "rights reserved", "plainly marked", "derived from", "provided by", "in no event", "mpl was", "gpl", "bsd", "cc by")), re.I)
 _end = re.compile("".join(rf"(?<!\b{re.escape(w)})" for w in ABBREVIATIONS) + r"[.!?](?=\s|$)|\n\s*\n")
 _word = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _spdx = re.compile(r"SPDX-Licen[sc]e-Identifier:?[ \t]*([(A-Za-z0-9][A-Za-z0-9.+\-() \t]*)", re.I)

@@ -132,3 +132,10 @@ def test_documents_against_plain_search(small):
         want = [v for k, v in lines.items() for _ in range(r["text"].count(k))]
         want = sorted(want + ["partial:all-rights"] * r["text"].lower().count("all rights reserved"))
         assert sorted(r["licence"]["findings"]) == want
+
+
+def test_every_known_sentence_has_a_hint():
+    for name, templates in op10.SENTENCES.items():
+        for t in templates:
+            for words in op10._expanded(t):
+                assert op10.HINT.search(" ".join(w for w in words if w[0] != "{")), (name, words)
