@@ -140,7 +140,7 @@ ABBREVIATIONS = ("v", "V", "vs", "e.g", "i.e", "Inc", "inc", "Ltd", "Co", "Corp"
 #: The raw text may have line ends and comment marks between two words.
 HINT = re.compile("|".join(w.replace(" ", "[^A-Za-z0-9]+") for w in (
     "licen[sc]e", "copyright", "warrant", "redistribut", "permission", "creative commons", "cc0", "public domain",
-    "rights reserved", "plainly marked", "derived from", "provided by", "in no event", "mpl was", "gpl", "bsd", "cc by")), re.I)
+    "rights reserved", "plainly marked", "derived from", "provided by", "in no event", "mpl was", "gpl", "bsd", "cc by", "cc attribution")), re.I)
 _end = re.compile("".join(rf"(?<!\b{re.escape(w)})" for w in ABBREVIATIONS) + r"[.!?](?=\s|$)|\n\s*\n")
 _word = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _spdx = re.compile(r"SPDX-Licen[sc]e-Identifier:?[ \t]*([(A-Za-z0-9][A-Za-z0-9.+\-() \t]*)", re.I)
