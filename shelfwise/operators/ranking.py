@@ -238,7 +238,7 @@ def cooldown(attempts: DataFrame, ts: str = "created_at", key: str = "platform",
     accepted = nodes.where(F.col("before").isNull() | (F.col("t") - F.col("before") >= limit)).select("k", "t")
     # a pointer to such a start tells nothing new, and without it chains end there
     jump = stored(nodes.where("nxt IS NOT NULL").join(accepted.withColumnRenamed("t", "nxt"), ["k", "nxt"], "left_anti").select("k", "t", "nxt"), "cooldown-jump")
-    while not jump.isEmpty():
+    while True:
         reached = stored(accepted.join(jump, ["k", "t"]).select("k", F.col("nxt").alias("t")), "cooldown-reached")
         if reached.isEmpty():
             break
