@@ -217,7 +217,8 @@ def num09(t):
     return t.products.select("product_id", p.alias("price_fixed"), s.alias("sale_fixed"))
 
 
-_SYM = "CASE CAST(id % 7 AS INT) WHEN 0 THEN '₹' WHEN 1 THEN '$' WHEN 2 THEN ' £ ' WHEN 3 THEN '€' WHEN 4 THEN '¥' WHEN 5 THEN 'Rs' END"
+# the first symbol of the whole text; where it has none, one that follows from the key
+_SYM = "coalesce(nullif(regexp_extract(review_text, '([₹$£€¥₩])', 1), ''), CASE CAST(id % 7 AS INT) WHEN 0 THEN '₹' WHEN 1 THEN '$' WHEN 2 THEN ' £ ' WHEN 3 THEN '€' WHEN 4 THEN '¥' WHEN 5 THEN 'Rs' END)"
 _CUR = f"CASE trim({_SYM}) " + " ".join(
     f"WHEN '{k}' THEN '{v}'" for k, v in nm.CURRENCY_MAP.items()) + f" ELSE trim({_SYM}) END"
 
