@@ -152,8 +152,14 @@ def platform_last_next(runs: DataFrame, urls: DataFrame) -> DataFrame:
 
 
 def first_per_sku(products: DataFrame) -> DataFrame:
-    """WIN10: first row (lowest product_id) per sku."""
-    return first_per_key(products, ["sku"], "product_id")
+    """WIN10: first row (lowest product_id) per sku.
+
+    The least ids are found over the two columns alone and only the rows that hold them
+    are compared whole: aggregating whole rows would sort all of them before a shuffle.
+    """
+    least = products.groupBy(F.col("sku").alias("__sku")).agg(F.min(F.struct("product_id")).alias("__least")).select("__sku", F.col("__least.product_id").alias("__id"))
+    held = products.join(least, F.col("sku").eqNullSafe(F.col("__sku")) & F.col("product_id").eqNullSafe(F.col("__id")), "left_semi")
+    return first_per_key(held, ["sku"], "product_id")
 
 
 def pending_queue(urls: DataFrame, n: int = 10) -> DataFrame:
