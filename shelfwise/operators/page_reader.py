@@ -33,6 +33,8 @@ PARTS = {
     "cards": f"array<struct<fields: {_FIELDS}, sponsored: boolean, text: string>>",
     "reviews": f"array<struct<fields: {_FIELDS}, text: string>>",
 }
+#: Pages whose values a task holds at a time.
+SLICE = 128
 
 
 def _split(selector: str) -> tuple[str, list[str | None]]:
@@ -123,6 +125,15 @@ def read_page(html: str | None, platform: str | None, parts: tuple[str, ...]) ->
     return out
 
 
+def read_in_slices(batches: Iterator[tuple[pd.Series, pd.Series]], wanted: tuple[str, ...]) -> Iterator[pd.DataFrame]:
+    """The wanted parts of batches of (html, platform), at most ``SLICE`` pages at a time."""
+    for pages, platforms in batches:
+        for at in range(0, len(pages), SLICE):
+            rows = [read_page(h if isinstance(h, str) else None, p if isinstance(p, str) else None, wanted)
+                    for h, p in zip(pages.iloc[at:at + SLICE], platforms.iloc[at:at + SLICE])]
+            yield pd.DataFrame({p: [r[p] for r in rows] for p in wanted}, columns=list(wanted), dtype=object)
+
+
 def with_page(pages: DataFrame, *parts: str, html: str = "html", platform: str = "platform", out: str = "page") -> DataFrame:
     """``pages`` with a struct of the wanted parts (all of PARTS if none is named); unknown platforms have the generic fields only."""
     wanted = parts or tuple(PARTS)
@@ -130,9 +141,7 @@ def with_page(pages: DataFrame, *parts: str, html: str = "html", platform: str =
 
     @F.pandas_udf(schema)
     def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for pages_, platforms in batches:
-            rows = [read_page(h if isinstance(h, str) else None, p if isinstance(p, str) else None, wanted) for h, p in zip(pages_, platforms)]
-            yield pd.DataFrame({p: [r[p] for r in rows] for p in wanted}, columns=list(wanted), dtype=object)
+        yield from read_in_slices(batches, wanted)
 
     return pages.withColumn(out, read(F.col(html), F.col(platform)))
 
