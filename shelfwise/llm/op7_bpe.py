@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_SYMBOLS = 1_500_000
+BLOCK_SYMBOLS = 1_000_000
 MAX_VOCABULARY = 1_000_000
 
 
