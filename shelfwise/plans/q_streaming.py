@@ -33,8 +33,8 @@ SELECT product_id, platform, sku, {', '.join(_P)}, seen AS scraped_date FROM k J
 def stm01(t):
     p = t.products.select("product_id", "platform", "sku", *_P, "scraped_date")
     src = st.scratch(t.spark, "products-drops")
-    st.land_files(p, src, "scraped_date", by=F.year("scraped_date"))
-    last = st.stream_upsert(t.spark, src, p.schema, st.scratch(t.spark, "products-versions"), buckets=16)
+    files = st.land_files(p, src, "scraped_date", by=F.year("scraped_date"))
+    last = st.stream_upsert(t.spark, src, p.schema, st.scratch(t.spark, "products-versions"), buckets=16, files=files)
     return st.read_version(t.spark, last, p.schema)
 
 

@@ -27,23 +27,39 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def land_files(df: DataFrame, path: str, order_col: str, files: int = 8, by: Column | None = None) -> None:
-    """Write ``df`` as ``files`` files that arrive in the order of ``order_col``, or as one file per value of ``by``, in one job.
-
-    The file source takes files by their modification time, which is set here; a feeder
-    for the registry's entries and tests, as an upstream writer would deliver them.
+def land_files(df: DataFrame, path: str, order_col: str, files: int = 8, by: Column | None = None) -> int:
+    """Write ``df`` as files that arrive oldest first; returns how many make one arrival.
+
+    By ``order_col``, in ``files`` files that arrive one at a time; or one drop per value of
+    ``by``, which every task of ``df`` writes its share of, so that no drop is one task's work.
+    All drops get the same number of files (empty ones where a task had no rows for it): a
+    micro-batch of that many files (``maxFilesPerTrigger``) is one drop.  The file source takes
+    files by their modification time, which is set here; a feeder for the registry's entries
+    and tests, as an upstream writer would deliver them.
     """
     spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    fs = hadoop(path).getFileSystem(conf)
     if by is None:
         df.repartitionByRange(files, order_col).sortWithinPartitions(order_col).write.parquet(path)
+        drops, size = [[f"{path}/{n}"] for n in _folders(spark, path, "part-")], 1
     else:
-        df.withColumn("drop", by).repartition("drop").sortWithinPartitions("drop", order_col).write.partitionBy("drop").parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    folders = [f"{path}/{n}" for n in _folders(spark, path, "drop=")] if by is not None else [path]
-    parts = [hadoop(f"{f}/{n}") for f in folders for n in _folders(spark, f, "part-")]
-    for i, part in enumerate(parts):
-        fs.setTimes(part, 1_600_000_000_000 + i * 1000, -1)
+        df.withColumn("drop", by).write.partitionBy("drop").parquet(path)
+        found = {f"{path}/{n}": _folders(spark, f"{path}/{n}", "part-") for n in _folders(spark, path, "drop=")}
+        size = max(map(len, found.values()), default=1)
+        if any(len(names) < size for names in found.values()):
+            spark.createDataFrame([], df.schema).coalesce(1).write.parquet(f"{path}/_none")
+            none = hadoop(f"{path}/_none/{_folders(spark, f'{path}/_none', 'part-')[0]}")
+            for folder, names in found.items():
+                for i in range(len(names), size):
+                    names.append(f"part-none-{i:05d}.parquet")
+                    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, none, fs, hadoop(f"{folder}/{names[-1]}"), False, conf)
+        drops = [[f"{folder}/{n}" for n in names] for folder, names in found.items()]
+    for i, drop in enumerate(drops):
+        for name in drop:
+            fs.setTimes(hadoop(name), 1_600_000_000_000 + i * 1000, -1)
+    return size
 
 
 def _run(query_builder, trigger_once: bool = True):
@@ -247,8 +263,8 @@ def _expire(spark: SparkSession, base: str, keep: int) -> None:
 
 
 def stream_upsert(spark: SparkSession, source: str, schema, target: str, asof_col: str = "scraped_date",
-                  checkpoint: str | None = None, buckets: int = 64, keep: int = 2) -> str:
-    """STM1: product snapshots arrive as files and are upserted batch by batch.
+                  checkpoint: str | None = None, buckets: int = 64, keep: int = 2, files: int = 1) -> str:
+    """STM1: product snapshots arrive as files and are upserted batch by batch, ``files`` files in a batch.
 
     The table lies in ``buckets`` hash buckets of (platform, sku).  A micro-batch is
     de-duplicated per key (WIN1) and merged (UPS1) with the buckets that it touches only;
@@ -257,7 +273,7 @@ def stream_upsert(spark: SparkSession, source: str, schema, target: str, asof_co
     so a batch replayed after a failure starts from the manifest before its own and writes
     the same rows, and a restarted query (same ``checkpoint``) continues from the newest one.
     All but the last ``keep`` versions are removed.  Choose ``buckets`` so that one is a few
-    hundred MB; the manifest has one row for each.  Returns the newest manifest's folder
+    hundred MB; the manifest has one row for each.  A large bucket is written by several tasks.  Returns the newest manifest's folder
     (:func:`read_version`).
     """
     from shelfwise.operators.upsert import upsert_products
@@ -266,22 +282,23 @@ def stream_upsert(spark: SparkSession, source: str, schema, target: str, asof_co
 
     def merge(batch: DataFrame, batch_id: int):
         batch = batch.select(*names)
-        touched = [r[0] for r in batch.select(_bucket(buckets).alias("b")).distinct().orderBy("b").collect()]
-        if not touched:
+        seen = batch.groupBy(_bucket(buckets).alias("b")).agg(F.max(asof_col).alias("asof")).orderBy("b").collect()
+        if not seen:
             return
+        touched = [r.b for r in seen]
+        asof = max((r.asof for r in seen if r.asof is not None), default=None)
         version = f"v={batch_id:08d}"
         before = _current_version(spark, f"{base}/manifest", before=version)
         held = {r.bucket: r.data for r in spark.read.parquet(before).collect()} if before else {}
         parts = [f"{base}/{held[b]}" for b in touched if b in held]
         current = spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
-        asof = batch.select(F.max(asof_col)).first()[0]
         merged = upsert_products(current, batch, asof).select(*names, _bucket(buckets).alias("bucket"))
-        merged.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{base}/data/{version}")
+        merged.hint("rebalance", "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{base}/data/{version}")
         now = held | {b: f"data/{version}/bucket={b}" for b in touched}
         spark.createDataFrame(sorted(now.items()), "bucket int, data string").coalesce(1).write.mode("overwrite").parquet(f"{base}/manifest/{version}")
         _expire(spark, base, keep)
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     _run(stream.writeStream.option("checkpointLocation", checkpoint or scratch(spark, "stm1-ckpt"))
          .foreachBatch(merge))
     return _current_version(spark, f"{base}/manifest")

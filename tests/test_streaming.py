@@ -51,6 +51,23 @@ def test_a_one_product_batch_writes_one_bucket(spark):
     assert st._folders(spark, f"{target}/data/v=00000001", "bucket=") == [] and len(st._folders(spark, f"{target}/data/v=00000000", "bucket=")) == 7
 
 
+def test_a_drop_is_written_by_all_tasks_and_is_one_batch(spark):
+    d = dt.date
+    cols = "product_id string, platform string, sku string, title string, price double, scraped_date date"
+    rows = [(f"p{y}-{i}", "amazon", f"S{i}", f"T{y}" if i % 3 else None, float(y + i), d(y, 1 + i % 12, 1)) for y in (2021, 2022) for i in range(40)]
+    rows += [("q", "amazon", "S1", None, 1.0, d(2023, 5, 1)), ("n", "amazon", "S2", "late", 2.0, None)]  # drops that only one task has rows of
+    df = spark.createDataFrame(rows, cols).repartition(4, "sku")
+    src, target = st.scratch(spark, "src"), st.scratch(spark, "tgt")
+    files = st.land_files(df, src, "scraped_date", by=F.year("scraped_date"))
+    drops = st._folders(spark, src, "drop=")
+    assert files == 4 and len(drops) == 4 and all(len(st._folders(spark, f"{src}/{n}", "part-")) == files for n in drops)
+    v = st.stream_upsert(spark, src, df.schema, target, buckets=4, files=files)
+    assert v.endswith("v=00000003")  # one version per drop
+    got = {r.sku: (r.product_id, r.title, r.price, r.scraped_date) for r in st.read_version(spark, v, df.schema).collect()}
+    assert len(got) == 40 and got["S1"] == ("p2021-1", "T2022", 1.0, d(2023, 5, 1)) and got["S2"] == ("p2021-2", "late", 2.0, None)
+    assert got["S3"] == ("p2021-3", None, 2025.0, d(2022, 12, 1)) and got["S5"] == ("p2021-5", "T2022", 2027.0, d(2022, 12, 1))
+
+
 def _attempts(spark, rows):
     return spark.createDataFrame(rows, "platform string, created_at timestamp_ntz")
 
